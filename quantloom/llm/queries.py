@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup
+from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_files
+from .scratch import Scratch
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,36 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(_documents(spark, sf_dir))
 
 
+def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir))
+
+
+def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_records(_documents(spark, sf_dir), shards=8)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
+    )
+
+
+def _crc32(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        ids = batch.column(2)
+        n, crc = [len(x.as_buffer()) // 4 for x in ids], [zlib.crc32(x.as_buffer()) for x in ids]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    token_files.write_token_files(_documents(spark, sf_dir), path, end_id=0)
+    return token_files.read_token_files(spark, path).mapInArrow(_crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), room=1024, end_id=2)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = exact_dedup.exact_duplicates(_documents(spark, sf_dir))
     return marks.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -37,7 +69,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup, op5_mix_sources, op10_exact_dedup)}
+    return {f.__name__: f for f in (op4_minhash_near_dedup, op5_mix_sources, op6_tokeniser_fertility, op7_virtual_slots, op8_token_files, op9_bin_completion, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
