@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import exact_dedup, mixing, near_dedup
+from quantloom.llm import exact_dedup, mixing, near_dedup, packing, quality
 from quantloom.llm.scratch import Scratch
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules accept."""
+    return quality.keep_good(docs)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact_dedup.keep_winners(docs)
@@ -23,7 +28,18 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take_mix(docs)
 
 
-STAGES = [("exact dedup", exact_stage), ("near dedup", near_stage), ("mixing", mix_stage)]
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("mixing", mix_stage),
+    ("best-fit packing", pack_stage),
+]
 
 ORACLE_SQL = None
 

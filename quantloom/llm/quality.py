@@ -41,7 +41,12 @@ class Band:
     entropy: tuple[float, float]
 
 
+#: By language, else by script. Languages: just outside the range of good texts of 50 words or more among labelled ones.
 BANDS = {
+    "en": Band((2.3, 7.0), 0.05, (0.47, 1.0)),
+    "de": Band((2.17, 7.0), 0.12, (0.47, 1.0)),
+    "fr": Band((1.97, 7.0), 0.2, (0.47, 1.0)),
+    "es": Band((1.93, 7.0), 0.2, (0.47, 1.0)),
     "latin": Band((1.35, 7.0), 0.25, (0.45, 1.0)),
     "cyrillic": Band((0.7, 4.0), 0.6, (0.4, 1.0)),
     "greek": Band((0.5, 4.0), 0.7, (0.4, 1.0)),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_files
+from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality, sharding, token_files, url_lists
 from .scratch import Scratch
 
 
@@ -16,6 +16,38 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = language_id.remainder_of_three(F.col("doc_id"))
+    found = language_id.identify(_documents(spark, sf_dir), learn=rest != 1)
+    held_out = F.coalesce(language_id.remainder_of_three(F.col("doc_id")) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_spans(_documents(spark, sf_dir), unit="line", min_words=8)
+
+
+def op3_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, fetched on a day that their id tells, against list entries that the hosts of the table give:
+    the crc32 of a host says when it is blocked, when that ends, and whether one of its folders is allowed."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    day = lambda n: F.expr("timestamp '2024-01-01 00:00:00'") + F.make_dt_interval(n.cast("int"))
+    captures = pages.select("page_id", "url", day(F.col("page_id") % 366).alias("fetched"))
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("pattern")).where("pattern is not null").distinct()
+    hosts = hosts.withColumn("h", F.crc32(F.encode("pattern", "UTF-8")))
+    row = lambda name, verdict, pattern, dated, action: F.struct(F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), pattern.alias("pattern"), dated.alias("dated"), F.lit(action).alias("action"))
+    entries = hosts.where("h % 3 = 0").select(
+        F.explode(
+            F.array(
+                row("spam", "block", F.col("pattern"), day(F.col("h") % 200), "add"),
+                row("spam", "block", F.col("pattern"), day(F.col("h") % 200 + 60 + F.col("h") % 90), "remove"),
+                row("trusted", "allow", F.concat("pattern", F.lit("/fr")), day(F.col("h") % 100), "add"),
+            )
+        ).alias("e")
+    ).select("e.*")
+    return url_lists.judge(captures, entries)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), words=3, percent=85).drop("text_hash")
 
@@ -69,7 +101,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup, op5_mix_sources, op6_tokeniser_fertility, op7_virtual_slots, op8_token_files, op9_bin_completion, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_byte_convolution, op2_line_dedup, op3_dated_url_lists, op4_minhash_near_dedup, op5_mix_sources, op6_tokeniser_fertility, op7_virtual_slots, op8_token_files, op9_bin_completion, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
