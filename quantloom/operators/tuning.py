@@ -1,0 +1,101 @@
+"""Weight tuning: rank correlations of module signals with later returns, and shrunk weights."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as sc
+
+LEAST = 30
+SHRINK = 500
+
+
+def average_rank(c: str, keys: list[str]) -> Column:
+    """Rank with the mean rank for ties."""
+    return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
+
+
+def n_eff(samples: DataFrame, keys: tuple[str, ...] = ("horizon",)) -> DataFrame:
+    """Distinct (symbol, stretch of one horizon) per key: overlapping returns count once."""
+    days = F.datediff("date", F.lit("1970-01-01").cast("date")) + 719163  # day numbers that start in year 1
+    stretch = F.floor(days / sc.by_horizon(sc.HORIZON_DAYS, F.col("horizon")))
+    return samples.groupBy(*keys).agg(F.count_distinct(F.struct("symbol", stretch.alias("s"))).alias("n_eff"))
+
+
+def spearman(samples: DataFrame, keys: list[str], a: str, b: str, least: int = LEAST) -> DataFrame:
+    """(keys, n, ic): rank correlation, null below `least` rows."""
+    ranked = samples.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, average_rank(a, keys).alias("ra"), average_rank(b, keys).alias("rb"))
+    g = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_samp("ra", "rb").alias("_c"), F.stddev_samp("ra").alias("_a"), F.stddev_samp("rb").alias("_b"))
+    ic = F.when((F.col("n") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / (F.col("_a") * F.col("_b")))
+    return g.select(*keys, "n", ic.alias("ic"))
+
+
+def module_ic(samples: DataFrame, modules: list[str]) -> DataFrame:
+    """(horizon, module, ic, n_eff) of samples(horizon, symbol, date, ret, x map)."""
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("module"), F.try_element_at("x", F.lit(m)).alias("v")) for m in modules]))
+    rows = samples.select("horizon", "symbol", "date", "ret", cells.alias("e")).select("horizon", "symbol", "date", "ret", "e.module", "e.v").where("v is not null")
+    return spearman(rows, ["horizon", "module"], "v", "ret").drop("n").join(n_eff(rows, ("horizon", "module")), ["horizon", "module"])
+
+
+def combined_score(samples: DataFrame, weights: DataFrame) -> DataFrame:
+    """samples with s, the weighted mean of the signals whose weight is above 0; weights(horizon, module, w) is small."""
+    table = weights.where("w > 0").groupBy("horizon").agg(F.map_from_entries(F.collect_list(F.struct("module", "w"))).alias("_w"))
+    rows = samples.join(F.broadcast(table), "horizon")  # one row for each horizon
+    used = F.filter(F.map_keys("_w"), lambda m: F.map_contains_key(F.col("x"), m))
+    total = F.aggregate(used, F.lit(0.0), lambda a, m: a + F.col("_w")[m])
+    value = F.aggregate(used, F.lit(0.0), lambda a, m: a + F.col("_w")[m] * F.col("x")[m])
+    return rows.withColumn("s", F.when(total > 0, value / total)).drop("_w")
+
+
+def combined_ic(samples: DataFrame, weights: DataFrame) -> DataFrame:
+    return spearman(combined_score(samples, weights), ["horizon"], "s", "ret")
+
+
+def propose(ics: DataFrame, prior: DataFrame, keep_total: bool = True) -> DataFrame:
+    """(horizon, module, w) from ics(horizon, module, ic, n_eff) and prior(horizon, module, w).
+
+    Weight moves from the prior to the share of the positive correlations as
+    n_eff grows, stops at twice the prior, and is scaled back to the group's total.
+    """
+    rows = prior.withColumnRenamed("w", "w0").join(ics, ["horizon", "module"], "left")
+    g = Window.partitionBy("horizon")
+    ok = F.col("ic").isNotNull() & (F.col("n_eff") >= LEAST)
+    positive = F.when(ok, F.greatest("ic", F.lit(0.0))).otherwise(0.0)
+    rows = rows.withColumn("_ok", ok).withColumn("_p", positive).withColumn("_mass", F.sum("w0").over(g)).withColumn("_tot", F.sum("_p").over(g))
+    lam = F.col("n_eff") / (F.col("n_eff") + SHRINK)
+    evidence = F.when(F.col("_tot") > 0, F.col("_mass") * F.col("_p") / F.col("_tot")).otherwise(0.0)
+    rows = rows.withColumn("_n", F.when(F.col("_ok"), F.least((1 - lam) * F.col("w0") + lam * evidence, 2 * F.col("w0"))).otherwise(F.col("w0")))
+    scale = F.when(F.max("_ok").over(g), F.col("_mass") / F.sum("_n").over(g)).otherwise(1.0) if keep_total else F.lit(1.0)
+    return rows.select("horizon", "module", F.round(F.col("_n") * scale, 3).alias("w"))
+
+
+def split_by_date(samples: DataFrame, share: float = 0.7) -> DataFrame:
+    """samples with is_test: on or after the date of the floor(share * n)-th sample of the horizon."""
+    by_h = Window.partitionBy("horizon")
+    numbered = samples.withColumn("_i", F.row_number().over(by_h.orderBy("date")) - 1).withColumn("_k", F.floor(F.count(F.lit(1)).over(by_h) * share))
+    cut = F.min(F.when(F.col("_i") == F.col("_k"), F.col("date"))).over(by_h)
+    return numbered.withColumn("cut", cut).withColumn("is_test", F.col("date") >= F.col("cut")).drop("_i", "_k")
+
+
+def tune(samples: DataFrame, prior: DataFrame, modules: list[str], margin: float = 0.01) -> DataFrame:
+    """(horizon, ic_prior, ic_new, adopted): weights fitted on the older samples, judged on the newer ones."""
+    parts = split_by_date(samples)
+    fitted = propose(module_ic(parts.where("not is_test"), modules), prior)
+    test = parts.where("is_test")
+    old, new = combined_ic(test, prior).select("horizon", F.col("ic").alias("ic_prior")), combined_ic(test, fitted).select("horizon", F.col("ic").alias("ic_new"))
+    better = F.coalesce(F.col("ic_new") >= F.col("ic_prior") + margin, F.lit(False))
+    return old.join(new, "horizon", "full").withColumn("adopted", better)
+
+
+def live_samples(runs: DataFrame, modules: list[str]) -> DataFrame:
+    """Newest run of each (symbol, day, horizon) among those with a price and an end price, as samples."""
+    rows = runs.where("price is not null and end_price is not null")
+    order = Window.partitionBy("symbol", "created", "horizon").orderBy(F.col("id").desc())
+    rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    cards = F.map_from_entries(F.array(*[F.struct(F.lit(m), F.round(F.col("score") * F.col("confidence"), 4)) for m in modules]))
+    return rows.select("horizon", F.col("created").alias("date"), "symbol", cards.alias("x"), (F.col("end_price") / F.col("price") - 1).alias("ret"), F.lit("live").alias("src"))
+
+
+def all_samples(backtest: DataFrame, live: DataFrame) -> DataFrame:
+    return backtest.withColumn("src", F.lit("bt")).unionByName(live, allowMissingColumns=True)
