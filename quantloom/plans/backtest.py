@@ -1,0 +1,90 @@
+"""Point-in-time back-test of the verdict: what it would have said at each sample date, and what followed."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalars import HORIZON_BARS, is_hit
+from ..operators import analogs as an
+from ..operators import indicators as ind
+from ..operators import verdict as vd
+from ..operators.risk import join_returns, rolling_beta
+
+STEP, START = 21, 504
+TESTED = ["technical", "analogs", "regime"]
+BINS = ((0.0, 0.6), (0.6, 0.8), (0.8, 1.01))
+
+
+def sample_dates(bars: DataFrame, h: int, step: int = STEP, start: int = START) -> DataFrame:
+    """(symbol, date, i) of every step-th bar from start that has a bar h later."""
+    rows = bars.select("symbol", "date", ind.bar_index().alias("i"), F.lead("close", h).over(ind.HISTORY).alias("_f"))
+    return rows.where((F.col("i") >= start) & ((F.col("i") - start) % step == 0) & F.col("_f").isNotNull()).select("symbol", "date", "i")
+
+
+def module_rows(bars: DataFrame, series: DataFrame) -> DataFrame:
+    """(symbol, date, horizon, module, available, score, confidence, vol_1y, ret, i) at all sample dates.
+
+    All columns look back only, so each is computed once over the full history and
+    then looked up, instead of once for every date.
+    """
+    index = series.where("series_id = 'INDEX'").select("date", "value")
+    tech = vd.technical(bars, index)
+    betas = bars.select("symbol", "date").join(rolling_beta(join_returns(bars, index)), ["symbol", "date"], "left")
+    reg = vd.regime(betas, series)
+    r = bars.select("symbol", "date", "close", ind.bar_index().alias("i"), ind.change("close").alias("r"))
+    vol = F.stddev_samp("r").over(ind.last(252)) * math.sqrt(252)
+    base = r.select("symbol", "date", "i", vol.alias("vol_1y"), *[(F.lead("close", h).over(ind.HISTORY) / F.col("close") - 1).alias(f"ret_{k}") for k, h in HORIZON_BARS.items()])
+    base = base.where((F.col("i") >= START) & ((F.col("i") - START) % STEP == 0))
+    dates = base.select("symbol", "date", "i", "vol_1y", F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.col(f"ret_{k}").alias("ret")) for k in HORIZON_BARS])).alias("e")).select("symbol", "date", "i", "vol_1y", "e.horizon", "e.ret").where("ret is not null")
+    states = an.with_state(bars)
+    cols = ["symbol", "date", "available", "score", "confidence"]
+    parts = [m.select(*cols, F.lit(None).cast("string").alias("h"), F.lit(n).alias("module")) for n, m in (("technical", tech), ("regime", reg))]
+    parts += [an.analogs_asof(states, k).select(*cols, F.lit(k).alias("h"), F.lit("analogs").alias("module")) for k in HORIZON_BARS]
+    modules = parts[0]
+    for p in parts[1:]:
+        modules = modules.unionByName(p)
+    return dates.join(modules, ["symbol", "date"]).where("h is null or h = horizon").drop("h")
+
+
+def engine_samples(bars: DataFrame, series: DataFrame) -> DataFrame:
+    """(symbol, date, horizon, verdict, conf, ret, x): verdicts with later returns and the modules' signals."""
+    rows = module_rows(bars, series)
+    keys = ["symbol", "date", "horizon"]
+    verdicts = vd.combine(rows, vd.weight_table(bars.sparkSession), keys)
+    signals = rows.where("available").groupBy(*keys).agg(F.max("ret").alias("ret"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", F.round(F.col("score") * F.col("confidence"), 4))))).alias("x"))
+    return verdicts.join(signals, keys).select(*keys, "verdict", F.round("confidence", 3).alias("conf"), "ret", "x")
+
+
+def summarize_verdicts(samples: DataFrame) -> DataFrame:
+    """By horizon and verdict: n, hit rate, the hit rate had every sample got that verdict, and mean return."""
+    g = samples.groupBy("horizon", "verdict").agg(F.count(F.lit(1)).alias("n"), F.avg(is_hit(F.col("verdict"), F.col("ret")).cast("double")).alias("hit"), F.avg("ret").alias("avg_ret"))
+    return g.join(_baselines(samples), ["horizon", "verdict"])
+
+
+def _baselines(samples: DataFrame) -> DataFrame:
+    all_of = samples.groupBy("horizon").agg(*[F.avg(is_hit(F.lit(v), F.col("ret")).cast("double")).alias(v) for v in ("buy", "hold", "sell")])
+    return all_of.unpivot("horizon", ["buy", "hold", "sell"], "verdict", "base")
+
+
+def summarize_conf(samples: DataFrame, bins: tuple = BINS) -> DataFrame:
+    """By horizon and confidence bin: n, hit rate and the mean baseline of the bin's verdicts."""
+    at = F.coalesce(*[F.when((F.col("conf") >= lo) & (F.col("conf") < hi), F.lit(k)) for k, (lo, hi) in enumerate(bins)])
+    rows = samples.join(F.broadcast(_baselines(samples)), ["horizon", "verdict"]).withColumn("bin", at)  # nine rows
+    return rows.groupBy("horizon", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(is_hit(F.col("verdict"), F.col("ret")).cast("double")).alias("hit"), F.avg("base").alias("base"))
+
+
+def findings(by_verdict: DataFrame, margin: float = 0.03) -> DataFrame:
+    """Cells whose hit rate is clearly above or below its baseline."""
+    lift = F.col("hit") - F.col("base")
+    kind = F.when(lift >= margin, "better").when(lift <= -margin, "worse")
+    return by_verdict.withColumn("lift", lift).withColumn("finding", kind).where("finding is not null").select("horizon", "verdict", "n", "lift", "finding")
+
+
+def engine_report(samples: DataFrame) -> DataFrame:
+    """Span, size and the weight of the tested modules, by horizon."""
+    share = F.create_map(*[x for h, w in vd.WEIGHTS.items() for x in (F.lit(h), F.lit(round(sum(v for m, v in zip(vd.MODULES, w, strict=True) if m in TESTED), 2)))])
+    g = samples.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("avg_ret"), F.min("date").alias("start"), F.max("date").alias("end"), F.count_distinct("symbol").alias("symbols"))
+    return g.withColumn("weight_share", share[F.col("horizon")])
