@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text_arrays import mix64
 from .tokens import text_groups, tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -75,7 +75,8 @@ def _tokenise(vocabulary: str, end_id: int):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             coded = [ids + end for i, j in text_groups(texts) for ids in kind.encode(texts[i:j])]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()).fill_null(_NO_ID), pa.array(coded, pa.binary())], names=["doc_id", "ids"])
+            h = pa.array([zlib.crc32(x) for x in coded], pa.int64())
+            yield pa.record_batch([batch.column(0).cast(pa.int64()).fill_null(_NO_ID), h, pa.array(coded, pa.binary())], names=["doc_id", "h", "ids"])
 
     return run
 
@@ -97,21 +98,6 @@ def _count(width: int):
     return run
 
 
-def _deal(bounds: np.ndarray, width: int):
-    """The part of each document. A doc_id that spans several parts is dealt to them by the hash of its ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            first, last = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
-            crc = np.array([zlib.crc32(x.as_buffer()) for x in batch.column(1)], np.int64)
-            h = (mix64(crc.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
-            part = first + (h * (last - first + 1) >> 31)
-            yield pa.record_batch([pa.array(part, pa.int32()), batch.column(0), pa.array(h), batch.column(1)], names=["part", "doc_id", "h", "ids"])
-
-    return run
-
-
 def _write_blocks(rank: np.ndarray, width: int):
     def block(part: int, number: int, before: int, docs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         counts = np.array([len(x) for _, x in docs], "<u4")
@@ -124,14 +110,13 @@ def _write_blocks(rank: np.ndarray, width: int):
         return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, before, held, size = None, 0, 0, [], 0
+        part = TaskContext.get().partitionId()
+        number, before, held, size = 0, 0, [], 0
         for batch in batches:
-            for p, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if held and (p != part or size >= BLOCK_IDS):
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and size >= BLOCK_IDS:
                     yield block(part, number, before, held)
                     number, before, held, size = number + 1, before + size, [], 0
-                if p != part:
-                    part, number, before = p, 0, 0
                 held.append((doc, np.frombuffer(ids.as_py(), f"<u{width}")))
                 size += len(held[-1][1])
         if held:
@@ -146,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, vocabulary: s
     scratch = Scratch(spark, "tokens")
     kind = tokenizer(vocabulary)
     width = kind.dtype.itemsize
-    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(_tokenise(vocabulary, end_id), "doc_id long, ids binary"), "ids")
+    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(_tokenise(vocabulary, end_id), "doc_id long, h long, ids binary"), "ids")
     counted = tokens.select("ids").mapInArrow(_count(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     rank, total = np.zeros(kind.size, np.uint32), sum(r["n"] for r in rows)
@@ -154,12 +139,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, vocabulary: s
     ranks = [(i, int(r["id"]), int(r["n"])) for i, r in enumerate(rows)]
     spark.createDataFrame(ranks, "rank int, id int, n long").coalesce(1).write.parquet(f"{path}/ranks")
     parts = min(MAX_PARTS, max(1, -(-total // PART_IDS)))
-    bounds = np.zeros(0, np.int64)
-    if parts > 1:
-        shares = [k / parts for k in range(1, parts)]
-        bounds = np.array(tokens.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0], np.int64)
-    dealt = tokens.mapInArrow(_deal(bounds, width), "part int, doc_id long, h long, ids binary").repartition(parts, "part")
-    ordered = dealt.sortWithinPartitions("part", "doc_id", "h", "ids").select("part", "doc_id", "ids")
+    # Ranges of (doc_id, h): a doc_id that many rows share is split by the hash of their ids.
+    ordered = tokens.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
     ordered.mapInArrow(_write_blocks(rank, width), _BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     scratch.drop("ids")
 
@@ -167,7 +148,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, vocabulary: s
 def _read_blocks(id_of: np.ndarray, starts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
                 ids = id_of[decode_numbers(row["control"], row["data"], row["n_ids"])]
                 cuts = np.concatenate([[0], np.cumsum(counts)])

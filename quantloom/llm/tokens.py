@@ -39,7 +39,7 @@ def vocabulary_path(name: str) -> str:
 class UnitTokenizer:
     """ids of whole texts; `keep` bounds the units remembered in each of two generations."""
 
-    def __init__(self, name: str, keep: int = 250_000):
+    def __init__(self, name: str, keep: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,6 +56,7 @@ class UnitTokenizer:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.stops = {c: self._single(c) for c in ".,"} if self.by_units else {}
         self.keep = keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -87,12 +88,18 @@ class UnitTokenizer:
         found = list(map(young.get, units))
         gaps = [i for i, ids in enumerate(found) if ids is None]
         if gaps:
-            new = []
+            new, ended = set(), []
             for u in {units[i] for i in gaps}:
                 if (ids := old.get(u)) is not None:
                     young[u] = ids
+                elif space and u[-1:] in self.stops and u[-2:-1].isalpha():  # the stop is a piece of its own
+                    ended.append(u)
+                    if (ids := young.get(u[:-1]) or old.get(u[:-1])) is not None:
+                        young[u[:-1]] = ids
+                    else:
+                        new.add(u[:-1])
                 else:
-                    new.append(u)
+                    new.add(u)
             if space:
                 known: dict[str, bytes] = {}
                 self._learn([space + u for u in new], known)
@@ -100,6 +107,8 @@ class UnitTokenizer:
             else:
                 self._learn([u for u in new if _LEADING.match(u)], young)
                 young.update((u, self._single(u)) for u in new if not _LEADING.match(u))
+            for u in ended:
+                young[u] = young[u[:-1]] + self.stops[u[-1]]
             for i in gaps:
                 found[i] = young[units[i]]
         return found
