@@ -54,7 +54,7 @@ def engine_samples(bars: DataFrame, series: DataFrame) -> DataFrame:
     rows = module_rows(bars, series)
     keys = ["symbol", "date", "horizon"]
     verdicts = vd.combine(rows, vd.weight_table(bars.sparkSession), keys)
-    signals = rows.where("available").groupBy(*keys).agg(F.max("ret").alias("ret"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", F.round(F.col("score") * F.col("confidence"), 4))))).alias("x"))
+    signals = rows.where("available").groupBy(*keys).agg(F.max("ret").alias("ret"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", F.round(F.col("score") * F.col("confidence") + 1e-9, 4))))).alias("x"))
     return verdicts.join(signals, keys).select(*keys, "verdict", F.round("confidence", 3).alias("conf"), "ret", "x")
 
 

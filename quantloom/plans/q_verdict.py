@@ -297,7 +297,7 @@ def n12_quotes(t: Panels) -> DataFrame:
 
 
 # Tuning over the samples.
-FR["sx"] = "SELECT m.symbol, m.date, m.horizon, m.ret, m.module, round(m.score * m.confidence, 4) AS v FROM mods m WHERE m.available"
+FR["sx"] = "SELECT m.symbol, m.date, m.horizon, m.ret, m.module, round(m.score * m.confidence + 1e-9, 4) AS v FROM mods m WHERE m.available"
 _RANK = lambda x, keys: f"rank() OVER (PARTITION BY {keys} ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0"
 _DAYS = "CASE horizon WHEN 'short' THEN 30 WHEN 'mid' THEN 91 ELSE 365 END"
 
