@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["symbol", "strategy", "variant"]
-ORDER = Window.partitionBy(*KEYS).orderBy("date")
 FEE = 0.0005
 RATE = 0.0001
 
 
+def order():
+    return Window.partitionBy(*KEYS).orderBy("date")
+
+
 def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
@@ -24,8 +27,8 @@ def position_returns(signals: DataFrame, fee: float = FEE, rate: Column | float
     """signals(KEYS, date, open, close, value: position) with held and ret; the first bar earns 0."""
     rate = F.lit(rate) if isinstance(rate, float) else rate
     pos = F.coalesce(F.nanvl("value", F.lit(None).cast("double")), F.lit(0.0))
-    rows = signals.withColumn("held", _or_zero(F.lag(pos).over(ORDER))).withColumn("_gap", _or_zero(F.lag(pos, 2).over(ORDER)))
-    rows = rows.withColumn("_was", _or_zero(F.lag("held").over(ORDER))).withColumn("_pc", F.lag("close").over(ORDER))
+    rows = signals.withColumn("held", _or_zero(F.lag(pos).over(order()))).withColumn("_gap", _or_zero(F.lag(pos, 2).over(order())))
+    rows = rows.withColumn("_was", _or_zero(F.lag("held").over(order()))).withColumn("_pc", F.lag("close").over(order()))
     over_night = F.when(F.col("_pc") > 0, F.col("open") / F.col("_pc")).otherwise(1.0) - 1
     intraday = F.when(F.col("open") > 0, F.col("close") / F.col("open")).otherwise(1.0) - 1
     ret = (1 + F.col("_gap") * over_night) * (1 + F.col("held") * intraday) - 1 - fee * F.abs(F.col("held") - F.col("_was")) + (1 - F.col("held")) * rate
@@ -34,14 +37,14 @@ def position_returns(signals: DataFrame, fee: float = FEE, rate: Column | float
 
 def breakout_fills(signals: DataFrame) -> DataFrame:
     """signals(…, value: level) with hit, entry price and the next open; the last bar cannot be left again, so it has no hit."""
-    rows = signals.withColumn("next_open", F.lead("open").over(ORDER)).withColumn("next_date", F.lead("date").over(ORDER))
+    rows = signals.withColumn("next_open", F.lead("open").over(order())).withColumn("next_date", F.lead("date").over(order()))
     hit = F.coalesce((F.col("high") >= F.col("value")) & F.col("next_open").isNotNull(), F.lit(False))
     return rows.withColumn("hit", hit).withColumn("entry_px", F.greatest("value", "open"))
 
 
 def breakout_returns(signals: DataFrame, fee: float = FEE, rate: float = RATE) -> DataFrame:
     """Bought at the level, or the open if that is higher, and sold at the next open."""
-    rows = breakout_fills(signals).withColumn("_hit", F.lag("hit").over(ORDER)).withColumn("_pc", F.lag("close").over(ORDER))
+    rows = breakout_fills(signals).withColumn("_hit", F.lag("hit").over(order())).withColumn("_pc", F.lag("close").over(order()))
     over_night = F.when(F.col("_hit"), F.col("open") * (1 - fee) / F.col("_pc") - 1).otherwise(0.0)
     intraday = F.when(F.col("hit"), F.col("close") / (F.col("entry_px") * (1 + fee)) - 1).otherwise(0.0)
     held = F.when(F.col("hit"), 1.0).otherwise(0.0)
@@ -56,9 +59,9 @@ def _trade(entry: Column, exit_: Column, fee: float) -> Column:
 
 def extract_trades(held: DataFrame, fee: float = FEE) -> DataFrame:
     """held(KEYS, date, open, close, held): runs of held > 0, left at the next open or, still open, at the last close."""
-    rows = held.withColumn("_was", _or_zero(F.lag("held").over(ORDER))).withColumn("_next", F.struct(F.lead("date").over(ORDER).alias("d"), F.lead("open").over(ORDER).alias("o")))
+    rows = held.withColumn("_was", _or_zero(F.lag("held").over(order()))).withColumn("_next", F.struct(F.lead("date").over(order()).alias("d"), F.lead("open").over(order()).alias("o")))
     starts = F.when((F.col("held") > 0) & (F.col("_was") <= 0), 1).otherwise(0)
-    rows = rows.withColumn("_start", starts).withColumn("_island", F.sum("_start").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_start", starts).withColumn("_island", F.sum("_start").over(order().rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.where("held > 0").groupBy(*KEYS, "_island").agg(
         F.min("date").alias("entry"), F.min_by("open", "date").alias("entry_px"), F.max_by(F.struct("date", "close", "_next"), "date").alias("z"), F.count(F.lit(1)).alias("days")
     )
@@ -83,6 +86,6 @@ def buy_hold(bars: DataFrame, fee: float = FEE, rate: float = RATE) -> DataFrame
 
 def approximate_returns(held: DataFrame, fee: float = FEE, rate: float = RATE) -> DataFrame:
     """Close to close: held times the market's return; the first bar has no turnover and no return of the market."""
-    market = F.coalesce(F.col("close") / F.lag("close").over(ORDER) - 1, F.lit(0.0))
-    turnover = F.abs(F.col("held") - F.coalesce(F.lag("held").over(ORDER), F.col("held")))
+    market = F.coalesce(F.col("close") / F.lag("close").over(order()) - 1, F.lit(0.0))
+    turnover = F.abs(F.col("held") - F.coalesce(F.lag("held").over(order()), F.col("held")))
     return held.withColumn("ret", F.col("held") * market + (1 - F.col("held")) * rate - fee * turnover)

@@ -51,7 +51,7 @@ def analogs_asof(states: DataFrame, horizon: str) -> DataFrame:
     over (symbol) replace a pass for each date.
     """
     h = HORIZON_BARS[horizon]
-    rows = states.withColumn("fwd", F.when(F.col("state").isNotNull(), F.lead("close", h).over(ind.HISTORY) / F.col("close") - 1))
+    rows = states.withColumn("fwd", F.when(F.col("state").isNotNull(), F.lead("close", h).over(ind.history()) / F.col("close") - 1))
     known = lambda *keys: Window.partitionBy(*keys).orderBy("i").rangeBetween(Window.unboundedPreceding, -h)
     same, every = known("symbol", "state"), known("symbol")
     c = F.col

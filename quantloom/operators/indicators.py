@@ -9,13 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HISTORY = Window.partitionBy("symbol").orderBy("date")
-SO_FAR = HISTORY.rowsBetween(Window.unboundedPreceding, 0)
+
+def history():
+    """A symbol's bars in order."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def so_far():
+    return history().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def last(n: int):
     """The newest n rows up to this one."""
-    return HISTORY.rowsBetween(-(n - 1), 0)
+    return history().rowsBetween(-(n - 1), 0)
 
 
 def col(c: Column | str) -> Column:
@@ -39,23 +45,23 @@ def bollinger(c: Column | str, n: int = 20, k: float = 2.0) -> tuple[Column, Col
 
 def true_range() -> Column:
     """Null-skipping, so the first bar gives high - low."""
-    before = F.lag("close").over(HISTORY)
+    before = F.lag("close").over(history())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def obv() -> Column:
-    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(HISTORY)), F.lit(0.0))
+    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(history())), F.lit(0.0))
     return step * F.col("volume")
 
 
 def with_obv(bars: DataFrame) -> DataFrame:
     """On-balance volume: the running sum of signed volume, 0 on the first bar."""
-    return bars.withColumn("_step", obv()).withColumn("obv", F.sum("_step").over(SO_FAR)).drop("_step")
+    return bars.withColumn("_step", obv()).withColumn("obv", F.sum("_step").over(so_far())).drop("_step")
 
 
 def donchian(entry: int, exit_: int) -> tuple[Column, Column]:
     """Highest high and lowest low of the bars before this one."""
-    span = lambda n: HISTORY.rowsBetween(-n, -1)
+    span = lambda n: history().rowsBetween(-n, -1)
     high = F.when(F.count("high").over(span(entry)) == entry, F.max("high").over(span(entry)))
     low = F.when(F.count("low").over(span(exit_)) == exit_, F.min("low").over(span(exit_)))
     return high, low
@@ -63,30 +69,30 @@ def donchian(entry: int, exit_: int) -> tuple[Column, Column]:
 
 def change(c: Column | str, n: int = 1) -> Column:
     """c / c[n bars ago] - 1."""
-    return F.try_divide(col(c), F.lag(col(c), n).over(HISTORY)) - 1
+    return F.try_divide(col(c), F.lag(col(c), n).over(history())) - 1
 
 
 def log_return() -> Column:
-    return F.log(F.col("close")) - F.log(F.lag("close").over(HISTORY))
+    return F.log(F.col("close")) - F.log(F.lag("close").over(history()))
 
 
 def forward_return(n: int) -> Column:
-    return F.lead("close", n).over(HISTORY) / F.col("close") - 1
+    return F.lead("close", n).over(history()) / F.col("close") - 1
 
 
 def bar_index() -> Column:
-    return F.row_number().over(HISTORY) - 1
+    return F.row_number().over(history()) - 1
 
 
 def crosses_above(x: Column, level: Column) -> Column:
     """x is above level and was not on the bar before; null counts as no. Needs x, level as plain columns."""
-    return F.coalesce((x > level) & (F.lag(x).over(HISTORY) <= F.lag(level).over(HISTORY)), F.lit(False))
+    return F.coalesce((x > level) & (F.lag(x).over(history()) <= F.lag(level).over(history())), F.lit(False))
 
 
 def hold_state(entry: Column, exit_: Column) -> Column:
     """1 from an entry to the next exit, which wins on the same bar; 0 before the first event."""
     event = F.when(F.coalesce(exit_, F.lit(False)), F.lit(0.0)).when(F.coalesce(entry, F.lit(False)), F.lit(1.0))
-    return F.coalesce(F.last(event, ignorenulls=True).over(SO_FAR), F.lit(0.0))
+    return F.coalesce(F.last(event, ignorenulls=True).over(so_far()), F.lit(0.0))
 
 
 def as_position(held: Column) -> Column:

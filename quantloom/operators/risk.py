@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from . import indicators as ind
 
-JOINED = Window.partitionBy("symbol").orderBy("date")
-
 
 def join_returns(bars: DataFrame, index: DataFrame) -> DataFrame:
     """(symbol, date, r, x): one-bar returns of the symbol and the index on their common dates."""
@@ -21,7 +19,7 @@ def join_returns(bars: DataFrame, index: DataFrame) -> DataFrame:
 
 def rolling_beta(joined: DataFrame, days: int = 504, least: int = 120) -> DataFrame:
     """Beta at every date over the newest `days` joined returns; null below `least` rows or for a flat index."""
-    w = JOINED.rowsBetween(-(days - 1), 0)
+    w = ind.history().rowsBetween(-(days - 1), 0)
     var = F.var_samp("x").over(w)
     value = F.when((F.count("r").over(w) >= least) & (var > 0), F.covar_samp("r", "x").over(w) / var)
     return joined.select("symbol", "date", value.alias("beta"))
@@ -35,7 +33,7 @@ def tail(bars: DataFrame, n: int) -> DataFrame:
 def tail_drawdown(bars: DataFrame, n: int) -> DataFrame:
     """Deepest fall inside the newest n bars, peaks before them left out."""
     inside = tail(bars.select("symbol", "date", "close"), n)
-    fall = F.col("close") / F.max("close").over(ind.SO_FAR) - 1
+    fall = F.col("close") / F.max("close").over(ind.so_far()) - 1
     return inside.withColumn("_f", fall).groupBy("symbol").agg(F.min("_f").alias("drawdown"))
 
 

@@ -108,7 +108,7 @@ def _dip(p: dict) -> Rule:
 
 
 def _breakout(p: dict) -> Rule:
-    return Rule({"range1": F.lag(c("high") - c("low")).over(ind.HISTORY)}, level=c("open") + F.lit(p["k"]) * c("range1"))
+    return Rule({"range1": F.lag(c("high") - c("low")).over(ind.history())}, level=c("open") + F.lit(p["k"]) * c("range1"))
 
 
 # The published parameter grids.
@@ -137,7 +137,7 @@ def wide_signals(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
     inputs = {k: v for r in rules.values() for k, v in r.inputs.items()}
     rows = rows.select("*", *[v.alias(k) for k, v in inputs.items()])
     before = sorted({b for r in rules.values() for b in r.before})
-    rows = rows.select("*", *[F.lag(b).over(ind.HISTORY).alias(f"prev_{b}") for b in before])
+    rows = rows.select("*", *[F.lag(b).over(ind.history()).alias(f"prev_{b}") for b in before])
     made = {}
     for name, r in rules.items():
         if r.position is not None:

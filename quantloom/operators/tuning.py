@@ -45,7 +45,7 @@ def combined_score(samples: DataFrame, weights: DataFrame) -> DataFrame:
     used = F.filter(F.map_keys("_w"), lambda m: F.map_contains_key(F.col("x"), m))
     total = F.aggregate(used, F.lit(0.0), lambda a, m: a + F.col("_w")[m])
     value = F.aggregate(used, F.lit(0.0), lambda a, m: a + F.col("_w")[m] * F.col("x")[m])
-    return rows.withColumn("s", F.when(total > 0, value / total)).drop("_w")
+    return rows.withColumn("s", F.when(total > 0, F.round(value / total, 9))).drop("_w")
 
 
 def combined_ic(samples: DataFrame, weights: DataFrame) -> DataFrame:

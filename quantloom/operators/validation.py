@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import accounting as acc
 from . import metrics as met
@@ -48,7 +49,7 @@ def argmax_variant(scores: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def numbered(returns: DataFrame) -> DataFrame:
-    return returns.withColumn("i", F.row_number().over(acc.ORDER) - 1)
+    return returns.withColumn("i", F.row_number().over(acc.order()) - 1)
 
 
 def _in_fold(returns: DataFrame, fold_table: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -151,7 +152,7 @@ def trade_bootstrap(trades: DataFrame, n_draws: int = 1000, seed: int = 7) -> Da
     return ends.groupBy(*keys).agg(q("final", 0.05).alias("ret_p5"), q("final", 0.5).alias("ret_p50"), q("final", 0.95).alias("ret_p95"), q("mdd", 0.05).alias("mdd_p5"), q("mdd", 0.5).alias("mdd_p50"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Φ(x) by Arrow batches: the engine has no error function."""
     return x.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2)))

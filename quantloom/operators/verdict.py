@@ -40,7 +40,7 @@ def technical(bars: DataFrame, index: DataFrame) -> DataFrame:
     rows = ind.with_obv(with_smoothed(bars, ["rsi14", "macd_12_26_9", "adx14"]))
     rows = rows.join(index_columns(index).select("date", "idx_n", "idx_ret126"), "date", "left")
     rows = rows.withColumn("hist", c("macd_12_26_9_line") - c("macd_12_26_9_signal"))
-    lag = lambda x, k: F.lag(x, k).over(ind.HISTORY)
+    lag = lambda x, k: F.lag(x, k).over(ind.history())
     rows = rows.select(
         "symbol", "date", "close", "rsi14", "adx14", "hist", "idx_n", "idx_ret126", ind.bar_index().alias("i"), ind.sma("close", 50).alias("s50"), ind.sma("close", 200).alias("s200"),
         lag("hist", 3).alias("hist3"), (c("close") - lag("close", 20)).alias("p20"), (c("obv") - lag("obv", 20)).alias("o20"),

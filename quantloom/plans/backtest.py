@@ -20,7 +20,7 @@ BINS = ((0.0, 0.6), (0.6, 0.8), (0.8, 1.01))
 
 def sample_dates(bars: DataFrame, h: int, step: int = STEP, start: int = START) -> DataFrame:
     """(symbol, date, i) of every step-th bar from start that has a bar h later."""
-    rows = bars.select("symbol", "date", ind.bar_index().alias("i"), F.lead("close", h).over(ind.HISTORY).alias("_f"))
+    rows = bars.select("symbol", "date", ind.bar_index().alias("i"), F.lead("close", h).over(ind.history()).alias("_f"))
     return rows.where((F.col("i") >= start) & ((F.col("i") - start) % step == 0) & F.col("_f").isNotNull()).select("symbol", "date", "i")
 
 
@@ -36,7 +36,7 @@ def module_rows(bars: DataFrame, series: DataFrame) -> DataFrame:
     reg = vd.regime(betas, series)
     r = bars.select("symbol", "date", "close", ind.bar_index().alias("i"), ind.change("close").alias("r"))
     vol = F.stddev_samp("r").over(ind.last(252)) * math.sqrt(252)
-    base = r.select("symbol", "date", "i", vol.alias("vol_1y"), *[(F.lead("close", h).over(ind.HISTORY) / F.col("close") - 1).alias(f"ret_{k}") for k, h in HORIZON_BARS.items()])
+    base = r.select("symbol", "date", "i", vol.alias("vol_1y"), *[(F.lead("close", h).over(ind.history()) / F.col("close") - 1).alias(f"ret_{k}") for k, h in HORIZON_BARS.items()])
     base = base.where((F.col("i") >= START) & ((F.col("i") - START) % STEP == 0))
     dates = base.select("symbol", "date", "i", "vol_1y", F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.col(f"ret_{k}").alias("ret")) for k in HORIZON_BARS])).alias("e")).select("symbol", "date", "i", "vol_1y", "e.horizon", "e.ret").where("ret is not null")
     states = an.with_state(bars)

@@ -192,7 +192,7 @@ def g14_football_field(t: Panels) -> DataFrame:
     return fu.football_field(fu.valuation_models(_valued(t), RF))
 
 
-CONS = """SELECT symbol, CAST(substring(symbol, 2) AS INT) % 15 AS analysts, CAST(1.5 + CAST(substring(symbol, 2) AS INT) % 7 / 3.0 AS DOUBLE) AS rec_mean, price * (0.9 + CAST(substring(symbol, 2) AS INT) % 5 / 10.0) AS target_mean, price,
+CONS = """SELECT symbol, CAST(substring(symbol, 2) AS INT) % 15 AS analysts, CAST(1.5 + CAST(substring(symbol, 2) AS INT) % 7 / 3e0 AS DOUBLE) AS rec_mean, price * (0.9 + CAST(substring(symbol, 2) AS INT) % 5 / 1e1) AS target_mean, price,
   CAST(substring(symbol, 2) AS INT) % 6 AS up_0y, CAST(substring(symbol, 2) AS INT) % 4 AS down_0y, CAST(substring(symbol, 2) AS INT) % 3 AS up_1y, CAST(substring(symbol, 2) AS INT) % 5 AS down_1y, CAST(substring(symbol, 2) AS INT) % 8 AS up, CAST(substring(symbol, 2) AS INT) % 3 AS down FROM """
 _REV, _ = _mean([(1, "CASE WHEN up_0y + down_0y > 0 THEN (up_0y - down_0y) / CAST(up_0y + down_0y AS DOUBLE) END"), (1, "CASE WHEN up_1y + down_1y > 0 THEN (up_1y - down_1y) / CAST(up_1y + down_1y AS DOUBLE) END")])
 _CS, _CW = _mean([(0.25, f"CASE WHEN analysts > 0 THEN {_clip('2.6 - rec_mean', -1, 1)} END"), (0.25, _clip("(target_mean / price - 1 - 0.08) / 0.2", -1, 1)), (0.35, _REV), (0.15, "CASE WHEN up + down > 0 THEN (up - down) / CAST(up + down + 1 AS DOUBLE) END")])

@@ -107,7 +107,7 @@ def v6_random_day_p(t: Panels) -> DataFrame:
     f = va.folds(t.bars)
     trades = va.oos_trades(all_trades(t), t.bars, f, va.chosen_variants(all_returns(t), f)).where("strategy = 'vol_breakout'")
     fee = acc.FEE
-    o2o = t.bars.select("symbol", ind.bar_index().alias("i"), (F.lead("open").over(ind.HISTORY) * (1 - fee) / (c("open") * (1 + fee)) - 1).alias("ret"))
+    o2o = t.bars.select("symbol", ind.bar_index().alias("i"), (F.lead("open").over(ind.history()) * (1 - fee) / (c("open") * (1 + fee)) - 1).alias("ret"))
     return va.random_day_p(trades, va._in_fold(o2o, f, "a", "b"), N_DRAWS)
 
 

@@ -320,7 +320,7 @@ def _propose(ics: str) -> str:
 
 
 def _score(source: str, weights: str) -> str:
-    return f"SELECT s.symbol, s.date, s.horizon, any_value(s.ret) AS ret, sum(w.w * s.v) / sum(w.w) AS s FROM {source} s JOIN {weights} w ON w.horizon = s.horizon AND w.module = s.module WHERE w.w > 0 GROUP BY 1, 2, 3"
+    return f"SELECT s.symbol, s.date, s.horizon, any_value(s.ret) AS ret, round(sum(w.w * s.v) / sum(w.w), 9) AS s FROM {source} s JOIN {weights} w ON w.horizon = s.horizon AND w.module = s.module WHERE w.w > 0 GROUP BY 1, 2, 3"
 
 
 @query(_ic("runs2", "confidence", "horizon"), {"runs2": "SELECT horizon, confidence, score AS ret FROM runs"})
