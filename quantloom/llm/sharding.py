@@ -74,9 +74,9 @@ def save_map(slot_map: DataFrame, path: str) -> None:
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the map, by default the newest."""
-    table = spark.read.parquet(path)
+    table = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
     version = table.agg(F.max("version")).first()[0] if version is None else version
-    return table.where(F.col("version") == version).select("version", "virtual_slot", "shard")
+    return table.where(F.col("version") == F.lit(version)).select("version", "virtual_slot", "shard")
 
 
 def shard_records(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:

@@ -164,8 +164,8 @@ def _read_blocks(id_of: np.ndarray, starts: dict[int, int]):
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of each document in the files; ids are little-endian uint32, start counts all ids before."""
-    blocks = spark.read.parquet(f"{path}/blocks")
-    table = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
+    blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    table = spark.read.schema("rank int, id int, n long").parquet(f"{path}/ranks").orderBy("rank").collect()
     id_of = np.array([r["id"] for r in table], "<u4")
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # at most MAX_PARTS
     starts, at = {}, 0
