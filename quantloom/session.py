@@ -13,7 +13,13 @@ _PACKAGE = Path(__file__).resolve().parent
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, unless PYTHONPATH already does."""
+    """Let Python workers import this package, unless PYTHONPATH already does.
+
+    Also turns off the reuse of a union's partitioning: in Spark 4.1.2 a grouping over
+    a union of equally partitioned inputs can return a key twice when partitions are
+    coalesced at run time (tests/test_signals.py has the case).
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if str(_PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_quantloom_shipped", False):
         return

@@ -142,3 +142,10 @@ def test_empty_bars(spark):
     none = _bars(spark).limit(0)
     assert st.stacked(st.wide_signals(none, ["sma_cross", "rsi2"]), ["sma_cross", "rsi2"]).count() == 0
     assert ind.newest(ind.price_levels(none)).count() == 0
+
+
+def test_one_deflated_sharpe_for_each_strategy(spark, sf):
+    from quantloom.plans import all_queries
+
+    rows = all_queries()[0]["v10_deflated_sharpe"](spark, sf).toPandas()
+    assert len(rows) == rows[["symbol", "strategy"]].drop_duplicates().shape[0] == 66 and rows.dsr.between(0, 1).all()
