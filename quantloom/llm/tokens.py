@@ -39,7 +39,7 @@ def vocabulary_path(name: str) -> str:
 class UnitTokenizer:
     """ids of whole texts; `keep` bounds the units remembered in each of two generations."""
 
-    def __init__(self, name: str, keep: int = 150_000):
+    def __init__(self, name: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,17 +66,18 @@ class UnitTokenizer:
     def _single(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, units: list[str], known: dict[str, bytes]) -> None:
-        """Put the ids of units that begin with white space into `known`."""
+    def _learn(self, units: list[str], space: str, known: dict[str, bytes]) -> None:
+        """Put the ids of `space + u`, which begins with white space, into `known` under u."""
         for at in range(0, len(units), 512):
             part = units[at : at + 512]
-            text = "".join(part)
+            text = space + space.join(part)
             ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            wanted = np.cumsum(list(map(len, part)) if text.isascii() else [len(u.encode()) for u in part])
+            sizes = list(map(len, part)) if text.isascii() else [len(u.encode()) for u in part]
+            wanted = np.cumsum(np.array(sizes) + len(space))
             ends = np.cumsum(self.bytes_of[ids])
             cuts = np.searchsorted(ends, wanted) + 1
             if cuts[-1] != len(ids) or not np.array_equal(ends[cuts - 1], wanted):
-                known.update((u, self._single(u)) for u in part)
+                known.update((u, self._single(space + u)) for u in part)
                 continue
             data, last = ids.tobytes(), 0
             for u, cut in zip(part, (cuts * self.dtype.itemsize).tolist(), strict=True):
@@ -85,33 +86,28 @@ class UnitTokenizer:
 
     def _look_up(self, units: list[str], space: str, young: dict[str, bytes], old: dict[str, bytes]) -> list[bytes]:
         """ids of each unit `space + u`, for which young and old hold those of earlier calls."""
-        found = list(map(young.get, units))
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        if gaps:
-            new, ended = set(), []
-            for u in {units[i] for i in gaps}:
-                if (ids := old.get(u)) is not None:
-                    young[u] = ids
-                elif space and u[-1:] in self.stops and u[-2:-1].isalpha():  # the stop is a piece of its own
-                    ended.append(u)
-                    if (ids := young.get(u[:-1]) or old.get(u[:-1])) is not None:
-                        young[u[:-1]] = ids
-                    else:
-                        new.add(u[:-1])
-                else:
-                    new.add(u)
-            if space:
-                known: dict[str, bytes] = {}
-                self._learn([space + u for u in new], known)
-                young.update((u, known[space + u]) for u in new)
+        local = dict.fromkeys(units)  # small, so most look-ups stay in the processor's cache
+        local = dict(zip(local, list(map(young.get, local)), strict=True))
+        gaps = [u for u, ids in local.items() if ids is None]
+        new, ended = set(), []
+        for u in gaps:
+            if space and u[-1:] in self.stops and u[-2:-1].isalpha():  # the stop is a piece of its own
+                ended.append(u)
+                u = u[:-1]
+                if u in young:
+                    continue
+            if (ids := old.get(u)) is not None:
+                young[u] = ids
             else:
-                self._learn([u for u in new if _LEADING.match(u)], young)
-                young.update((u, self._single(u)) for u in new if not _LEADING.match(u))
-            for u in ended:
-                young[u] = young[u[:-1]] + self.stops[u[-1]]
-            for i in gaps:
-                found[i] = young[units[i]]
-        return found
+                new.add(u)
+        if space:
+            self._learn(list(new), space, young)
+        else:
+            self._learn([u for u in new if _LEADING.match(u)], "", young)
+            young.update((u, self._single(u)) for u in new if not _LEADING.match(u))
+        for u in ended:
+            local[u] = young[u[:-1]] + self.stops[u[-1]]
+        return [local[u] or young[u] for u in units]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids (two bytes each if the vocabulary allows) of each text; null is empty."""
@@ -153,7 +149,7 @@ def tokenizer(name: str) -> UnitTokenizer:
     return _loaded[name]
 
 
-def text_groups(texts: list[str | None], chars: int = 400_000):
+def text_groups(texts: list[str | None], chars: int = 1_500_000):
     """(first, last) ranges of about `chars` characters; a longer text stands alone."""
     at, held = 0, 0
     for i, t in enumerate(texts):
