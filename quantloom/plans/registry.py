@@ -66,13 +66,19 @@ def with_panels(body: str, more: dict[str, str] | None = None) -> str:
     return f"WITH {parts}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {parts} {body}"
 
 
+def _doubles(sql: str) -> str:
+    """Decimal literals outside quotes as doubles, so that no column comes out as DECIMAL."""
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    return "".join(p if p.startswith("'") else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", p) for p in parts)
+
+
 def query(sql: str | None = None, more: dict[str, str] | None = None):
     """Register a function of Panels under its name, with the DuckDB SQL of the same rows."""
 
     def register(f: Callable[[Panels], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Panels(spark, sf_dir))
         if sql is not None:
-            SQL[f.__name__] = with_panels(sql, more)
+            SQL[f.__name__] = _doubles(with_panels(sql, more))
         return f
 
     return register
