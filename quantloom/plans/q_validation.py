@@ -71,6 +71,7 @@ def v4_wf_efficiency(t: Panels) -> DataFrame:
     return va.wf_efficiency(all_returns(t), va.folds(t.bars))
 
 
+# The SQL fixes fewer draws than the operators' defaults; the queries named _full take the defaults and have no SQL.
 N_PERM = 100
 FR["pos_oos"] = "SELECT symbol, strategy, held, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY symbol, strategy) AS n, coalesce(close / lag(close) OVER w - 1, 0) AS mkt FROM oos WHERE strategy <> 'vol_breakout' WINDOW w AS (PARTITION BY symbol, strategy ORDER BY i)"
 FR["able"] = "SELECT symbol, strategy, any_value(n) AS n FROM pos_oos GROUP BY 1, 2 HAVING any_value(n) >= 120 AND min(held) <> max(held)"
@@ -80,14 +81,34 @@ FR["sims"] = """SELECT symbol, strategy, k, CASE WHEN var_samp(r) > 0 THEN round
   (SELECT symbol, strategy, k, held * mkt + (1 - held) * 0.0001 - 0.0005 * abs(held - coalesce(lag(held) OVER (PARTITION BY symbol, strategy, k ORDER BY j), held)) AS r FROM moved_held) GROUP BY 1, 2, 3"""
 
 
+def _held_oos(t: Panels) -> DataFrame:
+    return va.walk_forward(all_returns(t), va.folds(t.bars)).where("strategy <> 'vol_breakout'")
+
+
+def _oos_trades(t: Panels) -> DataFrame:
+    f = va.folds(t.bars)
+    return va.oos_trades(all_trades(t), t.bars, f, va.chosen_variants(all_returns(t), f))
+
+
+def _random_days(t: Panels) -> tuple[DataFrame, DataFrame]:
+    """Out-of-sample trades of the day strategy and the open-to-open returns of all days that they could have been."""
+    fee = acc.FEE
+    o2o = t.bars.select("symbol", ind.bar_index().alias("i"), (F.lead("open").over(ind.history()) * (1 - fee) / (c("open") * (1 + fee)) - 1).alias("ret"))
+    return _oos_trades(t).where("strategy = 'vol_breakout'"), va._in_fold(o2o, va.folds(t.bars), "a", "b")
+
+
 @query(
     f"""WITH p AS (SELECT x.symbol, x.strategy, (1 + count(*) FILTER (x.sr >= a.sr)) / {N_PERM + 1} AS p FROM sims x JOIN sims a ON a.symbol = x.symbol AND a.strategy = x.strategy AND a.k = 0 WHERE x.k > 0 GROUP BY 1, 2)
     SELECT q.symbol, q.strategy, p.p FROM (SELECT DISTINCT symbol, strategy FROM pos_oos) q LEFT JOIN p ON p.symbol = q.symbol AND p.strategy = q.strategy""",
     FR,
 )
 def v5_permutation_p(t: Panels) -> DataFrame:
-    oos = va.walk_forward(all_returns(t), va.folds(t.bars)).where("strategy <> 'vol_breakout'")
-    return va.permutation_p(oos, N_PERM)
+    return va.permutation_p(_held_oos(t), N_PERM)
+
+
+@query()
+def v5_permutation_p_full(t: Panels) -> DataFrame:
+    return va.permutation_p(_held_oos(t))
 
 
 N_DRAWS = 200
@@ -104,11 +125,12 @@ FR["pool"] = "SELECT p.symbol, p.ret AS r, row_number() OVER (PARTITION BY p.sym
     FR,
 )
 def v6_random_day_p(t: Panels) -> DataFrame:
-    f = va.folds(t.bars)
-    trades = va.oos_trades(all_trades(t), t.bars, f, va.chosen_variants(all_returns(t), f)).where("strategy = 'vol_breakout'")
-    fee = acc.FEE
-    o2o = t.bars.select("symbol", ind.bar_index().alias("i"), (F.lead("open").over(ind.history()) * (1 - fee) / (c("open") * (1 + fee)) - 1).alias("ret"))
-    return va.random_day_p(trades, va._in_fold(o2o, f, "a", "b"), N_DRAWS)
+    return va.random_day_p(*_random_days(t), N_DRAWS)
+
+
+@query()
+def v6_random_day_p_full(t: Panels) -> DataFrame:
+    return va.random_day_p(*_random_days(t))
 
 
 @query(
@@ -122,9 +144,12 @@ def v6_random_day_p(t: Panels) -> DataFrame:
     FR,
 )
 def v7_trade_bootstrap(t: Panels) -> DataFrame:
-    f = va.folds(t.bars)
-    trades = va.oos_trades(all_trades(t), t.bars, f, va.chosen_variants(all_returns(t), f))
-    return va.trade_bootstrap(trades, N_DRAWS // 2)
+    return va.trade_bootstrap(_oos_trades(t), N_DRAWS // 2)
+
+
+@query()
+def v7_trade_bootstrap_full(t: Panels) -> DataFrame:
+    return va.trade_bootstrap(_oos_trades(t))
 
 
 @query()
@@ -224,8 +249,8 @@ def t8_markers(t: Panels) -> DataFrame:
     return va.markers(all_trades(t), F.to_date(F.lit("2000-06-01")))
 
 
-# Resampling: few paths in the registered queries, the same draws in both engines.
-PATHS, STEPS = 40, 252
+# Resampling: few paths where there is SQL, the same draws in both engines; ALL_PATHS in the queries named _full.
+PATHS, ALL_PATHS, STEPS = 40, 2000, 252
 FR["lr"] = f"SELECT symbol, date, ln(close) - ln(lag(close) {o.OVER}) AS r FROM bars"
 FR["lr3"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM lr WHERE r IS NOT NULL) WHERE k <= 756"
 FR["lrs"] = "SELECT symbol, count(r) AS n, avg(r) AS mean, var_samp(r) AS v FROM lr3 GROUP BY 1"
@@ -251,9 +276,9 @@ def _sizes(t: Panels) -> DataFrame:
     return r.groupBy("symbol").agg(F.count("r").alias("n"))
 
 
-def _paths(t: Panels) -> DataFrame:
+def _paths(t: Panels, n_paths: int = PATHS) -> DataFrame:
     drifts = rs.drift(t.bars.select("symbol").distinct().select("symbol", F.lit(0.03).alias("rf"), F.lit(1.0).alias("beta")))
-    return rs.forward_paths(t.bars, drifts, PATHS, STEPS)
+    return rs.forward_paths(t.bars, drifts, n_paths, STEPS)
 
 
 @query("SELECT symbol, path, step, pick FROM bb", FR)
@@ -261,11 +286,21 @@ def r1_block_bootstrap(t: Panels) -> DataFrame:
     return rs.block_bootstrap(_sizes(t), PATHS, STEPS)
 
 
+@query()
+def r1_block_bootstrap_full(t: Panels) -> DataFrame:
+    return rs.block_bootstrap(_sizes(t), ALL_PATHS, STEPS)
+
+
 @query("SELECT symbol, path, step, growth FROM fp", FR)
 def r2_forward_paths(t: Panels) -> DataFrame:
     return _paths(t)
 
 
+@query()
+def r2_forward_paths_full(t: Panels) -> DataFrame:
+    return _paths(t, ALL_PATHS)
+
+
 @query("SELECT id, confidence AS rf, score AS beta, confidence + greatest(0, least(2.5, score)) * 0.045 AS drift FROM runs")
 def r3_drift(t: Panels) -> DataFrame:
     return rs.drift(t.runs.select("id", c("confidence").alias("rf"), c("score").alias("beta")))
@@ -280,11 +315,21 @@ def a16_path_summary(t: Panels) -> DataFrame:
     return rs.summarize_paths(_paths(t))
 
 
+@query()
+def a16_path_summary_full(t: Panels) -> DataFrame:
+    return rs.summarize_paths(_paths(t, ALL_PATHS))
+
+
 @query(f"SELECT symbol, step + 1 AS day, {_Q('growth')} FROM fp WHERE (step + 1) % 4 = 0 GROUP BY 1, 2", FR)
 def a17_path_fan(t: Panels) -> DataFrame:
     return rs.path_fan(_paths(t))
 
 
+@query()
+def a17_path_fan_full(t: Panels) -> DataFrame:
+    return rs.path_fan(_paths(t, ALL_PATHS))
+
+
 PLAN = """SELECT symbol, max_by(close, date) AS price, max_by(atr14, date) AS atr FROM smooth1 GROUP BY 1"""
 FR["plan"] = f"SELECT symbol, price, atr, greatest(price - 3 * atr, price * 0.5) AS stop, price + 6 * atr AS target FROM ({PLAN})"
 
@@ -313,3 +358,8 @@ def r5_trade_plan(t: Panels) -> DataFrame:
 )
 def r4_first_touch(t: Panels) -> DataFrame:
     return rs.first_touch(_paths(t), _plan(t), HORIZON_BARS["mid"])
+
+
+@query()
+def r4_first_touch_full(t: Panels) -> DataFrame:
+    return rs.first_touch(_paths(t, ALL_PATHS), _plan(t), HORIZON_BARS["mid"])
