@@ -4,11 +4,11 @@ Documents are tokenised whole, get an end id, and only those longer than a
 sequence are cut, so that the first piece may be shorter.  Full pieces are
 sequences by themselves.  All others are dealt into blocks of bounded size, and
 each block is packed by branch and bound: around its largest piece it enumerates
-the undominated fillings (one that a single longer piece or a fuller pair could
-replace is left out), tries them in the order of waste, and gives a branch up once
-its waste allows no solution with fewer sequences than the incumbent.  Best-fit
-decreasing supplies the first incumbent; the search ends at the lower bound or
-after a fixed number of nodes for each piece, keeping the incumbent.
+the undominated fillings of any number of pieces, lazily and depth first (one where
+a single piece left out could replace some of its pieces is left out), and gives a
+branch up once its waste allows no solution with fewer sequences than the incumbent.
+Best-fit decreasing supplies the first incumbent; the search ends at the lower bound
+or after NODES_PER_PIECE steps for each piece of the block, keeping the incumbent.
 
 Defined results: null or empty text is the end id alone; rows that repeat a doc_id
 are packed as documents of their own; an empty table gives an empty result;
@@ -20,6 +20,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,8 @@ from .tokens import text_groups, tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 8192
-NODES_PER_PIECE = 1
-FILLINGS = 4
+NODES_PER_PIECE = 20
+PATIENCE = 64
 
 
 def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
@@ -61,38 +63,67 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(counts: np.ndarray, room: int, waste: int) -> list[tuple[int, ...]]:
-    """Up to FILLINGS undominated fillings of `room` that waste at most `waste`, the fullest first."""
-    open_ = counts[: room + 1]
-    have = np.flatnonzero(open_)
-    if not len(have):
-        return [()] if room <= waste else []
-    below = np.zeros(room + 1, np.int64)
-    below[have] = have
-    below = np.maximum.accumulate(below)  # longest piece of at most this length, 0 if none
-    best = int(below[room])
-    found: dict[int, tuple[int, ...]] = {best: (best,)}
-    if best < room:
-        second = below[room - have]
-        clash = (second == have) & (open_[have] < 2)
-        second[clash] = below[have[clash] - 1]
-        sums = have + second
-        order = np.argsort(-sums, kind="stable")
-        for k in order[:8]:
-            if second[k] and sums[k] > best:
-                found.setdefault(int(sums[k]), (int(have[k]), int(second[k])))
-        if max(found) < room:  # no pair fills it: three pieces, the first from the longest and the shortest
-            few = have if len(have) <= 64 else np.concatenate([have[:32], have[-32:]])
-            a, b = np.meshgrid(few, have, indexing="ij")
-            able = (a >= b) & (a + b < room) & ((a != b) | (open_[a] > 1))
-            a, b = a[able], b[able]
-            c = below[room - a - b]
-            used = (a == c).astype(np.int64) + (b == c)
-            good = (c > 0) & (open_[c] > used)
-            a, b, c = a[good], b[good], c[good]
-            for k in np.argsort(-(a + b + c), kind="stable")[:8]:
-                found.setdefault(int(a[k] + b[k] + c[k]), (int(a[k]), int(b[k]), int(c[k])))
-    return [found[s] for s in sorted(found, reverse=True) if room - s <= waste][:FILLINGS]
+def _dominated(filling: list[int], rest: int, counts: list[int], avail: int) -> bool:
+    """Whether a piece left out could take the place of some pieces of the filling (or of none) and still fit."""
+    one, more, run = 0, 0, 0
+    for k, y in enumerate(filling):
+        more |= (more | one) << y
+        one |= 1 << y
+        run = run + 1 if k and filling[k - 1] == y else 1
+        if counts[y] == run:
+            avail &= ~(1 << y)
+    # Sums that a piece up to `rest` longer replaces; two or more pieces also by one as long as they are.
+    reach, width = one | 1, 1
+    wide = (reach << 1 | more) if rest else more
+    while width < rest:
+        step = min(width, rest - width)
+        wide |= wide << step
+        width += step
+    if rest:
+        wide |= more << rest
+    return bool(wide & avail)
+
+
+def _fillings(counts: list[int], avail: int, room: int, spare: int, share: int, clock: list[int], limit: int) -> Iterator[list[int]]:
+    """All undominated fillings of `room` that waste at most `spare`, depth first, of any number of pieces.
+
+    Those that waste at most `share` come as they are found, fuller ones of the others after every PATIENCE
+    steps; none is left out unless the steps of the whole search (clock, limit) run out.
+    """
+    chosen: list[int] = []
+    held: list[tuple[int, list[int]]] = []
+    rest, most, below, since = room, room, None, clock[0]
+    while clock[0] < limit:
+        x = (avail & ((1 << min(most, rest) + 1) - 1)).bit_length() - 1
+        if x > 0:
+            if counts[x] <= chosen.count(x):
+                most = x - 1
+                continue
+            chosen.append(x)
+            rest, most = rest - x, x
+            clock[0] += 1
+            continue
+        if rest <= spare and not _dominated(chosen, rest, counts, avail):
+            if rest <= share:
+                since = clock[0]
+                yield chosen.copy()
+            else:
+                heappush(held, (rest, chosen.copy()))
+        clock[0] += 1
+        if below is None:
+            below = list(accumulate(n * c for n, c in enumerate(counts[: room + 1])))  # tokens in pieces of at most that length
+        if held and clock[0] - since >= PATIENCE:
+            since = clock[0]
+            yield heappop(held)[1]
+        while chosen:
+            y = chosen.pop()
+            rest, most = rest + y, y - 1
+            if below[min(most, rest)] >= rest - spare:
+                break
+        else:
+            break
+    while held:
+        yield heappop(held)[1]
 
 
 def complete_bins(lengths: np.ndarray, room: int, nodes_per_piece: int = NODES_PER_PIECE) -> list[list[int]]:
@@ -100,39 +131,48 @@ def complete_bins(lengths: np.ndarray, room: int, nodes_per_piece: int = NODES_P
     best = best_fit(lengths, room)
     total = int(lengths.sum())
     bound = max(-(-total // room), int((2 * lengths > room).sum()))
-    counts = np.bincount(lengths, minlength=room + 1)
-    left, wasted, nodes, limit = len(lengths), 0, 0, nodes_per_piece * len(lengths)
-    path: list[tuple[int, list[tuple[int, ...]], int]] = []  # (largest piece, fillings, the one in use)
-
-    def enter() -> None:
-        largest = int(np.flatnonzero(counts)[-1])
-        counts[largest] -= 1
-        spare = (len(best) - 1) * room - total - wasted
-        path.append((largest, _fillings(counts, room - largest, spare), -1))
-
-    while len(best) > bound and nodes < limit:
-        if left == 0 and path:
-            best = [[largest, *fillings[k]] for largest, fillings, k in path]
-        elif not path or path[-1][2] >= 0:
-            enter()
+    counts = np.bincount(lengths, minlength=room + 1).tolist()
+    avail = sum(1 << n for n, c in enumerate(counts) if c)  # bit n: pieces of length n are left
+    left, wasted, clock, limit = len(lengths), 0, [0], nodes_per_piece * len(lengths)
+    path: list[tuple[int, Iterator[list[int]], list[int] | None]] = []  # (largest piece, its fillings, the one in use)
+
+    def take(n: int) -> None:
+        nonlocal avail
+        counts[n] -= 1
+        if not counts[n]:
+            avail ^= 1 << n
+
+    def give(n: int) -> None:
+        nonlocal avail
+        counts[n] += 1
+        avail |= 1 << n
+
+    while len(best) > bound and clock[0] < limit:
+        if left == 0:
+            best = [[largest, *filling] for largest, _, filling in path]
+        else:
+            largest = avail.bit_length() - 1
+            take(largest)
+            spare = (len(best) - 1) * room - total - wasted
+            share = spare // max(1, len(best) - 1 - len(path))
+            path.append((largest, _fillings(counts, avail, room - largest, spare, share, clock, limit), None))
         while path:  # the next filling of the last bin, or back
-            largest, fillings, k = path.pop()
-            if k >= 0:
-                for x in fillings[k]:
-                    counts[x] += 1
-                left += 1 + len(fillings[k])
-                wasted -= room - largest - sum(fillings[k])
-            k += 1
+            largest, fillings, used = path.pop()
+            if used is not None:
+                for x in used:
+                    give(x)
+                left += 1 + len(used)
+                wasted -= room - largest - sum(used)
             spare = (len(best) - 1) * room - total - wasted
-            if k < len(fillings) and room - largest - sum(fillings[k]) <= spare:
-                for x in fillings[k]:
-                    counts[x] -= 1
-                left -= 1 + len(fillings[k])
-                wasted += room - largest - sum(fillings[k])
-                path.append((largest, fillings, k))
-                nodes += 1
+            used = next((f for f in fillings if room - largest - sum(f) <= spare), None)
+            if used is not None:
+                for x in used:
+                    take(x)
+                left -= 1 + len(used)
+                wasted += room - largest - sum(used)
+                path.append((largest, fillings, used))
                 break
-            counts[largest] += 1
+            give(largest)
         if not path:
             break
     return best
