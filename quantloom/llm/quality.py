@@ -8,13 +8,14 @@ band is rejected, as the vocabulary then meets letter salad, broken encodings,
 markup or loops instead of prose.
 
 Defined results: null text is empty (all counts 0, base_failed, not kept); a text
-without tokens has null measures; null or unknown languages use the band of the
-script that most letters belong to; an empty table gives an empty result; rows
-are judged one by one, so ids may repeat or be null; further columns pass through.
+without tokens has null measures; unknown languages use the band of the script that
+most letters belong to, null languages too, but "none" if that is Latin; an empty
+table gives an empty result; rows are judged one by one, so ids may repeat or be null; further columns pass through.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,14 +40,20 @@ class Band:
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy: tuple[float, float]
+    #: Least entropy from each of LENGTHS tokens on, as the share falls with length; below the first, and if empty, that of `entropy`.
+    floors: tuple[float, ...] = ()
 
 
-#: By language, else by script. Languages: just outside the range of good texts of 50 words or more among labelled ones.
+LENGTHS = (100, 200, 400, 800, 1600, 6400)
+
+#: By language ("none": null language in Latin letters), else by script. Languages: a twentieth of the range outside that of
+#: good texts of 50 words or more among labelled ones; where fewer than 30 have a length, the range of all four languages.
 BANDS = {
-    "en": Band((2.3, 7.0), 0.05, (0.47, 1.0)),
-    "de": Band((2.17, 7.0), 0.12, (0.47, 1.0)),
-    "fr": Band((1.97, 7.0), 0.2, (0.47, 1.0)),
-    "es": Band((1.93, 7.0), 0.2, (0.47, 1.0)),
+    "en": Band((2.335, 7.0), 0.022, (0.47, 1.0), (0.774, 0.724, 0.685, 0.635, 0.556, 0.482)),
+    "de": Band((2.189, 7.0), 0.084, (0.47, 1.0), (0.765, 0.716, 0.669, 0.616, 0.543, 0.482)),
+    "fr": Band((1.979, 7.0), 0.164, (0.47, 1.0), (0.765, 0.702, 0.654, 0.608, 0.527, 0.482)),
+    "es": Band((1.93, 7.0), 0.153, (0.47, 1.0), (0.765, 0.701, 0.646, 0.604, 0.533, 0.482)),
+    "none": Band((1.93, 7.0), 0.164, (0.45, 1.0), (0.765, 0.701, 0.646, 0.604, 0.527, 0.482)),
     "latin": Band((1.35, 7.0), 0.25, (0.45, 1.0)),
     "cyrillic": Band((0.7, 4.0), 0.6, (0.4, 1.0)),
     "greek": Band((0.5, 4.0), 0.7, (0.4, 1.0)),
@@ -147,11 +154,14 @@ def measure(texts: pa.Array, langs: list[str | None], bands: dict[str, Band], vo
                 entropy = float(-(p * np.log2(p)).sum()) / max(1.0, float(np.log2(len(ids))))
                 measures[d] = chars[d] / len(ids), partial[ids].mean(), entropy
     names = [_SCRIPTS[k] for k in np.maximum(scripts.argmax(axis=1) - 1, 0)]
-    chosen = [bands.get(lang) or bands.get(script) or bands["other"] for lang, script in zip(langs, names, strict=True)]
+    named = [("none" if script == "latin" else script) if lang is None else lang for lang, script in zip(langs, names, strict=True)]
+    chosen = [bands.get(lang) or bands.get(script) or bands["other"] for lang, script in zip(named, names, strict=True)]
     inside = np.ones(n, bool)
     for d in np.flatnonzero(out["n_tokens"] >= MIN_TOKENS):
         b, (fertility, share, entropy) = chosen[d], measures[d]
-        inside[d] = b.chars_per_token[0] <= fertility <= b.chars_per_token[1] and share <= b.byte_share and b.entropy[0] <= entropy <= b.entropy[1]
+        length = bisect_right(LENGTHS, out["n_tokens"][d])
+        least = b.floors[length - 1] if length and b.floors else b.entropy[0]
+        inside[d] = b.chars_per_token[0] <= fertility <= b.chars_per_token[1] and share <= b.byte_share and least <= entropy <= b.entropy[1]
     out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
     out["chars_per_token"], out["byte_share"], out["entropy"] = measures.T
     out["kept"] = ~out["base_failed"] & inside
