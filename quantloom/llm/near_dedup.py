@@ -23,6 +23,7 @@ are ignored by name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from .sketching import bands_for, set_fingerprint, sketch
 from .text_arrays import LOWER, buffers, hash_spans, shingle_set, slices, word_spans
 
 SKETCH = 128
+SCREEN_LOSS = 1e-6
 BLOCK = 2048
 SMALL_NODES = 400_000
 
@@ -112,13 +114,20 @@ class _Forest:
         return x
 
 
+def _fewest_agreeing(percent: int) -> int:
+    """The most coordinates of which a pair exactly at the threshold has fewer in common with a chance below SCREEN_LOSS."""
+    p, k, tail = percent / 100, 0, 0.0
+    while (tail := tail + comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)) < SCREEN_LOSS:
+        k += 1
+    return k
+
+
 def _blocks(width: int, percent: int, rows_in_band: int):
     """Links across components inside each block; rows come sorted by block.
 
     Columns: block key, band, home, loose, node, comp, n, sketch, text.
     """
-    floor = percent / 100
-    least = floor - 4.2 * (floor * (1 - floor) / SKETCH) ** 0.5
+    least = _fewest_agreeing(percent) / SKETCH
 
     def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
         band = rows[0][1]
