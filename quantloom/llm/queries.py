@@ -24,7 +24,10 @@ def op1_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_spans(_documents(spark, sf_dir), unit="line", min_words=8)
+    """Every document: what is left of its text, whether it is kept, and its removed spans as start:length:keep_doc_id:keep_unit."""
+    found = line_dedup.dedup_substrings(_documents(spark, sf_dir), unit="line")
+    spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"], s["length"], s["keep_doc_id"], s["keep_unit"])), " ")
+    return found.select("doc_id", "kept", F.size("removed_spans").cast("long").alias("n_removed"), "text", spans.alias("removed_spans"))
 
 
 def op3_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +103,34 @@ FROM documents
 """
 
 
+# Sentences (with the white space behind them) of lines, a private-use character at their ends; lines as groups of them.
+OP2_SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(replace(regexp_replace(regexp_replace(text, '([.!?])([ \t]+)', '\1\2' || chr(57345), 'g'), '([。！？][ \t]*)', '\1' || chr(57345), 'g'),
+    chr(10), chr(10) || chr(57345)), chr(57345)) AS p FROM documents WHERE text IS NOT NULL AND text <> ''),
+cut AS (SELECT doc_id, unnest(range(len(p))) AS k, unnest(p) AS part FROM parts),
+unit AS (SELECT *, length(part) AS n, coalesce(sum(length(part)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    coalesce(sum(CASE WHEN part LIKE '%' || chr(10) THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line,
+    trim(regexp_replace(lower(part), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+block AS (SELECT doc_id, line, string_agg(norm, ' ' ORDER BY k) AS norm FROM unit WHERE norm <> '' GROUP BY 1, 2),
+whole AS (SELECT doc_id, line, (doc_id, line) <> min((doc_id, line)) OVER (PARTITION BY norm) AS whole FROM block),
+first AS (SELECT doc_id, k, min((doc_id, k)) OVER (PARTITION BY norm) AS f FROM unit WHERE norm <> ''),
+mark AS (SELECT u.*, coalesce(w.whole, false) AS whole, coalesce((u.doc_id, u.k) <> f, false) AS again, f[1] AS keep_doc_id, f[2] AS keep_unit
+    FROM unit u LEFT JOIN first s ON s.doc_id = u.doc_id AND s.k = u.k LEFT JOIN whole w ON w.doc_id = u.doc_id AND w.line = u.line AND u.norm <> ''),
+run AS (SELECT *, sum(CASE WHEN norm <> '' AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM mark),
+gone AS (SELECT *, again AND (whole OR sum(CASE WHEN again THEN length(norm) ELSE 0 END) OVER (PARTITION BY doc_id, run) >= 160) AS gone FROM run),
+other AS (SELECT *, sum(CASE WHEN norm <> '' AND NOT (gone AND keep_doc_id <> doc_id) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS o FROM gone),
+passage AS (SELECT *, sum(CASE WHEN gone AND keep_doc_id <> doc_id THEN length(norm) ELSE 0 END) OVER (PARTITION BY doc_id, o) >= 160 AS passage FROM other),
+doc AS (SELECT doc_id, count(*) FILTER (gone) AS n, coalesce(string_agg(part, '' ORDER BY k) FILTER (NOT gone), '') AS text,
+    coalesce(string_agg(concat(start, ':', n, ':', keep_doc_id, ':', keep_unit), ' ' ORDER BY k) FILTER (gone), '') AS spans,
+    (bool_or(norm <> '' AND NOT gone) OR NOT bool_or(norm <> '')) AND NOT bool_or(passage) AS kept FROM passage GROUP BY 1)
+SELECT d.doc_id, coalesce(x.kept, true) AS kept, coalesce(x.n, 0) AS n_removed, coalesce(x.text, d.text) AS text, coalesce(x.spans, '') AS removed_spans
+FROM documents d LEFT JOIN doc x ON x.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_byte_convolution, op2_line_dedup, op3_dated_url_lists, op4_minhash_near_dedup, op5_mix_sources, op6_tokeniser_fertility, op7_virtual_slots, op8_token_files, op9_bin_completion, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op10_exact_dedup": OP10_SQL}

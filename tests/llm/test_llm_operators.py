@@ -303,17 +303,74 @@ def test_language_id(spark, docs):
     assert [(odd[i]["lang_pred"], odd[i]["score"]) for i in (54, 55, 56)] == [("und", 0.0)] * 3 and odd[57]["lang_pred"] in ("en", "fr")
 
 
-def test_line_dedup(spark, docs):
-    spans = line_dedup.repeated_spans(docs, min_words=8).collect()
-    hit = {(s["doc_id"], s["unit"], s["start"]): s for s in spans}
-    assert hit[(60, 0, 0)]["keep_doc_id"] == 59 and hit[(51, 0, 0)]["keep_doc_id"] == 50 and (53, 0, 0) in hit
-    assert not any(s["doc_id"] in (50, 59) for s in spans)
-    cleaned = {r["doc_id"]: r for r in line_dedup.remove_spans(docs, spark.createDataFrame(spans)).collect()}
-    assert cleaned[60]["text"] == "" and cleaned[54]["text"] is None and cleaned[59]["text"].count("\n") == 4
-    text = "p one\n\nsame words in this paragraph as in the other one\n\nend"
-    two = spark.createDataFrame([(1, text), (2, "x\n\nsame words in this  Paragraph as in the other one")], "doc_id long, text string")
-    (s,) = line_dedup.repeated_spans(two, unit="paragraph").collect()
-    assert (s["doc_id"], s["start"], s["keep_doc_id"], s["keep_unit"]) == (2, 3, 1, 1)
+def _plain_dedup(rows, between, sentence, min_chars):
+    """What dedup_substrings must give for distinct (id, hash, text) rows, by first occurrences in plain dictionaries."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    parts, first, blocks = {}, {}, {}
+    for doc, h, text in rows:
+        units = []
+        for b, block in enumerate(re.split(f"({between})", text)[::2]):
+            units += [(b, " ".join(re.findall(r"[^\x20\x09-\x0D]+", u.lower()))) for u in re.split(sentence, block)]
+        parts[doc, h] = units
+        for k, (b, u) in enumerate(units):
+            if u:
+                first.setdefault(u, (doc, h, k))
+        for b in {b for b, _ in units}:
+            blocks.setdefault(" ".join(u for c, u in units if c == b and u), (doc, h, b))
+    out = {}
+    for key, units in parts.items():
+        again = [bool(u) and first[u] != (*key, k) for k, (_, u) in enumerate(units)]
+        whole = [bool(u) and blocks[" ".join(v for c, v in units if c == b and v)] != (*key, b) for b, u in units]
+
+        def in_long_run(flags):
+            runs, run = [], []
+            for k, (_, u) in enumerate(units):
+                if flags[k]:
+                    run.append(k)
+                elif u:
+                    runs, run = [*runs, run], []
+            return {k for r in [*runs, run] if sum(len(units[i][1]) for i in r) >= min_chars for k in r}
+
+        gone = {k for k in range(len(units)) if again[k] and whole[k]} | in_long_run(again)
+        passage = in_long_run([k in gone and first[u][:2] != key for k, (_, u) in enumerate(units)])
+        out[key] = (gone, not passage and (any(u and k not in gone for k, (_, u) in enumerate(units)) or not any(u for _, u in units)))
+    return out
+
+
+@pytest.mark.parametrize("unit,between", [("line", "\n"), ("paragraph", r"\n[ \t]*\n\s*")])
+def test_line_dedup_by_brute_force(spark, docs, unit, between):
+    passage = "One sentence of the passage stands here. Then comes another one, which is longer. A third closes it"
+    more = [(70, f"Words before {passage}. words behind", ""), (71, f"Other words {passage}. other ends\n\nlast. Odd\r\n", ""), (72, "last。第二句。 last. Odd", ""), (72, "last.\nlast. Odd", ""), (73, "\n\n \n\n", ""), (74, f"{passage}. {passage}. ", "")]
+    own = spark.createDataFrame([(i, t, "x") for i, t, _ in more], "doc_id long, text string, kept string").union(docs.select("doc_id", "text", F.lit("x")))
+    rows = line_dedup.dedup_substrings(own, unit, 60).collect()
+    want = _plain_dedup({(r["doc_id"], r["text_hash"], t) for r, t in ((x, x["t"]) for x in own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("t")).collect()) if t}, between, r"(?<=[.!?])[ \t]+|(?<=[。！？])[ \t]*", 60)
+    texts = {(r["doc_id"], r["h"]): r["text"] for r in own.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    assert len(rows) == own.count() and sum(len(g) > 0 for g, _ in want.values()) >= 3
+    for r in rows:
+        key = (r["doc_id"], r["text_hash"])
+        text = texts[key]
+        if not text:
+            assert r["text"] == text and r["kept"] and not r["removed_spans"]
+            continue
+        starts = [a for a, *_ in line_dedup.units_of(text, unit)]
+        gone, kept = want[key]
+        assert {starts.index(s["start"]) for s in r["removed_spans"]} == gone and r["kept"] == kept, key
+        left, at = "", 0
+        for s in r["removed_spans"]:
+            left, at = left + text[at : s["start"]], s["start"] + s["length"]
+        assert r["text"] == left + text[at:]
+
+
+def test_line_dedup_finds_passages_and_leaves_short_sentences(spark):
+    passage = "The old mill stands by the river and turns all day. Its wheel was made of oak, and it has not stopped in years. Nobody knows who built it"
+    texts = ["Begin. x " + passage + ". End of one.", "Start. y " + passage + ". End. Other words.", "End. Something else. Start.", "All rights reserved.\nFirst", "All rights reserved.\nSecond"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in line_dedup.dedup_substrings(rows, min_chars=80).collect()}
+    assert [out[i]["kept"] for i in range(5)] == [True, False, True, True, True]
+    assert out[2]["text"] == texts[2] and out[4]["text"] == "Second" and out[3]["text"] == texts[3]
+    assert out[1]["removed_spans"][0]["keep_doc_id"] == 0 and "wheel" not in out[1]["text"]
+    named = rows.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("units"), F.lit(2).alias("removed_spans"))
+    assert {r["doc_id"]: r["kept"] for r in line_dedup.dedup_substrings(named, min_chars=80).collect()}["d1"] is False
 
 
 def test_url_lists(spark):
@@ -334,7 +391,7 @@ def test_empty_tables(empty):
     assert mixing.mixed_counts(empty).count() == 0 and mixing.take_mix(empty).count() == 0
     assert quality.score_documents(empty).count() == 0 and quality.keep_good(empty).count() == 0
     assert packing.pack(empty).count() == 0 and sharding.shard_records(empty).count() == 0
-    assert language_id.identify(empty, F.lit(True)).count() == 0 and line_dedup.repeated_spans(empty).count() == 0
+    assert language_id.identify(empty, F.lit(True)).count() == 0 and line_dedup.dedup_substrings(empty).count() == 0
     path = Scratch(empty.sparkSession, "t").path("none")
     token_files.write_token_files(empty, path)
     assert token_files.read_token_files(empty.sparkSession, path).count() == 0
