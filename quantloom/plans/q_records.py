@@ -9,6 +9,7 @@ from ..functions import scalars as sc
 from ..operators import asof as j
 from ..operators import news as nw
 from ..operators import textqa as qa
+from ..session import shared_path
 from ..sources import records as rec
 from ..sources.tables import finite, with_period_index
 from . import oracle as o
@@ -40,8 +41,6 @@ def s6_read_news(t: Panels) -> DataFrame:
 
 @query()
 def s7_append_runs(t: Panels) -> DataFrame:
-    from ..sources.scratch_path import shared_path
-
     path = shared_path(t.spark, "runs")
     rec.append_runs(t.runs, path)
     return t.spark.read.parquet(path).groupBy("run_month").agg(F.count(F.lit(1)).alias("n"), F.max(F.get_json_object("result", "$.horizon")).alias("last_horizon"))
@@ -90,8 +89,6 @@ def s14_matured_runs(t: Panels) -> DataFrame:
 
 @query()
 def s15_write_report(t: Panels) -> DataFrame:
-    from ..sources.scratch_path import shared_path
-
     path = shared_path(t.spark, "report")
     report = t.runs.agg(F.min("created").alias("start"), F.max("created").alias("end"), F.array_sort(F.collect_set("horizon")).alias("horizons"), F.count(F.lit(1)).alias("n"))
     rec.write_report(report, path)
