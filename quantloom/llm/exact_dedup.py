@@ -9,7 +9,7 @@ is never taken for a member.  Members are merged with the winner they hit;
 nonmembers are grouped among themselves.
 
 Defined results: null text counts as empty; of equal texts the largest doc_id
-wins, null ids last; rows that repeat a doc_id and text share one decision; an
+wins, null ids last (ids that are no whole numbers are ordered as strings); rows that repeat a doc_id and text share one decision; an
 empty table gives an empty result; further columns are ignored by name.
 """
 
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import json
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -27,6 +29,7 @@ from .scratch import Scratch
 BUCKET_DIGESTS = 50_000
 _LEVELS = 48
 _INDEX = "bucket long, n long, sizes array<long>, bits binary, digests binary, locators binary, counts binary"
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def _prefix(digests: np.ndarray) -> np.ndarray:
@@ -88,6 +91,20 @@ def _rows_of(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), 32)
 
 
+def _packed(winners: pd.Series) -> bytes:
+    """Locators as bytes: eight for each whole number, else a JSON list of strings."""
+    return winners.to_numpy(np.int64).tobytes() if winners.dtype.kind == "i" else json.dumps([None if pd.isna(w) else w for w in winners]).encode()
+
+
+def _later(own: pd.Series, locators: bytes, slots: np.ndarray) -> list | np.ndarray:
+    """The larger of each incoming winner and the historical one in its slot; null is least."""
+    if own.dtype.kind == "i":
+        return np.maximum(own.to_numpy(np.int64), np.frombuffer(locators, np.int64)[slots])
+    old = json.loads(locators)
+    pairs = zip([None if pd.isna(w) else w for w in own], [old[s] for s in slots], strict=True)
+    return [max(p, key=lambda w: (w is not None, w or "")) for p in pairs]
+
+
 def _index_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     digests = _rows_of(rows["digest"])
     sizes, bits, slots = build_bucket(digests)
@@ -99,7 +116,7 @@ def _index_bucket(rows: pd.DataFrame) -> pd.DataFrame:
             "sizes": [sizes],
             "bits": [np.packbits(bits).tobytes()],
             "digests": [digests[order].tobytes()],
-            "locators": [rows["winner"].to_numpy(np.int64)[order].tobytes()],
+            "locators": [_packed(rows["winner"].iloc[order])],
             "counts": [rows["n"].to_numpy(np.int64)[order].tobytes()],
         }
     )
@@ -115,7 +132,7 @@ def _probe_bucket(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         bits = np.unpackbits(np.frombuffer(entry["bits"], np.uint8))[: sum(sizes)].astype(bool)
         slots = find_slots(_rows_of(rows["digest"]), sizes, bits, table)
         hit = slots >= 0
-        out.loc[hit, "winner"] = np.maximum(rows["winner"].to_numpy(np.int64)[hit], np.frombuffer(entry["locators"], np.int64)[slots[hit]])
+        out.loc[hit, "winner"] = _later(rows["winner"][hit], entry["locators"], slots[hit])
         out.loc[hit, "n"] = rows["n"].to_numpy(np.int64)[hit] + np.frombuffer(entry["counts"], np.int64)[slots[hit]]
         out["member"] = hit
     return out
@@ -135,7 +152,9 @@ def _bucket(digest: Column, buckets: int) -> Column:
 
 def distinct_digests(keyed: DataFrame) -> DataFrame:
     """(digest, winner, n): each digest once, combined on the map side first."""
-    return keyed.groupBy("digest").agg(F.max(F.coalesce("doc_id", F.lit(_NO_ID))).alias("winner"), F.count(F.lit(1)).alias("n"))
+    whole = keyed.schema["doc_id"].dataType.simpleString() in _INTEGERS
+    winner = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) if whole else F.col("doc_id").cast("string")
+    return keyed.groupBy("digest").agg(F.max(winner).alias("winner"), F.count(F.lit(1)).alias("n"))
 
 
 def build_index(distinct: DataFrame, buckets: int) -> DataFrame:
@@ -149,10 +168,47 @@ def probe_index(distinct: DataFrame, index: DataFrame, buckets: int) -> DataFram
     return (
         incoming.groupBy("bucket")
         .cogroup(index.groupBy("bucket"))
-        .applyInPandas(_probe_bucket, "digest binary, winner long, n long, member boolean")
+        .applyInPandas(_probe_bucket, f"digest binary, winner {distinct.schema['winner'].dataType.simpleString()}, n long, member boolean")
     )
 
 
+def save_index(index: DataFrame, path: str, buckets: int) -> None:
+    """Write an index as a version of its own, named by its bucket count and a number that grows."""
+    spark = index.sparkSession
+    newest = index_versions(spark, path)
+    index.write.option("compression", "zstd").parquet(f"{path}/version={max(newest, default=0) + 1}-of-{buckets}")
+
+
+def index_versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """version -> number of buckets of the indexes below a path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return {int(v): int(b) for v, b in (n.removeprefix("version=").split("-of-") for n in names if n.startswith("version="))}
+
+
+def load_index(spark: SparkSession, path: str, buckets: int | None = None, version: int | None = None) -> DataFrame:
+    """A saved index, by default the newest; its bucket count must be that of the lookups."""
+    known = index_versions(spark, path)
+    version = max(known) if version is None else version
+    if buckets is not None and known[version] != buckets:
+        raise ValueError(f"index version {version} has {known[version]} buckets, not {buckets}")
+    return spark.read.schema(_INDEX).parquet(f"{path}/version={version}-of-{known[version]}")
+
+
+def drop_known(docs: DataFrame, path: str, version: int | None = None) -> DataFrame:
+    """The rows of docs whose texts no saved index at `path` holds, all columns kept; repeats within docs stay."""
+    spark = docs.sparkSession
+    known = index_versions(spark, path)
+    buckets = known[max(known) if version is None else version]
+    scratch = Scratch(spark, "exact")
+    own = docs.select(F.lit(None).cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
+    members = probe_index(distinct_digests(own), load_index(spark, path, version=version), buckets).where("member").select(F.col("digest").alias("known"))
+    members = scratch.save(members, "members")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(members, text_digest(F.col("row.text")) == F.col("known"), "left_anti").select("row.*")
+
+
 def exact_duplicates(docs: DataFrame, is_history: Column | None = None) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, digest, keep_id, group_size, kept.
 
@@ -163,13 +219,15 @@ def exact_duplicates(docs: DataFrame, is_history: Column | None = None) -> DataF
     history = F.coalesce(is_history if is_history is not None else F.col("doc_id") % 2 == 0, F.lit(False))
     keyed = scratch.save(docs.select("doc_id", text_digest(F.col("text")).alias("digest"), history.alias("history")), "keyed")
     old = scratch.save(distinct_digests(keyed.where("history")), "old")
-    buckets = max(1, -(-old.count() // BUCKET_DIGESTS))
-    index = scratch.save(build_index(old, buckets), "index")
-    probed = scratch.save(probe_index(distinct_digests(keyed.where("not history")), index, buckets), "probed")
+    new = scratch.save(distinct_digests(keyed.where("not history")), "new")
+    buckets = max(1, -(-max(old.count(), new.count()) // BUCKET_DIGESTS))  # bounds both sides of a cogroup
+    save_index(build_index(old, buckets), scratch.path("index"), buckets)
+    probed = scratch.save(probe_index(new, load_index(docs.sparkSession, scratch.path("index"), buckets), buckets), "probed")
     untouched = old.join(probed.where("member").select("digest"), "digest", "left_anti")
     groups = scratch.save(untouched.select("digest", "winner", "n").unionByName(probed.select("digest", "winner", "n")), "groups")
-    scratch.drop("old", "index", "probed")
-    keep_id = F.when(F.col("winner") != _NO_ID, F.col("winner"))
+    scratch.drop("old", "new", "index", "probed")
+    kind = docs.schema["doc_id"].dataType
+    keep_id = (F.when(F.col("winner") != _NO_ID, F.col("winner")) if kind.simpleString() in _INTEGERS else F.col("winner")).cast(kind)
     return keyed.join(groups, "digest").select(
         "doc_id", "digest", keep_id.alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept")
     )
@@ -182,9 +240,9 @@ def keep_winners(docs: DataFrame) -> DataFrame:
     marks = exact_duplicates(docs).where("kept")
     winners = marks.groupBy("digest").agg(F.first("keep_id").alias("_keep_id"), F.count(F.lit(1)).alias("_ties")).withColumnRenamed("digest", "_digest")
     winners = Scratch(docs.sparkSession, "exact").save(winners, "winners")
-    rows = docs.withColumn("_row_digest", text_digest(F.col("text")))
-    rows = rows.join(winners, (F.col("_row_digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")))
-    order = Window.partitionBy("_row_digest").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c != "text"])
-    single = rows.where("_ties = 1").select(*docs.columns)
-    tied = rows.where("_ties > 1").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so no name can clash
+    rows = rows.join(winners, (text_digest(F.col("row.text")) == F.col("_digest")) & F.col("row.doc_id").eqNullSafe(F.col("_keep_id")))
+    order = Window.partitionBy("_digest").orderBy(*[F.col(f"row.{c}").asc_nulls_last() for c in docs.columns if c != "text"])
+    single = rows.where("_ties = 1").select("row.*")
+    tied = rows.where("_ties > 1").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("row.*")
     return single.unionByName(tied)

@@ -125,13 +125,14 @@ def remainder_of_three(doc_id: Column) -> Column:
 def sample_windows(labelled: DataFrame, max_windows: int, max_languages: int, per_text: int = 3) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(windows, labels, languages) from labelled(doc_id, text, lang): a bounded sample, drawn by hash."""
     usable = labelled.where("lang is not null and text is not null and length(text) > 0")
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()  # part of the bounded sample
     languages = sorted(r["lang"] for r in common)
     if len(languages) == 0:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     share = max_windows / per_text / len(languages)
-    chance = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, share / r["count"]))) for r in common])
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < chance * (1 << 30))
+    chances = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in common], "lang string, chance double")
+    usable = usable.join(F.broadcast(chances), "lang")  # at most max_languages rows
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < F.col("chance") * (1 << 30))
     data = F.encode("text", "UTF-8")
     windows = F.ceil(F.length(data) / WINDOW)
     starts = F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), windows) * WINDOW + 1 for k in range(per_text)])
@@ -191,7 +192,7 @@ def _predict_rows(net: ByteNet, values: np.ndarray, offsets: np.ndarray, size: n
     score[rows] = np.minimum(mean.max(axis=1), 1.0)
 
 
-def identify(docs: DataFrame, learn: Column, max_windows: int = 12_000, max_languages: int = 200) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, max_windows: int = 12_000, max_languages: int = 10_000) -> DataFrame:
     """(doc_id, lang_pred, score), a row for each row of docs; learns from text and lang of rows where `learn` holds."""
     ship_package(docs.sparkSession)
     windows, labels, languages = sample_windows(docs.where(learn).select("doc_id", "text", "lang"), max_windows, max_languages)

@@ -42,11 +42,13 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), repea
     fill up, the full ones are a prefix of that order.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # A row for each source from here on, so windows without a partition hold no more than that.
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
     s = totals.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(repeat_limit)))
-    by_level = Window.orderBy(F.expr("most / weight"), F.col("source").asc_nulls_last())
-    before, onward = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
+    fill, last = F.expr("most / weight"), F.col("source")
+    before = Window.orderBy(fill, last.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.orderBy(fill.desc(), last.desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     everything = F.sum("source_size").over(Window.partitionBy())
     s = s.withColumn("level", (everything - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
     s = s.withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
@@ -138,13 +140,13 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, all columns kept."""
     groups, _ = mix(docs, **options)
-    groups = groups.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "m", "copies")
+    groups = groups.where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("src"), "size", "m", "copies")
     groups = Scratch(docs.sparkSession, "mix").save(groups, "groups")
-    rows = docs.withColumn("_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so no name can clash
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("src")) & (word_count(F.col("row.text")) == F.col("size"))
     rows = rows.join(groups, same)
-    i = F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy(F.xxhash64("text")))
-    single = rows.where("m = 1").withColumn("_n", F.col("copies"))
-    tied = rows.where("m > 1").withColumn("_i", i).withColumn("_n", _share(F.col("_i"))).drop("_i")
-    both = single.unionByName(tied).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return both.select(*docs.columns)
+    i = F.row_number().over(Window.partitionBy("id", "src", "size").orderBy(F.xxhash64("row.text")))
+    single = rows.where("m = 1").withColumn("n", F.col("copies"))
+    tied = rows.where("m > 1").withColumn("i", i).withColumn("n", _share(F.col("i"))).drop("i")
+    both = single.unionByName(tied).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return both.select("row.*")

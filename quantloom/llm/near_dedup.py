@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(docs.sparkSession, "near")
     bands, rows_in_band = bands_for(percent / 100, SKETCH)
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sketched = scratch.save(hashed.mapInArrow(_sketcher(words), "doc_id long, text_hash long, n long, node binary, sketch binary"), "sketched")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketched = scratch.save(hashed.mapInArrow(_sketcher(words), f"doc_id {kind}, text_hash long, n long, node binary, sketch binary"), "sketched")
     named = sketched.where("doc_id is not null and node is not null")
     example = F.min(F.struct("doc_id", "text_hash", "n", "sketch")).alias("x")
     reps = scratch.save(named.groupBy("node").agg(example).select("node", "x.*"), "reps")
@@ -268,7 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, all columns kept: one doc_id of each group, and what is linked with nothing."""
-    marks = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    marks = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
     marks = Scratch(docs.sparkSession, "near").save(marks, "removed")
     side = F.broadcast(marks) if is_small(marks, SMALL_NODES) else marks
-    return docs.join(side, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so no name can clash
+    return rows.join(side, (F.col("row.doc_id") == F.col("id")) & (F.xxhash64("row.text") == F.col("text_hash")), "left_anti").select("row.*")

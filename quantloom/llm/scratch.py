@@ -7,20 +7,12 @@ A folder of our own is set only where the session names none (local tests).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import ship_package
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from ..session import shared_folder, ship_package
 
 
 class Scratch:
@@ -46,6 +38,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether the strings and numbers of a table take at most `limit` bytes, rows counted with 64 bytes each."""
+    sizes = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields]
+    total = df.agg(F.sum(sum(sizes, F.lit(64)).cast("long"))).first()[0]
+    return (total or 0) <= limit
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most `rows` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows

@@ -9,7 +9,8 @@ most specific pattern decides, and a list that allows beats one that blocks ther
 Defined results: a null or unparsable URL, or a null fetch time, matches nothing
 and is kept; of entries for one list and pattern at one time, an addition beats a
 removal; repeated captures are judged alike, each with its own row; empty lists keep
-everything; an empty table gives an empty result; further columns pass through.
+everything; an empty table gives an empty result; further columns pass through, those with
+the names of the three results are replaced.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, is_small
+from .scratch import Scratch, fits
 
-SMALL_INTERVALS = 200_000
+SMALL_BYTES = 32 << 20
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
@@ -55,10 +56,17 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     intervals = scratch.save(intervals_of(entries), "intervals")
     asked = captures.select(F.col("url").alias("_url"), F.col("fetched").alias("_fetched")).distinct()
     asked = asked.withColumn("_pattern", F.explode(patterns_of(F.col("_url"))))
-    side = F.broadcast(intervals) if is_small(intervals, SMALL_INTERVALS) else intervals
+    # Patterns that no list names, such as a frequent top domain, go before any shuffle where the names fit into a
+    # broadcast, and before the join of intervals else.
+    listed = scratch.save(intervals.select(F.col("pattern").alias("_listed")).distinct(), "listed")
+    small = fits(listed, SMALL_BYTES)
+    asked = asked.join(F.broadcast(listed) if small else listed, F.col("_pattern") == F.col("_listed"), "left_semi")
+    side = F.broadcast(intervals) if fits(intervals, SMALL_BYTES) else intervals
     valid = (F.col("_pattern") == F.col("pattern")) & (F.col("_fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_fetched") < F.col("valid_to")))
     best = F.max(F.struct(F.length("pattern").alias("long"), (F.col("verdict") == "allow").alias("allow"), "pattern", "list"))
     found = asked.join(side, valid).groupBy("_url", "_fetched").agg(best.alias("_m"))
     found = scratch.save(found.select("_url", "_fetched", "_m.pattern", "_m.list", "_m.allow").toDF("_url", "_fetched", "_p", "_l", "_a"), "found")
-    rows = captures.join(found, (F.col("url") == F.col("_url")) & (F.col("fetched") == F.col("_fetched")), "left")
-    return rows.select(*[captures[c] for c in captures.columns], F.col("_l").alias("matched_list"), F.col("_p").alias("matched_pattern"), F.coalesce(~F.col("_a"), F.lit(False)).alias("blocked"))
+    rows = captures.select(F.struct(*captures.columns).alias("row"))  # one column, so no name can clash
+    rows = rows.join(found, (F.col("row.url") == F.col("_url")) & (F.col("row.fetched") == F.col("_fetched")), "left")
+    own = [F.col(f"row.{c}") for c in captures.columns if c not in ("matched_list", "matched_pattern", "blocked")]
+    return rows.select(*own, F.col("_l").alias("matched_list"), F.col("_p").alias("matched_pattern"), F.coalesce(~F.col("_a"), F.lit(False)).alias("blocked"))

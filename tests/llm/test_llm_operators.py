@@ -411,3 +411,160 @@ def test_pipeline(spark):
             assert after.select("text").distinct().count() == after.count() == before.select("text").distinct().count()
         before = after
     assert before.count() > 0 and set(oracle_sql()) <= set(queries())
+
+
+def test_clashing_columns_and_string_ids(spark, docs):
+    names = ["m", "copies", "row", "id", "src", "size", "n", "_n", "_id", "_hash", "_digest", "_keep_id", "text_hash", "units", "kept", "digest", "winner"]
+    rows = docs.select("doc_id", "text", "lang", "source", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    assert mixing.take_mix(rows).columns == rows.columns and mixing.take_mix(rows).count() > 0
+    assert exact_dedup.keep_winners(rows).count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert near_dedup.keep_representatives(rows).columns == rows.columns and quality.keep_good(rows).columns == rows.columns
+    named = rows.withColumn("doc_id", F.format_string("d%04d", "doc_id")).where("doc_id not like '%null%'")
+    want = {("d%04d" % r["doc_id"], "d%04d" % r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs.where("doc_id is not null")).collect()}
+    for history in (None, F.lit(True), F.crc32(F.encode("doc_id", "UTF-8")) % 2 == 0):
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(named, history if history is not None else F.lit(False)).collect()} == want
+    parts = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(named, 3, 85).collect()}
+    assert parts == {"d%04d" % r["doc_id"]: "d%04d" % r["component_id"] for r in near_dedup.near_duplicates(docs.where("doc_id is not null"), 3, 85).collect()}
+    assert token_files is not None and packing.pack(named).where("doc_id is null").count() == 0
+
+
+def test_saved_index_is_read_by_a_later_run(spark, docs):
+    path = Scratch(spark, "t").path("index")
+    keyed = docs.select("doc_id", exact_dedup.text_digest(F.col("text")).alias("digest"))
+    exact_dedup.save_index(exact_dedup.build_index(exact_dedup.distinct_digests(keyed.where("doc_id < 30")), 3), path, 3)
+    exact_dedup.save_index(exact_dedup.build_index(exact_dedup.distinct_digests(keyed.where("doc_id < 53")), 5), path, 5)
+    known = {r["text"] or "" for r in docs.where("doc_id < 53").collect()}
+    fresh = exact_dedup.drop_known(docs, path).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in fresh) == sorted((i or 0, t or "") for i, t in _rows(docs) if (t or "") not in known)
+    assert exact_dedup.drop_known(docs, path, version=1).count() == docs.count() - 30
+    assert exact_dedup.drop_known(docs.limit(0), path).count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.load_index(spark, path, buckets=4)
+
+
+def _url_patterns(url):
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\d*)?([^?#]*)", url or "")
+    if not m:
+        return []
+    host, folders = m.group(1).lower(), [f for f in m.group(2).split("/") if f]
+    labels = host.split(".")
+    return [".".join(labels[k:]) for k in range(len(labels))] + [host + "/" + "/".join(folders[:k]) for k in range(1, len(folders) + 1)]
+
+
+def test_url_query_by_brute_force(spark):
+    """The registered query over whole pages, its list entries made again from the hosts in plain Python."""
+    from datetime import datetime, timedelta
+
+    sf = "/root/testdata/sf0.01"
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+    hosts = {p[-1] if "/" not in p[-1] else next(x for x in p if "/" not in x) for p in (_url_patterns(r["url"])[:1] for r in pages) if p}
+    entries = []
+    for host in hosts:
+        h = zlib.crc32(host.encode())
+        if h % 3 == 0:
+            entries += [("spam", "block", host, h % 200, h % 200 + 60 + h % 90), ("trusted", "allow", host + "/fr", h % 100, None)]
+    want = {}
+    for r in pages:
+        fetched, asked = day(r["page_id"] % 366), set(_url_patterns(r["url"]))
+        hits = [(len(p), v == "allow", p, name) for name, v, p, a, z in entries if p in asked and day(a) <= fetched and (z is None or fetched < day(z))]
+        best = max(hits, default=None)
+        want[r["page_id"]] = (best[3], best[2], not best[1]) if best else (None, None, False)
+    got = {r["page_id"]: (r["matched_list"], r["matched_pattern"], r["blocked"]) for r in queries()["op3_dated_url_lists"](spark, sf).collect()}
+    assert got == want and any(b for *_, b in got.values())
+
+
+def test_near_dedup_recall_beside_the_threshold(spark):
+    """1200 pairs of different texts with 85 to 90 % of their shingles in common are all linked."""
+    rng, rows = random.Random(8), []
+    for k in range(1200):
+        words = [f"w{k}x{i}" for i in range(126)]
+        swap = rng.choice([1, 2, 3])  # a changed word in the middle ends three shingles and makes three
+        other = list(words)
+        for i in range(swap):
+            other[20 + 30 * i] = f"other{k}x{i}"
+        a, b = ({tuple(w[i : i + 3]) for i in range(124)} for w in (words, other))
+        rows += [(2 * k, " ".join(words), 100 * len(a & b) >= 85 * len(a | b)), (2 * k + 1, " ".join(other), True)]
+    assert sum(not ok for _, _, ok in rows) == 0
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, ok boolean"), 3, 85)
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found.collect())
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def _library_ids(table, end):
+    library = UnitTokenizer("byte_bpe_50k.json").library
+    return {i: np.array([*(library.encode(r["text"], add_special_tokens=False).ids if r["text"] else ()), end], "<u4") for i, r in table.items()}
+
+
+def test_op8_query_by_the_library(spark, table):
+    rows, at = {r["doc_id"]: r for r in queries()["op8_token_files"](spark, SF).collect()}, 0
+    for i, ids in sorted(_library_ids(table, 0).items()):
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(rows) == len(table)
+
+
+def test_op9_query_by_the_library(spark, table):
+    ids, pieces, places = _library_ids(table, 2), defaultdict(list), defaultdict(list)
+    for r in queries()["op9_bin_completion"](spark, SF).collect():
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(own) == r["length"] <= 1024 and zlib.crc32(own.tobytes()) == r["ids_crc32"]
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, own in ids.items():
+        at = 0
+        for k, (piece, start, length) in enumerate(sorted(pieces[i])):
+            assert (piece, start) == (k, at) and (length == 1024 or k == 0)
+            at += length
+        assert at == len(own)
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own[:-1])]).tolist() and sum(n for _, n in own) <= 1024
+
+
+def test_op5_query_by_brute_force(spark, table):
+    size = {i: len(re.findall(WORD, r["text"] or "")) for i, r in table.items()}
+    total = Counter()
+    for i, r in table.items():
+        total[r["source"]] += size[i]
+    names = sorted(total, key=lambda x: (x is None, x or ""))
+    weight, target, open_ = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}, {}, set(names)
+    while True:  # give each open source its share of what is left, close those that are full
+        left, parts = sum(total.values()) - sum(target.values()), sum(weight[x] for x in open_)
+        full = {x for x in open_ if left * weight[x] / parts >= 3 * total[x]}
+        if not full:
+            break
+        target.update({x: 3 * total[x] for x in full})
+        open_ -= full
+    target.update({x: left * weight[x] / parts for x in open_})
+    taken = Counter()
+    for r in queries()["op5_mix_sources"](spark, SF).collect():
+        source = table[r["doc_id"]]["source"]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == total[source] and r["target"] == pytest.approx(target[source])
+        assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        taken[source] += r["taken"]
+    longest = max(size.values())
+    assert all(abs(taken[x] - target[x]) <= longest for x in names)
+
+
+def test_op6_op7_queries_by_brute_force(spark, table):
+    for r in queries()["op6_tokeniser_fertility"](spark, SF).collect():
+        text = table[r["doc_id"]]["text"] or ""
+        words = re.findall(WORD, text)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(words), sum(map(len, words)), sum(text.count(x) for x in "#*$%&|<>"))
+    loads, slots, sizes = Counter(), defaultdict(list), []
+    for r in queries()["op7_virtual_slots"](spark, SF).collect():
+        data = (table[r["doc_id"]]["text"] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None) and 0 <= r["shard"] < 8
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        sizes.append(r["size"])
+    assert max(loads.values()) - min(loads.values()) <= max(sizes) and len(sizes) == len(table)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
