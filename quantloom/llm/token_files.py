@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .tokens import text_groups, tokenizer
+from .text_arrays import buffers, slices
+from .tokens import tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 PART_IDS = 8_000_000
@@ -73,10 +74,11 @@ def _tokenise(vocabulary: str, end_id: int):
         kind = tokenizer(vocabulary)
         end = np.array([end_id], kind.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            coded = [ids + end for i, j in text_groups(texts) for ids in kind.encode(texts[i:j])]
-            h = pa.array([zlib.crc32(x) for x in coded], pa.int64())
-            yield pa.record_batch([batch.column(0).cast(pa.int64()).fill_null(_NO_ID), h, pa.array(coded, pa.binary())], names=["doc_id", "h", "ids"])
+            for i, j in slices(buffers(batch.column(1))[1], 1_500_000):
+                part = batch.slice(i, j - i)
+                coded = [ids + end for ids in kind.encode(part.column(1).to_pylist())]
+                h = pa.array([zlib.crc32(x) for x in coded], pa.int64())
+                yield pa.record_batch([part.column(0).cast(pa.int64()).fill_null(_NO_ID), h, pa.array(coded, pa.binary())], names=["doc_id", "h", "ids"])
 
     return run
 
