@@ -1,7 +1,10 @@
 """As-of alignment of dated tables, by one window over their union.
 
 Every variant sorts both tables by key and date once and carries the last (or next)
-value over; no range join and no assumption about either table's size.
+value over; no range join and no assumption about either table's size.  The frame
+always runs from the start of the order to the row, so a row costs one step; the next
+value is the last one in descending order.  Without keys only the distinct dates are
+aligned, and rows meet their date by a plain join.
 """
 
 from __future__ import annotations
@@ -13,17 +16,16 @@ from pyspark.sql import functions as F
 def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str, forward: bool = False, name: str | None = None) -> DataFrame:
     """left with `name`: right's value of the newest date <= on (or, forward, the oldest >= on) for the same keys."""
     name = name or value
-    key = [F.col(k) for k in keys]
-    a = left.withColumn("_side", F.lit(0 if forward else 1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(*key, F.col(on), F.lit(1 if forward else 0).alias("_side"), F.col(value).alias("_v"))
+    if not keys:
+        dates = left.select(F.lit(0).alias("_all"), on).distinct()  # a row for each date
+        looked = asof(dates, right.withColumn("_all", F.lit(0)), ["_all"], on, value, forward, name)
+        return left.join(looked.select(F.col(on).alias("_on"), name), F.col(on).eqNullSafe(F.col("_on")), "left").select(*left.columns, name)
+    a = left.withColumn("_own", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
+    b = right.select(*keys, F.col(on), F.lit(0).alias("_own"), F.col(value).alias("_v"))
     both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    if forward:
-        seen = F.first("_v", ignorenulls=True).over(order.orderBy(on, "_side").rowsBetween(0, Window.unboundedFollowing))
-    else:
-        seen = F.last("_v", ignorenulls=True).over(order.orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    own = 0 if forward else 1
-    return both.withColumn(name, seen).where(F.col("_side") == own).select(*left.columns, name)
+    order = Window.partitionBy(*keys).orderBy(F.col(on).desc() if forward else F.col(on), "_own").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last("_v", ignorenulls=True).over(order)
+    return both.withColumn(name, F.when(F.col(on).isNotNull(), seen)).where("_own = 1").select(*left.columns, name)
 
 
 def align_rate(bars: DataFrame, series: DataFrame, name: str = "rate") -> DataFrame:
