@@ -12,7 +12,7 @@ from .smooth import with_smoothed
 
 def with_state(bars: DataFrame) -> DataFrame:
     """bars with the bar index i and the market state."""
-    rows = with_smoothed(bars, ["rsi14"])
+    rows = bars if "rsi14" in bars.columns else with_smoothed(bars, ["rsi14"])
     return rows.select("symbol", "date", "close", ind.bar_index().alias("i"), ind.market_state(F.col("rsi14")).alias("state"))
 
 

@@ -24,7 +24,7 @@ ITEMS = {
     "cfo": ("Operating Cash Flow",), "capex": ("Capital Expenditure",), "fcf": ("Free Cash Flow",), "sbc": ("Stock Based Compensation",), "da": ("Depreciation And Amortization", "Depreciation Amortization Depletion"),
     "buyback": ("Repurchase Of Capital Stock",), "dividends": ("Cash Dividends Paid", "Common Stock Dividend Paid"), "wc_change": ("Change In Working Capital",),
 }
-PERIODS = 4
+SHOWN = 4  # newest periods that get columns of their own; `periods` holds all
 INFO = ("sector", "market_cap", "ev", "price", "beta", "total_debt", "total_cash", "trailing_eps", "forward_eps", "book_value", "roe", "op_margin", "peg", "pe", "pb", "ev_ebitda", "dividend_rate")
 c = F.col
 
@@ -38,16 +38,25 @@ def growth(statements: DataFrame, years: int) -> DataFrame:
     return now.join(then, keys, "left").select("symbol", "item", "value", rate.alias(f"cagr{years}"))
 
 
-def stmt_pivot(statements: DataFrame, periods: int = PERIODS) -> DataFrame:
-    """(symbol, <item>_<i> …, years): one shuffle, first reported alias of each item."""
-    rows = with_period_index(statements).where(c("i") < periods)
-    pick = lambda name, i: F.max(F.when((c("item") == name) & (c("i") == i), c("value")))
-    cells = [F.coalesce(*[pick(n, i) for n in names]).alias(f"{k}_{i}") for k, names in ITEMS.items() for i in range(periods)]
-    return rows.groupBy("symbol").agg(*cells, (F.max("i") + 1).alias("years"))
+def stmt_pivot(statements: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(symbol, <item>_<i> …, periods, years): the newest periods as columns and all as an array of structs from the
+    newest; of the names of an item the first reported counts; years are the dates of the income statement."""
+    pick = lambda name: F.max(F.when(c("item") == name, c("value")))
+    by_period = with_period_index(statements).groupBy("symbol", "i").agg(*[F.coalesce(*map(pick, names)).alias(k) for k, names in ITEMS.items()], F.max(F.when(c("stmt") == "income", c("i"))).alias("income"))
+    rows = by_period.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("i", *ITEMS))).alias("periods"), F.coalesce(F.max("income") + 1, F.lit(0)).alias("years"))
+    # The dates of each statement are numbered without gaps, so period i stands at place i + 1.
+    cells = [F.try_element_at("periods", F.lit(i + 1))[k].alias(f"{k}_{i}") for k in ITEMS for i in range(shown)]
+    return rows.select("symbol", *cells, "periods", "years")
 
 
-def _each(name: str, periods: int = PERIODS) -> Column:
-    return F.filter(F.array(*[c(f"{name}_{i}") for i in range(periods)]), lambda x: x.isNotNull())
+def _each(name: str, newest: int | None = None) -> Column:
+    periods = c("periods") if newest is None else F.slice("periods", 1, newest)
+    return F.filter(F.transform(periods, lambda p: p[name]), lambda x: x.isNotNull())
+
+
+def _ratios(a: str, b: str) -> Column:
+    """a / b of every period that has it, from the newest."""
+    return F.filter(F.transform("periods", lambda p: ratio(p[a], p[b])), lambda x: x.isNotNull())
 
 
 def _cagr(new: Column, old: Column, years: Column | int) -> Column:
@@ -62,10 +71,11 @@ def build_metrics(pivot: DataFrame, info: DataFrame) -> DataFrame:
     last = F.least(F.lit(3), F.size(_each("revenue")) - 1)
     rev_old = F.element_at(_each("revenue"), F.greatest(last + 1, F.lit(1)))
     eps_last = F.least(F.lit(3), F.size(_each("eps")) - 1)
-    margins = F.array_compact(F.array(*[ratio(c(f"op_income_{i}"), c(f"revenue_{i}")) for i in range(PERIODS)]))
+    margins = _ratios("op_income", "revenue")
     mean = F.aggregate(margins, F.lit(0.0), lambda a, x: a + x) / F.size(margins)
     tax = F.coalesce(clip(c("tax_0"), 0, 0.35), F.lit(0.21))
-    ups = F.forall(F.zip_with(F.slice(_each("revenue"), 1, PERIODS - 1), F.slice(_each("revenue"), 2, PERIODS), lambda a, b: b.isNull() | (a > b)), lambda x: x)
+    steps = F.greatest(F.size(_each("revenue")) - 1, F.lit(0))
+    ups = F.forall(F.zip_with(F.slice(_each("revenue"), 1, steps), F.slice(_each("revenue"), 2, steps), lambda a, b: a > b), lambda x: x)
     m = m.select(
         "*", (c("sector") == "Financial Services").alias("financial"), tax.alias("tax_rate"), F.coalesce("total_debt", "debt_0").alias("m_debt"), F.coalesce("total_cash", "cash_0").alias("m_cash"),
         F.coalesce("working_0", c("current_assets_0") - c("current_liabilities_0")).alias("m_working"), F.when(last >= 1, _cagr(c("revenue_0"), rev_old, last)).alias("rev_cagr_3y"),
@@ -74,7 +84,7 @@ def build_metrics(pivot: DataFrame, info: DataFrame) -> DataFrame:
         F.when(F.size(_each("eps")) >= 2, F.forall(_each("eps"), lambda x: x > 0)).alias("eps_all_positive"),
         margins.alias("op_margin_hist"), F.when(F.size(margins) >= 3, F.sqrt(F.aggregate(margins, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(margins))).alias("op_margin_std"),
         ratio(c("gross_0"), c("revenue_0")).alias("gross_margin"), ratio(c("net_income_0"), c("revenue_0")).alias("net_margin"), ratio(c("net_income_0"), c("equity_0")).alias("roe_stmt"),
-        F.filter(F.array(*[ratio(c(f"net_income_{i}"), c(f"equity_{i}")) for i in range(PERIODS)]), lambda x: x.isNotNull()).alias("roe_hist"),
+        _ratios("net_income", "equity").alias("roe_hist"),
         ratio(c("ebit_0") * (1 - tax), c("invested_0")).alias("roic"), ratio(c("ebit_0"), F.abs("interest_0")).alias("interest_coverage"), ratio(c("current_assets_0"), c("current_liabilities_0")).alias("current_ratio"),
         F.aggregate(_each("ebit", 3), F.lit(0.0), lambda a, x: a + x).alias("_ebits"), F.size(_each("ebit", 3)).alias("_n_ebit"), ratio(F.abs("capex_0"), c("revenue_0")).alias("capex_ratio"),
         ratio(c("sbc_0"), c("revenue_0")).alias("sbc_ratio"), ratio(c("rd_0"), c("revenue_0")).alias("rd_ratio"), ratio(c("fcf_0"), c("revenue_0")).alias("fcf_margin"), ratio(c("fcf_0"), c("market_cap")).alias("fcf_yield"),

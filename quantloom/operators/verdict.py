@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, weighted
 from . import indicators as ind
+from .asof import asof
 from .smooth import with_smoothed
 
 # Weight of each module for each horizon.
@@ -17,6 +18,7 @@ WEIGHTS = {
     "long": [0.04, 0.05, 0.02, 0.04, 0.10, 0.28, 0.25, 0.18, 0.04],
 }
 BUY, STRONG = 0.15, 0.35
+TECHNICAL = ["rsi14", "macd_12_26_9", "adx14"]
 
 
 def weight_table(spark, modules: list[str] | None = None) -> DataFrame:
@@ -37,7 +39,7 @@ def index_columns(index: DataFrame) -> DataFrame:
 def technical(bars: DataFrame, index: DataFrame) -> DataFrame:
     """(symbol, date, i, available, score, confidence): trend, momentum, relative strength, RSI, MACD and volume."""
     c = F.col
-    rows = ind.with_obv(with_smoothed(bars, ["rsi14", "macd_12_26_9", "adx14"]))
+    rows = ind.with_obv(bars if "adx14" in bars.columns else with_smoothed(bars, TECHNICAL))
     rows = rows.join(index_columns(index).select("date", "idx_n", "idx_ret126"), "date", "left")
     rows = rows.withColumn("hist", c("macd_12_26_9_line") - c("macd_12_26_9_signal"))
     lag = lambda x, k: F.lag(x, k).over(ind.history())
@@ -76,11 +78,23 @@ def market_score(series: DataFrame) -> DataFrame:
     return m.select("date", (c("idx_n") >= 210).alias("available"), s.alias("s"))
 
 
-def regime(dates: DataFrame, series: DataFrame) -> DataFrame:
-    """dates(symbol, date, beta) with the regime's availability, score and confidence."""
+def sector_score(series: DataFrame, funds: list[str] | None = None) -> DataFrame:
+    """(fund, date, sector_s): a quarter up or down as a sector's fund stands above or below its 200-bar average, from its 211th bar on."""
+    rows = series if funds is None else series.where(F.col("series_id").isin(*funds))
+    w = Window.partitionBy("series_id").orderBy("date")
+    above = F.col("value") > F.avg("value").over(w.rowsBetween(-199, 0))
+    score = F.when(F.row_number().over(w) > 210, F.when(above, 0.25).otherwise(-0.25))
+    return rows.select(F.col("series_id").alias("fund"), "date", score.alias("sector_s"))
+
+
+def regime(dates: DataFrame, series: DataFrame, funds: list[str] | None = None) -> DataFrame:
+    """dates(symbol, date, beta[, fund]) with the regime's availability, score and confidence; fund names the series of the symbol's sector, as of the date."""
     market = market_score(series)
     factor = F.coalesce(clip(F.col("beta"), 0.6, 1.4), F.lit(1.0))
     rows = dates.join(F.broadcast(market), "date")  # a row for each trading day
+    if "fund" in dates.columns:
+        own = sector_score(series, funds)
+        rows = asof(rows, own, ["fund"], "date", "sector_s").withColumn("s", F.col("s") + F.coalesce("sector_s", F.lit(0.0)))
     ok = F.col("available")
     return rows.select("symbol", "date", ok.alias("available"), F.when(ok, F.round(clip(clip(F.col("s"), -1, 1) * factor, -1, 1), 3)).otherwise(0.0).alias("score"), F.when(ok, 0.8).otherwise(0.0).alias("confidence"))
 

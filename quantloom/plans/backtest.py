@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HORIZON_BARS, is_hit
 from ..operators import analogs as an
 from ..operators import indicators as ind
 from ..operators import verdict as vd
+from ..operators.smooth import with_smoothed
+from ..session import written
+from ..operators.cleaning import sector_etf
 from ..operators.risk import join_returns, rolling_beta
 
 STEP, START = 21, 504
@@ -18,6 +21,15 @@ TESTED = ["technical", "analogs", "regime"]
 BINS = ((0.0, 0.6), (0.6, 0.8), (0.8, 1.01))
 
 
+#: The sector fund of a symbol of the derived panel, by its first letter; symbols of other letters have none.
+FUNDS = ["XLK", "XLE"]
+
+
+def fund_of(symbol: Column) -> Column:
+    sector = F.create_map(F.lit("A"), F.lit("Technology"), F.lit("N"), F.lit("Energy"))[F.substring(symbol, 1, 1)]
+    return sector_etf(sector)
+
+
 def sample_dates(bars: DataFrame, h: int, step: int = STEP, start: int = START) -> DataFrame:
     """(symbol, date, i) of every step-th bar from start that has a bar h later."""
     rows = bars.select("symbol", "date", ind.bar_index().alias("i"), F.lead("close", h).over(ind.history()).alias("_f"))
@@ -28,12 +40,14 @@ def module_rows(bars: DataFrame, series: DataFrame) -> DataFrame:
     """(symbol, date, horizon, module, available, score, confidence, vol_1y, ret, i) at all sample dates.
 
     All columns look back only, so each is computed once over the full history and
-    then looked up, instead of once for every date.
+    then looked up, instead of once for every date.  Bars and their smoothed columns
+    are written once, as all modules read them.
     """
+    bars = written(with_smoothed(bars, vd.TECHNICAL), "smoothed")
     index = series.where("series_id = 'INDEX'").select("date", "value")
     tech = vd.technical(bars, index)
     betas = bars.select("symbol", "date").join(rolling_beta(join_returns(bars, index)), ["symbol", "date"], "left")
-    reg = vd.regime(betas, series)
+    reg = vd.regime(betas.withColumn("fund", fund_of(F.col("symbol"))), series, FUNDS)
     r = bars.select("symbol", "date", "close", ind.bar_index().alias("i"), ind.change("close").alias("r"))
     vol = F.stddev_samp("r").over(ind.last(252)) * math.sqrt(252)
     base = r.select("symbol", "date", "i", vol.alias("vol_1y"), *[(F.lead("close", h).over(ind.history()) / F.col("close") - 1).alias(f"ret_{k}") for k, h in HORIZON_BARS.items()])
@@ -52,6 +66,7 @@ def module_rows(bars: DataFrame, series: DataFrame) -> DataFrame:
 def engine_samples(bars: DataFrame, series: DataFrame) -> DataFrame:
     """(symbol, date, horizon, verdict, conf, ret, x): verdicts with later returns and the modules' signals."""
     rows = module_rows(bars, series)
+    rows = written(rows, "modules")
     keys = ["symbol", "date", "horizon"]
     verdicts = vd.combine(rows, vd.weight_table(bars.sparkSession), keys)
     signals = rows.where("available").groupBy(*keys).agg(F.max("ret").alias("ret"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", F.round(F.col("score") * F.col("confidence") + 1e-9, 4))))).alias("x"))
@@ -60,6 +75,7 @@ def engine_samples(bars: DataFrame, series: DataFrame) -> DataFrame:
 
 def summarize_verdicts(samples: DataFrame) -> DataFrame:
     """By horizon and verdict: n, hit rate, the hit rate had every sample got that verdict, and mean return."""
+    samples = written(samples, "samples")
     g = samples.groupBy("horizon", "verdict").agg(F.count(F.lit(1)).alias("n"), F.avg(is_hit(F.col("verdict"), F.col("ret")).cast("double")).alias("hit"), F.avg("ret").alias("avg_ret"))
     return g.join(_baselines(samples), ["horizon", "verdict"])
 
@@ -71,6 +87,7 @@ def _baselines(samples: DataFrame) -> DataFrame:
 
 def summarize_conf(samples: DataFrame, bins: tuple = BINS) -> DataFrame:
     """By horizon and confidence bin: n, hit rate and the mean baseline of the bin's verdicts."""
+    samples = written(samples, "samples")
     at = F.coalesce(*[F.when((F.col("conf") >= lo) & (F.col("conf") < hi), F.lit(k)) for k, (lo, hi) in enumerate(bins)])
     rows = samples.join(F.broadcast(_baselines(samples)), ["horizon", "verdict"]).withColumn("bin", at)  # nine rows
     return rows.groupBy("horizon", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(is_hit(F.col("verdict"), F.col("ret")).cast("double")).alias("hit"), F.avg("base").alias("base"))

@@ -21,8 +21,8 @@ INFO = {
     "forward_eps": "net_income_0 / shares_0 * 1.1", "book_value": "equity_0 / shares_0", "op_margin": "ebit_0 / revenue_0", "peg": "1.0 + CAST(substring(symbol, 2) AS INT) % 4 / 2.0",
     "pe": "revenue_0 * 2 / net_income_0", "pb": "revenue_0 * 2 / equity_0", "ev_ebitda": "10 + CAST(substring(symbol, 2) AS INT) % 9 * 2.0", "dividend_rate": "revenue_0 * 0.02 / shares_0",
 }
-FR = {"st": "SELECT *, row_number() OVER (PARTITION BY symbol, stmt, item ORDER BY period_end DESC) - 1 AS i FROM statements"}
-FR["piv"] = "SELECT symbol, " + ", ".join(f"max(value) FILTER (item = '{n}' AND i = {i}) AS {k}_{i}" for k, n in _ITEMS.items() for i in range(4)) + ", least(4, max(i) + 1) AS years FROM st GROUP BY 1"
+FR = {"st": "SELECT *, dense_rank() OVER (PARTITION BY symbol, stmt ORDER BY period_end DESC) - 1 AS i FROM statements"}
+FR["piv"] = "SELECT symbol, " + ", ".join(f"max(value) FILTER (item = '{n}' AND i = {i}) AS {k}_{i}" for k, n in _ITEMS.items() for i in range(4)) + ", " + ", ".join(f"list(value ORDER BY i) FILTER (item = '{_ITEMS[k]}') AS {k}_hist" for k in ("revenue", "net_income", "equity")) + ", max(i) FILTER (stmt = 'income') + 1 AS years FROM st GROUP BY 1"
 FR["inf"] = "SELECT *, " + ", ".join(f"CAST({v} AS {'VARCHAR' if k == 'sector' else 'DOUBLE'}) AS {k}" for k, v in INFO.items()) + " FROM piv"
 
 
@@ -42,11 +42,11 @@ def _mean(parts: list[tuple[float, str]]) -> tuple[str, str]:
 
 FR["met1"] = """SELECT *, sector = 'Financial Services' AS financial, 0.21::DOUBLE AS tax_rate, current_assets_0 - current_liabilities_0 AS m_working,
   CASE WHEN revenue_1 IS NOT NULL THEN pow(revenue_0 / coalesce(revenue_3, revenue_2, revenue_1), 1.0 / (CASE WHEN revenue_3 IS NOT NULL THEN 3 WHEN revenue_2 IS NOT NULL THEN 2 ELSE 1 END)) - 1 END AS rev_cagr_3y,
-  revenue_0 / revenue_1 - 1 AS rev_growth_yoy, CASE WHEN revenue_2 IS NOT NULL THEN revenue_0 > revenue_1 AND revenue_1 > revenue_2 AND (revenue_3 IS NULL OR revenue_2 > revenue_3) END AS rev_all_up,
+  revenue_0 / revenue_1 - 1 AS rev_growth_yoy, CASE WHEN len(revenue_hist) >= 3 THEN len(list_filter(range(1, len(revenue_hist)), lambda k: revenue_hist[k] > revenue_hist[k + 1])) = len(revenue_hist) - 1 END AS rev_all_up,
   gross_0 / revenue_0 AS gross_margin, net_income_0 / equity_0 AS m_roe, ebit_0 / nullif(abs(interest_0), 0) AS interest_coverage, current_assets_0 / nullif(current_liabilities_0, 0) AS current_ratio, abs(capex_0) / revenue_0 AS capex_ratio, sbc_0 / revenue_0 AS sbc_ratio,
   CASE WHEN net_income_0 > 0 THEN cfo_0 / net_income_0 END AS cfo_to_ni, shares_0 / shares_1 - 1 AS share_change, dividend_rate / price AS dividend_yield, CASE WHEN ev > 0 THEN ebit_0 / ev END AS earnings_yield,
   (coalesce(ebit_0, 0) + coalesce(ebit_1, 0) + coalesce(ebit_2, 0)) / ((ebit_0 IS NOT NULL)::INT + (ebit_1 IS NOT NULL)::INT + (ebit_2 IS NOT NULL)::INT) AS ebit_norm, lt_debt_0 / equity_0 AS debt_to_equity,
-  list_filter([net_income_0 / equity_0, net_income_1 / equity_1, net_income_2 / equity_2, net_income_3 / equity_3], lambda x: x IS NOT NULL) AS roe_hist, total_cash - total_debt AS net_cash FROM inf"""
+  list_filter(list_transform(range(1, len(net_income_hist) + 1), lambda k: net_income_hist[k] / equity_hist[k]), lambda x: x IS NOT NULL) AS roe_hist, total_cash - total_debt AS net_cash FROM inf"""
 _BASE = lambda i: f"coalesce(assets_{i + 1}, assets_{i})"
 _CHECKS = [
     f"net_income_0 / {_BASE(0)} > 0", "cfo_0 > 0", f"net_income_0 / {_BASE(0)} > net_income_1 / {_BASE(1)}", f"cfo_0 / {_BASE(0)} > net_income_0 / {_BASE(0)}",

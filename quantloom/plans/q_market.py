@@ -74,11 +74,12 @@ def w4_rsi(t: Panels) -> DataFrame:
     return smooth.with_smoothed(t.bars, ["rsi14", "rsi2"]).select("symbol", "date", "rsi14", "rsi2")
 
 
-@query(f"SELECT {OWN}, m12 AS line, s12 AS signal, m12 - s12 AS histogram FROM ind", o.FRAGMENTS)
+@query(f"SELECT {OWN}, round(m12, 6) AS line, round(s12, 6) AS signal, round(m12 - s12, 6) AS histogram FROM ind", o.FRAGMENTS)
 def w5_macd(t: Panels) -> DataFrame:
     rows = smooth.with_smoothed(t.bars, ["macd_12_26_9"])
     line, sig = c("macd_12_26_9_line"), c("macd_12_26_9_signal")
-    return rows.select("symbol", "date", line.alias("line"), sig.alias("signal"), (line - sig).alias("histogram"))
+    # The two engines sum in another order, and differences of near values keep less than nine digits.
+    return rows.select("symbol", "date", F.round(line, 6).alias("line"), F.round(sig, 6).alias("signal"), F.round(line - sig, 6).alias("histogram"))
 
 
 @query(f"SELECT {OWN}, sma20 AS mid, up20 AS upper, lo20 AS lower FROM sig1", o.FRAGMENTS)
@@ -235,21 +236,17 @@ def x3_signal_levels(t: Panels) -> DataFrame:
 
 
 def all_positions(t: Panels) -> DataFrame:
-    keys = st.position_keys()
-    return acc.position_returns(st.stacked(st.wide_signals(t.bars, keys), keys))
+    return acc.position_returns(st.stacked(t.wide, st.position_keys()))
 
 
 def all_breakouts(t: Panels) -> DataFrame:
-    keys = st.breakout_keys()
-    return st.stacked(st.wide_signals(t.bars, keys), keys)
+    return st.stacked(t.wide, st.breakout_keys())
 
 
 def all_returns(t: Panels) -> DataFrame:
     """Returns of all variants of all strategies."""
     keep = ["symbol", "date", "strategy", "variant", "open", "close", "held", "ret"]
-    wide = st.wide_signals(t.bars)
-    positions = acc.position_returns(st.stacked(wide, st.position_keys()))
-    return positions.select(*keep).unionByName(acc.breakout_returns(st.stacked(wide, st.breakout_keys())).select(*keep))
+    return all_positions(t).select(*keep).unionByName(acc.breakout_returns(all_breakouts(t)).select(*keep))
 
 
 def all_trades(t: Panels) -> DataFrame:

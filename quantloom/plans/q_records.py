@@ -23,7 +23,7 @@ def _day(text: str):
     return F.to_date(F.lit(text))
 
 
-@query("SELECT symbol, stmt, item, period_end, value, row_number() OVER (PARTITION BY symbol, stmt, item ORDER BY period_end DESC) - 1 AS i FROM statements")
+@query("SELECT symbol, stmt, item, period_end, value, dense_rank() OVER (PARTITION BY symbol, stmt ORDER BY period_end DESC) - 1 AS i FROM statements")
 def s4_read_statements(t: Panels) -> DataFrame:
     return with_period_index(t.statements)
 
@@ -157,14 +157,10 @@ def p10_tidy_sentences(t: Panels) -> DataFrame:
 
 @query(
     """SELECT b.symbol, b.date, coalesce(s.value, (SELECT max_by(value, date) FROM series WHERE series_id = 'Y13W')) AS rate
-    FROM bars b ASOF LEFT JOIN (SELECT * FROM series WHERE series_id = 'Y13W' AND date % 3 = 0) s ON b.date >= s.date""".replace("date % 3 = 0", "epoch(date) % 259200 = 0")
+    FROM bars b ASOF LEFT JOIN (SELECT * FROM series WHERE series_id = 'Y13W') s ON b.date >= s.date"""
 )
 def j1_align_rate(t: Panels) -> DataFrame:
-    s = t.series.where("series_id = 'Y13W'")
-    newest = s.agg(F.max_by("value", "date").alias("v"))
-    every_third = s.where("unix_date(date) % 3 = 0")
-    out = j.asof(t.bars.select("symbol", "date"), every_third.select("date", "value"), [], "date", "value", name="rate")
-    return out.crossJoin(F.broadcast(newest)).select("symbol", "date", F.coalesce("rate", "v").alias("rate"))
+    return j.align_rate(t.bars.select("symbol", "date"), t.series.where("series_id = 'Y13W'"))
 
 
 DUE = "CASE horizon WHEN 'short' THEN 30 WHEN 'mid' THEN 91 ELSE 365 END"
@@ -200,14 +196,14 @@ def j4_join_returns(t: Panels) -> DataFrame:
     return join_returns(t.bars, t.series.where("series_id = 'INDEX'"))
 
 
-WATCH = "SELECT DISTINCT symbol, horizon FROM runs WHERE id % 3 <> 1"
+WATCH = "SELECT DISTINCT symbol, horizon FROM runs"
 STATUS = f"""WITH w AS ({WATCH}), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon ORDER BY created DESC, id DESC) AS k FROM runs)
     SELECT w.symbol, w.horizon, a.verdict AS last_verdict, b.verdict AS prev_verdict, a.created AS last_created, b.created AS prev_created, a.score AS last_score, b.score AS prev_score
     FROM w LEFT JOIN n a ON a.symbol = w.symbol AND a.horizon = w.horizon AND a.k = 1 LEFT JOIN n b ON b.symbol = w.symbol AND b.horizon = w.horizon AND b.k = 2"""
 
 
 def _watch(t: Panels) -> DataFrame:
-    return t.runs.where("id % 3 <> 1").select("symbol", "horizon").distinct()
+    return t.runs.select("symbol", "horizon").distinct()
 
 
 @query(STATUS)
@@ -246,9 +242,9 @@ def j9_variant_grid(t: Panels) -> DataFrame:
     return t.bars.select("symbol").crossJoin(F.broadcast(grid)).groupBy("symbol", "strategy", "variant").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("SELECT symbol, max_by(close, date) AS last_close FROM bars WHERE symbol IN (SELECT symbol FROM runs WHERE verdict = 'buy' AND id < 100) GROUP BY 1")
+@query("SELECT symbol, max_by(close, date) AS last_close FROM bars WHERE symbol IN (SELECT symbol FROM runs WHERE verdict = 'buy') GROUP BY 1")
 def j11_last_closes(t: Panels) -> DataFrame:
-    return j.last_closes(t.bars, t.runs.where("verdict = 'buy' and id < 100"))
+    return j.last_closes(t.bars, t.runs.where("verdict = 'buy'"))
 
 
 @query("SELECT id, symbol, created, horizon, verdict, score, confidence FROM (SELECT *, lag(created) OVER (PARTITION BY symbol, horizon ORDER BY created, id) AS p FROM runs) WHERE created - p <= 0")

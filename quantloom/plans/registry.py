@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package
+from ..session import ship_package, written
 from ..sources.fixtures import PANELS, panel, render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,18 @@ class Panels:
     def bars(self) -> DataFrame:
         return panel(self.spark, self.sf_dir, "bars")
 
+    @cached_property
+    def stored_bars(self) -> DataFrame:
+        """bars, written once for plans that read them in several branches."""
+        return written(self.bars, "bars")
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        """The signals of all strategies, written once, as positions, breakouts and trades all start from them."""
+        from ..operators.strategies import wide_signals
+
+        return written(wide_signals(self.stored_bars), "signals")
+
     @cached_property
     def series(self) -> DataFrame:
         return panel(self.spark, self.sf_dir, "series")

@@ -27,9 +27,10 @@ SELECT symbol, date, open, round(greatest(open, close) * (1 + q1 / 5000), 6) AS
     "series": f"""
 WITH d AS (SELECT CAST(l_shipdate AS DATE) AS date, min_by(l_discount, <K>) AS d0, max_by(l_discount, <K>) AS d1,
            CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS ad, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS tx FROM lineitem GROUP BY 1),
-i AS (SELECT date, ad, tx, round(100 * exp(sum(CAST(0.2 * ((d0 + d1) / 2 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS idx FROM d)
-SELECT 'INDEX' AS series_id, date, idx AS value FROM i UNION ALL SELECT 'VOL', date, round(10 + 250 * ad, 6) FROM i
-UNION ALL SELECT 'Y10', date, round(100 * tx, 6) FROM i UNION ALL SELECT 'Y13W', date, round(75 * tx, 6) FROM i""",
+i AS (SELECT date, ad, tx, round(100 * exp(sum(CAST(0.2 * ((d0 + d1) / 2 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS idx,
+  round(50 * exp(sum(CAST(0.2 * (d0 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS xlk, round(80 * exp(sum(CAST(0.2 * (d1 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS xle FROM d),
+k AS (SELECT *, unnest_ids AS series_id FROM i CROSS JOIN (<ROWS:'INDEX','VOL','Y10','Y13W','XLK','XLE'>) AS n(unnest_ids))
+SELECT series_id, date, CASE series_id WHEN 'INDEX' THEN idx WHEN 'VOL' THEN round(10 + 250 * ad, 6) WHEN 'Y10' THEN round(100 * tx, 6) WHEN 'Y13W' THEN round(75 * tx, 6) WHEN 'XLK' THEN xlk ELSE xle END AS value FROM k""",
     "statements": """
 WITH a AS (SELECT concat('S', l_suppkey) AS symbol, year(l_shipdate) AS y, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS e,
   CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(18,4))) AS DOUBLE) AS ed, CAST(sum(CAST(l_extendedprice * l_tax AS DECIMAL(18,4))) AS DOUBLE) AS et, sum(l_quantity) AS q
@@ -47,7 +48,7 @@ WITH a AS (SELECT concat('S', l_suppkey) AS symbol, year(l_shipdate) AS y, CAST(
         )
     ),
     "news": f"""
-SELECT d.doc_id AS id, {_SIX.format(x="d.doc_id")} AS symbol, substring(d.text, 1, 80) AS title, d.source AS source,
+SELECT d.doc_id AS id, {_SIX.format(x="d.doc_id")} AS symbol, replace(d.text, chr(10), ' ') AS title, d.source AS source,
   CAST(<DAY:DATE '2001-10-01':CAST(d.doc_id % 30 AS INT)> AS DATE) AS published,
   CASE WHEN l.doc_id IS NULL THEN NULL ELSE CAST(0.5 + 0.5 * l.quality AS DOUBLE) END AS relevance,
   CASE WHEN l.doc_id IS NULL THEN NULL ELSE CAST(0.6 * l.quality - 1.2 * l.toxic AS DOUBLE) END AS sentiment,
@@ -67,6 +68,7 @@ def render(text: str, spark: bool) -> str:
     import re
 
     text = text.replace("<K>", f"struct({_KEY})" if spark else f"({_KEY})")
+    text = re.sub(r"<ROWS:([^>]*)>", lambda m: "VALUES " + ", ".join(f"({x})" for x in m.group(1).split(",")), text)
     return re.sub(r"<DAY:([^:>]*):([^>]*)>", r"date_add(\1, \2)" if spark else r"(\1 + \2)", text)
 
 

@@ -40,9 +40,9 @@ def read_series(spark: SparkSession, path: str, series_id: str) -> DataFrame:
 
 
 def with_period_index(statements: DataFrame) -> DataFrame:
-    """i counts a symbol's periods of a statement from the newest, 0; values that are not finite are null."""
-    newest = Window.partitionBy("symbol", "stmt", "item").orderBy(F.col("period_end").desc())
-    return statements.withColumn("value", finite(F.col("value"))).withColumn("i", F.row_number().over(newest) - 1)
+    """i counts the dates of a symbol's statement from the newest, 0, for all its items alike; values that are not finite are null."""
+    newest = Window.partitionBy("symbol", "stmt").orderBy(F.col("period_end").desc())
+    return statements.withColumn("value", finite(F.col("value"))).withColumn("i", F.dense_rank().over(newest) - 1)
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
