@@ -67,6 +67,21 @@ def donchian(entry: int, exit_: int) -> tuple[Column, Column]:
     return high, low
 
 
+def moving_sums(rows: DataFrame, sums: dict[str, Column], n: int) -> DataFrame:
+    """rows(symbol, date, …) with sums over the newest n rows, in a few steps for each row however long n is.
+
+    Rows are cut into chunks of n.  The newest n rows are the chunk so far and the end of the one before, which is its
+    total less what stood at the same place; so only numbers of one window's size are subtracted.
+    """
+    chunk = Window.partitionBy("symbol", "_chunk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = history().rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_i", bar_index()).withColumn("_chunk", F.floor(F.col("_i") / n))
+    numbered = numbered.select("*", *[F.sum(v).over(chunk).alias(f"_p_{k}") for k, v in sums.items()])
+    whole = lambda k: F.last(F.when(F.col("_i") % n == n - 1, F.col(f"_p_{k}")), ignorenulls=True).over(before)
+    value = lambda k: F.col(f"_p_{k}") + F.coalesce(whole(k) - F.lag(f"_p_{k}", n).over(history()), whole(k), F.lit(0.0))
+    return numbered.select(*rows.columns, F.least(F.col("_i") + 1, F.lit(n)).alias("rows"), *[value(k).alias(k) for k in sums])
+
+
 def change(c: Column | str, n: int = 1) -> Column:
     """c / c[n bars ago] - 1."""
     return F.try_divide(col(c), F.lag(col(c), n).over(history())) - 1

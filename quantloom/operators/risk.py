@@ -19,10 +19,12 @@ def join_returns(bars: DataFrame, index: DataFrame) -> DataFrame:
 
 def rolling_beta(joined: DataFrame, days: int = 504, least: int = 120) -> DataFrame:
     """Beta at every date over the newest `days` joined returns; null below `least` rows or for a flat index."""
-    w = ind.history().rowsBetween(-(days - 1), 0)
-    var = F.var_samp("x").over(w)
-    value = F.when((F.count("r").over(w) >= least) & (var > 0), F.covar_samp("r", "x").over(w) / var)
-    return joined.select("symbol", "date", value.alias("beta"))
+    r, x, n = F.col("r"), F.col("x"), F.col("rows")
+    s = ind.moving_sums(joined, {"sr": r, "sx": x, "srx": r * x, "sxx": x * x}, days)
+    both, own = F.col("srx") - F.col("sr") * F.col("sx") / n, F.col("sxx") - F.col("sx") * F.col("sx") / n
+    # Sums of squares keep some twelve digits: less is a flat index.
+    value = F.when((n >= least) & (own > 1e-12 * F.col("sxx")), both / own)
+    return s.select("symbol", "date", value.alias("beta"))
 
 
 def tail(bars: DataFrame, n: int) -> DataFrame:

@@ -137,8 +137,9 @@ def n5_technical(t: Panels) -> DataFrame:
 
 @query("SELECT symbol, date, available, score, confidence FROM reg", FR)
 def n6_regime(t: Panels) -> DataFrame:
-    betas = t.bars.select("symbol", "date").join(rk.rolling_beta(rk.join_returns(t.bars, _index(t))), ["symbol", "date"], "left")
-    return vd.regime(betas.withColumn("fund", bt.fund_of(c("symbol"))), t.series, bt.FUNDS)
+    bars, index = t.stored_bars, t.stored_series.where("series_id = 'INDEX'").select("date", "value")
+    betas = bars.select("symbol", "date").join(rk.rolling_beta(rk.join_returns(bars, index)), ["symbol", "date"], "left")
+    return vd.regime(betas.withColumn("fund", bt.fund_of(c("symbol"))), t.stored_series, bt.FUNDS)
 
 
 ANALOG = f"""WITH z AS (SELECT symbol, max_by(state, date) AS now FROM (SELECT symbol, date, coalesce(state, -1) AS state FROM states) GROUP BY 1),
@@ -167,33 +168,33 @@ def a15_histogram(t: Panels) -> DataFrame:
 
 @query("SELECT symbol, date, horizon, verdict, score, confidence, agreement, coverage FROM verd", FR)
 def n7_combine(t: Panels) -> DataFrame:
-    rows = bt.module_rows(t.stored_bars, t.series)
+    rows = bt.module_rows(t.stored_bars, t.stored_series)
     return vd.combine(rows, vd.weight_table(t.spark), ["symbol", "date", "horizon"]).drop("strong", "contributions")
 
 
 @query("SELECT symbol, date, horizon, verdict, conf, ret FROM smp", FR)
 def e2_engine_samples(t: Panels) -> DataFrame:
-    return bt.engine_samples(t.stored_bars, t.series).drop("x")
+    return bt.engine_samples(t.stored_bars, t.stored_series).drop("x")
 
 
 @query("SELECT horizon, symbol, count(*) AS n, sum(ret) AS total FROM smp GROUP BY 1, 2", FR)
 def e3_universe(t: Panels) -> DataFrame:
-    return bt.engine_samples(t.stored_bars, t.series).groupBy("horizon", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"))
+    return bt.engine_samples(t.stored_bars, t.stored_series).groupBy("horizon", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"))
 
 
 @query("SELECT horizon, verdict, n, hit, base, avg_ret FROM byv", FR)
 def a10_hit_rates(t: Panels) -> DataFrame:
-    return bt.summarize_verdicts(bt.engine_samples(t.stored_bars, t.series))
+    return bt.summarize_verdicts(bt.engine_samples(t.stored_bars, t.stored_series))
 
 
 @query(f"SELECT s.horizon, CASE WHEN conf < 0.6 THEN 0 WHEN conf < 0.8 THEN 1 ELSE 2 END AS bin, count(*) AS n, {_MEAN(_HIT('s.verdict'))} AS hit, avg(b.base) AS base FROM smp s JOIN bases b ON b.horizon = s.horizon AND b.verdict = s.verdict GROUP BY 1, 2", FR)
 def a11_hit_rates_by_confidence(t: Panels) -> DataFrame:
-    return bt.summarize_conf(bt.engine_samples(t.stored_bars, t.series))
+    return bt.summarize_conf(bt.engine_samples(t.stored_bars, t.stored_series))
 
 
 @query("SELECT horizon, verdict, n, hit - base AS lift, CASE WHEN hit - base >= 0.03 THEN 'better' ELSE 'worse' END AS finding FROM byv WHERE abs(hit - base) >= 0.03", FR)
 def a20_findings(t: Panels) -> DataFrame:
-    return bt.findings(bt.summarize_verdicts(bt.engine_samples(t.stored_bars, t.series)))
+    return bt.findings(bt.summarize_verdicts(bt.engine_samples(t.stored_bars, t.stored_series)))
 
 
 SHARE = "CASE horizon " + " ".join(f"WHEN '{h}' THEN {round(sum(v for m, v in zip(vd.MODULES, w, strict=True) if m in bt.TESTED), 2)}" for h, w in vd.WEIGHTS.items()) + " END"
@@ -201,14 +202,14 @@ SHARE = "CASE horizon " + " ".join(f"WHEN '{h}' THEN {round(sum(v for m, v in zi
 
 @query(f"SELECT horizon, count(*) AS n, avg(ret) AS avg_ret, min(date) AS start, max(date) AS \"end\", count(DISTINCT symbol) AS symbols, CAST({SHARE} AS DOUBLE) AS weight_share FROM smp GROUP BY 1", FR)
 def e9_engine_report(t: Panels) -> DataFrame:
-    return bt.engine_report(bt.engine_samples(t.stored_bars, t.series))
+    return bt.engine_report(bt.engine_samples(t.stored_bars, t.stored_series))
 
 
 CONTRIB = "SELECT m.symbol, m.date, m.horizon, m.module, w.w * m.confidence * m.score / k.wsum AS value FROM mods m JOIN wts w ON w.horizon = m.horizon AND w.module = m.module JOIN comb k ON k.symbol = m.symbol AND k.date = m.date AND k.horizon = m.horizon WHERE m.available AND m.confidence > 0"
 
 
 def _verdicts(t: Panels) -> DataFrame:
-    return vd.combine(bt.module_rows(t.stored_bars, t.series), vd.weight_table(t.spark), ["symbol", "date", "horizon"])
+    return vd.combine(bt.module_rows(t.stored_bars, t.stored_series), vd.weight_table(t.spark), ["symbol", "date", "horizon"])
 
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY symbol, date, horizon ORDER BY abs(value) DESC, module) AS rank FROM ({CONTRIB})", FR)
@@ -227,7 +228,7 @@ def w21_waterfall(t: Panels) -> DataFrame:
     FR,
 )
 def u4_missing_modules(t: Panels) -> DataFrame:
-    out = vd.missing_modules(bt.module_rows(t.stored_bars, t.series), ["symbol", "date", "horizon"], vd.MODULES)
+    out = vd.missing_modules(bt.module_rows(t.stored_bars, t.stored_series), ["symbol", "date", "horizon"], vd.MODULES)
     return out.withColumn("missing", F.array_join("missing", ","))
 
 
@@ -235,13 +236,13 @@ def u4_missing_modules(t: Panels) -> DataFrame:
 def n11_module_cards(t: Panels) -> DataFrame:
     from ..functions.scalars import letter
 
-    rows = bt.module_rows(t.stored_bars, t.series)
+    rows = bt.module_rows(t.stored_bars, t.stored_series)
     return rows.select("symbol", "date", "horizon", "module", "available", F.when(c("available"), letter(c("score"))).otherwise("-").alias("grade"))
 
 
 @query("SELECT symbol, date, horizon, CASE WHEN module = 'technical' THEN 'timing' WHEN module = 'regime' THEN 'timing' ELSE 'company' END AS part, sum(confidence * score) / sum(confidence) AS score FROM mods WHERE available GROUP BY 1, 2, 3, 4", FR)
 def a18_group_scores(t: Panels) -> DataFrame:
-    return vd.group_scores(bt.module_rows(t.stored_bars, t.series), ["symbol", "date", "horizon"], ("analogs",))
+    return vd.group_scores(bt.module_rows(t.stored_bars, t.stored_series), ["symbol", "date", "horizon"], ("analogs",))
 
 
 REASON = "SELECT *, CASE WHEN score > 0.1 THEN 'bull' WHEN score < -0.1 THEN 'bear' END AS side FROM mods WHERE available"
@@ -249,7 +250,7 @@ REASON = "SELECT *, CASE WHEN score > 0.1 THEN 'bull' WHEN score < -0.1 THEN 'be
 
 @query(f"SELECT symbol, date, horizon, side, module, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date, horizon, side ORDER BY CASE WHEN side = 'bull' THEN -score * confidence ELSE score * confidence END, module) AS r FROM ({REASON}) WHERE side IS NOT NULL) WHERE r <= 3", FR)
 def n9_top_reasons(t: Panels) -> DataFrame:
-    return vd.top_reasons(bt.module_rows(t.stored_bars, t.series), ["symbol", "date", "horizon"])
+    return vd.top_reasons(bt.module_rows(t.stored_bars, t.stored_series), ["symbol", "date", "horizon"])
 
 
 LEVEL_NAMES = ["sma20", "sma50", "sma200", "bb_up", "bb_low", "high20", "low20", "high52w", "low52w"]
@@ -332,17 +333,17 @@ def e4_spearman(t: Panels) -> DataFrame:
 
 @query(_module_ic("sx"), FR)
 def e5_module_ic(t: Panels) -> DataFrame:
-    return tu.module_ic(bt.engine_samples(t.stored_bars, t.series), bt.TESTED)
+    return tu.module_ic(bt.engine_samples(t.stored_bars, t.stored_series), bt.TESTED)
 
 
 @query(_ic(f"({_score('sx', 'wts')})", "s", "horizon"), FR)
 def e5_combined_ic(t: Panels) -> DataFrame:
-    return tu.combined_ic(bt.engine_samples(t.stored_bars, t.series), vd.weight_table(t.spark))
+    return tu.combined_ic(bt.engine_samples(t.stored_bars, t.stored_series), vd.weight_table(t.spark))
 
 
 @query(_propose(_module_ic("sx")), FR)
 def e6_propose(t: Panels) -> DataFrame:
-    return tu.propose(tu.module_ic(bt.engine_samples(t.stored_bars, t.series), bt.TESTED), vd.weight_table(t.spark, bt.TESTED))
+    return tu.propose(tu.module_ic(bt.engine_samples(t.stored_bars, t.stored_series), bt.TESTED), vd.weight_table(t.spark, bt.TESTED))
 
 
 FR["cut"] = "SELECT horizon, min(date) FILTER (k = kk) AS cut FROM (SELECT horizon, date, row_number() OVER (PARTITION BY horizon ORDER BY date) - 1 AS k, floor(count(*) OVER (PARTITION BY horizon) * 0.7) AS kk FROM smp) GROUP BY 1"
@@ -358,7 +359,7 @@ FR["w_old"] = "SELECT * FROM wts WHERE module IN ('technical', 'analogs', 'regim
     FR,
 )
 def e7_tune(t: Panels) -> DataFrame:
-    return tu.tune(bt.engine_samples(t.stored_bars, t.series), vd.weight_table(t.spark, bt.TESTED), bt.TESTED)
+    return tu.tune(bt.engine_samples(t.stored_bars, t.stored_series), vd.weight_table(t.spark, bt.TESTED), bt.TESTED)
 
 
 LIVE = """WITH r AS (SELECT *, CAST(created + CASE horizon WHEN 'short' THEN 30 WHEN 'mid' THEN 91 ELSE 365 END AS DATE) AS due FROM runs),
@@ -387,5 +388,5 @@ def u3_dedup_live(t: Panels) -> DataFrame:
 
 @query(f"SELECT 'bt' AS src, horizon, count(*) AS n, avg(ret) AS avg_ret FROM smp GROUP BY 1, 2 UNION ALL SELECT 'live', horizon, count(*), avg(ret) FROM ({LIVE}) GROUP BY 1, 2", FR)
 def u2_all_samples(t: Panels) -> DataFrame:
-    rows = tu.all_samples(bt.engine_samples(t.stored_bars, t.series), _live(t))
+    rows = tu.all_samples(bt.engine_samples(t.stored_bars, t.stored_series), _live(t))
     return rows.groupBy("src", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("avg_ret"))

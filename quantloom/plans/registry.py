@@ -34,6 +34,10 @@ class Panels:
         """bars, written once for plans that read them in several branches."""
         return written(self.bars, "bars")
 
+    @cached_property
+    def stored_series(self) -> DataFrame:
+        return written(self.series, "series")
+
     @cached_property
     def wide(self) -> DataFrame:
         """The signals of all strategies, written once, as positions, breakouts and trades all start from them."""
