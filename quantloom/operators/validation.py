@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import written
 from . import accounting as acc
 from . import metrics as met
 
 IN, OUT, WARM = 756, 252, 252
+SHIFTS = 50
 EULER = 0.5772156649015329
 # Grade, weight, largest p, least Sharpe, least trades, least deflated Sharpe.
 GRADES = (("A", 1.0, 0.05, 0.5, 15, 0.8), ("B", 0.6, 0.10, 0.3, 8, 0.5), ("C", 0.25, 0.25, 0.0, 5, None))
@@ -53,10 +53,10 @@ def numbered(returns: DataFrame) -> DataFrame:
 
 
 def _in_fold(returns: DataFrame, fold_table: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Rows of each fold's span: a join on symbol, and folds per symbol are few."""
-    f = fold_table.select("symbol", "fold", F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
-    rows = returns.join(F.broadcast(f), "symbol")
-    return rows.where((F.col("i") >= F.col("_lo")) & (F.col("i") < F.col("_hi"))).drop("_lo", "_hi")
+    """Rows of each fold's span: a join on symbol that keeps only rows inside, whose way Spark picks by the table's size."""
+    f = fold_table.select(F.col("symbol").alias("_symbol"), "fold", F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
+    inside = (F.col("symbol") == F.col("_symbol")) & (F.col("i") >= F.col("_lo")) & (F.col("i") < F.col("_hi"))
+    return returns.join(f, inside).drop("_symbol", "_lo", "_hi")
 
 
 def chosen_variants(returns: DataFrame, fold_table: DataFrame) -> DataFrame:
@@ -90,11 +90,17 @@ def oos_trades(trades: DataFrame, bars: DataFrame, fold_table: DataFrame, chosen
     return rows.join(chosen.select(*keys), keys)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def permutation_p(oos: DataFrame, n_perm: int = 1000, fee: float = acc.FEE, rate: float = acc.RATE, seed: int = 7) -> DataFrame:
     """(symbol, strategy, p): share of circular shifts of the held array that do at least as well; null for short or constant ones.
 
-    Held and market arrays of a key are gathered once, a thousand-odd doubles each;
-    shifts are rows, so keys and shifts spread over the cluster.
+    Held and market arrays of a key are gathered once, a thousand-odd doubles each, and
+    dealt out once for each block of SHIFTS shifts, which are numbers, so keys and blocks
+    spread over the cluster and arrays are not copied for each shift.
     """
     c = F.col
     order = Window.partitionBy("symbol", "strategy").orderBy("i")
@@ -108,17 +114,26 @@ def permutation_p(oos: DataFrame, n_perm: int = 1000, fee: float = acc.FEE, rate
         before = F.concat(F.slice(held, 1, 1), F.slice(held, F.lit(1), c("n") - 1))
         ret = F.transform(F.arrays_zip(held.alias("h"), before.alias("b"), c("m").alias("m")), lambda e: e["h"] * e["m"] + (1 - e["h"]) * rate - fee * F.abs(e["h"] - e["b"]))
         total = F.aggregate(ret, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, r: F.struct((a["s"] + r).alias("s"), (a["q"] + r * r).alias("q")))
-        mean = total["s"] / c("n")
-        var = (total["q"] - total["s"] * mean) / (c("n") - 1)
-        return F.when(var > 0, F.round((mean - rate) / F.sqrt(var), 9)).otherwise(0.0)
+
+        def ratio(t: Column) -> Column:
+            var = (t["q"] - t["s"] * t["s"] / c("n")) / (c("n") - 1)
+            return F.when(var > 0, F.round((t["s"] / c("n") - rate) / F.sqrt(var), 9)).otherwise(0.0)
+
+        return _let(total, ratio)
 
     base = g.where(able).withColumn("actual", sr(c("h")))
-    shifts = base.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    shift = (F.lit(20) + draw(seed, c("k"), below=c("n") - 40)).cast("int")
-    shifted = F.concat(F.slice(c("h"), c("n") - c("s") + 1, c("s")), F.slice(c("h"), F.lit(1), c("n") - c("s")))
-    # Dealt by (key, shift), so a few keys still use the whole cluster.
-    sims = shifts.withColumn("s", shift).repartition("symbol", "strategy", "k").withColumn("sim", sr(shifted))
-    p = sims.groupBy("symbol", "strategy").agg(((1 + F.count_if(c("sim") >= c("actual"))) / (n_perm + 1)).alias("p"))
+    def shifted(k: Column) -> Column:
+        s = (F.lit(20) + draw(seed, k, below=c("n") - 40)).cast("int")
+        return F.concat(F.slice(c("h"), c("n") - s + 1, s), F.slice(c("h"), F.lit(1), c("n") - s))
+
+    blocks = F.sequence(F.lit(1), F.lit(n_perm), F.lit(SHIFTS))
+    spark = oos.sparkSession
+    # A given number, as adaptive execution would put these few bytes, but much work, into one task.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = base.withColumn("k", F.explode(blocks)).repartition(tasks, "symbol", "strategy", "k")
+    own = F.sequence(c("k"), F.least(c("k") + SHIFTS - 1, F.lit(n_perm)))
+    better = F.size(F.filter(own, lambda k: _let(shifted(k), sr) >= c("actual")))
+    p = dealt.withColumn("better", better).groupBy("symbol", "strategy").agg(((1 + F.sum("better")) / (n_perm + 1)).alias("p"))
     return g.select("symbol", "strategy").join(p, ["symbol", "strategy"], "left")
 
 
@@ -152,10 +167,30 @@ def trade_bootstrap(trades: DataFrame, n_draws: int = 1000, seed: int = 7) -> Da
     return ends.groupBy(*keys).agg(q("final", 0.05).alias("ret_p5"), q("final", 0.5).alias("ret_p50"), q("final", 0.95).alias("ret_p95"), q("mdd", 0.05).alias("mdd_p5"), q("mdd", 0.5).alias("mdd_p50"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """Φ(x) by Arrow batches: the engine has no error function."""
-    return x.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2)))
+# The double-precision rational approximation of the normal distribution published by Hart (1968) and West (2005).
+CDF_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+CDF_FAR = 7.07106781186547
+
+
+def normal_cdf(x: Column | str) -> Column:
+    """Φ(x) in column expressions, to about fifteen digits."""
+    x = F.col(x) if isinstance(x, str) else x
+    z = F.abs(x)
+
+    def polynomial(factors: tuple[float, ...]) -> Column:
+        out = F.lit(factors[0])
+        for f in factors[1:]:
+            out = out * z + f
+        return out
+
+    far = z + 0.65
+    for k in (4, 3, 2, 1):
+        far = z + k / far
+    near = polynomial(CDF_TOP) / polynomial(CDF_BOTTOM)
+    tail = F.exp(-z * z / 2) * F.when(z < CDF_FAR, near).otherwise(1 / (far * math.sqrt(2 * math.pi)))
+    tail = F.when(z > 37, F.lit(0.0)).otherwise(tail)
+    return F.when(x.isNotNull(), F.when(x > 0, 1 - tail).otherwise(tail))
 
 
 def psr(moments: DataFrame, star: Column | float = 0.0) -> DataFrame:
@@ -229,6 +264,36 @@ def rank_strategies(graded_rows: DataFrame) -> DataFrame:
     return graded_rows.withColumn("rank", F.row_number().over(order))
 
 
+def strategy_report(returns: DataFrame, trades: DataFrame, bars: DataFrame, positions: DataFrame, grid: DataFrame, day_returns: DataFrame, trials: int, n_perm: int = 1000, n_draws: int = 1000, marks_since: Column | None = None) -> DataFrame:
+    """One row for each symbol and strategy with folds: the whole chain from walk-forward to grade, weight and vote.
+
+    returns, trades and positions are those of all variants, written tables as they are read in many branches; grid is
+    the table of variants; day_returns(symbol, i, ret) the open-to-open returns that a day strategy's trades compete with.
+    """
+    c, keys = F.col, ["symbol", "strategy"]
+    fold_table = folds(bars)
+    chosen = written(chosen_variants(returns, fold_table), "chosen")
+    oos = written(walk_forward(returns, fold_table, chosen), "oos")
+    own = written(oos_trades(trades, bars, fold_table, chosen), "oos_trades")
+    families = grid.select("strategy", "family", "kind").distinct()  # a row for each strategy
+    held = oos.join(F.broadcast(families.where("kind = 'position'").select("strategy")), "strategy")
+    days = own.join(F.broadcast(families.where("kind = 'breakout'").select("strategy")), "strategy")
+    by_fold = oos.groupBy(*keys, "fold").agg(met.sharpe().alias("x")).join(chosen, [*keys, "fold"])
+    efficiency = by_fold.groupBy(*keys).agg(F.count(F.lit(1)).alias("folds"), F.avg("is_sharpe").alias("is_mean"), F.avg("x").alias("oos_mean"))
+    p = permutation_p(held, n_perm).unionByName(random_day_p(days, _in_fold(day_returns, fold_table, "a", "b"), n_draws))
+    out = oos.groupBy(*keys).agg(met.sharpe().alias("oos_sharpe"), (F.product(1 + c("ret")) - 1).alias("oos_return"), F.avg("held").alias("oos_exposure"))
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("oos_trades"), F.avg((c("ret") > 0).cast("double")).alias("oos_win_rate"))
+    rows = out.join(efficiency, keys).join(p, keys, "left").join(counts, keys, "left").join(trade_bootstrap(own, n_draws), keys, "left")
+    rows = rows.join(deflated_sharpe(returns, trials).withColumnRenamed("variant", "best_variant"), keys, "left")
+    signal = current_signal(returns, positions, families.select("strategy", "family"))
+    rows = rows.join(signal.withColumnRenamed("variant", "current_variant"), keys, "left").join(F.broadcast(families.select("strategy", "family")), "strategy")
+    if marks_since is not None:
+        shown = markers(trades, marks_since).groupBy(*acc.KEYS).agg(F.count(F.lit(1)).alias("markers")).withColumnRenamed("variant", "current_variant")
+        rows = rows.join(shown, [*keys, "current_variant"], "left").withColumn("markers", F.coalesce("markers", F.lit(0)))
+    rows = rows.withColumn("efficiency", F.when(c("is_mean") > 0, c("oos_mean") / c("is_mean"))).withColumn("oos_trades", F.coalesce("oos_trades", F.lit(0)))
+    return graded(rows)
+
+
 def markers(trades: DataFrame, since: Column, limit: int = 60) -> DataFrame:
     """(keys, time, side, price): buys and sells of trades that began on or after `since`, the newest `limit` of each key."""
     rows = trades.where(F.col("entry") >= since)

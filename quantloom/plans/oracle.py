@@ -38,6 +38,19 @@ def _rsi(n: int) -> str:
     return f"CASE WHEN g{n} IS NULL THEN NULL WHEN l{n} = 0 THEN 100.0 ELSE 100 - 100 / (1 + g{n} / l{n}) END AS rsi{n}"
 
 
+def normal_cdf(x: str) -> str:
+    """The published rational approximation of the normal distribution, its factors written out here again."""
+    z = f"abs({x})"
+    top, bottom = "0.0352624965998911", "0.0883883476483184"
+    for f in ("0.700383064443688", "6.37396220353165", "33.912866078383", "112.079291497871", "221.213596169931", "220.206867912376"):
+        top = f"({top} * {z} + {f})"
+    for f in ("1.75566716318264", "16.064177579207", "86.7807322029461", "296.564248779674", "637.333633378831", "793.826512519948", "440.413735824752"):
+        bottom = f"({bottom} * {z} + {f})"
+    far = f"({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 4 / ({z} + 0.65)))))"
+    tail = f"CASE WHEN {z} > 37 THEN 0.0 WHEN {z} < 7.07106781186547 THEN exp(-{z} * {z} / 2) * {top} / {bottom} ELSE exp(-{z} * {z} / 2) / ({far} * sqrt(2 * pi())) END"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 0 THEN 1 - ({tail}) ELSE {tail} END"
+
+
 FRAGMENTS = {
     "moves": f"""SELECT *, row_number() {OVER} - 1 AS i, lag(close) {OVER} AS pc, lag(high) {OVER} AS ph, lag(low) {OVER} AS pl FROM bars""",
     "moved": """SELECT *, close - pc AS d, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,

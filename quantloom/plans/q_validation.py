@@ -14,6 +14,7 @@ from ..operators import strategies as st
 from ..operators import validation as va
 from ..operators.risk import tail
 from ..operators.smooth import with_smoothed
+from ..session import written
 from . import oracle as o
 from .q_market import KEYS, METRICS, PERIOD, SHARPE, all_returns, all_trades
 from .registry import Panels, query
@@ -152,9 +153,18 @@ def v7_trade_bootstrap_full(t: Panels) -> DataFrame:
     return va.trade_bootstrap(_oos_trades(t))
 
 
-@query()
+FR["mom"] = f"""SELECT a.symbol, a.strategy, a.variant, count(*) AS n, any_value(m.mean) AS mean, any_value(m.sd) AS sd, avg(pow((ret - 0.0001 - m.mean) / m.sd, 3)) AS skew, avg(pow((ret - 0.0001 - m.mean) / m.sd, 4)) AS kurt
+  FROM all_ret a JOIN (SELECT {KEYS}, avg(ret - 0.0001) AS mean, stddev_samp(ret - 0.0001) AS sd FROM all_ret GROUP BY {KEYS}) m ON a.symbol = m.symbol AND a.strategy = m.strategy AND a.variant = m.variant WHERE m.sd > 0 GROUP BY 1, 2, 3"""
+
+
+def _psr(star: str) -> str:
+    sr, room = "(mean / sd)", "(1 - skew * mean / sd + (kurt - 1) / 4 * (mean / sd) * (mean / sd))"
+    return f"coalesce({o.normal_cdf('z')}, 0)", f"CASE WHEN n >= 30 AND sd > 0 AND {room} > 0 THEN ({sr} - {star}) * sqrt(n - 1) / sqrt({room}) END"
+
+
+@query(f"SELECT {', '.join('k.' + x for x in KEYS.split(', '))}, round(coalesce({_psr('0')[0]}, 0), 6) AS psr FROM (SELECT DISTINCT {KEYS} FROM all_ret) k LEFT JOIN (SELECT *, {_psr('0')[1]} AS z FROM mom) m ON m.symbol = k.symbol AND m.strategy = k.strategy AND m.variant = k.variant", FR)
 def v8_probabilistic_sharpe(t: Panels) -> DataFrame:
-    return va.psr(met.moments(all_returns(t), acc.KEYS)).select(*acc.KEYS, "psr")
+    return va.psr(met.moments(all_returns(t), acc.KEYS)).select(*acc.KEYS, F.round("psr", 6).alias("psr"))
 
 
 @query(f"SELECT symbol, sqrt(var_samp(sr)) * CAST({va.expected_max_factor(30)!r} AS DOUBLE) AS sr0 FROM (SELECT {KEYS}, {PERIOD} AS sr FROM all_ret GROUP BY {KEYS}) GROUP BY 1", FR)
@@ -162,7 +172,15 @@ def v9_expected_max_sharpe(t: Panels) -> DataFrame:
     return va.expected_max_sr(all_returns(t), 30)
 
 
-@query()
+FR["best"] = f"SELECT * FROM (SELECT {KEYS}, round({SHARPE}, 3) AS s FROM all_ret GROUP BY {KEYS}) QUALIFY row_number() OVER (PARTITION BY symbol, strategy ORDER BY s DESC, variant) = 1"
+FR["sr0"] = f"SELECT symbol, sqrt(var_samp(sr)) * 2.0733923079499466 AS sr0 FROM (SELECT {KEYS}, {PERIOD} AS sr FROM all_ret GROUP BY {KEYS}) GROUP BY 1"
+
+
+@query(
+    f"""SELECT b.symbol, b.strategy, b.variant, round(coalesce({_psr('sr0')[0]}, 0), 3) AS dsr FROM best b LEFT JOIN
+    (SELECT mom.*, {_psr('sr0')[1]} AS z FROM mom JOIN sr0 ON sr0.symbol = mom.symbol) m ON m.symbol = b.symbol AND m.strategy = b.strategy AND m.variant = b.variant""",
+    FR,
+)
 def v10_deflated_sharpe(t: Panels) -> DataFrame:
     return va.deflated_sharpe(all_returns(t), 30)
 
@@ -240,6 +258,31 @@ def v14_validation_report(t: Panels) -> DataFrame:
     return full.join(oos, "symbol").join(f.groupBy("symbol").agg(F.count(F.lit(1)).alias("folds")), "symbol")
 
 
+def _report(t: Panels, **sizes) -> DataFrame:
+    """The chain of validation over all strategies, from tables that are written once."""
+    returns, trades = written(all_returns(t), "returns"), written(all_trades(t), "trades")
+    fee = acc.FEE
+    o2o = t.stored_bars.select("symbol", ind.bar_index().alias("i"), (F.lead("open").over(ind.history()) * (1 - fee) / (c("open") * (1 + fee)) - 1).alias("ret"))
+    positions = st.stacked(t.wide, st.position_keys()).unionByName(st.stacked(t.wide, st.breakout_keys()).withColumn("value", F.lit(0.0)))
+    since = F.to_date(F.lit("2000-06-01"))
+    return va.strategy_report(returns, trades, t.stored_bars, positions, st.strategy_grid(t.spark), o2o, 30, marks_since=since, **sizes)
+
+
+@query()
+def v14_strategy_report(t: Panels) -> DataFrame:
+    return _report(t)
+
+
+@query()
+def v13_validated_votes(t: Panels) -> DataFrame:
+    """Score, votes, ranks and the Kelly source of each symbol from its validated strategies."""
+    rows = written(_report(t), "report")
+    ranks = va.rank_strategies(rows).groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "strategy"))), lambda x: x["strategy"]), ",").alias("ranked"))
+    weights = va.vote_weights(rows).groupBy("symbol").agg(*[F.sum(F.when(c("side") == k, c("weight"))).alias(n) for n, k in (("for", 1), ("flat", 0), ("against", -1))])
+    kelly = va.argmax_variant(rows.where("grade in ('A', 'B')").withColumn("variant", c("strategy")), ["symbol"], "weight").select("symbol", c("strategy").alias("kelly_source"))
+    return ranks.join(va.strategy_score(rows), "symbol", "left").join(weights, "symbol", "left").join(kelly, "symbol", "left")
+
+
 MARK = """WITH r AS (SELECT * FROM trades WHERE entry >= DATE '2000-06-01'), m AS (SELECT symbol, strategy, variant, entry, entry AS time, 'buy' AS side, entry_px AS price FROM r UNION ALL SELECT symbol, strategy, variant, entry, exit, 'sell', exit_px FROM r WHERE NOT is_open)
     SELECT symbol, strategy, variant, time, side, price FROM m QUALIFY row_number() OVER (PARTITION BY symbol, strategy, variant ORDER BY entry DESC, side DESC) <= 60"""
 
