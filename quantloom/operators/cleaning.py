@@ -30,9 +30,23 @@ def drop_partial_bar(bars: DataFrame, now: Column, least: int = 300, round_the_c
     return rows.where(~((F.col("_r") == 1) & running & (F.col("_k") > least))).drop("_r", "_k")
 
 
-def search_directory(directory: DataFrame, name: str, kind: str, kinds: list[str], order: str, limit: int = 8) -> DataFrame:
-    """The first rows of the listed kinds whose name has no dot."""
-    return directory.where(F.col(kind).isin(*kinds) & ~F.col(name).contains(".")).orderBy(order).limit(limit)
+# The exchanges of the directory whose symbols are listed.
+EXCHANGES = ["NMS", "NGM", "NCM", "NYQ", "ASE", "PCX", "BTS", "NAS", "NYS", "CXI", "CCC"]
+
+
+def search_directory(directory: DataFrame, text: str, name: str, kind: str, kinds: list[str], exchange: str, order: str, limit: int = 8, exchanges: list[str] | None = None, longest: int = 40) -> DataFrame:
+    """The first rows of the listed kinds and exchanges whose name has the text, in any case, and no dot; none for a blank or overlong text."""
+    asked = (text or "").strip()
+    if not asked or len(asked) > longest:
+        return directory.limit(0)
+    able = F.col(kind).isin(*kinds) & F.col(exchange).isin(*(exchanges or EXCHANGES)) & ~F.col(name).contains(".")
+    return directory.where(able & F.contains(F.lower(name), F.lit(asked.lower()))).orderBy(order).limit(limit)
+
+
+def newest_changes(rows: DataFrame, key: str, day: str, tie: str, n: int = 8) -> DataFrame:
+    """The n newest rows of each key, however old, with their rank."""
+    order = Window.partitionBy(key).orderBy(F.col(day).desc(), tie)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def recent_counts(rows: DataFrame, key: str, action: str, actions: list[str], day: str, as_of: Column, days: int) -> DataFrame:

@@ -52,7 +52,7 @@ def combined_ic(samples: DataFrame, weights: DataFrame) -> DataFrame:
     return spearman(combined_score(samples, weights), ["horizon"], "s", "ret")
 
 
-def propose(ics: DataFrame, prior: DataFrame, keep_total: bool = True) -> DataFrame:
+def propose(ics: DataFrame, prior: DataFrame, keep_total: bool | Column = True) -> DataFrame:
     """(horizon, module, w) from ics(horizon, module, ic, n_eff) and prior(horizon, module, w).
 
     Weight moves from the prior to the share of the positive correlations as
@@ -66,7 +66,8 @@ def propose(ics: DataFrame, prior: DataFrame, keep_total: bool = True) -> DataFr
     lam = F.col("n_eff") / (F.col("n_eff") + SHRINK)
     evidence = F.when(F.col("_tot") > 0, F.col("_mass") * F.col("_p") / F.col("_tot")).otherwise(0.0)
     rows = rows.withColumn("_n", F.when(F.col("_ok"), F.least((1 - lam) * F.col("w0") + lam * evidence, 2 * F.col("w0"))).otherwise(F.col("w0")))
-    scale = F.when(F.max("_ok").over(g), F.col("_mass") / F.sum("_n").over(g)).otherwise(1.0) if keep_total else F.lit(1.0)
+    kept = F.lit(keep_total) if isinstance(keep_total, bool) else keep_total
+    scale = F.when(kept & F.max("_ok").over(g), F.col("_mass") / F.sum("_n").over(g)).otherwise(1.0)
     return rows.select("horizon", "module", F.round(F.col("_n") * scale, 3).alias("w"))
 
 
@@ -88,6 +89,37 @@ def tune(samples: DataFrame, prior: DataFrame, modules: list[str], margin: float
     return old.join(new, "horizon", "full").withColumn("adopted", better)
 
 
+def tuned_weights(samples: DataFrame, prior: DataFrame, modules: list[str], tested: list[str], margin: float = 0.01, least_live: int = 60) -> DataFrame:
+    """(horizon, module, w, mode, n, n_eff, n_live, ic_prior, ic_new, adopted) for every row of prior(horizon, module, w).
+
+    Horizons with enough independent live samples tune all modules, the others the tested ones, whose total stays.  Weights
+    fitted on the older samples are judged on the newer ones; if they do better by `margin`, those fitted on all samples
+    are taken, else, and where samples are too few, the prior.
+    """
+    c = F.col
+    samples = samples if "src" in samples.columns else samples.withColumn("src", F.lit("bt"))
+    live = n_eff(samples.where("src = 'live'")).withColumnRenamed("n_eff", "n_live")
+    stats = samples.groupBy("horizon").agg(F.count(F.lit(1)).alias("n")).join(n_eff(samples), "horizon").join(live, "horizon", "left")
+    rows = prior.join(F.broadcast(stats), "horizon", "left").na.fill(0, ["n", "n_eff", "n_live"])  # a row for each horizon
+    rows = rows.withColumn("all", c("n_live") >= least_live)
+    group = rows.where(c("all") | c("module").isin(*tested)).select("horizon", "module", "w", "all")
+
+    def fitted(part: DataFrame) -> DataFrame:
+        new = propose(module_ic(part, modules), group, ~c("all")).withColumnRenamed("w", "_new")
+        return prior.join(new, ["horizon", "module"], "left").select("horizon", "module", F.coalesce("_new", "w").alias("w"))
+
+    parts = split_by_date(samples)
+    test = parts.where("is_test")
+    old = combined_ic(test, prior).select("horizon", c("ic").alias("ic_prior"))
+    new = combined_ic(test, fitted(parts.where("not is_test"))).select("horizon", c("ic").alias("ic_new"))
+    final = fitted(samples).withColumnRenamed("w", "_final")
+    out = rows.join(final, ["horizon", "module"]).join(old, "horizon", "left").join(new, "horizon", "left")
+    changed = F.max(c("_final") != c("w")).over(Window.partitionBy("horizon"))
+    adopted = changed & (c("n") >= 2 * LEAST) & F.coalesce(c("ic_new") >= c("ic_prior") + margin, F.lit(False))
+    out = out.withColumn("adopted", adopted)
+    return out.select("horizon", "module", F.when(c("adopted"), c("_final")).otherwise(c("w")).alias("w"), F.when(c("all"), "all").otherwise("backtest").alias("mode"), "n", "n_eff", "n_live", "ic_prior", "ic_new", "adopted")
+
+
 def live_samples(runs: DataFrame, modules: list[str]) -> DataFrame:
     """Newest run of each (symbol, day, horizon) among those with a price and an end price, as samples."""
     rows = runs.where("price is not null and end_price is not null")

@@ -100,6 +100,18 @@ def findings(by_verdict: DataFrame, margin: float = 0.03) -> DataFrame:
     return by_verdict.withColumn("lift", lift).withColumn("finding", kind).where("finding is not null").select("horizon", "verdict", "n", "lift", "finding")
 
 
+def conclusions(samples: DataFrame) -> DataFrame:
+    """One row over all horizons: whether prices rose more after sells than after all verdicts, and whether the highest
+    confidence bin does no better against its baseline than the lowest."""
+    sell = summarize_verdicts(samples).where("verdict = 'sell'").select("horizon", F.col("avg_ret").alias("sell"))
+    every = samples.groupBy("horizon").agg(F.avg("ret").alias("every")).join(sell, "horizon", "left")
+    rise = every.agg(F.bool_and(F.coalesce("sell", F.lit(-1.0)) > F.col("every")).alias("sells_rise"))
+    bins = summarize_conf(samples).withColumn("lift", F.col("hit") - F.col("base")).groupBy("horizon")
+    ends = bins.agg(F.count(F.lit(1)).alias("n"), F.min_by("lift", "bin").alias("low"), F.max_by("lift", "bin").alias("high"))
+    flat = ends.agg(F.bool_and((F.col("n") > 1) & (F.col("high") <= F.col("low"))).alias("confidence_tells_nothing"))
+    return rise.crossJoin(flat)  # one row each
+
+
 def engine_report(samples: DataFrame) -> DataFrame:
     """Span, size and the weight of the tested modules, by horizon."""
     share = F.create_map(*[x for h, w in vd.WEIGHTS.items() for x in (F.lit(h), F.lit(round(sum(v for m, v in zip(vd.MODULES, w, strict=True) if m in TESTED), 2)))])

@@ -39,11 +39,12 @@ def s6_read_news(t: Panels) -> DataFrame:
     return t.news
 
 
-@query()
+@query("SELECT strftime(created, '%Y-%m') AS run_month, count(*) AS n, max(horizon) AS last_horizon FROM runs GROUP BY 1")
 def s7_append_runs(t: Panels) -> DataFrame:
     path = shared_path(t.spark, "runs")
     rec.append_runs(t.runs, path)
-    return t.spark.read.parquet(path).groupBy("run_month").agg(F.count(F.lit(1)).alias("n"), F.max(F.get_json_object("result", "$.horizon")).alias("last_horizon"))
+    kinds = "run_month string, result string"  # a month is no date
+    return t.spark.read.schema(kinds).parquet(path).groupBy("run_month").agg(F.count(F.lit(1)).alias("n"), F.max(F.get_json_object("result", "$.horizon")).alias("last_horizon"))
 
 
 @query("SELECT id, symbol, created, horizon, verdict, score, confidence, CAST(score AS VARCHAR) IS NOT NULL AS has_score FROM runs WHERE symbol = 'AF' ORDER BY created DESC, id DESC LIMIT 50")
@@ -77,6 +78,12 @@ def s12_fresh_snapshots(t: Panels) -> DataFrame:
     return rec.fresh(rows, F.expr("timestamp '2024-01-10 00:00:00'"), 432000)
 
 
+@query("SELECT event_id, event_type AS key, ts AS fetched_at FROM events WHERE ts >= TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 30 DAY")
+def s12_expire_snapshots(t: Panels) -> DataFrame:
+    rows = t.table("events").select("event_id", c("event_type").alias("key"), c("ts").cast("timestamp").alias("fetched_at"))
+    return rec.expire(rows, F.expr("timestamp '2024-02-05 00:00:00'"))
+
+
 @query("SELECT id, horizon, score FROM runs ORDER BY id DESC LIMIT 20")
 def s13_weights_history(t: Panels) -> DataFrame:
     return rec.newest(t.runs, 20).select("id", "horizon", "score")
@@ -87,12 +94,12 @@ def s14_matured_runs(t: Panels) -> DataFrame:
     return rec.matured(t.runs, _day("1998-06-01")).select("id", "symbol", "created", "horizon")
 
 
-@query()
+@query("SELECT CAST(min(created) AS VARCHAR) AS start, CAST(max(created) AS VARCHAR) AS \"end\", array_to_string(list_sort(list(DISTINCT horizon)), ',') AS horizons, count(*) AS n FROM runs")
 def s15_write_report(t: Panels) -> DataFrame:
     path = shared_path(t.spark, "report")
     report = t.runs.agg(F.min("created").alias("start"), F.max("created").alias("end"), F.array_sort(F.collect_set("horizon")).alias("horizons"), F.count(F.lit(1)).alias("n"))
     rec.write_report(report, path)
-    return t.spark.read.json(path)
+    return t.spark.read.schema("start string, end string, horizons array<string>, n long").json(path).withColumn("horizons", F.array_join("horizons", ","))
 
 
 @query(
@@ -110,12 +117,13 @@ def p2_valid_symbol(t: Panels) -> DataFrame:
     return t.news.select("id", "title", sc.valid_symbol(c("title")).alias("ok"), sc.valid_symbol(c("symbol")).alias("symbol_ok"))
 
 
-@query("SELECT c_custkey AS id, c_mktsegment AS kind FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name NOT LIKE '%.%' ORDER BY c_custkey LIMIT 8")
+@query("SELECT c_custkey AS id, c_mktsegment AS kind FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey % 3 < 2 AND lower(c_name) LIKE '%er#0000000%' AND c_name NOT LIKE '%.%' ORDER BY c_custkey LIMIT 8")
 def p3_search_symbols(t: Panels) -> DataFrame:
     from ..operators.cleaning import search_directory
 
-    rows = t.table("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("kind"))
-    return search_directory(rows, "name", "kind", ["BUILDING", "MACHINERY"], "id", 8).select("id", "kind")
+    place = F.element_at(F.array(F.lit("NMS"), F.lit("NYQ"), F.lit("LSE")), (c("c_nationkey") % 3 + 1).cast("int"))
+    rows = t.table("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("kind"), place.alias("exchange"))
+    return search_directory(rows, " er#0000000 ", "name", "kind", ["BUILDING", "MACHINERY"], "exchange", "id", 8).select("id", "kind")
 
 
 def _junk(x: str) -> str:
@@ -262,6 +270,13 @@ def a1_change_counts(t: Panels) -> DataFrame:
     return recent_counts(t.news, "symbol", "impact", ["low", "medium", "high"], "published", _day("2001-10-25"), 90)
 
 
+@query("SELECT id, symbol, impact, published, row_number() OVER (PARTITION BY symbol ORDER BY published DESC, id) AS rank FROM news QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY published DESC, id) <= 8")
+def a1_newest_changes(t: Panels) -> DataFrame:
+    from ..operators.cleaning import newest_changes
+
+    return newest_changes(t.news.select("id", "symbol", "impact", "published"), "symbol", "published", "id")
+
+
 def _evaluated() -> str:
     hit = "CASE verdict WHEN 'buy' THEN ret > 0.02 WHEN 'sell' THEN ret < -0.02 ELSE abs(ret) <= 0.05 END"
     return f"""WITH r AS ({RUNS_DUE}), p AS (SELECT r.*, b.close AS price FROM r ASOF LEFT JOIN bars b ON r.symbol = b.symbol AND r.created >= b.date),

@@ -12,6 +12,7 @@ from ..operators import risk as rk
 from ..operators import tuning as tu
 from ..operators import verdict as vd
 from ..operators.smooth import with_smoothed
+from ..session import written
 from . import backtest as bt
 from . import oracle as o
 from .q_market import STATE
@@ -197,6 +198,17 @@ def a20_findings(t: Panels) -> DataFrame:
     return bt.findings(bt.summarize_verdicts(bt.engine_samples(t.stored_bars, t.stored_series)))
 
 
+@query(
+    f"""WITH s AS (SELECT m.horizon, max(b.avg_ret) AS sell, any_value(m.avg_ret) AS every FROM (SELECT horizon, avg(ret) AS avg_ret FROM smp GROUP BY 1) m LEFT JOIN byv b ON b.horizon = m.horizon AND b.verdict = 'sell' GROUP BY 1),
+    k AS (SELECT s.horizon, CASE WHEN conf < 0.6 THEN 0 WHEN conf < 0.8 THEN 1 ELSE 2 END AS bin, {_MEAN(_HIT('s.verdict'))} - avg(b.base) AS lift FROM smp s JOIN bases b ON b.horizon = s.horizon AND b.verdict = s.verdict GROUP BY 1, 2),
+    e AS (SELECT horizon, count(*) AS bins, min_by(lift, bin) AS low, max_by(lift, bin) AS high FROM k GROUP BY 1)
+    SELECT bool_and(coalesce(sell, -1) > every) AS sells_rise, (SELECT bool_and(bins > 1 AND high <= low) FROM e) AS confidence_tells_nothing FROM s""",
+    FR,
+)
+def a20_conclusions(t: Panels) -> DataFrame:
+    return bt.conclusions(written(bt.engine_samples(t.stored_bars, t.stored_series), "samples"))
+
+
 SHARE = "CASE horizon " + " ".join(f"WHEN '{h}' THEN {round(sum(v for m, v in zip(vd.MODULES, w, strict=True) if m in bt.TESTED), 2)}" for h, w in vd.WEIGHTS.items()) + " END"
 
 
@@ -362,6 +374,22 @@ def e7_tune(t: Panels) -> DataFrame:
     return tu.tune(bt.engine_samples(t.stored_bars, t.stored_series), vd.weight_table(t.spark, bt.TESTED), bt.TESTED)
 
 
+FR["w_fin"] = _propose(_module_ic("sx"))
+FR["judged"] = f"""SELECT a.horizon, a.ic AS ic_prior, b.ic AS ic_new FROM ({_ic(f"({_score('sx_test', 'w_old')})", 's', 'horizon')}) a FULL JOIN ({_ic(f"({_score('sx_test', 'w_new')})", 's', 'horizon')}) b ON a.horizon = b.horizon"""
+
+
+@query(
+    f"""WITH n AS (SELECT horizon, count(*) AS n, count(DISTINCT (symbol, (date - DATE '1970-01-01' + 719163) // {_DAYS})) AS n_eff FROM smp GROUP BY 1),
+    r AS (SELECT w.*, coalesce(f.w, w.w) AS final, n, n_eff, ic_prior, ic_new FROM wts w LEFT JOIN w_fin f ON f.horizon = w.horizon AND f.module = w.module JOIN n ON n.horizon = w.horizon JOIN judged j ON j.horizon = w.horizon),
+    a AS (SELECT *, bool_or(final <> w) OVER (PARTITION BY horizon) AND n >= 60 AND coalesce(ic_new >= ic_prior + 0.01, false) AS adopted FROM r)
+    SELECT horizon, module, CASE WHEN adopted THEN final ELSE w END AS w, 'backtest' AS mode, n, n_eff, 0::BIGINT AS n_live, ic_prior, ic_new, adopted FROM a""",
+    FR,
+)
+def e7_tuned_weights(t: Panels) -> DataFrame:
+    samples = written(bt.engine_samples(t.stored_bars, t.stored_series), "samples")
+    return tu.tuned_weights(samples, vd.weight_table(t.spark), vd.MODULES, bt.TESTED)
+
+
 LIVE = """WITH r AS (SELECT *, CAST(created + CASE horizon WHEN 'short' THEN 30 WHEN 'mid' THEN 91 ELSE 365 END AS DATE) AS due FROM runs),
     p AS (SELECT r.*, b.close AS price FROM r ASOF LEFT JOIN bars b ON r.symbol = b.symbol AND r.created >= b.date), e AS (SELECT p.*, b.close AS end_price FROM p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.due <= b.date)
     SELECT horizon, created AS date, symbol, end_price / price - 1 AS ret, round(score * confidence, 4) AS v FROM e WHERE price IS NOT NULL AND end_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, created, horizon ORDER BY id DESC) = 1"""

@@ -38,6 +38,11 @@ def fresh(snapshots: DataFrame, as_of: Column, seconds: int, payload: str = "pay
     return young.groupBy("key").agg(F.max_by(payload, "fetched_at").alias(payload), F.max("fetched_at").alias("fetched_at"))
 
 
+def expire(snapshots: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Without payloads older than `days`: what a store keeps when it is opened."""
+    return snapshots.where(F.col("fetched_at") >= as_of - F.make_dt_interval(days=F.lit(days)))
+
+
 def newest(history: DataFrame, n: int) -> DataFrame:
     return history.orderBy(F.col("id").desc()).limit(n)
 
