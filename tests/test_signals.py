@@ -48,10 +48,13 @@ def test_breakout_fill(spark):
     assert total == pytest.approx(11 / 10)
 
 
-def test_smoothing_with_gaps():
-    x = pd.Series([None, 1.0, 2.0, None, 4.0])
-    assert smooth.smoothed(x, 0.5, 1).round(4).tolist()[1:] == [1.0, 1.5, 1.5, 3.1667]
-    assert smooth.rsi(pd.Series([5.0] * 40), 14).iloc[-1] == 100.0
+def test_smoothing_with_gaps(spark):
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    x = spark.createDataFrame([("A", day(k), v) for k, v in enumerate([None, 1.0, 2.0, None, 4.0])], "symbol string, date date, x double")
+    got = smooth.smooth(x, [smooth.Smoothing("y", "x", 0.5, 1)]).orderBy("date").collect()
+    assert [round(r["y"], 4) for r in got[1:]] == [1.0, 1.5, 1.5, 3.1667] and got[0]["y"] is None
+    flat = spark.createDataFrame([("A", day(k), 5.0, 5.0, 5.0) for k in range(40)], "symbol string, date date, high double, low double, close double")
+    assert smooth.with_smoothed(flat, ["rsi14"]).orderBy(F.col("date").desc()).first()["rsi14"] == 100.0
 
 
 def test_signals_do_not_look_ahead(spark):
