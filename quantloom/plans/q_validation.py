@@ -296,18 +296,12 @@ def t8_markers(t: Panels) -> DataFrame:
 PATHS, ALL_PATHS, STEPS = 40, 2000, 252
 FR["lr"] = f"SELECT symbol, date, ln(close) - ln(lag(close) {o.OVER}) AS r FROM bars"
 FR["lr3"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM lr WHERE r IS NOT NULL) WHERE k <= 756"
-FR["lrs"] = "SELECT symbol, count(r) AS n, avg(r) AS mean, var_samp(r) AS v FROM lr3 GROUP BY 1"
+# The salt of a symbol is the CRC-32 of its bytes, a fold over bytes and their bits.
+_BITS = "list_reduce(list_prepend(xor(a, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_SALT = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(symbol, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: {_BITS}), 4294967295)"
+FR["lrs"] = f"SELECT *, {_SALT} AS salt FROM (SELECT symbol, count(r) AS n, avg(r) AS mean, var_samp(r) AS v FROM lr3 GROUP BY 1)"
 FR["lrp"] = f"SELECT l.symbol, row_number() OVER (PARTITION BY l.symbol ORDER BY l.date) - 1 AS pick, l.r - s.mean + ln(1 + 0.03 + 0.045) / {STEPS} - s.v / 2 AS x FROM lr3 l JOIN lrs s ON s.symbol = l.symbol"
-_SALT = "CASE symbol WHEN 'AF' THEN {AF} WHEN 'AO' THEN {AO} WHEN 'NF' THEN {NF} WHEN 'NO' THEN {NO} WHEN 'RF' THEN {RF} ELSE {RO} END"
-
-
-def _salt() -> str:
-    import zlib
-
-    return _SALT.format(**{s: zlib.crc32(s.encode()) for s in ("AF", "AO", "NF", "NO", "RF", "RO")})
-
-
-FR["bb0"] = f"""SELECT symbol, n, path, step, CASE WHEN step = 0 OR {_draw(11, _salt(), 'path', 'step', '1')} % 10 = 0 THEN step END AS s0, {_draw(11, _salt(), 'path', 'step', '2')} % n AS p0
+FR["bb0"] = f"""SELECT symbol, n, path, step, CASE WHEN step = 0 OR {_draw(11, 'salt', 'path', 'step', '1')} % 10 = 0 THEN step END AS s0, {_draw(11, 'salt', 'path', 'step', '2')} % n AS p0
   FROM lrs, LATERAL (SELECT unnest(range(0, {PATHS})) AS path), LATERAL (SELECT unnest(range(0, {STEPS})) AS step)"""
 FR["bb"] = """SELECT symbol, path, step, (last_value(CASE WHEN s0 IS NOT NULL THEN p0 END IGNORE NULLS) OVER w + step - last_value(s0 IGNORE NULLS) OVER w) % n AS pick FROM bb0
   WINDOW w AS (PARTITION BY symbol, path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""

@@ -1,7 +1,10 @@
 """Panels derived from the star-schema tables, as SQL that Spark and DuckDB both run.
 
-A symbol is a return flag and line status; prices are a bounded random walk made
-from discounts and taxes.  Each text is written once and rendered for either engine.
+A symbol is a return flag, a line status and a band of 100 suppliers, so that symbols
+grow with the tables while the bars of each keep their number; runs (1,500 customers) and
+news (1,000 documents) have like bands, and the first band has no number.  Prices are a
+bounded random walk made from discounts and taxes.  Each text is written once and
+rendered for either engine.
 """
 
 from __future__ import annotations
@@ -10,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice"
 _SIX = "CASE {x} % 6 WHEN 0 THEN 'AF' WHEN 1 THEN 'AO' WHEN 2 THEN 'NF' WHEN 3 THEN 'NO' WHEN 4 THEN 'RF' ELSE 'RO' END"
+_BAND = "CASE WHEN {x} >= {n} THEN concat('', CAST(floor({x} / {n}) AS INT)) ELSE '' END"
 _RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 PANELS = {
     "bars": f"""
 WITH day AS (
-  SELECT concat(l_returnflag, l_linestatus) AS symbol, CAST(l_shipdate AS DATE) AS date,
+  SELECT concat(l_returnflag, l_linestatus, {_BAND.format(x="l_suppkey", n=100)}) AS symbol, CAST(l_shipdate AS DATE) AS date,
          min_by(l_discount, <K>) AS d0, max_by(l_discount, <K>) AS d1, max_by(l_tax, <K>) AS x1,
          max_by(l_quantity, <K>) AS q1, sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2),
@@ -48,7 +52,7 @@ WITH a AS (SELECT concat('S', l_suppkey) AS symbol, year(l_shipdate) AS y, CAST(
         )
     ),
     "news": f"""
-SELECT d.doc_id AS id, {_SIX.format(x="d.doc_id")} AS symbol, replace(d.text, chr(10), ' ') AS title, d.source AS source,
+SELECT d.doc_id AS id, concat({_SIX.format(x="d.doc_id")}, {_BAND.format(x="d.doc_id", n=1000)}) AS symbol, replace(d.text, chr(10), ' ') AS title, d.source AS source,
   CAST(<DAY:DATE '2001-10-01':CAST(d.doc_id % 30 AS INT)> AS DATE) AS published,
   CASE WHEN l.doc_id IS NULL THEN NULL ELSE CAST(0.5 + 0.5 * l.quality AS DOUBLE) END AS relevance,
   CASE WHEN l.doc_id IS NULL THEN NULL ELSE CAST(0.6 * l.quality - 1.2 * l.toxic AS DOUBLE) END AS sentiment,
@@ -56,7 +60,7 @@ SELECT d.doc_id AS id, {_SIX.format(x="d.doc_id")} AS symbol, replace(d.text, ch
   CASE d.doc_id % 5 WHEN 0 THEN 'earnings' WHEN 1 THEN 'legal' WHEN 2 THEN 'product' WHEN 3 THEN 'price_move' ELSE 'other' END AS event
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "runs": f"""
-SELECT o_orderkey AS id, {_SIX.format(x="o_custkey")} AS symbol, CAST(o_orderdate AS DATE) AS created,
+SELECT o_orderkey AS id, concat({_SIX.format(x="o_custkey")}, {_BAND.format(x="o_custkey", n=1500)}) AS symbol, CAST(o_orderdate AS DATE) AS created,
   CASE o_orderkey % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS horizon,
   CASE o_orderstatus WHEN 'F' THEN 'buy' WHEN 'O' THEN 'sell' ELSE 'hold' END AS verdict,
   CAST(o_totalprice / 250000.0 - 1 AS DOUBLE) AS score, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence FROM orders""",
