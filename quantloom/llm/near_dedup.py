@@ -9,9 +9,10 @@
    are links, and links already merge most of a large group.
 4. Buckets that still hold several components are compared exhaustively across
    components, in blocks of bounded size: all members outside the bucket's main
-   component meet every member.  A block first compares sketches, leaving out only
-   pairs more than four standard errors below the threshold, then full sets, and
-   returns a spanning part of the links it confirms.  No pair list is ever made.
+   component meet every member.  A first pass over sketches alone leaves in each block
+   the rows that have a partner near enough to be looked at; only these are sent on
+   with their texts, and a second pass compares full sets and returns a spanning part
+   of the links it confirms.  No pair list is ever made.
 5. Components of all links, by stars, give each class its least reachable doc_id.
 
 Defined results: null, empty or wordless text has the empty set and is linked with
@@ -37,8 +38,10 @@ from .text_arrays import LOWER, buffers, hash_spans, shingle_set, slices, word_s
 
 SKETCH = 128
 SCREEN_LOSS = 1e-6
-BLOCK = 2048
+BLOCK = 512
 SMALL_NODES = 400_000
+BLOCK_COLUMNS = ["block", "band", "home", "loose", "node", "comp", "n", "sketch"]
+BLOCK_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -122,21 +125,68 @@ def _fewest_agreeing(percent: int) -> int:
     return k
 
 
-def _blocks(width: int, percent: int, rows_in_band: int):
-    """Links across components inside each block; rows come sorted by block.
+def _able(home: list[tuple], percent: int, rows_in_band: int):
+    """For a loose row: which home rows its full set must be compared with, and the share of coordinates they agree in."""
+    least, band = _fewest_agreeing(percent) / SKETCH, home[0][1]
+    signs = np.frombuffer(b"".join(r[7] for r in home), np.uint16).reshape(-1, SKETCH)
+    sizes, comps = np.array([r[6] for r in home]), np.array([r[5] for r in home], dtype="V16")
+
+    def able(r: tuple) -> tuple[np.ndarray, np.ndarray]:
+        same = signs == np.frombuffer(r[7], np.uint16)
+        agree = same.mean(axis=1)
+        small, large = np.minimum(sizes, r[6]), np.maximum(sizes, r[6])
+        out = (agree >= least) & (comps != np.void(r[5])) & (100 * small >= percent * large)
+        if band:  # a pair that an earlier band has is left to it
+            out &= ~same[:, : band * rows_in_band].reshape(len(home), band, rows_in_band).all(axis=2).any(axis=1)
+        return out, agree
+
+    return able
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block, which come together: block, band, home, loose, node, comp, n, sketch and more."""
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and r[0] != held[-1][0]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _screen(percent: int, rows_in_band: int):
+    """The rows of each block that have a partner in it whose full set must be looked at; rows come sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_block(batches):
+            at_home = [i for i, r in enumerate(rows) if r[2]]
+            if not at_home:
+                continue
+            able, met, wanted = _able([rows[i] for i in at_home], percent, rows_in_band), np.zeros(len(at_home), bool), set()
+            for i, r in enumerate(rows):
+                if r[3]:
+                    hit, _ = able(r)
+                    met |= hit
+                    if hit.any():
+                        wanted.add(i)
+            wanted.update(at_home[j] for j in np.flatnonzero(met))
+            some = [rows[i] for i in sorted(wanted)]
+            if some:
+                yield pa.record_batch([pa.array(*column) for column in zip(zip(*some, strict=True), BLOCK_TYPES, strict=True)], names=BLOCK_COLUMNS)
+
+    return run
 
-    Columns: block key, band, home, loose, node, comp, n, sketch, text.
-    """
-    least = _fewest_agreeing(percent) / SKETCH
+
+def _blocks(width: int, percent: int, rows_in_band: int):
+    """Links across components inside each block of BLOCK_COLUMNS and text; rows come sorted by block."""
 
     def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        band = rows[0][1]
         home, loose = [r for r in rows if r[2]], [r for r in rows if r[3]]
         if not home or not loose:
             return []
-        signs = np.frombuffer(b"".join(r[7] for r in home), np.uint16).reshape(-1, SKETCH)
-        sizes, comps = np.array([r[6] for r in home]), np.array([r[5] for r in home], dtype="V16")
-        forest, made, out = _Forest(), {}, []
+        able, forest, made, out = _able(home, percent, rows_in_band), _Forest(), {}, []
 
         def set_of(r: tuple) -> np.ndarray:
             if r[4] not in made:
@@ -144,14 +194,8 @@ def _blocks(width: int, percent: int, rows_in_band: int):
             return made[r[4]]
 
         for r in loose:
-            same = signs == np.frombuffer(r[7], np.uint16)
-            agree = same.mean(axis=1)
-            small, large = np.minimum(sizes, r[6]), np.maximum(sizes, r[6])
-            able = (agree >= least) & (comps != np.void(r[5])) & (100 * small >= percent * large)
-            if band:  # a pair that an earlier band has is left to it
-                earlier = same[:, : band * rows_in_band].reshape(len(home), band, rows_in_band).all(axis=2).any(axis=1)
-                able &= ~earlier
-            at = np.flatnonzero(able)
+            hit, agree = able(r)
+            at = np.flatnonzero(hit)
             for i in at[np.argsort(-agree[at], kind="stable")]:
                 h = home[i]
                 x, y = forest.find(r[5]), forest.find(h[5])
@@ -161,17 +205,8 @@ def _blocks(width: int, percent: int, rows_in_band: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and r[0] != held[-1][0]:
-                    out += links(held)
-                    held = []
-                held.append(r)
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
-        if held:
-            out = links(held)
+        for rows in _by_block(batches):
+            out = links(rows)
             yield pa.record_batch([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
 
     return run
@@ -252,10 +287,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = scratch.save(stars.unionByName(by_id), "links")
 
     rows = _block_rows(members, connected_components(links, scratch, "inner"), scratch)
-    rows = rows.join(reps.select("node", "n", "sketch"), "node").join(texts, "node")
-    rows = rows.select("block", "band", "home", "loose", "node", "comp", "n", "sketch", "text").repartition("block").sortWithinPartitions("block")
+    rows = rows.join(reps.select("node", "n", "sketch"), "node").select(*BLOCK_COLUMNS)
+    screen = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_screen(percent, rows_in_band), "block long, band int, home boolean, loose boolean, node binary, comp binary, n long, sketch binary")
+    rows = scratch.save(screen, "screened").join(texts, "node").select(*BLOCK_COLUMNS, "text").repartition("block").sortWithinPartitions("block")
     across = scratch.save(rows.mapInArrow(_blocks(words, percent, rows_in_band), "a binary, b binary"), "across")
-    scratch.drop("texts", "members", "placed", "near")
+    scratch.drop("texts", "members", "placed", "near", "screened")
 
     roots = connected_components(links.unionByName(across), scratch, "outer")
     classes = _rooted(reps.select("node", "doc_id"), roots)
