@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality, sharding, token_files, url_lists
+from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, pivot_search, quality, sharding, token_files, token_links, url_lists, whitening
 from .scratch import Scratch
 
 
@@ -94,6 +94,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_pointer_jumping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align_documents(_documents(spark, sf_dir))
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_embeddings(spark, sf_dir), components=8)
+
+
+def op13_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _embeddings(spark, sf_dir)
+    return pivot_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -129,7 +146,7 @@ FROM documents d LEFT JOIN doc x ON x.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_convolution, op2_line_dedup, op3_dated_url_lists, op4_minhash_near_dedup, op5_mix_sources, op6_tokeniser_fertility, op7_virtual_slots, op8_token_files, op9_bin_completion, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_byte_convolution, op2_line_dedup, op3_dated_url_lists, op4_minhash_near_dedup, op5_mix_sources, op6_tokeniser_fertility, op7_virtual_slots, op8_token_files, op9_bin_completion, op10_exact_dedup, op11_pointer_jumping, op12_bit_sliced_whitening, op13_pivot_distance)}
 
 
 def oracle_sql() -> dict[str, str]:
