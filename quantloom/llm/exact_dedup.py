@@ -212,11 +212,13 @@ def drop_known(docs: DataFrame, path: str, version: int | None = None) -> DataFr
 def exact_duplicates(docs: DataFrame, is_history: Column | None = None) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, digest, keep_id, group_size, kept.
 
-    `is_history` tells the rows whose digests form the index (default: even
-    doc_ids); which rows it names changes the way, not the result.
+    `is_history` tells the rows whose digests form the index (default: about half of
+    them, by a hash of the doc_id as text, so ids may be of any type); which rows it
+    names changes the way, not the result.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    history = F.coalesce(is_history if is_history is not None else F.col("doc_id") % 2 == 0, F.lit(False))
+    half = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
+    history = F.coalesce(is_history if is_history is not None else half, F.lit(False))
     keyed = scratch.save(docs.select("doc_id", text_digest(F.col("text")).alias("digest"), history.alias("history")), "keyed")
     old = scratch.save(distinct_digests(keyed.where("history")), "old")
     new = scratch.save(distinct_digests(keyed.where("not history")), "new")

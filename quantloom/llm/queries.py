@@ -80,9 +80,9 @@ def _crc32(batches):
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "tokens").path("files")
-    token_files.write_token_files(_documents(spark, sf_dir), path, end_id=0)
-    return token_files.read_token_files(spark, path).mapInArrow(_crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    path, docs = Scratch(spark, "tokens").path("files"), _documents(spark, sf_dir)
+    token_files.write_token_files(docs, path, end_id=0)
+    return token_files.read_token_files(spark, path).mapInArrow(_crc32, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ the ids before it in the part.  The rank table lies beside it.  The container ke
 the files readable and writable by any store that Spark reaches, and a lost task
 rewrites its part alone.
 
-Defined results: null text is empty and has the end id alone; rows that repeat a
+Defined results: doc_ids of any type that Spark orders (numbers, strings, dates), in the
+order of that type; null text is empty and has the end id alone; rows that repeat a
 doc_id follow each other, ordered by their ids; null doc_ids come first; an empty
 table gives an empty file set; further columns are ignored by name.
 """
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import Scratch
 from .text_arrays import buffers, slices
@@ -37,10 +39,9 @@ VOCABULARY = "byte_bpe_50k.json"
 PART_IDS = 8_000_000
 MAX_PARTS = 20_000
 BLOCK_IDS = 1_000_000
-_NO_ID = -(1 << 63)
 #: Lengths of the four numbers of each control byte.
 LENGTHS = np.stack([((np.arange(256) >> shift) & 3) + 1 for shift in (0, 2, 4, 6)], axis=1).astype(np.int64)
-_BLOCK_SCHEMA = "part int, block int, before long, n_ids long, n_docs long, doc_ids binary, counts binary, control binary, data binary"
+_BLOCK_SCHEMA = "part int, block int, before long, n_ids long, n_docs long, doc_ids array<{}>, counts binary, control binary, data binary"
 
 
 def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
@@ -78,7 +79,7 @@ def _tokenise(vocabulary: str, end_id: int):
                 part = batch.slice(i, j - i)
                 coded = [ids + end for ids in kind.encode(part.column(1).to_pylist())]
                 h = pa.array([zlib.crc32(x) for x in coded], pa.int64())
-                yield pa.record_batch([part.column(0).cast(pa.int64()).fill_null(_NO_ID), h, pa.array(coded, pa.binary())], names=["doc_id", "h", "ids"])
+                yield pa.record_batch([part.column(0), h, pa.array(coded, pa.binary())], names=["doc_id", "h", "ids"])
 
     return run
 
@@ -100,14 +101,13 @@ def _count(width: int):
     return run
 
 
-def _write_blocks(rank: np.ndarray, width: int):
-    def block(part: int, number: int, before: int, docs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+def _write_blocks(rank: np.ndarray, width: int, id_kind: pa.DataType):
+    def block(part: int, number: int, before: int, docs: list[tuple[object, np.ndarray]]) -> pa.RecordBatch:
         counts = np.array([len(x) for _, x in docs], "<u4")
         ids = np.concatenate([x for _, x in docs])
         control, data = encode_numbers(rank[ids])
-        doc_ids = np.array([d for d, _ in docs], "<i8")
-        values = [part, number, before, len(ids), len(docs), doc_ids.tobytes(), counts.tobytes(), control, data]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        values = [part, number, before, len(ids), len(docs), [d for d, _ in docs], counts.tobytes(), control, data]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(id_kind), *[pa.binary()] * 3]
         names = [x.split()[0] for x in _BLOCK_SCHEMA.split(", ")]
         return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
@@ -133,7 +133,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, vocabulary: s
     scratch = Scratch(spark, "tokens")
     kind = tokenizer(vocabulary)
     width = kind.dtype.itemsize
-    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(_tokenise(vocabulary, end_id), "doc_id long, h long, ids binary"), "ids")
+    id_type = docs.schema["doc_id"].dataType
+    id_name = id_type.simpleString()
+    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(_tokenise(vocabulary, end_id), f"doc_id {id_name}, h long, ids binary"), "ids")
     counted = tokens.select("ids").mapInArrow(_count(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     rank, total = np.zeros(kind.size, np.uint32), sum(r["n"] for r in rows)
@@ -143,7 +145,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, vocabulary: s
     parts = min(MAX_PARTS, max(1, -(-total // PART_IDS)))
     # Ranges of (doc_id, h): a doc_id that many rows share is split by the hash of their ids.
     ordered = tokens.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
-    ordered.mapInArrow(_write_blocks(rank, width), _BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(_write_blocks(rank, width, to_arrow_type(id_type)), _BLOCK_SCHEMA.format(id_name)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     scratch.drop("ids")
 
 
@@ -151,26 +153,26 @@ def _read_blocks(id_of: np.ndarray, starts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+                row = {c: batch.column(c)[k].as_py() for c in ("part", "before", "n_ids", "counts", "control", "data")}
                 counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
                 ids = id_of[decode_numbers(row["control"], row["data"], row["n_ids"])]
                 cuts = np.concatenate([[0], np.cumsum(counts)])
-                docs = np.frombuffer(row["doc_ids"], "<i8")
                 coded = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 first = starts[row["part"]] + row["before"]
                 names = ["doc_id", "start", "ids"]
-                yield pa.record_batch([pa.array(docs, pa.int64(), mask=docs == _NO_ID), pa.array(first + cuts[:-1], pa.int64()), pa.array(coded, pa.binary())], names=names)
+                yield pa.record_batch([batch.column("doc_ids")[k].values, pa.array(first + cuts[:-1], pa.int64()), pa.array(coded, pa.binary())], names=names)
 
     return run
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of each document in the files; ids are little-endian uint32, start counts all ids before."""
-    blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    id_name = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     table = spark.read.schema("rank int, id int, n long").parquet(f"{path}/ranks").orderBy("rank").collect()
     id_of = np.array([r["id"] for r in table], "<u4")
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # at most MAX_PARTS
     starts, at = {}, 0
     for r in sizes:
         starts[r["part"]], at = at, at + r["n"]
-    return blocks.mapInArrow(_read_blocks(id_of, starts), "doc_id long, start long, ids binary")
+    return blocks.mapInArrow(_read_blocks(id_of, starts), f"doc_id {id_name}, start long, ids binary")

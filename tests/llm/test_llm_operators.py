@@ -421,11 +421,11 @@ def test_clashing_columns_and_string_ids(spark, docs):
     assert near_dedup.keep_representatives(rows).columns == rows.columns and quality.keep_good(rows).columns == rows.columns
     named = rows.withColumn("doc_id", F.format_string("d%04d", "doc_id")).where("doc_id not like '%null%'")
     want = {("d%04d" % r["doc_id"], "d%04d" % r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs.where("doc_id is not null")).collect()}
-    for history in (None, F.lit(True), F.crc32(F.encode("doc_id", "UTF-8")) % 2 == 0):
-        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(named, history if history is not None else F.lit(False)).collect()} == want
+    for history in (None, F.lit(False), F.lit(True), F.crc32(F.encode("doc_id", "UTF-8")) % 2 == 0):
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(named, history).collect()} == want
     parts = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(named, 3, 85).collect()}
     assert parts == {"d%04d" % r["doc_id"]: "d%04d" % r["component_id"] for r in near_dedup.near_duplicates(docs.where("doc_id is not null"), 3, 85).collect()}
-    assert token_files is not None and packing.pack(named).where("doc_id is null").count() == 0
+    assert packing.pack(named).where("doc_id is null").count() == 0
 
 
 def test_saved_index_is_read_by_a_later_run(spark, docs):
