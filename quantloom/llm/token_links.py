@@ -31,6 +31,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +48,7 @@ from .tokens import vocabulary_path
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_BYTES = 6_000_000
 _UNITS = 200_000  # that a worker remembers
+_JOINED = 256  # units that are coded as one text
 _UNIT_CHARS = 40  # longer ones are not remembered
 _UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 _INSIDE = re.compile(r"[ \n]|[^▁]▁")
@@ -59,6 +61,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, … (n[0] of them), first[1], …"""
+    before = np.cumsum(n) - n
+    return np.repeat(first - before, n) + np.arange(n.sum())
+
+
 class Tokens(NamedTuple):
     """ids of many texts one behind the other, the number of ids and the bytes of each token, and whether they spell each text."""
 
@@ -68,11 +76,23 @@ class Tokens(NamedTuple):
     spelt: np.ndarray
 
 
-def _tokens(coded: list[list[int]], words: list[bytes | None], wanted: list[bytes]) -> Tokens:
-    spelt = np.array([all(words[i] for i in ids) and b"".join([words[i] for i in ids]) == w for ids, w in zip(coded, wanted, strict=True)], bool)
-    count = np.array([len(ids) for ids in coded], np.int64)
-    flat = np.array([i for ids in coded for i in ids], np.int64)
-    return Tokens(flat, count, np.array([len(words[i] or b"") for i in flat.tolist()], np.int64), spelt)
+def _tokens(ids: np.ndarray, count: np.ndarray, words: list[bytes | None], sizes: np.ndarray, wanted: list[bytes]) -> Tokens:
+    """Tokens of texts with `count` ids each; a text is spelt if its tokens' bytes, one behind the other, are its own."""
+    size = sizes[ids]
+    bounds = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+    cuts = np.concatenate([[0], np.cumsum(count)])
+    length = np.array([len(w) for w in wanted], np.int64)
+    unknown = np.concatenate([[0], np.cumsum(size < 0)])
+    spelt = (bounds[cuts[1:]] - bounds[cuts[:-1]] == length) & (unknown[cuts[1:]] == unknown[cuts[:-1]])
+    every = bool(spelt.all())
+    own = (ids if every else ids[np.repeat(spelt, count)]).tolist()
+    mine = np.frombuffer(b"".join(list(map(words.__getitem__, own))), np.uint8)
+    theirs = np.frombuffer(b"".join(wanted if every else [w for w, ok in zip(wanted, spelt.tolist(), strict=True) if ok]), np.uint8)
+    differs = np.flatnonzero(mine != theirs)
+    if len(differs):
+        at = np.flatnonzero(spelt)
+        spelt[at[np.searchsorted(np.cumsum(length[at]), differs, side="right")]] = False
+    return Tokens(ids, count, np.maximum(size, 0), spelt)
 
 
 class TwoTokenizers:
@@ -100,7 +120,11 @@ class TwoTokenizers:
         split = parts.get("pre_tokenizer") or {}
         by_words = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not parts.get("normalizer")
         self.cuts = by_words and not any(_INSIDE.search(p) for p, ok in zip(pieces, whole, strict=True) if ok)
+        self.a_sizes, self.b_sizes = (np.array([-1 if w is None else len(w) for w in words], np.int64) for words in (self.a_words, self.b_words))
         self.head = len(self.b.encode("x"))
+        #: Ids as text, those of A behind nothing, a comma or a semicolon, those of B behind a comma or a bar.
+        self.text = [sign + b"%d" % i for i in range(len(self.a_words)) for sign in (b"", b",", b";")] + [sign + b"%d" % i for i in range(len(pieces)) for sign in (b",", b"|")]
+        self.text_sizes = np.array(list(map(len, self.text)), np.int64)
         self.forget()
 
     def forget(self) -> None:
@@ -108,13 +132,30 @@ class TwoTokenizers:
         self.units = Units.empty()
 
     def encode_a(self, units: list[str]) -> Tokens:
-        found = self.a.encode_batch_fast(units, add_special_tokens=False)
-        return _tokens([e.ids for e in found], self.a_words, [u.encode() for u in units])
+        """Units that are cut out of texts: most are coded as a part of one text and told apart by their bytes."""
+        wanted = [u.encode() for u in units]
+        alone = [i for i, u in enumerate(units) if not self.cuts or u[0] not in " \n" or u[-1].isspace()]
+        joined = sorted(set(range(len(units))).difference(alone)) if alone else list(range(len(units)))
+        parts = [joined[i : i + _JOINED] for i in range(0, len(joined), _JOINED)]
+        texts = ["".join([units[k] for k in part]) for part in parts] + [units[k] for k in alone]
+        found = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(list(chain.from_iterable(found)), np.int64)
+        order = np.array([*joined, *alone], np.int64)
+        ends = np.cumsum(np.array([len(w) for w in wanted], np.int64)[order])
+        cuts = np.searchsorted(np.cumsum(self.a_sizes[ids]), ends) + 1
+        count = np.zeros(len(units), np.int64)
+        count[order] = np.diff(cuts, prepend=0)
+        first = np.zeros(len(units), np.int64)
+        first[order] = cuts - count[order]
+        return _tokens(ids[_ranges(first, count)], count, self.a_words, self.a_sizes, wanted)
 
     def encode_b(self, units: list[str]) -> Tokens:
         """Units as they are coded inside a text: behind a letter, whose ids are left out."""
         found = self.b.encode(["x" + u for u in units], num_threads=1)
-        return _tokens([ids[self.head :] for ids in found], self.b_words, [u.encode() for u in units])
+        count = np.array(list(map(len, found)), np.int64)
+        ids = np.array(list(chain.from_iterable(found)), np.int64)
+        ids = ids[_ranges(np.cumsum(count) - count + self.head, count - self.head)]
+        return _tokens(ids, count - self.head, self.b_words, self.b_sizes, [u.encode() for u in units])
 
     def split(self, text: str) -> list[str]:
         """The units of a blank and the text."""
@@ -157,14 +198,26 @@ def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(np.arange(len(a_end)), n), np.arange(n.sum()) - np.repeat(before - first, n)
 
 
-def group_text(a_ids: np.ndarray, b_ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(the token of B that ends each group, `a1,a2|b1` of each), in order."""
-    ends, a_first = np.unique(label[: len(a_ids)], return_index=True)
-    b_last = ends - len(a_ids) + 1
-    a_cut, b_cut = [*a_first.tolist(), len(a_ids)], [0, *b_last.tolist()]
-    a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    texts = [(",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m])).encode() for i, j, k, m in zip(a_cut[:-1], a_cut[1:], b_cut[:-1], b_cut[1:], strict=True)]
-    return b_last - 1, texts
+def group_text(a_ids: np.ndarray, b_ids: np.ndarray, label: np.ndarray, a_unit: np.ndarray, kinds: TwoTokenizers) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(the token of B that ends each group, bytes of text of each group, `a1,a2|b1;a3|b2,b3` of all units without the signs between units)."""
+    n_a, n_b = len(a_ids), len(b_ids)
+    new = np.diff(label[:n_a], prepend=-1) != 0
+    a_group = np.cumsum(new) - 1
+    ends = label[:n_a][new] - n_a
+    b_n = np.diff(ends, prepend=-1)
+    b_group = np.repeat(np.arange(len(ends)), b_n)
+    b_first = np.zeros(n_b, bool)
+    b_first[ends - b_n + 1] = True
+    unit_first = np.diff(a_unit, prepend=-1) != 0
+    codes = np.zeros(n_a + n_b, np.int64)
+    a_at = np.arange(n_a) + (ends - b_n + 1)[a_group]  # behind B's tokens of earlier groups
+    b_at = np.arange(n_b) + np.append(np.flatnonzero(new)[1:], n_a)[b_group]
+    codes[a_at] = 3 * a_ids + np.where(unit_first, 0, np.where(new, 2, 1))
+    codes[b_at] = 3 * len(kinds.a_words) + 2 * b_ids + b_first
+    group = np.zeros(n_a + n_b, np.int64)
+    group[a_at], group[b_at] = a_group, b_group
+    size = np.bincount(group, weights=kinds.text_sizes[codes], minlength=len(ends)).astype(np.int64)
+    return ends, size, b"".join(list(map(kinds.text.__getitem__, codes.tolist())))
 
 
 class Units(NamedTuple):
@@ -195,22 +248,16 @@ def align_units(units: list[str], kinds: TwoTokenizers) -> Units:
     keep_a, keep_b = spelt[a_unit], spelt[b_unit]
     a_unit, b_unit, a_ids, b_ids = a_unit[keep_a], b_unit[keep_b], a.ids[keep_a], b.ids[keep_b]
     a_end, b_end = np.cumsum(a.size[keep_a]), np.cumsum(b.size[keep_b])  # units lie one behind the other, so no group leaves one
-    at, texts = group_text(a_ids, b_ids, component_ends(a_end, b_end))
-    n_groups = np.bincount(b_unit[at], minlength=len(units)) if len(at) else np.zeros(len(units), np.int64)
-    cuts = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
+    at, size, text = group_text(a_ids, b_ids, component_ends(a_end, b_end), a_unit, kinds)
+    n_groups = np.bincount(b_unit[at], minlength=len(units))
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(b_unit[at], weights=size, minlength=len(units)))]).astype(np.int64).tolist()
     of_a, of_b = overlaps(a_end, b_end)
     return Units(
-        spelt, np.where(spelt, a.count, 0), np.where(spelt, b.count, 0), n_groups, [b";".join(texts[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
+        spelt, np.where(spelt, a.count, 0), np.where(spelt, b.count, 0), n_groups, [text[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
         np.bincount(a_unit[of_a], minlength=len(units)), a_ids[of_a] << 32 | b_ids[of_b],
     )
 
 
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, … (n[0] of them), first[1], …"""
-    before = np.cumsum(n) - n
-    return np.repeat(first - before, n) + np.arange(n.sum())
-
-
 class Block(NamedTuple):
     """Documents of a block and what they link: pairs ascend, held has the documents of each, links of each unit its place among the pairs."""
 
@@ -231,9 +278,9 @@ def align_block(texts: list[str | None], kinds: TwoTokenizers) -> Block:
         kinds.forget()
     cut = [kinds.split(t) if t else [] for t in texts]
     count = np.array([len(u) for u in cut], np.int64)
-    seen: dict[str, int] = {}
-    number = seen.setdefault
-    flat = np.array([number(u, len(seen)) for units in cut for u in units], np.int64)
+    seen = dict.fromkeys(chain.from_iterable(cut))
+    seen = dict(zip(seen, range(len(seen)), strict=True))
+    flat = np.fromiter(map(seen.__getitem__, chain.from_iterable(cut)), np.int64, count.sum())
     new = [u for u in seen if u not in kinds.known]
     short, long = [u for u in new if len(u) <= _UNIT_CHARS], [u for u in new if len(u) > _UNIT_CHARS]
     kinds.known.update(zip(short, range(len(kinds.known), len(kinds.known) + len(short)), strict=True))

@@ -38,10 +38,11 @@ def _brute(rows):
         if b"".join(a_words) != wanted or b"".join(b_words) != wanted:
             continue
         sa, sb = _spans(a_words), _spans(b_words)
-        common = sorted({e for _, e in sa} & {e for _, e in sb})
-        text_of = lambda spans, ids, lo, hi: ",".join(str(i) for (s, e), i in zip(spans, ids) if lo <= s and e <= hi)
-        groups = [text_of(sa, a_ids, lo, hi) + "|" + text_of(sb, b_ids, lo, hi) for lo, hi in zip([0, *common[:-1]], common)]
-        links = [(a_ids[i], b_ids[j]) for i, (s, e) in enumerate(sa) for j, (t, f) in enumerate(sb) if max(s, t) < min(e, f)]
+        common = {e for _, e in sa} & {e for _, e in sb}
+        owner_a, owner_b = ([i for i, (lo, hi) in enumerate(spans) for _ in range(lo, hi)] for spans in (sa, sb))
+        links = [(a_ids[i], b_ids[j]) for i, j in sorted(set(zip(owner_a, owner_b)))]
+        cut = lambda spans, ids: "".join(str(i) + (";" if e in common else ",") for (_, e), i in zip(spans, ids)).split(";")[:-1]
+        groups = [f"{x}|{y}" for x, y in zip(cut(sa, a_ids), cut(sb, b_ids), strict=True)]
         found[k] = (len(a_ids), len(b_ids), groups, links)
     counts = Counter(p for x in found.values() if x for p in set(x[3]))
     most = defaultdict(int)
