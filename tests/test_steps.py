@@ -23,9 +23,13 @@ def _series(spark, n, holes):
     return rows, spark.createDataFrame(rows, "symbol string, date date, x double")
 
 
-def test_smoothing_over_chunks_and_holes(spark):
-    rows, df = _series(spark, 2000, {0, 1, 500, 501, 502, 899, 900, 1500})
-    wanted = [smooth.Smoothing("fast", "x", 0.5, 2), smooth.Smoothing("slow", "x", 2 / 36, 35)]
+SPANS = (1, 2, 9, 46, 200, 3000)
+
+
+@pytest.mark.parametrize("holes", [{0, 1, 500, 501, 502, 899, 900, 1500}, set(range(300, 1250)), set(range(900, 5900)), {k for k in range(1, 7000) if k * k % 7}])
+def test_smoothing_of_any_rate_over_any_hole(spark, holes):
+    rows, df = _series(spark, 7000, holes)
+    wanted = [smooth.ema(f"e{n}", "x", n) for n in SPANS] + [smooth.wilder(f"w{n}", "x", n) for n in SPANS]
     got = {(r["symbol"], r["date"]): r for r in smooth.smooth(df, wanted).collect()}
     for s in wanted:
         for symbol in ("A", "B"):
@@ -37,7 +41,7 @@ def test_smoothing_over_chunks_and_holes(spark):
                 value = got[symbol, date][s.name]
                 assert value is None if seen < s.need else value == pytest.approx(y, rel=1e-12)
     with pytest.raises(ValueError):
-        smooth.smooth(df, [smooth.Smoothing("too_slow", "x", 1e-4, 1)])
+        smooth.smooth(df, [smooth.Smoothing("no_rate", "x", 0.0, 1)])
 
 
 def test_moving_sums(spark):
