@@ -44,20 +44,29 @@ def analogs(bars: DataFrame, horizon: str) -> DataFrame:
     return g.select("symbol", *_figures(c("n"), c("m"), c("sd"), c("all_n"), c("all_mean"), h), "median", "hit_rate", "base_hit_rate")
 
 
-def analogs_asof(states: DataFrame, horizon: str) -> DataFrame:
-    """The same at every bar, from outcomes known by then: bars whose horizon has passed.
+def analogs_of_all(states: DataFrame, horizons: list[str], at: Column | None = None) -> DataFrame:
+    """Analogs at every bar (or those where `at` holds), of each of the horizons, from outcomes known by then: bars whose
+    horizon has passed, a row for each horizon h.
 
-    The frame ends h bars before the row, so one pass over (symbol, state) and one
-    over (symbol) replace a pass for each date.
+    The frames end a horizon's bars before the row, so one pass over (symbol, state) and one
+    over (symbol) replace a pass for each date; all horizons share both.
     """
-    h = HORIZON_BARS[horizon]
-    rows = states.withColumn("fwd", F.when(F.col("state").isNotNull(), F.lead("close", h).over(ind.history()) / F.col("close") - 1))
-    known = lambda *keys: Window.partitionBy(*keys).orderBy("i").rangeBetween(Window.unboundedPreceding, -h)
-    same, every = known("symbol", "state"), known("symbol")
     c = F.col
-    rows = rows.select("symbol", "date", "i", "state", F.count("fwd").over(same).alias("n"), F.avg("fwd").over(same).alias("m"), F.stddev_samp("fwd").over(same).alias("sd"), F.count("fwd").over(every).alias("all_n"), F.avg("fwd").over(every).alias("all_mean"))
-    n = F.when(c("state").isNotNull(), c("n")).otherwise(F.lit(0))
-    return rows.select("symbol", "date", "i", *_figures(n, c("m"), c("sd"), c("all_n"), c("all_mean"), h))
+    hs = {k: HORIZON_BARS[k] for k in horizons}
+    rows = states.select("*", *[F.when(c("state").isNotNull(), F.lead("close", h).over(ind.history()) / c("close") - 1).alias(f"fwd_{k}") for k, h in hs.items()])
+    known = lambda h, *keys: Window.partitionBy(*keys).orderBy("i").rangeBetween(Window.unboundedPreceding, -h)
+    same = [f(f"fwd_{k}").over(known(h, "symbol", "state")).alias(f"{n}_{k}") for k, h in hs.items() for n, f in (("n", F.count), ("m", F.avg), ("sd", F.stddev_samp))]
+    every = [f(f"fwd_{k}").over(known(h, "symbol")).alias(f"{n}_{k}") for k, h in hs.items() for n, f in (("all_n", F.count), ("all_mean", F.avg))]
+    rows = rows.select("*", *every).select("*", *same)
+    rows = rows.where(at) if at is not None else rows
+    n = lambda k: F.when(c("state").isNotNull(), c(f"n_{k}")).otherwise(F.lit(0))
+    cells = [F.struct(F.lit(k).alias("h"), *_figures(n(k), c(f"m_{k}"), c(f"sd_{k}"), c(f"all_n_{k}"), c(f"all_mean_{k}"), h)) for k, h in hs.items()]
+    return rows.select("symbol", "date", "i", F.explode(F.array(*cells)).alias("e")).select("symbol", "date", "i", "e.*")
+
+
+def analogs_asof(states: DataFrame, horizon: str) -> DataFrame:
+    """The analogs of one horizon at every bar."""
+    return analogs_of_all(states, [horizon]).drop("h")
 
 
 def histogram(df: DataFrame, keys: list[str], col: str, lo: float = -0.6, hi: float = 0.6, bins: int = 24) -> DataFrame:

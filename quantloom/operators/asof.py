@@ -1,10 +1,12 @@
-"""As-of alignment of dated tables, by one window over their union.
-
-Every variant sorts both tables by key and date once and carries the last (or next)
-value over; no range join and no assumption about either table's size.  The frame
-always runs from the start of the order to the row, so a row costs one step; the next
-value is the last one in descending order.  Without keys only the distinct dates are
-aligned, and rows meet their date by a plain join.
+"""As-of alignment of dated tables, by windows over slices of the time axis.
+
+Only the distinct (keys, date) of the left table are aligned, and its rows meet them again
+in a plain join, so a key that most rows share costs no task more than its dates.  The time
+axis of a key is cut into slices of `days`; the window over the union of both tables runs
+within (keys, slice), and what earlier slices (or later ones, looking forward) leave behind
+comes from a small table with a row for each key and slice.  Frames always run from the start
+of the order to the row, so a row costs one step; the next value is the last one in descending
+order.  There is no range join and no assumption about either table's size.
 """
 
 from __future__ import annotations
@@ -12,20 +14,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICE_DAYS = 32
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str, forward: bool = False, name: str | None = None, days: int = SLICE_DAYS) -> DataFrame:
+    """left with `name`: right's value of the newest date <= on (or, forward, the oldest >= on) for the same keys.
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: str, forward: bool = False, name: str | None = None) -> DataFrame:
-    """left with `name`: right's value of the newest date <= on (or, forward, the oldest >= on) for the same keys."""
+    Null values of right are passed over; a null date or key of left finds nothing.
+    """
     name = name or value
-    if not keys:
-        dates = left.select(F.lit(0).alias("_all"), on).distinct()  # a row for each date
-        looked = asof(dates, right.withColumn("_all", F.lit(0)), ["_all"], on, value, forward, name)
-        return left.join(looked.select(F.col(on).alias("_on"), name), F.col(on).eqNullSafe(F.col("_on")), "left").select(*left.columns, name)
-    a = left.withColumn("_own", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(*keys, F.col(on), F.lit(0).alias("_own"), F.col(value).alias("_v"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(F.col(on).desc() if forward else F.col(on), "_own").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last("_v", ignorenulls=True).over(order)
-    return both.withColumn(name, F.when(F.col(on).isNotNull(), seen)).where("_own = 1").select(*left.columns, name)
+    own = [f"_k{i}" for i in range(len(keys))]
+    part = F.floor(F.unix_date(F.to_date("_on")) / days).alias("_slice")
+    cut = lambda df, *more: df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(on).alias("_on"), *more)
+    points = cut(left).where("_on is not null").distinct().select("*", part)
+    known = cut(right, F.col(value).alias("_v")).where("_on is not null and _v is not null").select("*", part)
+    order = lambda c: F.col(c).desc() if forward else F.col(c)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    both = points.withColumn("_own", F.lit(1)).unionByName(known.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    inside = F.last("_v", ignorenulls=True).over(so_far(Window.partitionBy(*own, "_slice").orderBy(order("_on"), "_own")))
+    found = both.withColumn("_in", inside).where("_own = 1").select(*own, "_slice", "_on", "_in")
+    end = F.min_by("_v", "_on") if forward else F.max_by("_v", "_on")
+    ends = known.groupBy(*own, "_slice").agg(end.alias("_v")).withColumn("_own", F.lit(0))
+    slots = points.select(*own, "_slice").distinct().withColumn("_own", F.lit(1))
+    outside = F.last("_v", ignorenulls=True).over(so_far(Window.partitionBy(*own).orderBy(order("_slice"), F.desc("_own"))))  # a row a slice
+    carried = slots.unionByName(ends, allowMissingColumns=True).withColumn("_out", outside).where("_own = 1").select(*own, "_slice", "_out")
+    looked = found.join(carried, [*own, "_slice"]).select(*own, "_on", F.coalesce("_in", "_out").alias("_found"))
+    same = [F.col(k) == F.col(o) for k, o in zip(keys, own, strict=True)]
+    rows = left.select("*") if name not in left.columns else left.drop(name)
+    return rows.join(looked, [*same, F.col(on) == F.col("_on")], "left").withColumn(name, F.col("_found")).select(*[c for c in left.columns if c != name], name)
 
 
 def align_rate(bars: DataFrame, series: DataFrame, name: str = "rate") -> DataFrame:

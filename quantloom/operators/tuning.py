@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from .asof import price_on
+from .ranks import with_average_ranks
 
 LEAST = 30
 SHRINK = 500
 
 
-def average_rank(c: str, keys: list[str]) -> Column:
-    """Rank with the mean rank for ties."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
-
-
 def n_eff(samples: DataFrame, keys: tuple[str, ...] = ("horizon",)) -> DataFrame:
     """Distinct (symbol, stretch of one horizon) per key: overlapping returns count once."""
     days = F.datediff("date", F.lit("1970-01-01").cast("date")) + 719163  # day numbers that start in year 1
@@ -25,7 +22,8 @@ def n_eff(samples: DataFrame, keys: tuple[str, ...] = ("horizon",)) -> DataFrame
 
 def spearman(samples: DataFrame, keys: list[str], a: str, b: str, least: int = LEAST) -> DataFrame:
     """(keys, n, ic): rank correlation, null below `least` rows."""
-    ranked = samples.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, average_rank(a, keys).alias("ra"), average_rank(b, keys).alias("rb"))
+    rows = samples.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_x"), F.col(b).alias("_y"))
+    ranked = with_average_ranks(rows, keys, {"_x": "ra", "_y": "rb"})
     g = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_samp("ra", "rb").alias("_c"), F.stddev_samp("ra").alias("_a"), F.stddev_samp("rb").alias("_b"))
     ic = F.when((F.col("n") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / (F.col("_a") * F.col("_b")))
     return g.select(*keys, "n", ic.alias("ic"))
@@ -72,11 +70,13 @@ def propose(ics: DataFrame, prior: DataFrame, keep_total: bool | Column = True)
 
 
 def split_by_date(samples: DataFrame, share: float = 0.7) -> DataFrame:
-    """samples with is_test: on or after the date of the floor(share * n)-th sample of the horizon."""
-    by_h = Window.partitionBy("horizon")
-    numbered = samples.withColumn("_i", F.row_number().over(by_h.orderBy("date")) - 1).withColumn("_k", F.floor(F.count(F.lit(1)).over(by_h) * share))
-    cut = F.min(F.when(F.col("_i") == F.col("_k"), F.col("date"))).over(by_h)
-    return numbered.withColumn("cut", cut).withColumn("is_test", F.col("date") >= F.col("cut")).drop("_i", "_k")
+    """samples with is_test: on or after the date of the floor(share * n)-th sample of the horizon, which counts by day find."""
+    by_day = samples.groupBy(F.col("horizon").alias("_h"), "date").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_h")  # a row a day
+    days = by_day.select("_h", "date", F.sum("_n").over(w.orderBy("date")).alias("_to"), F.floor(F.sum("_n").over(w) * share).alias("_k"))
+    cuts = days.where("_to > _k").groupBy("_h").agg(F.min("date").alias("cut"))
+    rows = samples.join(F.broadcast(cuts), F.col("horizon") == F.col("_h"), "left").drop("_h")  # a row for each horizon
+    return rows.withColumn("is_test", F.col("date") >= F.col("cut"))
 
 
 def tune(samples: DataFrame, prior: DataFrame, modules: list[str], margin: float = 0.01) -> DataFrame:
@@ -120,13 +120,37 @@ def tuned_weights(samples: DataFrame, prior: DataFrame, modules: list[str], test
     return out.select("horizon", "module", F.when(c("adopted"), c("_final")).otherwise(c("w")).alias("w"), F.when(c("all"), "all").otherwise("backtest").alias("mode"), "n", "n_eff", "n_live", "ic_prior", "ic_new", "adopted")
 
 
-def live_samples(runs: DataFrame, modules: list[str]) -> DataFrame:
-    """Newest run of each (symbol, day, horizon) among those with a price and an end price, as samples."""
-    rows = runs.where("price is not null and end_price is not null")
-    order = Window.partitionBy("symbol", "created", "horizon").orderBy(F.col("id").desc())
+CARD = "available boolean, score double, confidence double"
+RESULT = f"modules array<struct<key string, {CARD}>>, analogs map<string, struct<{CARD}>>"
+
+
+def card_signals(result: Column, horizon: Column) -> Column:
+    """Map of module -> round(score * confidence, 4) from a run's result as JSON.
+
+    Every card that is available and has both numbers is kept, of modules that nobody knows too; of cards with the same
+    key the last; the analogs of the horizon stand for a card of theirs. Cards that are missing or unreadable are absent.
+    """
+    found = F.from_json(result, f"struct<{RESULT}>")
+    able = lambda c: F.coalesce(c["available"], F.lit(False)) & c["score"].isNotNull() & c["confidence"].isNotNull()
+    entry = lambda key, c: F.struct(key.alias("key"), F.round(c["score"] * c["confidence"], 4).alias("value"))
+    cards = F.filter(F.coalesce(found["modules"], F.array()), lambda c: able(c) & c["key"].isNotNull() & (c["key"] != "analogs"))
+    cards = F.transform(cards, lambda c: entry(c["key"], c))
+    last = F.filter(cards, lambda c, i: ~F.exists(F.slice(cards, i + 2, F.greatest(F.size(cards) - i - 1, F.lit(0))), lambda d: d["key"] == c["key"]))
+    own = F.try_element_at(found["analogs"], horizon)
+    analog = F.when(F.coalesce(able(own), F.lit(False)), F.array(entry(F.lit("analogs"), own))).otherwise(F.slice(F.array(entry(F.lit(""), own)), 1, 0))
+    return F.map_from_entries(F.concat(last, analog))
+
+
+def live_samples(runs: DataFrame, bars: DataFrame) -> DataFrame:
+    """(horizon, date, symbol, x, ret, src) of runs(id, symbol, created, price, result): every run is a sample of each horizon
+    whose end has a price; of several runs of a symbol, day and horizon the newest stays, among those with both prices."""
+    c = F.col
+    rows = runs.where("price is not null and price <> 0").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in sc.HORIZON_DAYS])))
+    rows = rows.withColumn("due", sc.due_date(c("created"), c("horizon")))
+    rows = price_on(rows, bars, "due").where("end_price is not null")
+    order = Window.partitionBy("symbol", F.to_date("created"), "horizon").orderBy(c("created").desc(), c("id").desc())
     rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    cards = F.map_from_entries(F.array(*[F.struct(F.lit(m), F.round(F.col("score") * F.col("confidence"), 4)) for m in modules]))
-    return rows.select("horizon", F.col("created").alias("date"), "symbol", cards.alias("x"), (F.col("end_price") / F.col("price") - 1).alias("ret"), F.lit("live").alias("src"))
+    return rows.select("horizon", F.to_date("created").alias("date"), "symbol", card_signals(c("result"), c("horizon")).alias("x"), (c("end_price") / c("price") - 1).alias("ret"), F.lit("live").alias("src"))
 
 
 def all_samples(backtest: DataFrame, live: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def argmax_variant(scores: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def numbered(returns: DataFrame) -> DataFrame:
-    return returns.withColumn("i", F.row_number().over(acc.order()) - 1)
+    """returns with the bar number i of its key, which a stored table has already."""
+    return returns if "i" in returns.columns else returns.withColumn("i", F.row_number().over(acc.order()) - 1)
 
 
 def _in_fold(returns: DataFrame, fold_table: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -74,9 +75,9 @@ def walk_forward(returns: DataFrame, fold_table: DataFrame, chosen: DataFrame |
     return rows.join(chosen.select(*keys), keys).select("symbol", "strategy", "fold", "date", "i", "variant", "held", "ret", "close", "open")
 
 
-def wf_efficiency(returns: DataFrame, fold_table: DataFrame) -> DataFrame:
+def wf_efficiency(returns: DataFrame, fold_table: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Mean out-of-sample Sharpe over mean in-sample Sharpe; null if that is not positive."""
-    chosen = chosen_variants(returns, fold_table)
+    chosen = chosen if chosen is not None else chosen_variants(returns, fold_table)
     oos = walk_forward(returns, fold_table, chosen).groupBy("symbol", "strategy", "fold").agg(met.sharpe().alias("oos_sharpe"))
     g = chosen.join(oos, ["symbol", "strategy", "fold"]).groupBy("symbol", "strategy").agg(F.avg("is_sharpe").alias("is_mean"), F.avg("oos_sharpe").alias("oos_mean"))
     return g.withColumn("efficiency", F.when(F.col("is_mean") > 0, F.col("oos_mean") / F.col("is_mean")))

@@ -11,6 +11,7 @@ from ..functions.scalars import HORIZON_BARS, is_hit
 from ..operators import analogs as an
 from ..operators import indicators as ind
 from ..operators import verdict as vd
+from ..operators.asof import asof
 from ..operators.smooth import with_smoothed
 from ..session import written
 from ..operators.cleaning import sector_etf
@@ -21,13 +22,14 @@ TESTED = ["technical", "analogs", "regime"]
 BINS = ((0.0, 0.6), (0.6, 0.8), (0.8, 1.01))
 
 
-#: The sector fund of a symbol of the derived panel, by its first letter; symbols of other letters have none.
-FUNDS = ["XLK", "XLE"]
+def with_fund(rows: DataFrame, sectors: DataFrame) -> DataFrame:
+    """rows(symbol, date, …) with fund, the series of the sector that sectors(symbol, since, sector) gives the symbol at the date."""
+    dated = sectors.select("symbol", F.col("since").alias("date"), F.col("sector").alias("_sector"))
+    return asof(rows, dated, ["symbol"], "date", "_sector").withColumn("fund", sector_etf(F.col("_sector"))).drop("_sector")
 
 
-def fund_of(symbol: Column) -> Column:
-    sector = F.create_map(F.lit("A"), F.lit("Technology"), F.lit("N"), F.lit("Energy"))[F.substring(symbol, 1, 1)]
-    return sector_etf(sector)
+def _sampled(i: Column, start: int = START, step: int = STEP) -> Column:
+    return (i >= start) & ((i - start) % step == 0)
 
 
 def sample_dates(bars: DataFrame, h: int, step: int = STEP, start: int = START) -> DataFrame:
@@ -36,46 +38,47 @@ def sample_dates(bars: DataFrame, h: int, step: int = STEP, start: int = START)
     return rows.where((F.col("i") >= start) & ((F.col("i") - start) % step == 0) & F.col("_f").isNotNull()).select("symbol", "date", "i")
 
 
-def module_rows(bars: DataFrame, series: DataFrame) -> DataFrame:
+def module_rows(bars: DataFrame, series: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
     """(symbol, date, horizon, module, available, score, confidence, vol_1y, ret, i) at all sample dates.
 
     All columns look back only, so each is computed once over the full history and
     then looked up, instead of once for every date.  Bars and their smoothed columns
-    are written once, as all modules read them.
+    are written once, as all modules read them; rows between sample dates go before
+    modules are joined.  sectors(symbol, since, sector) dates the sector of each symbol.
     """
     bars = written(with_smoothed(bars, vd.TECHNICAL), "smoothed")
-    index = series.where("series_id = 'INDEX'").select("date", "value")
-    tech = vd.technical(bars, index)
-    betas = bars.select("symbol", "date").join(rolling_beta(join_returns(bars, index)), ["symbol", "date"], "left")
-    reg = vd.regime(betas.withColumn("fund", fund_of(F.col("symbol"))), series, FUNDS)
+    index, i = series.where("series_id = 'INDEX'").select("date", "value"), F.col("i")
+    tech = vd.technical(bars, index).where(_sampled(i))
     r = bars.select("symbol", "date", "close", ind.bar_index().alias("i"), ind.change("close").alias("r"))
     vol = F.stddev_samp("r").over(ind.last(252)) * math.sqrt(252)
     base = r.select("symbol", "date", "i", vol.alias("vol_1y"), *[(F.lead("close", h).over(ind.history()) / F.col("close") - 1).alias(f"ret_{k}") for k, h in HORIZON_BARS.items()])
-    base = base.where((F.col("i") >= START) & ((F.col("i") - START) % STEP == 0))
-    dates = base.select("symbol", "date", "i", "vol_1y", F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.col(f"ret_{k}").alias("ret")) for k in HORIZON_BARS])).alias("e")).select("symbol", "date", "i", "vol_1y", "e.horizon", "e.ret").where("ret is not null")
-    states = an.with_state(bars)
+    base = base.where(_sampled(i))
+    betas = base.select("symbol", "date").join(rolling_beta(join_returns(bars, index)), ["symbol", "date"], "left")
+    reg = vd.regime(with_fund(betas, sectors) if sectors is not None else betas, series)
+    found = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon"), F.col(f"ret_{k}").alias("ret")) for k in HORIZON_BARS])).alias("e")
+    dates = base.select("symbol", "date", "i", "vol_1y", found).select("symbol", "date", "i", "vol_1y", "e.horizon", "e.ret").where("ret is not null")
     cols = ["symbol", "date", "available", "score", "confidence"]
     parts = [m.select(*cols, F.lit(None).cast("string").alias("h"), F.lit(n).alias("module")) for n, m in (("technical", tech), ("regime", reg))]
-    parts += [an.analogs_asof(states, k).select(*cols, F.lit(k).alias("h"), F.lit("analogs").alias("module")) for k in HORIZON_BARS]
-    modules = parts[0]
-    for p in parts[1:]:
-        modules = modules.unionByName(p)
+    parts.append(an.analogs_of_all(an.with_state(bars), list(HORIZON_BARS), _sampled(i)).select(*cols, "h", F.lit("analogs").alias("module")))
+    modules = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return dates.join(modules, ["symbol", "date"]).where("h is null or h = horizon").drop("h")
 
 
-def engine_samples(bars: DataFrame, series: DataFrame) -> DataFrame:
+def engine_samples(bars: DataFrame, series: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
     """(symbol, date, horizon, verdict, conf, ret, x): verdicts with later returns and the modules' signals."""
-    rows = module_rows(bars, series)
-    rows = written(rows, "modules")
+    return samples_of(written(module_rows(bars, series, sectors), "modules"))
+
+
+def samples_of(rows: DataFrame) -> DataFrame:
+    """The samples of a written table of module rows."""
     keys = ["symbol", "date", "horizon"]
-    verdicts = vd.combine(rows, vd.weight_table(bars.sparkSession), keys)
+    verdicts = vd.combine(rows, vd.weight_table(rows.sparkSession), keys)
     signals = rows.where("available").groupBy(*keys).agg(F.max("ret").alias("ret"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", F.round(F.col("score") * F.col("confidence") + 1e-9, 4))))).alias("x"))
     return verdicts.join(signals, keys).select(*keys, "verdict", F.round("confidence", 3).alias("conf"), "ret", "x")
 
 
 def summarize_verdicts(samples: DataFrame) -> DataFrame:
-    """By horizon and verdict: n, hit rate, the hit rate had every sample got that verdict, and mean return."""
-    samples = written(samples, "samples")
+    """Of a written table of samples, by horizon and verdict: n, hit rate, the hit rate had every sample got that verdict, and mean return."""
     g = samples.groupBy("horizon", "verdict").agg(F.count(F.lit(1)).alias("n"), F.avg(is_hit(F.col("verdict"), F.col("ret")).cast("double")).alias("hit"), F.avg("ret").alias("avg_ret"))
     return g.join(_baselines(samples), ["horizon", "verdict"])
 
@@ -86,8 +89,7 @@ def _baselines(samples: DataFrame) -> DataFrame:
 
 
 def summarize_conf(samples: DataFrame, bins: tuple = BINS) -> DataFrame:
-    """By horizon and confidence bin: n, hit rate and the mean baseline of the bin's verdicts."""
-    samples = written(samples, "samples")
+    """Of a written table of samples, by horizon and confidence bin: n, hit rate and the mean baseline of the bin's verdicts."""
     at = F.coalesce(*[F.when((F.col("conf") >= lo) & (F.col("conf") < hi), F.lit(k)) for k, (lo, hi) in enumerate(bins)])
     rows = samples.join(F.broadcast(_baselines(samples)), ["horizon", "verdict"]).withColumn("bin", at)  # nine rows
     return rows.groupBy("horizon", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(is_hit(F.col("verdict"), F.col("ret")).cast("double")).alias("hit"), F.avg("base").alias("base"))

@@ -158,9 +158,9 @@ def w16_signal_age(t: Panels) -> DataFrame:
 
 @query("SELECT id, horizon, rank() OVER (PARTITION BY horizon ORDER BY confidence) + (count(*) OVER (PARTITION BY horizon, confidence) - 1) / 2.0 AS avg_rank FROM runs")
 def w17_average_rank(t: Panels) -> DataFrame:
-    from ..operators.tuning import average_rank
+    from ..operators.ranks import with_average_ranks
 
-    return t.runs.select("id", "horizon", average_rank("confidence", ["horizon"]).alias("avg_rank"))
+    return with_average_ranks(t.runs.select("id", "horizon", "confidence"), ["horizon"], {"confidence": "avg_rank"}).drop("confidence")
 
 
 @query(

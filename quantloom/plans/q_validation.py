@@ -43,12 +43,12 @@ def v1_folds(t: Panels) -> DataFrame:
 
 @query("SELECT symbol, strategy, fold, variant, is_sharpe FROM chosen", FR)
 def t4_argmax_variant(t: Panels) -> DataFrame:
-    return va.chosen_variants(all_returns(t), va.folds(t.bars))
+    return t.chosen
 
 
 @query(f"SELECT symbol, strategy, fold, count(*) AS bars, {SHARPE} AS oos_sharpe, sum(ret) AS total FROM oos GROUP BY 1, 2, 3", FR)
 def v2_walk_forward(t: Panels) -> DataFrame:
-    rows = va.walk_forward(all_returns(t), va.folds(t.bars))
+    rows = va.walk_forward(t.returns, va.folds(t.stored_bars), t.chosen)
     return rows.groupBy("symbol", "strategy", "fold").agg(F.count(F.lit(1)).alias("bars"), met.sharpe().alias("oos_sharpe"), F.sum("ret").alias("total"))
 
 
@@ -58,8 +58,7 @@ FR["otr"] = """SELECT t.symbol, t.strategy, f.fold, t.variant, t.entry, t.ret FR
 
 @query("SELECT symbol, strategy, fold, count(*) AS trades, sum(ret) AS total FROM otr GROUP BY 1, 2, 3", FR)
 def v3_oos_trades(t: Panels) -> DataFrame:
-    f = va.folds(t.bars)
-    rows = va.oos_trades(all_trades(t), t.bars, f, va.chosen_variants(all_returns(t), f))
+    rows = va.oos_trades(t.trades, t.stored_bars, va.folds(t.stored_bars), t.chosen)
     return rows.groupBy("symbol", "strategy", "fold").agg(F.count(F.lit(1)).alias("trades"), F.sum("ret").alias("total"))
 
 
@@ -69,7 +68,7 @@ def v3_oos_trades(t: Panels) -> DataFrame:
     FR,
 )
 def v4_wf_efficiency(t: Panels) -> DataFrame:
-    return va.wf_efficiency(all_returns(t), va.folds(t.bars))
+    return va.wf_efficiency(t.returns, va.folds(t.stored_bars), t.chosen)
 
 
 # The SQL fixes fewer draws than the operators' defaults; the queries named _full take the defaults and have no SQL.
@@ -83,12 +82,11 @@ FR["sims"] = """SELECT symbol, strategy, k, CASE WHEN var_samp(r) > 0 THEN round
 
 
 def _held_oos(t: Panels) -> DataFrame:
-    return va.walk_forward(all_returns(t), va.folds(t.bars)).where("strategy <> 'vol_breakout'")
+    return va.walk_forward(t.returns, va.folds(t.stored_bars), t.chosen).where("strategy <> 'vol_breakout'")
 
 
 def _oos_trades(t: Panels) -> DataFrame:
-    f = va.folds(t.bars)
-    return va.oos_trades(all_trades(t), t.bars, f, va.chosen_variants(all_returns(t), f))
+    return va.oos_trades(t.trades, t.stored_bars, va.folds(t.stored_bars), t.chosen)
 
 
 def _random_days(t: Panels) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +258,7 @@ def v14_validation_report(t: Panels) -> DataFrame:
 
 def _report(t: Panels, **sizes) -> DataFrame:
     """The chain of validation over all strategies, from tables that are written once."""
-    returns, trades = written(all_returns(t), "returns"), written(all_trades(t), "trades")
+    returns, trades = t.returns, t.trades
     fee = acc.FEE
     o2o = t.stored_bars.select("symbol", ind.bar_index().alias("i"), (F.lead("open").over(ind.history()) * (1 - fee) / (c("open") * (1 + fee)) - 1).alias("ret"))
     positions = st.stacked(t.wide, st.position_keys()).unionByName(st.stacked(t.wide, st.breakout_keys()).withColumn("value", F.lit(0.0)))

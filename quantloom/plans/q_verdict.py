@@ -12,7 +12,6 @@ from ..operators import risk as rk
 from ..operators import tuning as tu
 from ..operators import verdict as vd
 from ..operators.smooth import with_smoothed
-from ..session import written
 from . import backtest as bt
 from . import oracle as o
 from .q_market import STATE
@@ -54,10 +53,14 @@ FR["mkt"] = """SELECT x.date, idx_n >= 210 AS available, CASE WHEN idx > avg200
   + CASE WHEN d.k > 64 THEN CASE WHEN d.dt > 0.5 THEN -0.25 WHEN d.dt < -0.5 THEN 0.15 ELSE 0 END ELSE 0 END AS s
   FROM idx x LEFT JOIN (SELECT date, value FROM series WHERE series_id = 'VOL') v ON x.date = v.date
   LEFT JOIN (SELECT date, value - lag(value, 63) OVER (ORDER BY date) AS dt, row_number() OVER (ORDER BY date) AS k FROM series WHERE series_id = 'Y10') d ON x.date = d.date"""
-FR["sec"] = "SELECT series_id AS fund, date, CASE WHEN row_number() OVER w > 210 THEN CASE WHEN value > avg(value) OVER (PARTITION BY series_id ORDER BY date ROWS 199 PRECEDING) THEN 0.25 ELSE -0.25 END END AS x FROM series WHERE series_id IN ('XLK', 'XLE') WINDOW w AS (PARTITION BY series_id ORDER BY date)"
+FR["sec"] = "SELECT series_id AS fund, date, CASE WHEN row_number() OVER w > 210 THEN CASE WHEN value > avg(value) OVER (PARTITION BY series_id ORDER BY date ROWS 199 PRECEDING) THEN 0.25 ELSE -0.25 END END AS x FROM series WHERE series_id LIKE 'XL%' WINDOW w AS (PARTITION BY series_id ORDER BY date)"
 FR["reg"] = f"""SELECT b.symbol, b.date, m.available, CASE WHEN m.available THEN round({clip("greatest(-1, least(1, m.s + coalesce(q.x, 0))) * coalesce(greatest(0.6, least(1.4, CAST(t.beta AS DOUBLE))) + 0 * t.beta, 1)")}, 3) ELSE 0 END AS score,
   CASE WHEN m.available THEN 0.8 ELSE 0 END AS confidence FROM bars b JOIN mkt m ON b.date = m.date LEFT JOIN betas t ON t.symbol = b.symbol AND t.date = b.date
-  LEFT JOIN sec q ON q.date = b.date AND q.fund = CASE left(b.symbol, 1) WHEN 'A' THEN 'XLK' WHEN 'N' THEN 'XLE' END"""
+  LEFT JOIN fnd f ON f.symbol = b.symbol AND f.date = b.date LEFT JOIN sec q ON q.date = b.date AND q.fund = f.fund"""
+# The sector of a symbol as of each date, and its fund.
+FR["fnd"] = """SELECT b.symbol, b.date, CASE s.sector WHEN 'Technology' THEN 'XLK' WHEN 'Financial Services' THEN 'XLF' WHEN 'Healthcare' THEN 'XLV' WHEN 'Consumer Cyclical' THEN 'XLY' WHEN 'Consumer Defensive' THEN 'XLP'
+  WHEN 'Energy' THEN 'XLE' WHEN 'Industrials' THEN 'XLI' WHEN 'Basic Materials' THEN 'XLB' WHEN 'Utilities' THEN 'XLU' WHEN 'Real Estate' THEN 'XLRE' WHEN 'Communication Services' THEN 'XLC' END AS fund
+  FROM bars b ASOF LEFT JOIN sectors s ON b.symbol = s.symbol AND b.date >= s.since"""
 FR["states"] = f"SELECT symbol, date, i, close, {STATE} AS state FROM sig0"
 
 
@@ -140,7 +143,7 @@ def n5_technical(t: Panels) -> DataFrame:
 def n6_regime(t: Panels) -> DataFrame:
     bars, index = t.stored_bars, t.stored_series.where("series_id = 'INDEX'").select("date", "value")
     betas = bars.select("symbol", "date").join(rk.rolling_beta(rk.join_returns(bars, index)), ["symbol", "date"], "left")
-    return vd.regime(betas.withColumn("fund", bt.fund_of(c("symbol"))), t.stored_series, bt.FUNDS)
+    return vd.regime(bt.with_fund(betas, t.sectors), t.stored_series)
 
 
 ANALOG = f"""WITH z AS (SELECT symbol, max_by(state, date) AS now FROM (SELECT symbol, date, coalesce(state, -1) AS state FROM states) GROUP BY 1),
@@ -169,33 +172,33 @@ def a15_histogram(t: Panels) -> DataFrame:
 
 @query("SELECT symbol, date, horizon, verdict, score, confidence, agreement, coverage FROM verd", FR)
 def n7_combine(t: Panels) -> DataFrame:
-    rows = bt.module_rows(t.stored_bars, t.stored_series)
+    rows = t.modules
     return vd.combine(rows, vd.weight_table(t.spark), ["symbol", "date", "horizon"]).drop("strong", "contributions")
 
 
 @query("SELECT symbol, date, horizon, verdict, conf, ret FROM smp", FR)
 def e2_engine_samples(t: Panels) -> DataFrame:
-    return bt.engine_samples(t.stored_bars, t.stored_series).drop("x")
+    return t.samples.drop("x")
 
 
 @query("SELECT horizon, symbol, count(*) AS n, sum(ret) AS total FROM smp GROUP BY 1, 2", FR)
 def e3_universe(t: Panels) -> DataFrame:
-    return bt.engine_samples(t.stored_bars, t.stored_series).groupBy("horizon", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"))
+    return t.samples.groupBy("horizon", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"))
 
 
 @query("SELECT horizon, verdict, n, hit, base, avg_ret FROM byv", FR)
 def a10_hit_rates(t: Panels) -> DataFrame:
-    return bt.summarize_verdicts(bt.engine_samples(t.stored_bars, t.stored_series))
+    return bt.summarize_verdicts(t.samples)
 
 
 @query(f"SELECT s.horizon, CASE WHEN conf < 0.6 THEN 0 WHEN conf < 0.8 THEN 1 ELSE 2 END AS bin, count(*) AS n, {_MEAN(_HIT('s.verdict'))} AS hit, avg(b.base) AS base FROM smp s JOIN bases b ON b.horizon = s.horizon AND b.verdict = s.verdict GROUP BY 1, 2", FR)
 def a11_hit_rates_by_confidence(t: Panels) -> DataFrame:
-    return bt.summarize_conf(bt.engine_samples(t.stored_bars, t.stored_series))
+    return bt.summarize_conf(t.samples)
 
 
 @query("SELECT horizon, verdict, n, hit - base AS lift, CASE WHEN hit - base >= 0.03 THEN 'better' ELSE 'worse' END AS finding FROM byv WHERE abs(hit - base) >= 0.03", FR)
 def a20_findings(t: Panels) -> DataFrame:
-    return bt.findings(bt.summarize_verdicts(bt.engine_samples(t.stored_bars, t.stored_series)))
+    return bt.findings(bt.summarize_verdicts(t.samples))
 
 
 @query(
@@ -206,7 +209,7 @@ def a20_findings(t: Panels) -> DataFrame:
     FR,
 )
 def a20_conclusions(t: Panels) -> DataFrame:
-    return bt.conclusions(written(bt.engine_samples(t.stored_bars, t.stored_series), "samples"))
+    return bt.conclusions(t.samples)
 
 
 SHARE = "CASE horizon " + " ".join(f"WHEN '{h}' THEN {round(sum(v for m, v in zip(vd.MODULES, w, strict=True) if m in bt.TESTED), 2)}" for h, w in vd.WEIGHTS.items()) + " END"
@@ -214,14 +217,14 @@ SHARE = "CASE horizon " + " ".join(f"WHEN '{h}' THEN {round(sum(v for m, v in zi
 
 @query(f"SELECT horizon, count(*) AS n, avg(ret) AS avg_ret, min(date) AS start, max(date) AS \"end\", count(DISTINCT symbol) AS symbols, CAST({SHARE} AS DOUBLE) AS weight_share FROM smp GROUP BY 1", FR)
 def e9_engine_report(t: Panels) -> DataFrame:
-    return bt.engine_report(bt.engine_samples(t.stored_bars, t.stored_series))
+    return bt.engine_report(t.samples)
 
 
 CONTRIB = "SELECT m.symbol, m.date, m.horizon, m.module, w.w * m.confidence * m.score / k.wsum AS value FROM mods m JOIN wts w ON w.horizon = m.horizon AND w.module = m.module JOIN comb k ON k.symbol = m.symbol AND k.date = m.date AND k.horizon = m.horizon WHERE m.available AND m.confidence > 0"
 
 
 def _verdicts(t: Panels) -> DataFrame:
-    return vd.combine(bt.module_rows(t.stored_bars, t.stored_series), vd.weight_table(t.spark), ["symbol", "date", "horizon"])
+    return vd.combine(t.modules, vd.weight_table(t.spark), ["symbol", "date", "horizon"])
 
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY symbol, date, horizon ORDER BY abs(value) DESC, module) AS rank FROM ({CONTRIB})", FR)
@@ -240,7 +243,7 @@ def w21_waterfall(t: Panels) -> DataFrame:
     FR,
 )
 def u4_missing_modules(t: Panels) -> DataFrame:
-    out = vd.missing_modules(bt.module_rows(t.stored_bars, t.stored_series), ["symbol", "date", "horizon"], vd.MODULES)
+    out = vd.missing_modules(t.modules, ["symbol", "date", "horizon"], vd.MODULES)
     return out.withColumn("missing", F.array_join("missing", ","))
 
 
@@ -248,13 +251,13 @@ def u4_missing_modules(t: Panels) -> DataFrame:
 def n11_module_cards(t: Panels) -> DataFrame:
     from ..functions.scalars import letter
 
-    rows = bt.module_rows(t.stored_bars, t.stored_series)
+    rows = t.modules
     return rows.select("symbol", "date", "horizon", "module", "available", F.when(c("available"), letter(c("score"))).otherwise("-").alias("grade"))
 
 
 @query("SELECT symbol, date, horizon, CASE WHEN module = 'technical' THEN 'timing' WHEN module = 'regime' THEN 'timing' ELSE 'company' END AS part, sum(confidence * score) / sum(confidence) AS score FROM mods WHERE available GROUP BY 1, 2, 3, 4", FR)
 def a18_group_scores(t: Panels) -> DataFrame:
-    return vd.group_scores(bt.module_rows(t.stored_bars, t.stored_series), ["symbol", "date", "horizon"], ("analogs",))
+    return vd.group_scores(t.modules, ["symbol", "date", "horizon"], ("analogs",))
 
 
 REASON = "SELECT *, CASE WHEN score > 0.1 THEN 'bull' WHEN score < -0.1 THEN 'bear' END AS side FROM mods WHERE available"
@@ -262,7 +265,7 @@ REASON = "SELECT *, CASE WHEN score > 0.1 THEN 'bull' WHEN score < -0.1 THEN 'be
 
 @query(f"SELECT symbol, date, horizon, side, module, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date, horizon, side ORDER BY CASE WHEN side = 'bull' THEN -score * confidence ELSE score * confidence END, module) AS r FROM ({REASON}) WHERE side IS NOT NULL) WHERE r <= 3", FR)
 def n9_top_reasons(t: Panels) -> DataFrame:
-    return vd.top_reasons(bt.module_rows(t.stored_bars, t.stored_series), ["symbol", "date", "horizon"])
+    return vd.top_reasons(t.modules, ["symbol", "date", "horizon"])
 
 
 LEVEL_NAMES = ["sma20", "sma50", "sma200", "bb_up", "bb_low", "high20", "low20", "high52w", "low52w"]
@@ -345,17 +348,17 @@ def e4_spearman(t: Panels) -> DataFrame:
 
 @query(_module_ic("sx"), FR)
 def e5_module_ic(t: Panels) -> DataFrame:
-    return tu.module_ic(bt.engine_samples(t.stored_bars, t.stored_series), bt.TESTED)
+    return tu.module_ic(t.samples, bt.TESTED)
 
 
 @query(_ic(f"({_score('sx', 'wts')})", "s", "horizon"), FR)
 def e5_combined_ic(t: Panels) -> DataFrame:
-    return tu.combined_ic(bt.engine_samples(t.stored_bars, t.stored_series), vd.weight_table(t.spark))
+    return tu.combined_ic(t.samples, vd.weight_table(t.spark))
 
 
 @query(_propose(_module_ic("sx")), FR)
 def e6_propose(t: Panels) -> DataFrame:
-    return tu.propose(tu.module_ic(bt.engine_samples(t.stored_bars, t.stored_series), bt.TESTED), vd.weight_table(t.spark, bt.TESTED))
+    return tu.propose(tu.module_ic(t.samples, bt.TESTED), vd.weight_table(t.spark, bt.TESTED))
 
 
 FR["cut"] = "SELECT horizon, min(date) FILTER (k = kk) AS cut FROM (SELECT horizon, date, row_number() OVER (PARTITION BY horizon ORDER BY date) - 1 AS k, floor(count(*) OVER (PARTITION BY horizon) * 0.7) AS kk FROM smp) GROUP BY 1"
@@ -371,7 +374,7 @@ FR["w_old"] = "SELECT * FROM wts WHERE module IN ('technical', 'analogs', 'regim
     FR,
 )
 def e7_tune(t: Panels) -> DataFrame:
-    return tu.tune(bt.engine_samples(t.stored_bars, t.stored_series), vd.weight_table(t.spark, bt.TESTED), bt.TESTED)
+    return tu.tune(t.samples, vd.weight_table(t.spark, bt.TESTED), bt.TESTED)
 
 
 FR["w_fin"] = _propose(_module_ic("sx"))
@@ -386,27 +389,30 @@ FR["judged"] = f"""SELECT a.horizon, a.ic AS ic_prior, b.ic AS ic_new FROM ({_ic
     FR,
 )
 def e7_tuned_weights(t: Panels) -> DataFrame:
-    samples = written(bt.engine_samples(t.stored_bars, t.stored_series), "samples")
+    samples = t.samples
     return tu.tuned_weights(samples, vd.weight_table(t.spark), vd.MODULES, bt.TESTED)
 
 
-LIVE = """WITH r AS (SELECT *, CAST(created + CASE horizon WHEN 'short' THEN 30 WHEN 'mid' THEN 91 ELSE 365 END AS DATE) AS due FROM runs),
-    p AS (SELECT r.*, b.close AS price FROM r ASOF LEFT JOIN bars b ON r.symbol = b.symbol AND r.created >= b.date), e AS (SELECT p.*, b.close AS end_price FROM p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.due <= b.date)
-    SELECT horizon, created AS date, symbol, end_price / price - 1 AS ret, round(score * confidence, 4) AS v FROM e WHERE price IS NOT NULL AND end_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, created, horizon ORDER BY id DESC) = 1"""
+# Every run is a sample of each horizon; its cards' values are those that the JSON of its result holds.
+_CARD = lambda k, n: f"CASE WHEN id % 17 <> 0 AND {k} THEN round({n}, 4) END"
+LIVE = f"""WITH r AS (SELECT runs.*, h AS hz, CAST(created + CASE h WHEN 'short' THEN 30 WHEN 'mid' THEN 91 ELSE 365 END AS DATE) AS due FROM runs, (VALUES ('short'), ('mid'), ('long')) z(h)),
+    p AS (SELECT r.*, b.close AS price FROM r ASOF LEFT JOIN bars b ON r.symbol = b.symbol AND r.created >= b.date), e AS (SELECT p.*, b.close AS end_price FROM p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.due <= b.date),
+    n AS (SELECT *, (id * 7 % 201 - 100) / 100.0 AS sa, (id * 11 % 201 - 100) / 100.0 AS sb, (id * 13 % 201 - 100) / 100.0 AS sd, id % 100 / 100.0 AS k FROM e)
+    SELECT hz AS horizon, created AS date, symbol, end_price / price - 1 AS ret, {_CARD('id % 5 <> 0', 'sa * k')} AS technical, {_CARD('id % 3 <> 0', 'sb * 0.5')} AS sentiment, {_CARD('id % 7 <> 0', 'sd * k')} AS mood,
+    {_CARD("(hz = 'short' OR hz = 'mid' AND id % 2 = 0)", "CASE hz WHEN 'short' THEN sd * 0.25 ELSE sb END")} AS analogs
+    FROM n WHERE price IS NOT NULL AND end_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, created, hz ORDER BY id DESC) = 1"""
 
 
 def _live(t: Panels) -> DataFrame:
-    from ..functions import scalars as sc
-    from ..operators.asof import price_on
     from ..operators.track import with_price
 
-    runs = with_price(t.runs, t.bars).withColumn("due", sc.due_date(c("created"), c("horizon")))
-    return tu.live_samples(price_on(runs, t.bars, "due"), ["technical"])
+    runs = t.runs.join(t.results, "id").select("id", "symbol", "created", "result")
+    return tu.live_samples(with_price(runs, t.stored_bars), t.stored_bars)
 
 
 @query(LIVE)
 def e8_live_samples(t: Panels) -> DataFrame:
-    return _live(t).select("horizon", "date", "symbol", "ret", c("x")["technical"].alias("v"))
+    return _live(t).select("horizon", "date", "symbol", "ret", *[F.try_element_at("x", F.lit(m)).alias(m) for m in ("technical", "sentiment", "mood", "analogs")])
 
 
 @query(f"SELECT horizon, date, symbol, count(*) AS n FROM ({LIVE}) GROUP BY 1, 2, 3")
@@ -416,5 +422,5 @@ def u3_dedup_live(t: Panels) -> DataFrame:
 
 @query(f"SELECT 'bt' AS src, horizon, count(*) AS n, avg(ret) AS avg_ret FROM smp GROUP BY 1, 2 UNION ALL SELECT 'live', horizon, count(*), avg(ret) FROM ({LIVE}) GROUP BY 1, 2", FR)
 def u2_all_samples(t: Panels) -> DataFrame:
-    rows = tu.all_samples(bt.engine_samples(t.stored_bars, t.stored_series), _live(t))
+    rows = tu.all_samples(t.samples, _live(t))
     return rows.groupBy("src", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("avg_ret"))

@@ -8,8 +8,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package, written
+from ..session import ship_package
 from ..sources.fixtures import PANELS, panel, render
+from ..sources.store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,21 +30,68 @@ class Panels:
     def bars(self) -> DataFrame:
         return panel(self.spark, self.sf_dir, "bars")
 
+    def _stored(self, name: str, build, tables: tuple[str, ...] = ("lineitem",), keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("date",)) -> DataFrame:
+        return stored(self.spark, self.sf_dir, name, tables, build, keys, order)
+
     @cached_property
     def stored_bars(self) -> DataFrame:
-        """bars, written once for plans that read them in several branches."""
-        return written(self.bars, "bars")
+        """bars, kept between queries; plans that read them in several branches start here."""
+        return self._stored("bars", lambda: self.bars)
 
     @cached_property
     def stored_series(self) -> DataFrame:
-        return written(self.series, "series")
+        return self._stored("series", lambda: self.series, keys=())
 
     @cached_property
     def wide(self) -> DataFrame:
-        """The signals of all strategies, written once, as positions, breakouts and trades all start from them."""
+        """The signals of all strategies, as positions, breakouts and trades all start from them."""
         from ..operators.strategies import wide_signals
 
-        return written(wide_signals(self.stored_bars), "signals")
+        return self._stored("signals", lambda: wide_signals(self.stored_bars))
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        """Returns of all variants, with their bar number."""
+        from ..operators.validation import numbered
+        from .q_market import all_returns
+
+        return self._stored("returns", lambda: numbered(all_returns(self)), keys=("symbol", "strategy"), order=("variant", "date"))
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        from .q_market import all_trades
+
+        return self._stored("trades", lambda: all_trades(self), keys=("symbol", "strategy"), order=("variant", "entry"))
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        """The variant that each fold of the walk-forward takes."""
+        from ..operators.validation import chosen_variants, folds
+
+        return self._stored("chosen", lambda: chosen_variants(self.returns, folds(self.stored_bars)), keys=())
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        """Module scores at all sample dates of the back-test."""
+        from .backtest import module_rows
+
+        return self._stored("modules", lambda: module_rows(self.stored_bars, self.stored_series, self.sectors))
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        """Verdicts of the back-test with what followed: the one table that hit rates, reports and tuning read."""
+        from .backtest import samples_of
+
+        return self._stored("samples", lambda: samples_of(self.modules))
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """(id, result): what each run stored, as JSON."""
+        return panel(self.spark, self.sf_dir, "results")
+
+    @cached_property
+    def sectors(self) -> DataFrame:
+        return panel(self.spark, self.sf_dir, "sectors")
 
     @cached_property
     def series(self) -> DataFrame:

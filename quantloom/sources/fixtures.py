@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice"
 _SIX = "CASE {x} % 6 WHEN 0 THEN 'AF' WHEN 1 THEN 'AO' WHEN 2 THEN 'NF' WHEN 3 THEN 'NO' WHEN 4 THEN 'RF' ELSE 'RO' END"
 _BAND = "CASE WHEN {x} >= {n} THEN concat('', CAST(floor({x} / {n}) AS INT)) ELSE '' END"
+#: Share of the day's first discount in each sector fund's return, the rest is that of the last.
+_FUNDS = {"XLK": 1.0, "XLE": 0.0, "XLF": 0.1, "XLV": 0.2, "XLY": 0.3, "XLP": 0.4, "XLI": 0.5, "XLB": 0.6, "XLU": 0.7, "XLRE": 0.8, "XLC": 0.9}
+_SECTORS = ["Technology", "Energy", "Financial Services", "Healthcare", "Consumer Cyclical", "Consumer Defensive", "Industrials", "Basic Materials", "Utilities", "Real Estate", "Communication Services"]
 _RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 PANELS = {
@@ -32,9 +35,14 @@ SELECT symbol, date, open, round(greatest(open, close) * (1 + q1 / 5000), 6) AS
 WITH d AS (SELECT CAST(l_shipdate AS DATE) AS date, min_by(l_discount, <K>) AS d0, max_by(l_discount, <K>) AS d1,
            CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS ad, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS tx FROM lineitem GROUP BY 1),
 i AS (SELECT date, ad, tx, round(100 * exp(sum(CAST(0.2 * ((d0 + d1) / 2 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS idx,
-  round(50 * exp(sum(CAST(0.2 * (d0 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS xlk, round(80 * exp(sum(CAST(0.2 * (d1 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS xle FROM d),
-k AS (SELECT *, unnest_ids AS series_id FROM i CROSS JOIN (<ROWS:'INDEX','VOL','Y10','Y13W','XLK','XLE'>) AS n(unnest_ids))
-SELECT series_id, date, CASE series_id WHEN 'INDEX' THEN idx WHEN 'VOL' THEN round(10 + 250 * ad, 6) WHEN 'Y10' THEN round(100 * tx, 6) WHEN 'Y13W' THEN round(75 * tx, 6) WHEN 'XLK' THEN xlk ELSE xle END AS value FROM k""",
+  {", ".join(f"round({50 + 3 * k} * exp(sum(CAST(0.2 * ({w} * d0 + {round(1 - w, 1)} * d1 - 0.05) AS DOUBLE)) OVER (ORDER BY date {_RUN})), 6) AS {f.lower()}" for k, (f, w) in enumerate(_FUNDS.items()))} FROM d),
+k AS (SELECT *, unnest_ids AS series_id FROM i CROSS JOIN (<ROWS:'INDEX','VOL','Y10','Y13W',{",".join(f"'{f}'" for f in _FUNDS)}>) AS n(unnest_ids))
+SELECT series_id, date, CASE series_id WHEN 'INDEX' THEN idx WHEN 'VOL' THEN round(10 + 250 * ad, 6) WHEN 'Y10' THEN round(100 * tx, 6) WHEN 'Y13W' THEN round(75 * tx, 6) {" ".join(f"WHEN '{f}' THEN {f.lower()}" for f in _FUNDS)} END AS value FROM k""",
+    "sectors": f"""
+WITH s AS (SELECT concat(l_returnflag, l_linestatus, {_BAND.format(x="l_suppkey", n=100)}) AS symbol, CAST(min(floor(l_suppkey / 100)) AS INT) + ascii(min(l_returnflag)) + 3 * ascii(min(l_linestatus)) AS h FROM lineitem GROUP BY 1)
+SELECT symbol, CAST(<DAY:DATE '1993-06-01':CAST(n * (700 + 13 * (h % 7)) AS INT)> AS DATE) AS since,
+  CASE (h + 5 * n) % 11 {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SECTORS))} END AS sector
+FROM s CROSS JOIN (<ROWS:0,1,2>) AS t(n)""",
     "statements": """
 WITH a AS (SELECT concat('S', l_suppkey) AS symbol, year(l_shipdate) AS y, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS e,
   CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(18,4))) AS DOUBLE) AS ed, CAST(sum(CAST(l_extendedprice * l_tax AS DECIMAL(18,4))) AS DOUBLE) AS et, sum(l_quantity) AS q
@@ -59,6 +67,13 @@ SELECT d.doc_id AS id, concat({_SIX.format(x="d.doc_id")}, {_BAND.format(x="d.do
   CASE d.doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS impact,
   CASE d.doc_id % 5 WHEN 0 THEN 'earnings' WHEN 1 THEN 'legal' WHEN 2 THEN 'product' WHEN 3 THEN 'price_move' ELSE 'other' END AS event
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    # Results of runs as JSON: two known modules and one that the engine has not, with holes, and analogs by horizon.
+    "results": """
+WITH v AS (SELECT o_orderkey AS id, concat(CAST(CAST((o_orderkey * 7 % 201 - 100) / 100.0 AS DECIMAL(6,2)) AS STRING), '') AS a, concat(CAST(CAST((o_orderkey * 11 % 201 - 100) / 100.0 AS DECIMAL(6,2)) AS STRING), '') AS b,
+  concat(CAST(CAST((o_orderkey * 13 % 201 - 100) / 100.0 AS DECIMAL(6,2)) AS STRING), '') AS d, concat(CAST(CAST(o_orderkey % 100 / 100.0 AS DECIMAL(6,2)) AS STRING), '') AS k FROM orders)
+SELECT id, CASE WHEN id % 17 = 0 THEN 'not json' ELSE concat('{"modules":[{"key":"technical","available":', CASE WHEN id % 5 = 0 THEN 'false' ELSE 'true' END, ',"score":', a, ',"confidence":', k, ',"note":{"deep":[1,2]}}',
+  CASE WHEN id % 3 = 0 THEN '' ELSE concat(',{"key":"sentiment","available":true,"score":', b, ',"confidence":0.5}') END, ',{"key":"mood","available":true,"score":', CASE WHEN id % 7 = 0 THEN 'null' ELSE d END, ',"confidence":', k,
+  '},{"key":"analogs","available":true,"score":1,"confidence":1}],"analogs":{"short":{"available":true,"score":', d, ',"confidence":0.25},"mid":{"available":', CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END, ',"score":', b, ',"confidence":1}}}') END AS result FROM v""",
     "runs": f"""
 SELECT o_orderkey AS id, concat({_SIX.format(x="o_custkey")}, {_BAND.format(x="o_custkey", n=1500)}) AS symbol, CAST(o_orderdate AS DATE) AS created,
   CASE o_orderkey % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'mid' ELSE 'long' END AS horizon,
