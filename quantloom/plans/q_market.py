@@ -310,19 +310,19 @@ METRICS = f"""WITH eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY {KEYS} O
 
 @query(METRICS, o.FRAGMENTS)
 def a5_metrics(t: Panels) -> DataFrame:
-    out = met.performance(all_returns(t), all_trades(t), acc.KEYS)
+    out = met.performance(t.returns, t.trades, acc.KEYS)
     digits = {k: 6 if k == "profit_factor" else 8 for k, kind in out.dtypes if kind == "double"}
     return out.select(*[F.round(k, digits[k]).alias(k) if k in digits else c(k) for k in out.columns])
 
 
 @query(f"SELECT {KEYS}, {SHARPE} AS sharpe FROM all_ret GROUP BY {KEYS}", o.FRAGMENTS)
 def a6_sharpe(t: Panels) -> DataFrame:
-    return all_returns(t).groupBy(*acc.KEYS).agg(met.sharpe().alias("sharpe"))
+    return t.returns.groupBy(*acc.KEYS).agg(met.sharpe().alias("sharpe"))
 
 
 @query(f"SELECT {KEYS}, {PERIOD} AS sr FROM all_ret GROUP BY {KEYS}", o.FRAGMENTS)
 def a7_period_sharpe(t: Panels) -> DataFrame:
-    return all_returns(t).groupBy(*acc.KEYS).agg(met.period_sharpe().alias("sr"))
+    return t.returns.groupBy(*acc.KEYS).agg(met.period_sharpe().alias("sr"))
 
 
 @query(
@@ -332,5 +332,5 @@ def a7_period_sharpe(t: Panels) -> DataFrame:
     o.FRAGMENTS,
 )
 def a8_moments(t: Panels) -> DataFrame:
-    out = met.moments(all_returns(t), acc.KEYS).where("sd > 0")
+    out = met.moments(t.returns, acc.KEYS).where("sd > 0")
     return out.select(*acc.KEYS, "n", F.round("skew", 6).alias("skew"), F.round("kurt", 6).alias("kurt"))

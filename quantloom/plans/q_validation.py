@@ -162,12 +162,12 @@ def _psr(star: str) -> str:
 
 @query(f"SELECT {', '.join('k.' + x for x in KEYS.split(', '))}, round(coalesce({_psr('0')[0]}, 0), 6) AS psr FROM (SELECT DISTINCT {KEYS} FROM all_ret) k LEFT JOIN (SELECT *, {_psr('0')[1]} AS z FROM mom) m ON m.symbol = k.symbol AND m.strategy = k.strategy AND m.variant = k.variant", FR)
 def v8_probabilistic_sharpe(t: Panels) -> DataFrame:
-    return va.psr(met.moments(all_returns(t), acc.KEYS)).select(*acc.KEYS, F.round("psr", 6).alias("psr"))
+    return va.psr(met.moments(t.returns, acc.KEYS)).select(*acc.KEYS, F.round("psr", 6).alias("psr"))
 
 
 @query(f"SELECT symbol, sqrt(var_samp(sr)) * CAST({va.expected_max_factor(30)!r} AS DOUBLE) AS sr0 FROM (SELECT {KEYS}, {PERIOD} AS sr FROM all_ret GROUP BY {KEYS}) GROUP BY 1", FR)
 def v9_expected_max_sharpe(t: Panels) -> DataFrame:
-    return va.expected_max_sr(all_returns(t), 30)
+    return va.expected_max_sr(t.returns, 30)
 
 
 FR["best"] = f"SELECT * FROM (SELECT {KEYS}, round({SHARPE}, 3) AS s FROM all_ret GROUP BY {KEYS}) QUALIFY row_number() OVER (PARTITION BY symbol, strategy ORDER BY s DESC, variant) = 1"
@@ -180,7 +180,7 @@ FR["sr0"] = f"SELECT symbol, sqrt(var_samp(sr)) * 2.0733923079499466 AS sr0 FROM
     FR,
 )
 def v10_deflated_sharpe(t: Panels) -> DataFrame:
-    return va.deflated_sharpe(all_returns(t), 30)
+    return va.deflated_sharpe(t.returns, 30)
 
 
 GRADED = """SELECT id, symbol, horizon, CASE WHEN id % 2 = 0 THEN 'trend' ELSE 'day' END AS family, score AS vote0, CASE WHEN id % 9 = 0 THEN NULL ELSE confidence / 3 END AS p, score * 2 AS oos_sharpe, id % 30 AS oos_trades, 1 - confidence / 2 AS dsr FROM runs"""
@@ -238,7 +238,7 @@ _FAMILY = "CASE WHEN strategy = 'vol_breakout' THEN 'day' WHEN strategy IN ('rsi
 def v12_current_signal(t: Panels) -> DataFrame:
     positions = st.stacked(st.wide_signals(t.bars, st.position_keys()), st.position_keys())
     families = st.strategy_grid(t.spark).select("strategy", "family").distinct()
-    return va.current_signal(all_returns(t).where("strategy <> 'vol_breakout'"), positions, families)
+    return va.current_signal(t.returns.where("strategy <> 'vol_breakout'"), positions, families)
 
 
 @query(
@@ -287,7 +287,7 @@ MARK = """WITH r AS (SELECT * FROM trades WHERE entry >= DATE '2000-06-01'), m A
 
 @query(MARK, FR)
 def t8_markers(t: Panels) -> DataFrame:
-    return va.markers(all_trades(t), F.to_date(F.lit("2000-06-01")))
+    return va.markers(t.trades, F.to_date(F.lit("2000-06-01")))
 
 
 # Resampling: few paths where there is SQL, the same draws in both engines; ALL_PATHS in the queries named _full.
