@@ -1,17 +1,20 @@
-"""Resampled price paths from block bootstraps, as joins of draw tables with numbered returns.
+"""Resampled price paths from block bootstraps.
 
 Draws are a function of (seed, symbol, path, step), so a path is the same whatever
-the partitioning, and paths spread over the cluster by (symbol, path).
+the partitioning.  A symbol's returns are gathered once and dealt out for each block of
+paths (`draws`); a path is one row with an array of its steps until someone wants the steps.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HORIZON_BARS, clip
+from .draws import block_picks, gathered, in_blocks
 from .indicators import log_return
 from .risk import tail
 from .validation import draw
@@ -40,24 +43,37 @@ def block_bootstrap(sizes: DataFrame, n_paths: int, horizon: int, block: int = 1
     return rows.select("symbol", "path", "step", ((c("_last.p") + c("step") - c("_last.s")) % c("n")).alias("pick"))
 
 
-def forward_paths(bars: DataFrame, drifts: DataFrame, n_paths: int = 2000, horizon: int = 252, block: int = 10, seed: int = 11) -> DataFrame:
-    """(symbol, path, step, growth): growth of the price from its last close, from three years of centred log returns."""
+def path_arrays(bars: DataFrame, drifts: DataFrame, n_paths: int = 2000, horizon: int = 252, block: int = 10, seed: int = 11) -> DataFrame:
+    """(symbol, path, growth): growth of the price from its last close at each step, from three years of centred log returns."""
     c = F.col
     r = tail(bars.select("symbol", "date", log_return().alias("r")).where("r is not null"), 3 * horizon)
-    stats = r.groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.var_samp("r").alias("var")).join(drifts.select("symbol", "drift"), "symbol")
-    pool = r.select("symbol", (F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1).cast("long").alias("pick"), "r").join(F.broadcast(stats), "symbol")  # a row a symbol
-    pool = pool.select("symbol", "pick", (c("r") - c("mean") + F.log(1 + c("drift")) / horizon - c("var") / 2).alias("x"))
-    picks = block_bootstrap(stats.select("symbol", "n"), n_paths, horizon, block, seed)
-    w = Window.partitionBy("symbol", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return picks.join(pool, ["symbol", "pick"]).select("symbol", "path", "step", F.exp(F.sum("x").over(w)).alias("growth"))
+    stats = r.groupBy("symbol").agg(F.avg("r").alias("mean"), F.var_samp("r").alias("var"))
+    shift = F.log(1 + c("drift")) / horizon - c("var") / 2 - c("mean")
+    pool = gathered(r, ["symbol"], ["date"], "r").join(stats, "symbol").join(drifts.select("symbol", "drift"), "symbol").withColumn("_shift", shift)
+
+    def grown(values, draws, salt, numbers):
+        return [np.exp(np.cumsum((values + numbers[0])[block_picks(len(values), draws, horizon, block, seed, salt)], axis=1))]
+
+    paths = in_blocks(pool, ["symbol"], n_paths, 0, F.crc32(F.encode("symbol", "UTF-8")), [c("_shift")], grown, "growth array<double>")
+    return paths.withColumnRenamed("draw", "path")
+
+
+def forward_paths(bars: DataFrame, drifts: DataFrame, n_paths: int = 2000, horizon: int = 252, block: int = 10, seed: int = 11) -> DataFrame:
+    """(symbol, path, step, growth): the paths of path_arrays, a row for each step."""
+    return path_arrays(bars, drifts, n_paths, horizon, block, seed).select("symbol", "path", F.posexplode("growth").alias("step", "growth"))
+
+
+def _as_arrays(paths: DataFrame) -> DataFrame:
+    """Paths with a row for each step as arrays; arrays as they are."""
+    if "step" not in paths.columns:
+        return paths
+    return gathered(paths, ["symbol", "path"], ["step"], "growth").withColumnRenamed("values", "growth")
 
 
 def summarize_paths(paths: DataFrame, horizon_bars: dict[str, int] | None = None) -> DataFrame:
     """(symbol, horizon, p_up, percentiles, cvar95) of returns at the end of each horizon."""
-    parts = None
-    for name, h in (horizon_bars or HORIZON_BARS).items():
-        ends = paths.where(F.col("step") == h - 1).select("symbol", F.lit(name).alias("horizon"), (F.col("growth") - 1).alias("f"))
-        parts = ends if parts is None else parts.unionByName(ends)
+    ends = [F.struct(F.lit(k).alias("horizon"), (F.try_element_at("growth", F.lit(h)) - 1).alias("f")) for k, h in (horizon_bars or HORIZON_BARS).items()]
+    parts = _as_arrays(paths).select("symbol", F.explode(F.array(*ends)).alias("e")).select("symbol", "e.horizon", "e.f").where("f is not null")
     keys = ["symbol", "horizon"]
     w = Window.partitionBy(*keys)
     rows = parts.withColumn("_r", F.row_number().over(w.orderBy("f"))).withColumn("_k", F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / 20)))
@@ -67,9 +83,9 @@ def summarize_paths(paths: DataFrame, horizon_bars: dict[str, int] | None = None
 
 def path_fan(paths: DataFrame, every: int = 4) -> DataFrame:
     """(symbol, day, p5 … p95) at every fourth day."""
-    day = F.col("step") + 1
-    g = paths.where(day % every == 0).groupBy("symbol", day.alias("day"))
-    return g.agg(*[F.percentile("growth", F.lit(p / 100)).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
+    some = F.filter(F.transform("growth", lambda g, i: F.struct((i + 1).alias("day"), g.alias("g"))), lambda x: x["day"] % every == 0)
+    rows = _as_arrays(paths).select("symbol", F.explode(some).alias("x")).select("symbol", "x.day", "x.g")
+    return rows.groupBy("symbol", "day").agg(*[F.percentile("g", F.lit(p / 100)).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
 
 
 def trade_plan(prices: DataFrame, horizon: str) -> DataFrame:
@@ -89,11 +105,11 @@ def trade_plan(prices: DataFrame, horizon: str) -> DataFrame:
 def first_touch(paths: DataFrame, plan: DataFrame, bars: int) -> DataFrame:
     """(symbol, p_target_first, p_stop_first, p_neither, expected_return) of plan(symbol, price, stop, target) over paths."""
     c = F.col
-    rows = paths.where(c("step") < bars).join(F.broadcast(plan.select("symbol", "price", "stop", "target")), "symbol")  # a row a symbol
-    px = c("growth") * c("price")
-    per = rows.groupBy("symbol", "path").agg(
-        F.min(F.when(px >= c("target"), c("step"))).alias("t"), F.min(F.when(px <= c("stop"), c("step"))).alias("s"), (F.max_by("growth", "step") - 1).alias("end"),
-        F.first(c("target") / c("price") - 1).alias("up"), F.first(c("stop") / c("price") - 1).alias("down"),
+    rows = _as_arrays(paths).join(plan.select("symbol", "price", "stop", "target"), "symbol").withColumn("_g", F.slice("growth", 1, bars))
+    first = lambda hit: F.nullif(F.array_position(F.transform("_g", hit), True), F.lit(0).cast("long")) - 1
+    per = rows.select(
+        "symbol", first(lambda g: g * c("price") >= c("target")).alias("t"), first(lambda g: g * c("price") <= c("stop")).alias("s"), (F.element_at("_g", -1) - 1).alias("end"),
+        (c("target") / c("price") - 1).alias("up"), (c("stop") / c("price") - 1).alias("down"),
     )
     never = F.lit(bars + 1)
     t, s = F.coalesce("t", never), F.coalesce("s", never)

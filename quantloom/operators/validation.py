@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from . import accounting as acc
+from .draws import gathered, in_blocks, uniform
 from . import metrics as met
 
 IN, OUT, WARM = 756, 252, 252
@@ -138,32 +140,31 @@ def permutation_p(oos: DataFrame, n_perm: int = 1000, fee: float = acc.FEE, rate
     return g.select("symbol", "strategy").join(p, ["symbol", "strategy"], "left")
 
 
-def _draws(rows: DataFrame, n_draws: int, seed: int) -> DataFrame:
-    """rows(key, n) with a row for each draw and place: (key, draw, place, pick)."""
-    out = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return out.withColumn("pick", draw(seed, F.col("draw"), F.col("place"), below=F.col("pool")))
-
-
 def random_day_p(trades: DataFrame, baseline: DataFrame, n_draws: int = 1000, seed: int = 7) -> DataFrame:
     """(symbol, strategy, p): how often as many random days of baseline(symbol, i, ret) do at least as well as the trades."""
-    order = Window.partitionBy("symbol").orderBy("i")
-    pool = baseline.where("ret is not null").select("symbol", (F.row_number().over(order) - 1).alias("pick"), F.col("ret").alias("r"))
-    sizes = pool.groupBy("symbol").agg(F.count(F.lit(1)).alias("pool"))
-    g = trades.groupBy("symbol", "strategy").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("actual")).join(sizes, "symbol").where("n >= 10 and pool >= 30")
-    sims = _draws(g, n_draws, seed).join(pool, ["symbol", "pick"]).groupBy("symbol", "strategy", "draw").agg(F.avg("r").alias("sim"), F.first("actual").alias("actual"))
-    return sims.groupBy("symbol", "strategy").agg(((1 + F.count_if(F.round("sim", 12) >= F.round("actual", 12))) / (n_draws + 1)).alias("p"))
+    keys = ["symbol", "strategy"]
+    pool = gathered(baseline.where("ret is not null"), ["symbol"], ["i"], "ret")
+    g = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("actual")).join(pool, "symbol").where((F.col("n") >= 10) & (F.size("values") >= 30))
+
+    def means(values, draws, salt, numbers):
+        place = np.arange(1, int(numbers[0]) + 1)
+        return [values[uniform(seed, draws[:, None], place[None, :]) % len(values)].mean(axis=1)]
+
+    sims = in_blocks(g, [*keys, "actual"], n_draws, 1, F.lit(0), [F.col("n")], means, "sim double")
+    return sims.groupBy(*keys).agg(((1 + F.count_if(F.round("sim", 12) >= F.round("actual", 12))) / (n_draws + 1)).alias("p"))
 
 
 def trade_bootstrap(trades: DataFrame, n_draws: int = 1000, seed: int = 7) -> DataFrame:
     """(symbol, strategy, …): percentiles of end value and drawdown when the trades are drawn again; five trades at least."""
     keys = ["symbol", "strategy"]
-    order = Window.partitionBy(*keys).orderBy("entry", "variant")
-    pool = trades.select(*keys, (F.row_number().over(order) - 1).alias("pick"), F.col("ret").alias("r"))
-    g = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 5").withColumn("pool", F.col("n"))
-    run = Window.partitionBy(*keys, "draw").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _draws(g, n_draws, seed).join(pool, [*keys, "pick"]).withColumn("eq", F.product(1 + F.col("r")).over(run))
-    rows = rows.withColumn("dd", F.col("eq") / F.greatest(F.max("eq").over(run), F.lit(1.0)) - 1)
-    ends = rows.groupBy(*keys, "draw").agg((F.max_by("eq", "place") - 1).alias("final"), F.min("dd").alias("mdd"))
+    pool = gathered(trades, keys, ["entry", "variant"], "ret").where(F.size("values") >= 5)
+
+    def curves(values, draws, salt, numbers):
+        place = np.arange(1, len(values) + 1)
+        equity = np.cumprod(1 + values[uniform(seed, draws[:, None], place[None, :]) % len(values)], axis=1)
+        return [equity[:, -1] - 1, (equity / np.maximum(np.maximum.accumulate(equity, axis=1), 1.0) - 1).min(axis=1)]
+
+    ends = in_blocks(pool, keys, n_draws, 1, F.lit(0), [], curves, "final double, mdd double")
     q = lambda col, p: F.percentile(col, F.lit(p))
     return ends.groupBy(*keys).agg(q("final", 0.05).alias("ret_p5"), q("final", 0.5).alias("ret_p50"), q("final", 0.95).alias("ret_p95"), q("mdd", 0.05).alias("mdd_p5"), q("mdd", 0.5).alias("mdd_p50"))
 

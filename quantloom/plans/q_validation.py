@@ -71,8 +71,8 @@ def v4_wf_efficiency(t: Panels) -> DataFrame:
     return va.wf_efficiency(t.returns, va.folds(t.stored_bars), t.chosen)
 
 
-# The SQL fixes fewer draws than the operators' defaults; the queries named _full take the defaults and have no SQL.
-N_PERM = 100
+# The SQL fixes fewer shifts than the operator's default; the query named _full takes the default and has no SQL.
+N_PERM = 1000
 FR["pos_oos"] = "SELECT symbol, strategy, held, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY symbol, strategy) AS n, coalesce(close / lag(close) OVER w - 1, 0) AS mkt FROM oos WHERE strategy <> 'vol_breakout' WINDOW w AS (PARTITION BY symbol, strategy ORDER BY i)"
 FR["able"] = "SELECT symbol, strategy, any_value(n) AS n FROM pos_oos GROUP BY 1, 2 HAVING any_value(n) >= 120 AND min(held) <> max(held)"
 FR["shifts"] = f"SELECT symbol, strategy, n, k, CASE WHEN k = 0 THEN 0 ELSE 20 + {_draw(7, 'k')} % (n - 40) END AS s FROM able, LATERAL (SELECT unnest(range(0, {N_PERM + 1})) AS k)"
@@ -110,7 +110,7 @@ def v5_permutation_p_full(t: Panels) -> DataFrame:
     return va.permutation_p(_held_oos(t))
 
 
-N_DRAWS = 200
+N_DRAWS = 1000
 FR["otrb"] = "SELECT symbol, strategy, count(*) AS n, avg(ret) AS actual FROM otr WHERE strategy = 'vol_breakout' GROUP BY 1, 2"
 FR["o2o"] = "SELECT m.symbol, m.i, lead(m.open) OVER (PARTITION BY m.symbol ORDER BY m.i) * (1 - 0.0005) / (m.open * (1 + 0.0005)) - 1 AS ret FROM moves m"
 FR["pool"] = "SELECT p.symbol, p.ret AS r, row_number() OVER (PARTITION BY p.symbol ORDER BY p.i) - 1 AS pick, count(*) OVER (PARTITION BY p.symbol) AS pool FROM o2o p JOIN folds f ON f.symbol = p.symbol AND p.i >= f.a AND p.i < f.b WHERE p.ret IS NOT NULL"
@@ -135,7 +135,7 @@ def v6_random_day_p_full(t: Panels) -> DataFrame:
 @query(
     f"""WITH b AS (SELECT symbol, strategy, ret AS r, row_number() OVER (PARTITION BY symbol, strategy ORDER BY entry, variant) - 1 AS pick, count(*) OVER (PARTITION BY symbol, strategy) AS n FROM otr),
     g AS (SELECT DISTINCT symbol, strategy, n FROM b WHERE n >= 5),
-    d AS (SELECT g.*, draw, place, {_draw(7, 'draw', 'place')} % n AS pick FROM g, LATERAL (SELECT unnest(range(1, {N_DRAWS // 2 + 1})) AS draw), LATERAL (SELECT unnest(range(1, n + 1)) AS place)),
+    d AS (SELECT g.*, draw, place, {_draw(7, 'draw', 'place')} % n AS pick FROM g, LATERAL (SELECT unnest(range(1, {N_DRAWS + 1})) AS draw), LATERAL (SELECT unnest(range(1, n + 1)) AS place)),
     e AS (SELECT d.symbol, d.strategy, d.draw, d.place, product(1 + b.r) OVER (PARTITION BY d.symbol, d.strategy, d.draw ORDER BY d.place ROWS UNBOUNDED PRECEDING) AS eq FROM d JOIN b ON b.symbol = d.symbol AND b.strategy = d.strategy AND b.pick = d.pick),
     m AS (SELECT *, eq / greatest(max(eq) OVER (PARTITION BY symbol, strategy, draw ORDER BY place ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM e),
     x AS (SELECT symbol, strategy, draw, max_by(eq, place) - 1 AS final, min(dd) AS mdd FROM m GROUP BY 1, 2, 3)
@@ -143,7 +143,7 @@ def v6_random_day_p_full(t: Panels) -> DataFrame:
     FR,
 )
 def v7_trade_bootstrap(t: Panels) -> DataFrame:
-    return va.trade_bootstrap(_oos_trades(t), N_DRAWS // 2)
+    return va.trade_bootstrap(_oos_trades(t), N_DRAWS)
 
 
 @query()
@@ -290,8 +290,8 @@ def t8_markers(t: Panels) -> DataFrame:
     return va.markers(t.trades, F.to_date(F.lit("2000-06-01")))
 
 
-# Resampling: few paths where there is SQL, the same draws in both engines; ALL_PATHS in the queries named _full.
-PATHS, ALL_PATHS, STEPS = 40, 2000, 252
+# Resampling: the same draws in both engines. The queries named _full are older names of the same rows.
+PATHS, ALL_PATHS, STEPS = 2000, 2000, 252
 FR["lr"] = f"SELECT symbol, date, ln(close) - ln(lag(close) {o.OVER}) AS r FROM bars"
 FR["lr3"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM lr WHERE r IS NOT NULL) WHERE k <= 756"
 # The salt of a symbol is the CRC-32 of its bytes, a fold over bytes and their bits.
@@ -311,9 +311,9 @@ def _sizes(t: Panels) -> DataFrame:
     return r.groupBy("symbol").agg(F.count("r").alias("n"))
 
 
-def _paths(t: Panels, n_paths: int = PATHS) -> DataFrame:
+def _paths(t: Panels, n_paths: int = PATHS, make=rs.path_arrays) -> DataFrame:
     drifts = rs.drift(t.bars.select("symbol").distinct().select("symbol", F.lit(0.03).alias("rf"), F.lit(1.0).alias("beta")))
-    return rs.forward_paths(t.bars, drifts, n_paths, STEPS)
+    return make(t.bars, drifts, n_paths, STEPS)
 
 
 @query("SELECT symbol, path, step, pick FROM bb", FR)
@@ -328,12 +328,12 @@ def r1_block_bootstrap_full(t: Panels) -> DataFrame:
 
 @query("SELECT symbol, path, step, growth FROM fp", FR)
 def r2_forward_paths(t: Panels) -> DataFrame:
-    return _paths(t)
+    return _paths(t, make=rs.forward_paths)
 
 
 @query()
 def r2_forward_paths_full(t: Panels) -> DataFrame:
-    return _paths(t, ALL_PATHS)
+    return _paths(t, ALL_PATHS, rs.forward_paths)
 
 
 @query("SELECT id, confidence AS rf, score AS beta, confidence + greatest(0, least(2.5, score)) * 0.045 AS drift FROM runs")
