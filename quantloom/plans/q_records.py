@@ -13,6 +13,7 @@ from ..session import shared_path
 from ..sources import records as rec
 from ..sources.tables import finite, with_period_index
 from . import oracle as o
+from ..sources.keyed_store import KeyedStore
 from .registry import Panels, query
 
 c = F.col
@@ -54,9 +55,16 @@ def s8_list_runs(t: Panels) -> DataFrame:
     return rows.withColumn("has_score", c("score_text").isNotNull()).drop("score_text")
 
 
+def _runs_store(t: Panels) -> KeyedStore:
+    """All runs in a keyed store of their own."""
+    store = KeyedStore(t.spark, shared_path(t.spark, "runs"), ["id"], parts=16)
+    store.upsert(t.runs)
+    return store
+
+
 @query("SELECT * FROM runs WHERE id = 77")
 def s9_get_run(t: Panels) -> DataFrame:
-    return rec.get_run(t.runs, 77)
+    return _runs_store(t).get(77)
 
 
 DELTA = "SELECT id, symbol, created, horizon, 'hold' AS verdict, score, confidence FROM runs WHERE id % 10 = 0"
@@ -64,12 +72,16 @@ DELTA = "SELECT id, symbol, created, horizon, 'hold' AS verdict, score, confiden
 
 @query(f"SELECT * FROM runs WHERE id % 10 <> 0 UNION ALL SELECT * FROM ({DELTA})")
 def s10_upsert(t: Panels) -> DataFrame:
-    return rec.upsert(t.runs, t.runs.where("id % 10 = 0").withColumn("verdict", F.lit("hold")), ["id"])
+    store = _runs_store(t)
+    store.upsert(t.runs.where("id % 10 = 0").withColumn("verdict", F.lit("hold")))
+    return store.read()
 
 
 @query("SELECT * FROM runs WHERE id % 7 <> 3")
 def s11_delete_keys(t: Panels) -> DataFrame:
-    return rec.delete_keys(t.runs, t.runs.where("id % 7 = 3").select("id"), ["id"])
+    store = _runs_store(t)
+    store.delete(t.runs.where("id % 7 = 3").select("id"))
+    return store.read()
 
 
 @query("SELECT event_type AS key, max_by(event_id, ts) AS payload, max(ts) AS fetched_at FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 432000 SECOND GROUP BY 1")
@@ -81,7 +93,10 @@ def s12_fresh_snapshots(t: Panels) -> DataFrame:
 @query("SELECT event_id, event_type AS key, ts AS fetched_at FROM events WHERE ts >= TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 30 DAY")
 def s12_expire_snapshots(t: Panels) -> DataFrame:
     rows = t.table("events").select("event_id", c("event_type").alias("key"), c("ts").cast("timestamp").alias("fetched_at"))
-    return rec.expire(rows, F.expr("timestamp '2024-02-05 00:00:00'"))
+    store = KeyedStore(t.spark, shared_path(t.spark, "snapshots"), ["event_id"], parts=16)
+    store.upsert(rows)
+    store.expire(~rec.is_kept(F.expr("timestamp '2024-02-05 00:00:00'")))
+    return store.read()
 
 
 @query("SELECT id, horizon, score FROM runs ORDER BY id DESC LIMIT 20")

@@ -13,7 +13,7 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def list_runs(runs: DataFrame, symbol: str | None = None, limit: int = 50, paths: dict[str, str] | None = None) -> DataFrame:
-    """Newest records first, with values at JSON paths of the payload where asked for."""
+    """Newest records first, with values at JSON paths of the payload where asked for; null where the payload has none."""
     rows = runs if symbol is None else runs.where(F.col("symbol") == symbol)
     rows = rows.orderBy(F.col("created").desc(), F.col("id").desc()).limit(limit)
     keep = [c for c in runs.columns if c != "result"]
@@ -38,9 +38,14 @@ def fresh(snapshots: DataFrame, as_of: Column, seconds: int, payload: str = "pay
     return young.groupBy("key").agg(F.max_by(payload, "fetched_at").alias(payload), F.max("fetched_at").alias("fetched_at"))
 
 
+def is_kept(as_of: Column, days: int = 30) -> Column:
+    """Whether a payload is not older than `days`."""
+    return F.col("fetched_at") >= as_of - F.make_dt_interval(days=F.lit(days))
+
+
 def expire(snapshots: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Without payloads older than `days`: what a store keeps when it is opened."""
-    return snapshots.where(F.col("fetched_at") >= as_of - F.make_dt_interval(days=F.lit(days)))
+    return snapshots.where(is_kept(as_of, days))
 
 
 def newest(history: DataFrame, n: int) -> DataFrame:
@@ -48,7 +53,10 @@ def newest(history: DataFrame, n: int) -> DataFrame:
 
 
 def matured(runs: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    return runs.where(F.col("created") < F.date_sub(as_of, days))
+    """Runs older than `days`; of records that append_runs wrote only the months that can have some are read."""
+    cut = F.date_sub(as_of, days)
+    rows = runs.where(F.col("created") < cut)
+    return rows.where(F.col("run_month") <= F.date_format(cut, "yyyy-MM")) if "run_month" in runs.columns else rows
 
 
 def _rank(runs: DataFrame, keys: list[str]) -> DataFrame:
