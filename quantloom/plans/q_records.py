@@ -14,6 +14,7 @@ from ..sources import records as rec
 from ..sources.tables import finite, with_period_index
 from . import oracle as o
 from ..sources.keyed_store import KeyedStore
+from ..sources.snapshots import net_revisions, read_snapshots
 from .registry import Panels, query
 
 c = F.col
@@ -35,6 +36,27 @@ def s5_read_snapshot(t: Panels) -> DataFrame:
     return rows.select("event_id", c("payload.k").alias("k"))
 
 
+# Fields by path: null where the path is missing or holds something of another type.
+_NUM = lambda path, kind="DOUBLE": f"CASE WHEN json_type(j, '{path}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(json_extract_string(j, '{path}') AS {kind}) END"
+_EPS = lambda p, k: f"coalesce(CAST(json_extract_string(j, '$.analyst.eps_revisions.\"{p}\".{k}') AS INT), 0)"
+
+
+@query(
+    f"""WITH s AS (SELECT id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM snapshots),
+    f AS (SELECT id, CASE WHEN json_type(j, '$.info.sector') = 'VARCHAR' THEN json_extract_string(j, '$.info.sector') END AS sector, {_NUM('$.info.beta')} AS beta, {_NUM('$.info.currentPrice')} AS price, {_NUM('$.info.sharesOutstanding', 'BIGINT')} AS shares,
+      {_NUM('$.analyst.targets.mean')} AS target_mean, {_NUM('$.analyst.targets.high')} AS target_high, {_NUM('$.analyst.updown.up', 'INT')} AS up, {_NUM('$.analyst.updown.down', 'INT')} AS down,
+      {_NUM('$.analyst.growth.0y')} AS growth_0y, TRY_CAST(json_extract_string(j, '$.analyst.calendar[0]') AS DATE) AS earnings_date, {_NUM('$.info.other.x[1]', 'INT')} AS other,
+      json_type(j, '$.analyst.eps_revisions') = 'OBJECT' AS has, {_EPS('0q', 'up')} + {_EPS('+1y', 'up')} AS u, {_EPS('0q', 'down')} + {_EPS('+1y', 'down')} AS d FROM s)
+    SELECT id, sector, beta, price, shares, target_mean, target_high, up, down, growth_0y, earnings_date, other, CASE WHEN has AND u + d > 0 THEN CAST(u - d AS DOUBLE) / (u + d) END AS net_revisions FROM f"""
+)
+def s5_nested_snapshot(t: Panels) -> DataFrame:
+    rows = read_snapshots(t.snapshots)
+    return rows.select(
+        "id", "sector", "beta", "price", "shares", "target_mean", "target_high", c("updown.up").alias("up"), c("updown.down").alias("down"), F.try_element_at("growth", F.lit("0y")).alias("growth_0y"),
+        "earnings_date", F.try_variant_get("rest", "$.info.other.x[1]", "int").alias("other"), net_revisions(c("eps_revisions")).alias("net_revisions"),
+    )
+
+
 @query("SELECT id, symbol, title, source, published, relevance, sentiment, impact, event FROM news")
 def s6_read_news(t: Panels) -> DataFrame:
     return t.news

@@ -89,6 +89,11 @@ class Panels:
         """(id, result): what each run stored, as JSON."""
         return panel(self.spark, self.sf_dir, "results")
 
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """(id, payload): snapshots as JSON."""
+        return panel(self.spark, self.sf_dir, "snapshots")
+
     @cached_property
     def sectors(self) -> DataFrame:
         return panel(self.spark, self.sf_dir, "sectors")

@@ -67,6 +67,14 @@ SELECT d.doc_id AS id, concat({_SIX.format(x="d.doc_id")}, {_BAND.format(x="d.do
   CASE d.doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS impact,
   CASE d.doc_id % 5 WHEN 0 THEN 'earnings' WHEN 1 THEN 'legal' WHEN 2 THEN 'product' WHEN 3 THEN 'price_move' ELSE 'other' END AS event
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    # Snapshots as JSON: nested, with fields that are missing, null or of a wrong type, and payloads that are no JSON.
+    "snapshots": """
+WITH n AS (SELECT c_custkey AS id, CAST(c_custkey % 9 AS STRING) AS a, CAST(c_custkey % 5 AS STRING) AS b, CAST(c_custkey % 20 + 10 AS STRING) AS d, CAST(c_custkey % 1000 AS STRING) AS e FROM customer)
+SELECT id, CASE WHEN id % 29 = 0 THEN '{"info":' WHEN id % 23 = 0 THEN '[1,2]' ELSE concat('{"info":{"sector":', CASE WHEN id % 4 = 0 THEN 'null' ELSE concat('"s', a, '"') END, ',"beta":', CASE WHEN id % 6 = 0 THEN '"high"' ELSE concat('1.', a) END,
+  CASE WHEN id % 7 = 0 THEN '' ELSE concat(',"currentPrice":', d, '.5') END, ',"sharesOutstanding":', e, ',"other":{"x":[', a, ',', b, ']}},"analyst":',
+  CASE WHEN id % 11 = 0 THEN 'null}' ELSE concat('{"targets":', CASE WHEN id % 8 = 0 THEN '[]' ELSE concat('{"mean":', d, ',"high":', CASE WHEN id % 3 = 0 THEN 'null' ELSE concat(d, '.25') END, '}') END,
+    ',"updown":{"up":', a, ',"down":', b, '},"eps_revisions":{"0q":{"up":', a, ',"down":', b, '},"+1y":{"up":', b, CASE WHEN id % 2 = 0 THEN '}' ELSE concat(',"down":', a, '}') END, '},"growth":{"0y":0.', a, ',"+1y":-0.', b, '},"calendar":',
+    CASE WHEN id % 13 = 0 THEN '["soon"]' ELSE concat('["2001-07-', d, '"]') END, '}}') END) END AS payload FROM n""",
     # Results of runs as JSON: two known modules and one that the engine has not, with holes, and analogs by horizon.
     "results": """
 WITH v AS (SELECT o_orderkey AS id, concat(CAST(CAST((o_orderkey * 7 % 201 - 100) / 100.0 AS DECIMAL(6,2)) AS STRING), '') AS a, concat(CAST(CAST((o_orderkey * 11 % 201 - 100) / 100.0 AS DECIMAL(6,2)) AS STRING), '') AS b,
