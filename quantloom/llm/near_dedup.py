@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch, is_small
 from .sketching import bands_for, set_fingerprint, sketch
-from .text_arrays import LOWER, buffers, hash_spans, shingle_set, slices, word_spans
+from .text_arrays import LOWER, buffers, hash_spans, releasing, shingle_set, slices, word_spans
 
 SKETCH = 128
 SCREEN_LOSS = 1e-6
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bands, rows_in_band = bands_for(percent / 100, SKETCH)
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = scratch.save(hashed.mapInArrow(_sketcher(words), f"doc_id {kind}, text_hash long, n long, node binary, sketch binary"), "sketched")
+    sketched = scratch.save(hashed.mapInArrow(releasing(_sketcher(words)), f"doc_id {kind}, text_hash long, n long, node binary, sketch binary"), "sketched")
     named = sketched.where("doc_id is not null and node is not null")
     example = F.min(F.struct("doc_id", "text_hash", "n", "sketch")).alias("x")
     reps = scratch.save(named.groupBy("node").agg(example).select("node", "x.*"), "reps")
@@ -281,16 +281,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     near = scratch.save(pairs.mapInArrow(_agreeing(percent / 100), "a binary, b binary"), "near")
     near = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").sortWithinPartitions("b").select("a", "b", "ta", "tb")
-    stars = scratch.save(near.mapInArrow(_verifier(words, percent), "a binary, b binary"), "stars")
+    stars = scratch.save(near.mapInArrow(releasing(_verifier(words, percent)), "a binary, b binary"), "stars")
     by_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     by_id = named.join(by_id, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = scratch.save(stars.unionByName(by_id), "links")
 
     rows = _block_rows(members, connected_components(links, scratch, "inner"), scratch)
     rows = rows.join(reps.select("node", "n", "sketch"), "node").select(*BLOCK_COLUMNS)
-    screen = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_screen(percent, rows_in_band), "block long, band int, home boolean, loose boolean, node binary, comp binary, n long, sketch binary")
+    screen = rows.repartition("block").sortWithinPartitions("block").mapInArrow(releasing(_screen(percent, rows_in_band)), "block long, band int, home boolean, loose boolean, node binary, comp binary, n long, sketch binary")
     rows = scratch.save(screen, "screened").join(texts, "node").select(*BLOCK_COLUMNS, "text").repartition("block").sortWithinPartitions("block")
-    across = scratch.save(rows.mapInArrow(_blocks(words, percent, rows_in_band), "a binary, b binary"), "across")
+    across = scratch.save(rows.mapInArrow(releasing(_blocks(words, percent, rows_in_band)), "a binary, b binary"), "across")
     scratch.drop("texts", "members", "placed", "near", "screened")
 
     roots = connected_components(links.unionByName(across), scratch, "outer")

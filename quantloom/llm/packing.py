@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .tokens import text_groups, tokenizer
+from .text_arrays import buffers, releasing, slices
+from .tokens import tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 8192
@@ -184,10 +185,10 @@ def _cutter(vocabulary: str, end_id: int, room: int):
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows: list[tuple] = []
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             at: list[int] = []
-            for i, j in text_groups(texts):
-                for d, coded in enumerate(kind.encode(texts[i:j]), i):
+            for i, j in slices(buffers(texts)[1], 1_500_000):
+                for d, coded in enumerate(kind.encode(texts.slice(i, j - i).to_pylist()), i):
                     data = np.concatenate([np.frombuffer(coded, kind.dtype).astype("<u4"), end])
                     first = len(data) % room or room
                     for piece, (a, b) in enumerate(zip([0, *range(first, len(data), room)], range(first, len(data) + 1, room), strict=True)):
@@ -224,7 +225,7 @@ def pack(docs: DataFrame, room: int = 1024, end_id: int = 2, vocabulary: str = V
     scratch = Scratch(docs.sparkSession, "pack")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(_cutter(vocabulary, end_id, room), schema), "pieces")
+    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(releasing(_cutter(vocabulary, end_id, room)), schema), "pieces")
     # Row numbers of a written table: the same in every attempt of a task, and even for repeated rows.
     numbered = pieces.withColumn("row", F.monotonically_increasing_id())
     alone = numbered.where(F.col("length") == room).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("row") + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

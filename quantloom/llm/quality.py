@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
-from .text_arrays import buffers, hash_spans, slices, window_hashes, word_spans
+from .text_arrays import buffers, hash_spans, releasing, slices, window_hashes, word_spans
 from .tokens import text_groups, tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -193,7 +193,7 @@ def score_documents(docs: DataFrame, bands: dict[str, Band] | None = None, vocab
             yield pa.record_batch([batch.column(0), *arrays], names=["doc_id", *(k for k, _ in _FIELDS)])
 
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{k} {t}" for k, t in _FIELDS)])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(releasing(run), schema)
 
 
 def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -205,4 +205,4 @@ def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary:
         for batch in batches:
             yield batch.filter(pa.array(measure(*_texts_and_langs(batch), chosen, vocabulary)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import Scratch
-from .text_arrays import buffers, slices
+from .text_arrays import buffers, releasing, slices
 from .tokens import tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, vocabulary: s
     width = kind.dtype.itemsize
     id_type = docs.schema["doc_id"].dataType
     id_name = id_type.simpleString()
-    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(_tokenise(vocabulary, end_id), f"doc_id {id_name}, h long, ids binary"), "ids")
+    tokens = scratch.save(docs.select("doc_id", "text").mapInArrow(releasing(_tokenise(vocabulary, end_id)), f"doc_id {id_name}, h long, ids binary"), "ids")
     counted = tokens.select("ids").mapInArrow(_count(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     rank, total = np.zeros(kind.size, np.uint32), sum(r["n"] for r in rows)

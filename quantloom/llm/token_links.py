@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text_arrays import buffers, slices
+from .text_arrays import buffers, releasing, slices
 from .tokens import vocabulary_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -377,7 +377,7 @@ def align_documents(docs: DataFrame, a: str = A_VOCABULARY, b: str = B_VOCABULAR
     kind = docs.schema["doc_id"].dataType
     numbers = ", ".join(f"{c} long" for c in _NUMBERS)
     schema = f"doc_id {kind.simpleString()}, block long, {numbers}, sha256 string, units binary, pairs binary, held binary, unit_links binary, links binary"
-    rows = scratch.save(docs.select("doc_id", "text").mapInArrow(_align(a, b, to_arrow_type(kind)), schema), "aligned")
+    rows = scratch.save(docs.select("doc_id", "text").mapInArrow(releasing(_align(a, b, to_arrow_type(kind))), schema), "aligned")
     pairs = scratch.save(rows.where("pairs is not null").select("block", "pairs", "held").mapInArrow(_pairs, "block long, pair long, held long"), "pairs")
     counts = scratch.save(link_counts(scratch, pairs), "counts")
     known = pairs.select("block", "pair").join(counts, "pair").select("block", "pair", "n", "best")
