@@ -178,26 +178,41 @@ def p4_junk_headlines(t: Panels) -> DataFrame:
     return t.news.select("id", sc.is_junk(F.concat(head, c("title"))).alias("junk"))
 
 
-@query("SELECT symbol, date, close, CASE WHEN i % 3 = 0 THEN false WHEN i % 3 = 1 THEN true ELSE true END AS ok FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM bars)")
+@query(
+    """WITH b AS (SELECT symbol, date, close, row_number() OVER w - 1 AS i, round(lag(high) OVER w, 2) AS up, round(lag(low) OVER w, 2) AS down FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date))
+    SELECT symbol, date, close, CASE WHEN i % 3 = 2 THEN true WHEN up IS NULL THEN NULL WHEN i % 3 = 0 THEN up > close ELSE up > close AND down < close END AS ok FROM b"""
+)
 def p8_trigger_direction(t: Panels) -> DataFrame:
-    rows = t.bars.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1)
-    price = lambda k: F.format_string("%.2f", c("close") * k)
-    text = F.when(c("i") % 3 == 0, F.concat(F.lit("closes above $"), price(0.5))).when(c("i") % 3 == 1, F.concat(F.lit("closes above $"), price(1.5), F.lit(", or falls below $"), price(0.5)))
-    text = text.otherwise(F.lit("guidance is raised"))
+    """Triggers at the high and low of the day before, which the close may have passed already."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    rows = t.bars.select("symbol", "date", "close", (F.row_number().over(w) - 1).alias("i"), F.format_string("%.2f", F.lag("high").over(w)).alias("up"), F.format_string("%.2f", F.lag("low").over(w)).alias("down"), F.lag("high").over(w).isNotNull().alias("able"))
+    both = F.concat(F.lit("closes above $"), c("up"), F.lit(", or falls below $"), c("down"))
+    text = F.when(c("i") % 3 == 2, "guidance is raised").when(c("able"), F.when(c("i") % 3 == 0, F.concat(F.lit("closes above $"), c("up"))).otherwise(both))
     return rows.select("symbol", "date", "close", qa.trigger_ok(text, c("close")).alias("ok"))
 
 
-@query("SELECT id, horizon, CASE WHEN id % 3 = 0 THEN false ELSE true END AS ok FROM runs")
+@query(
+    """WITH r AS (SELECT id, horizon, round(confidence + 1e-9, 1) AS told, [confidence, abs(score), CAST(id AS DOUBLE), CAST(id % 3 AS DOUBLE)] AS facts FROM runs)
+    SELECT id, horizon, len(list_filter(facts, lambda f: round_even(f * 10, 0) = round_even(told * 10, 0))) > 0 AND id % 4 = id % 3 AS ok FROM r"""
+)
 def p9_grounded_numbers(t: Panels) -> DataFrame:
-    score = F.round(c("confidence"), 2)
-    told = F.when(c("id") % 3 == 0, score + 7.77).otherwise(score)
-    text = F.concat(F.lit("confidence "), F.format_string("%.2f", told), F.lit(" over "), c("id").cast("string"), F.lit(" runs"))
-    return t.runs.select("id", "horizon", qa.grounded(text, F.array(c("confidence"), c("id").cast("double"))).alias("ok"))
+    """A confidence told to one decimal, a count, and a multiple that is right for some runs only."""
+    text = F.concat(F.lit("confidence "), F.format_string("%.1f", c("confidence") + 1e-9), F.lit(" over "), c("id").cast("string"), F.lit(" runs at "), (c("id") % 4).cast("string"), F.lit("x sales"))
+    facts = F.array(c("confidence"), F.abs("score"), c("id").cast("double"), (c("id") % 3).cast("double"))
+    return t.runs.select("id", "horizon", qa.grounded(text, facts, F.array((c("id") % 3).cast("double"))).alias("ok"))
 
 
-@query("SELECT id, CASE verdict WHEN 'buy' THEN 'Prices rise. The buy verdict holds.' ELSE 'Prices rise.' END AS summary FROM runs")
+@query(
+    """WITH r AS (SELECT id, verdict, ['buy', 'hold', 'sell'][id % 3 + 1] AS v, ['BUY', 'Hold', 'sell'][id // 3 % 3 + 1] AS w, id % 5 <> 0 AS plain FROM runs),
+    k AS (SELECT *, v = verdict OR lower(w) = verdict OR plain AS left_over FROM r)
+    SELECT id, array_to_string(list_filter([CASE WHEN v = verdict OR NOT left_over THEN concat('The ', v, ' verdict holds.') END, CASE WHEN lower(w) = verdict OR NOT left_over THEN concat('A ', w, ' signal came!') END, CASE WHEN plain THEN 'Prices rise.' END], lambda x: x IS NOT NULL), ' ') AS summary FROM k"""
+)
 def p10_tidy_sentences(t: Panels) -> DataFrame:
-    return t.runs.select("id", qa.tidy_sentences(F.lit("Prices rise. The buy verdict holds."), c("verdict")).alias("summary"))
+    """Two sentences about verdicts, right or wrong by run, and one about none."""
+    one = F.element_at(F.array(F.lit("buy"), F.lit("hold"), F.lit("sell")), (c("id") % 3 + 1).cast("int"))
+    two = F.element_at(F.array(F.lit("BUY"), F.lit("Hold"), F.lit("sell")), (F.floor(c("id") / 3) % 3 + 1).cast("int"))
+    text = F.concat(F.lit("The "), one, F.lit(" verdict holds. A "), two, F.lit(" signal came!"), F.when(c("id") % 5 != 0, " Prices rise.").otherwise(""))
+    return t.runs.select("id", qa.tidy_sentences(text, c("verdict")).alias("summary"))
 
 
 @query(

@@ -29,13 +29,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: for tables that several branches of a plan read."""
+    """The rows of df, written to the shared folder and read again: for tables that several branches of a plan read.
+
+    They stay until `release`, as nobody but the caller knows which results still read them.
+    """
     path = shared_path(df.sparkSession, name)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that `written` made in this application, once their results are stored; their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, unless PYTHONPATH already does.
 

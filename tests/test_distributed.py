@@ -13,7 +13,7 @@ from quantloom.operators import ranks
 from quantloom.operators import tuning as tu
 from quantloom.plans import backtest as bt
 from quantloom.plans.registry import Panels
-from quantloom.session import written
+from quantloom.session import release, written
 from quantloom.sources import store
 
 DAY = dt.date(2020, 1, 1)
@@ -106,3 +106,10 @@ def test_panels_are_built_once_for_an_input(spark, sf, tmp_path, monkeypatch):
     shutil.copy(f"{sf}/lineitem.parquet", tmp_path / "lineitem.parquet")  # a later time is another input
     assert Panels(spark, folder).samples.count() == first.count() and len(built) == 2
     assert store.drop_old(spark, keep=1) and Panels(spark, folder).samples.count() > 0 and len(built) == 2
+
+
+def test_written_tables_go_when_told(spark):
+    import glob
+
+    path = written(spark.range(5), "some").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert glob.glob(f"{path}/*.parquet") and release(spark) >= 1 and not glob.glob(f"{path}*") and release(spark) == 0
