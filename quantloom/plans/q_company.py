@@ -162,7 +162,13 @@ def g9_dcf_grid(t: Panels) -> DataFrame:
     return fu.dcf_grid(_valued(t))
 
 
-@query()
+# The value rises with growth: from the middle of -0.3 to 0.8 in 60 steps, each half of the one before.
+_STEP = f"CASE WHEN {_dcf('x', 'wacc', '0.025')} < price THEN x + s ELSE x - s END"
+_IMPLIED = f"CASE WHEN {_dcf('0.8', 'wacc', '0.025')} < price THEN 0.8 WHEN {_dcf('(-0.3)', 'wacc', '0.025')} > price THEN -0.3 ELSE list_reduce(list_prepend(0.25, list_transform(range(2, 62), lambda k: 1.1 / pow(2, k))), lambda x, s: {_STEP}) END"
+FR["imp"] = f"SELECT *, CASE WHEN {_ABLE} THEN {_IMPLIED} END AS implied_g FROM met5"
+
+
+@query(f"SELECT symbol, price, implied_g, {_dcf('implied_g', 'wacc', '0.025')} AS value FROM imp WHERE implied_g IS NOT NULL", FR)
 def g10_implied_growth(t: Panels) -> DataFrame:
     """Growth that the price implies, with the value at it, which is the price inside the bounds."""
     m = fu.implied_growth(_valued(t))
@@ -179,7 +185,16 @@ def g12_fair_value(t: Panels) -> DataFrame:
     return fu.fair_value(fu.valuation_models(_valued(t), RF)).select("symbol", "fair_value", "upside")
 
 
-@query()
+_VS, _VW = _mean(
+    [
+        (0.3, _clip("(dcf / price - 1) / 0.4", -1, 1)), (0.25, f"CASE WHEN dcf IS NOT NULL THEN {_clip('(g1 - implied_g) / 0.1', -1, 1)} END"), (0.2, f"CASE WHEN peg > 0 THEN {_band('-peg', [(-1.0, 1), (-1.5, 0.5), (-2.5, 0.0), (-4.0, -0.5)], -1)} END"),
+        (0.15, f"CASE WHEN NOT financial AND ev_ebitda > 0 THEN {_band('-ev_ebitda', [(-8, 1), (-12, 0.5), (-18, 0.0), (-25, -0.5)], -1)} END"), (0.4, f"CASE WHEN financial AND pb > 0 THEN {_clip('m_roe / 0.1 - pb', -1, 1)} END"),
+    ]
+)
+
+
+# The panel has no free cash flow, so its yield takes no part.
+@query(f"SELECT symbol, {_VS} AS value_score, CASE WHEN {_VS} IS NOT NULL THEN least(1, {_VW} / 0.8) END AS value_confidence FROM imp", FR)
 def g13_valuation_score(t: Panels) -> DataFrame:
     m = fu.implied_growth(fu.valuation_models(_valued(t), RF))
     return fu.valuation_score(m, RF).select("symbol", "value_score", "value_confidence")

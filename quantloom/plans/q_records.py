@@ -472,7 +472,24 @@ def f12_horizon_bars(t: Panels) -> DataFrame:
     return t.runs.select("id", sc.scaled_bars(sc.by_horizon(sc.HORIZON_BARS, c("horizon")), ppy).alias("bars"))
 
 
-@query()
+def _first(x: str, month: int, sunday: int) -> str:
+    """The first (0) or second (1) Sunday of a month of x's year."""
+    d = f"make_date(year({x}), {month}, 1)"
+    return f"({d} + CAST((7 - isodow({d})) % 7 + 7 * {sunday} AS INT))"
+
+
+def _slot_sql(step: int) -> str:
+    over = "CASE isodow(d) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END"
+    move = f"CASE WHEN l {'<' if step < 0 else '>='} CAST(l AS DATE) + INTERVAL '16:40:00' THEN {step} ELSE 0 END"
+    ends = f"d - ({over})" if step < 0 else f"d + CASE WHEN {over} > 0 THEN 3 - ({over}) ELSE 0 END"
+    return f"(SELECT CAST({ends} AS DATE) + INTERVAL '16:40:00' FROM (SELECT CAST(l AS DATE) + CAST({move} AS INT) AS d))"
+
+
+# New York is four hours behind UTC from the second Sunday of March, 7:00 UTC, to the first of November, 6:00 UTC, else five.
+@query(
+    f"""WITH z AS (SELECT event_id, ts - CASE WHEN ts >= {_first("ts", 3, 1)} + INTERVAL 7 HOUR AND ts < {_first("ts", 11, 0)} + INTERVAL 6 HOUR THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS l FROM events)
+    SELECT event_id, {_slot_sql(-1)} AS before, {_slot_sql(1)} AS after FROM z"""
+)
 def f13_autorun_slot(t: Panels) -> DataFrame:
     return t.table("events").select("event_id", sc.slot(c("ts"), -1).alias("before"), sc.slot(c("ts"), 1).alias("after"))
 

@@ -71,7 +71,6 @@ def v4_wf_efficiency(t: Panels) -> DataFrame:
     return va.wf_efficiency(t.returns, va.folds(t.stored_bars), t.chosen)
 
 
-# The SQL fixes fewer shifts than the operator's default; the query named _full takes the default and has no SQL.
 N_PERM = 1000
 FR["pos_oos"] = "SELECT symbol, strategy, held, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY symbol, strategy) AS n, coalesce(close / lag(close) OVER w - 1, 0) AS mkt FROM oos WHERE strategy <> 'vol_breakout' WINDOW w AS (PARTITION BY symbol, strategy ORDER BY i)"
 FR["able"] = "SELECT symbol, strategy, any_value(n) AS n FROM pos_oos GROUP BY 1, 2 HAVING any_value(n) >= 120 AND min(held) <> max(held)"
@@ -96,11 +95,11 @@ def _random_days(t: Panels) -> tuple[DataFrame, DataFrame]:
     return _oos_trades(t).where("strategy = 'vol_breakout'"), va._in_fold(o2o, va.folds(t.bars), "a", "b")
 
 
-@query(
-    f"""WITH p AS (SELECT x.symbol, x.strategy, (1 + count(*) FILTER (x.sr >= a.sr)) / {N_PERM + 1} AS p FROM sims x JOIN sims a ON a.symbol = x.symbol AND a.strategy = x.strategy AND a.k = 0 WHERE x.k > 0 GROUP BY 1, 2)
-    SELECT q.symbol, q.strategy, p.p FROM (SELECT DISTINCT symbol, strategy FROM pos_oos) q LEFT JOIN p ON p.symbol = q.symbol AND p.strategy = q.strategy""",
-    FR,
-)
+FR["perm_p"] = f"""WITH p AS (SELECT x.symbol, x.strategy, (1 + count(*) FILTER (x.sr >= a.sr)) / {N_PERM + 1} AS p FROM sims x JOIN sims a ON a.symbol = x.symbol AND a.strategy = x.strategy AND a.k = 0 WHERE x.k > 0 GROUP BY 1, 2)
+    SELECT q.symbol, q.strategy, p.p FROM (SELECT DISTINCT symbol, strategy FROM pos_oos) q LEFT JOIN p ON p.symbol = q.symbol AND p.strategy = q.strategy"""
+
+
+@query("SELECT * FROM perm_p", FR)
 def v5_permutation_p(t: Panels) -> DataFrame:
     return va.permutation_p(_held_oos(t), N_PERM)
 
@@ -116,13 +115,13 @@ FR["o2o"] = "SELECT m.symbol, m.i, lead(m.open) OVER (PARTITION BY m.symbol ORDE
 FR["pool"] = "SELECT p.symbol, p.ret AS r, row_number() OVER (PARTITION BY p.symbol ORDER BY p.i) - 1 AS pick, count(*) OVER (PARTITION BY p.symbol) AS pool FROM o2o p JOIN folds f ON f.symbol = p.symbol AND p.i >= f.a AND p.i < f.b WHERE p.ret IS NOT NULL"
 
 
-@query(
-    f"""WITH g AS (SELECT t.*, z.pool FROM otrb t JOIN (SELECT symbol, any_value(pool) AS pool FROM pool GROUP BY 1) z ON z.symbol = t.symbol WHERE n >= 10 AND z.pool >= 30),
+FR["day_p"] = f"""WITH g AS (SELECT t.*, z.pool FROM otrb t JOIN (SELECT symbol, any_value(pool) AS pool FROM pool GROUP BY 1) z ON z.symbol = t.symbol WHERE n >= 10 AND z.pool >= 30),
     d AS (SELECT g.*, draw, place, {_draw(7, 'draw', 'place')} % g.pool AS pick FROM g, LATERAL (SELECT unnest(range(1, {N_DRAWS + 1})) AS draw), LATERAL (SELECT unnest(range(1, n + 1)) AS place)),
     s AS (SELECT d.symbol, d.strategy, d.draw, avg(p.r) AS sim, any_value(actual) AS actual FROM d JOIN pool p ON p.symbol = d.symbol AND p.pick = d.pick GROUP BY 1, 2, 3)
-    SELECT symbol, strategy, (1 + count(*) FILTER (round(sim, 12) >= round(actual, 12))) / {N_DRAWS + 1} AS p FROM s GROUP BY 1, 2""",
-    FR,
-)
+    SELECT symbol, strategy, (1 + count(*) FILTER (round(sim, 12) >= round(actual, 12))) / {N_DRAWS + 1} AS p FROM s GROUP BY 1, 2"""
+
+
+@query("SELECT * FROM day_p", FR)
 def v6_random_day_p(t: Panels) -> DataFrame:
     return va.random_day_p(*_random_days(t), N_DRAWS)
 
@@ -132,16 +131,16 @@ def v6_random_day_p_full(t: Panels) -> DataFrame:
     return va.random_day_p(*_random_days(t))
 
 
-@query(
-    f"""WITH b AS (SELECT symbol, strategy, ret AS r, row_number() OVER (PARTITION BY symbol, strategy ORDER BY entry, variant) - 1 AS pick, count(*) OVER (PARTITION BY symbol, strategy) AS n FROM otr),
+FR["boot"] = f"""WITH b AS (SELECT symbol, strategy, ret AS r, row_number() OVER (PARTITION BY symbol, strategy ORDER BY entry, variant) - 1 AS pick, count(*) OVER (PARTITION BY symbol, strategy) AS n FROM otr),
     g AS (SELECT DISTINCT symbol, strategy, n FROM b WHERE n >= 5),
     d AS (SELECT g.*, draw, place, {_draw(7, 'draw', 'place')} % n AS pick FROM g, LATERAL (SELECT unnest(range(1, {N_DRAWS + 1})) AS draw), LATERAL (SELECT unnest(range(1, n + 1)) AS place)),
     e AS (SELECT d.symbol, d.strategy, d.draw, d.place, product(1 + b.r) OVER (PARTITION BY d.symbol, d.strategy, d.draw ORDER BY d.place ROWS UNBOUNDED PRECEDING) AS eq FROM d JOIN b ON b.symbol = d.symbol AND b.strategy = d.strategy AND b.pick = d.pick),
     m AS (SELECT *, eq / greatest(max(eq) OVER (PARTITION BY symbol, strategy, draw ORDER BY place ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM e),
     x AS (SELECT symbol, strategy, draw, max_by(eq, place) - 1 AS final, min(dd) AS mdd FROM m GROUP BY 1, 2, 3)
-    SELECT symbol, strategy, quantile_cont(final, 0.05) AS ret_p5, quantile_cont(final, 0.5) AS ret_p50, quantile_cont(final, 0.95) AS ret_p95, quantile_cont(mdd, 0.05) AS mdd_p5, quantile_cont(mdd, 0.5) AS mdd_p50 FROM x GROUP BY 1, 2""",
-    FR,
-)
+    SELECT symbol, strategy, quantile_cont(final, 0.05) AS ret_p5, quantile_cont(final, 0.5) AS ret_p50, quantile_cont(final, 0.95) AS ret_p95, quantile_cont(mdd, 0.05) AS mdd_p5, quantile_cont(mdd, 0.5) AS mdd_p50 FROM x GROUP BY 1, 2"""
+
+
+@query("SELECT * FROM boot", FR)
 def v7_trade_bootstrap(t: Panels) -> DataFrame:
     return va.trade_bootstrap(_oos_trades(t), N_DRAWS)
 
@@ -165,7 +164,7 @@ def v8_probabilistic_sharpe(t: Panels) -> DataFrame:
     return va.psr(met.moments(t.returns, acc.KEYS)).select(*acc.KEYS, F.round("psr", 6).alias("psr"))
 
 
-@query(f"SELECT symbol, sqrt(var_samp(sr)) * CAST({va.expected_max_factor(30)!r} AS DOUBLE) AS sr0 FROM (SELECT {KEYS}, {PERIOD} AS sr FROM all_ret GROUP BY {KEYS}) GROUP BY 1", FR)
+@query(f"SELECT symbol, sqrt(var_samp(sr)) * 2.0733923079499466 AS sr0 FROM (SELECT {KEYS}, {PERIOD} AS sr FROM all_ret GROUP BY {KEYS}) GROUP BY 1", FR)
 def v9_expected_max_sharpe(t: Panels) -> DataFrame:
     return va.expected_max_sr(t.returns, 30)
 
@@ -174,11 +173,11 @@ FR["best"] = f"SELECT * FROM (SELECT {KEYS}, round({SHARPE}, 3) AS s FROM all_re
 FR["sr0"] = f"SELECT symbol, sqrt(var_samp(sr)) * 2.0733923079499466 AS sr0 FROM (SELECT {KEYS}, {PERIOD} AS sr FROM all_ret GROUP BY {KEYS}) GROUP BY 1"
 
 
-@query(
-    f"""SELECT b.symbol, b.strategy, b.variant, round(coalesce({_psr('sr0')[0]}, 0), 3) AS dsr FROM best b LEFT JOIN
-    (SELECT mom.*, {_psr('sr0')[1]} AS z FROM mom JOIN sr0 ON sr0.symbol = mom.symbol) m ON m.symbol = b.symbol AND m.strategy = b.strategy AND m.variant = b.variant""",
-    FR,
-)
+FR["deflated"] = f"""SELECT b.symbol, b.strategy, b.variant, round(coalesce({_psr('sr0')[0]}, 0), 3) AS dsr FROM best b LEFT JOIN
+    (SELECT mom.*, {_psr('sr0')[1]} AS z FROM mom JOIN sr0 ON sr0.symbol = mom.symbol) m ON m.symbol = b.symbol AND m.strategy = b.strategy AND m.variant = b.variant"""
+
+
+@query("SELECT * FROM deflated", FR)
 def v10_deflated_sharpe(t: Panels) -> DataFrame:
     return va.deflated_sharpe(t.returns, 30)
 
@@ -266,12 +265,41 @@ def _report(t: Panels, **sizes) -> DataFrame:
     return va.strategy_report(returns, trades, t.stored_bars, positions, st.strategy_grid(t.spark), o2o, 30, marks_since=since, **sizes)
 
 
-@query()
+MARK = """WITH r AS (SELECT * FROM trades WHERE entry >= DATE '2000-06-01'), m AS (SELECT symbol, strategy, variant, entry, entry AS time, 'buy' AS side, entry_px AS price FROM r UNION ALL SELECT symbol, strategy, variant, entry, exit, 'sell', exit_px FROM r WHERE NOT is_open)
+    SELECT symbol, strategy, variant, time, side, price FROM m QUALIFY row_number() OVER (PARTITION BY symbol, strategy, variant ORDER BY entry DESC, side DESC) <= 60"""
+FR["signal"] = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY date DESC) AS k FROM all_ret),
+    s AS (SELECT {KEYS}, round({SHARPE}, 9) AS s FROM r WHERE k <= 756 GROUP BY {KEYS}), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY symbol, strategy ORDER BY s DESC, variant) = 1),
+    n AS (SELECT {KEYS}, max_by(pos, date) AS pos FROM pos GROUP BY {KEYS}), d AS (SELECT b.symbol, b.strategy, b.variant, CASE WHEN b.strategy = 'vol_breakout' THEN 0.0 ELSE n.pos END AS decision
+    FROM b LEFT JOIN n ON n.symbol = b.symbol AND n.strategy = b.strategy AND n.variant = b.variant)
+    SELECT symbol, strategy, variant, decision, {_FAMILY} AS family, CASE WHEN decision >= 0.5 THEN 1.0 WHEN {_FAMILY} = 'trend' THEN -1.0 ELSE 0.0 END AS vote FROM d"""
+FR["marks"] = MARK
+FR["chain"] = f"""WITH x AS (SELECT symbol, strategy, {SHARPE} AS oos_sharpe, product(1 + ret) - 1 AS oos_return, avg(held) AS oos_exposure FROM oos GROUP BY 1, 2),
+    y AS (SELECT symbol, strategy, fold, {SHARPE} AS x FROM oos GROUP BY 1, 2, 3), w AS (SELECT symbol, strategy, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS oos_win_rate, count(*) AS n FROM otr GROUP BY 1, 2),
+    e AS (SELECT k.symbol, k.strategy, count(*) AS folds, avg(is_sharpe) AS is_mean, avg(x) AS oos_mean FROM chosen k JOIN y ON y.symbol = k.symbol AND y.strategy = k.strategy AND y.fold = k.fold GROUP BY 1, 2),
+    q AS (SELECT symbol, strategy, p FROM perm_p UNION ALL SELECT symbol, strategy, p FROM day_p),
+    h AS (SELECT symbol, strategy, variant, count(*) AS markers FROM marks GROUP BY 1, 2, 3),
+    j AS (SELECT x.*, folds, is_mean, oos_mean, CASE WHEN is_mean > 0 THEN oos_mean / is_mean END AS efficiency, p, coalesce(w.n, 0) AS oos_trades, oos_win_rate, ret_p5, ret_p50, ret_p95, mdd_p5, mdd_p50,
+      dsr, d.variant AS best_variant, g.variant AS current_variant, decision, vote, family, coalesce(markers, 0) AS markers
+    FROM x JOIN e ON e.symbol = x.symbol AND e.strategy = x.strategy LEFT JOIN q ON q.symbol = x.symbol AND q.strategy = x.strategy LEFT JOIN w ON w.symbol = x.symbol AND w.strategy = x.strategy
+    LEFT JOIN boot ON boot.symbol = x.symbol AND boot.strategy = x.strategy LEFT JOIN deflated d ON d.symbol = x.symbol AND d.strategy = x.strategy
+    LEFT JOIN signal g ON g.symbol = x.symbol AND g.strategy = x.strategy LEFT JOIN h ON h.symbol = g.symbol AND h.strategy = g.strategy AND h.variant = g.variant)
+    SELECT *, {GRADE} AS grade, CASE {GRADE} WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.6 WHEN 'C' THEN 0.25 ELSE 0.0 END AS weight FROM j"""
+
+
+@query("SELECT * FROM chain", FR)
 def v14_strategy_report(t: Panels) -> DataFrame:
     return _report(t)
 
 
-@query()
+@query(
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, coalesce(oos_sharpe, -9) DESC, strategy) AS k FROM chain),
+    u AS (SELECT symbol, sum(weight * vote) / sum(weight) AS score, least(1, sum(weight) / 2) AS confidence, sum(weight) FILTER (vote > 0) AS "for", sum(weight) FILTER (vote = 0) AS flat, sum(weight) FILTER (vote < 0) AS against
+      FROM chain WHERE weight > 0 AND family <> 'day' GROUP BY 1),
+    z AS (SELECT symbol, strategy AS kelly_source FROM chain WHERE grade IN ('A', 'B') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, strategy) = 1)
+    SELECT r.symbol, ranked, score, confidence, "for", flat, against, kelly_source FROM (SELECT symbol, string_agg(strategy, ',' ORDER BY k) AS ranked FROM o GROUP BY 1) r
+    LEFT JOIN u ON u.symbol = r.symbol LEFT JOIN z ON z.symbol = r.symbol""",
+    FR,
+)
 def v13_validated_votes(t: Panels) -> DataFrame:
     """Score, votes, ranks and the Kelly source of each symbol from its validated strategies."""
     rows = written(_report(t), "report")
@@ -281,10 +309,6 @@ def v13_validated_votes(t: Panels) -> DataFrame:
     return ranks.join(va.strategy_score(rows), "symbol", "left").join(weights, "symbol", "left").join(kelly, "symbol", "left")
 
 
-MARK = """WITH r AS (SELECT * FROM trades WHERE entry >= DATE '2000-06-01'), m AS (SELECT symbol, strategy, variant, entry, entry AS time, 'buy' AS side, entry_px AS price FROM r UNION ALL SELECT symbol, strategy, variant, entry, exit, 'sell', exit_px FROM r WHERE NOT is_open)
-    SELECT symbol, strategy, variant, time, side, price FROM m QUALIFY row_number() OVER (PARTITION BY symbol, strategy, variant ORDER BY entry DESC, side DESC) <= 60"""
-
-
 @query(MARK, FR)
 def t8_markers(t: Panels) -> DataFrame:
     return va.markers(t.trades, F.to_date(F.lit("2000-06-01")))

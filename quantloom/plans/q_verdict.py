@@ -239,7 +239,7 @@ def w21_waterfall(t: Panels) -> DataFrame:
 
 
 @query(
-    f"SELECT symbol, date, horizon, array_to_string(list_sort(list_filter({vd.MODULES!r}, lambda m: NOT list_contains(u, m))), ',') AS missing FROM (SELECT symbol, date, horizon, list(module) FILTER (available AND confidence > 0) AS u FROM mods GROUP BY 1, 2, 3)",
+    "SELECT symbol, date, horizon, array_to_string(list_sort(list_filter(['technical', 'strategies', 'analogs', 'sentiment', 'consensus', 'valuation', 'quality', 'personas', 'regime'], lambda m: NOT list_contains(u, m))), ',') AS missing FROM (SELECT symbol, date, horizon, list(module) FILTER (available AND confidence > 0) AS u FROM mods GROUP BY 1, 2, 3)",
     FR,
 )
 def u4_missing_modules(t: Panels) -> DataFrame:

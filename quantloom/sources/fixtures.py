@@ -17,6 +17,14 @@ _BAND = "CASE WHEN {x} >= {n} THEN concat('', CAST(floor({x} / {n}) AS INT)) ELS
 #: Share of the day's first discount in each sector fund's return, the rest is that of the last.
 _FUNDS = {"XLK": 1.0, "XLE": 0.0, "XLF": 0.1, "XLV": 0.2, "XLY": 0.3, "XLP": 0.4, "XLI": 0.5, "XLB": 0.6, "XLU": 0.7, "XLRE": 0.8, "XLC": 0.9}
 _SECTORS = ["Technology", "Energy", "Financial Services", "Healthcare", "Consumer Cyclical", "Consumer Defensive", "Industrials", "Basic Materials", "Utilities", "Real Estate", "Communication Services"]
+_STATEMENTS = (
+    ("income", "Total Revenue", "e"), ("income", "Gross Profit", "0.5 * e - ed"), ("income", "EBIT", "0.25 * e - ed"),
+    ("income", "Net Income", "0.2 * e - ed"), ("income", "Interest Expense", "0.1 * et"),
+    ("balance", "Total Assets", "2 * e"), ("balance", "Current Assets", "0.8 * e"), ("balance", "Current Liabilities", "0.4 * e + et"),
+    ("balance", "Long Term Debt", "0.3 * e + ed"), ("balance", "Total Liabilities Net Minority Interest", "0.9 * e"),
+    ("balance", "Stockholders Equity", "1.1 * e"), ("balance", "Retained Earnings", "0.6 * e"), ("balance", "Ordinary Shares Number", "1000 + q"),
+    ("cashflow", "Operating Cash Flow", "0.25 * e - et"), ("cashflow", "Capital Expenditure", "-et"), ("cashflow", "Stock Based Compensation", "0.02 * e"),
+)
 _RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 PANELS = {
@@ -47,18 +55,7 @@ FROM s CROSS JOIN (<ROWS:0,1,2>) AS t(n)""",
 WITH a AS (SELECT concat('S', l_suppkey) AS symbol, year(l_shipdate) AS y, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS e,
   CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(18,4))) AS DOUBLE) AS ed, CAST(sum(CAST(l_extendedprice * l_tax AS DECIMAL(18,4))) AS DOUBLE) AS et, sum(l_quantity) AS q
   FROM lineitem GROUP BY 1, 2)
-"""
-    + " UNION ALL ".join(
-        f"SELECT symbol, '{s}' AS stmt, '{i}' AS item, make_date(CAST(y AS INT), 12, 31) AS period_end, CAST({v} AS DOUBLE) AS value FROM a"
-        for s, i, v in (
-            ("income", "Total Revenue", "e"), ("income", "Gross Profit", "0.5 * e - ed"), ("income", "EBIT", "0.25 * e - ed"),
-            ("income", "Net Income", "0.2 * e - ed"), ("income", "Interest Expense", "0.1 * et"),
-            ("balance", "Total Assets", "2 * e"), ("balance", "Current Assets", "0.8 * e"), ("balance", "Current Liabilities", "0.4 * e + et"),
-            ("balance", "Long Term Debt", "0.3 * e + ed"), ("balance", "Total Liabilities Net Minority Interest", "0.9 * e"),
-            ("balance", "Stockholders Equity", "1.1 * e"), ("balance", "Retained Earnings", "0.6 * e"), ("balance", "Ordinary Shares Number", "1000 + q"),
-            ("cashflow", "Operating Cash Flow", "0.25 * e - et"), ("cashflow", "Capital Expenditure", "-et"), ("cashflow", "Stock Based Compensation", "0.02 * e"),
-        )
-    ),
+SELECT symbol, stmt, item, period_end, value FROM (<STATEMENTS>) AS t""",
     "news": f"""
 SELECT d.doc_id AS id, concat({_SIX.format(x="d.doc_id")}, {_BAND.format(x="d.doc_id", n=1000)}) AS symbol, replace(d.text, chr(10), ' ') AS title, d.source AS source,
   CAST(<DAY:DATE '2001-10-01':CAST(d.doc_id % 30 AS INT)> AS DATE) AS published,
@@ -91,9 +88,18 @@ SELECT o_orderkey AS id, concat({_SIX.format(x="o_custkey")}, {_BAND.format(x="o
 BASE_TABLES = ("lineitem", "orders", "customer", "documents", "labels", "events")
 
 
+def _statements(spark: bool) -> str:
+    """One row for each item of a symbol and year: stacked in one pass, or a union of selects."""
+    end = "make_date(CAST(y AS INT), 12, 31) AS period_end"
+    if spark:
+        return f"SELECT symbol, {end}, stack({len(_STATEMENTS)}, {', '.join(f"'{s}', '{i}', CAST({v} AS DOUBLE)" for s, i, v in _STATEMENTS)}) AS (stmt, item, value) FROM a"
+    return " UNION ALL ".join(f"SELECT symbol, '{s}' AS stmt, '{i}' AS item, {end}, CAST({v} AS DOUBLE) AS value FROM a" for s, i, v in _STATEMENTS)
+
+
 def render(text: str, spark: bool) -> str:
     import re
 
+    text = text.replace("<STATEMENTS>", _statements(spark))
     text = text.replace("<K>", f"struct({_KEY})" if spark else f"({_KEY})")
     text = re.sub(r"<ROWS:([^>]*)>", lambda m: "VALUES " + ", ".join(f"({x})" for x in m.group(1).split(",")), text)
     return re.sub(r"<DAY:([^:>]*):([^>]*)>", r"date_add(\1, \2)" if spark else r"(\1 + \2)", text)

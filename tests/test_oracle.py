@@ -6,7 +6,7 @@ import pytest
 
 from quantloom.plans import all_queries
 
-PICK = ["w1_sma", "w4_rsi", "w9_adx", "b1_position_returns", "b3_extract_trades", "j2_price_on", "j5_watch_status", "n1_news_score", "v1_folds", "g4_quality", "g8_dcf", "r1_block_bootstrap", "f12_horizon_bars", "u1_dedup_news"]
+PICK = ["w1_sma", "w4_rsi", "w9_adx", "b1_position_returns", "b3_extract_trades", "j2_price_on", "j5_watch_status", "n1_news_score", "v1_folds", "g4_quality", "g8_dcf", "r1_block_bootstrap", "f12_horizon_bars", "u1_dedup_news", "f13_autorun_slot", "g10_implied_growth", "g13_valuation_score", "v9_expected_max_sharpe", "v13_validated_votes", "v14_strategy_report"]
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
