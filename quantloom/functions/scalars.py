@@ -115,6 +115,7 @@ def is_junk(title: Column) -> Column:
     return title.rlike(QUOTE_PAGE) | (title.rlike(HOLDER) & title.rlike(FIRM))
 
 
+# Weights of impact and the kinds of event.
 IMPACT = {"low": 0.3, "medium": 1.0, "high": 2.0}
 EVENTS = ["earnings", "guidance", "analyst", "product", "legal", "mna", "management", "capital", "macro", "price_move", "other"]
 

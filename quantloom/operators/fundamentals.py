@@ -2,7 +2,8 @@
 
 The long statement table (symbol, stmt, item, period_end, value) becomes one column for
 each item and period index, `<item>_<i>` with i = 0 for the newest; missing figures are null
-and every rule passes nulls on or leaves them out.
+and every rule passes nulls on or leaves them out.  The edges, weights and coefficients of
+the scores, models and checklists below are fixed values of the rules.
 """
 
 from __future__ import annotations

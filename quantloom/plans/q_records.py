@@ -163,10 +163,19 @@ def p3_search_symbols(t: Panels) -> DataFrame:
     return search_directory(rows, " er#0000000 ", "name", "kind", ["BUILDING", "MACHINERY"], "exchange", "id", 8).select("id", "kind")
 
 
+# Phrases of holder notices and quote pages, as the rule states them.
+_HOLDER = (
+    r"\b(acquired|purchased|bought|sold|sells|buys)\b by\b"
+    r"|\b(grows|reduces|trims|boosts|lifts|raises|cuts|lowers|increases|decreases|sells|buys|acquires|takes)\b (its |a |new )?(stake|position|holdings|shares)\b"
+    r"|\bshares (acquired|purchased|bought|sold)\b|\bposition (lifted|raised|lowered|trimmed|cut)\b"
+)
+_FIRM = r"\b(llc|l\.p\.|advisors?|advisory|management|wealth|planning|counsel|financial|capital|partners|investments?|trust|securities|asset)\b"
+_QUOTE_PAGE = "stock price,? (news|quote)|price, news, quote|stock quote|company overview"
+
+
 def _junk(x: str) -> str:
-    flags = lambda p: p.replace("(?i)", "").replace("'", "''")
-    match = lambda p: f"regexp_matches({x}, '{flags(p)}', 'i')"
-    return f"({match(sc.QUOTE_PAGE)} OR ({match(sc.HOLDER)} AND {match(sc.FIRM)}))"
+    match = lambda p: f"regexp_matches({x}, '{p}', 'i')"
+    return f"({match(_QUOTE_PAGE)} OR ({match(_HOLDER)} AND {match(_FIRM)}))"
 
 
 TITLED = "concat(CASE id % 4 WHEN 0 THEN 'Shares sold by Alpha Capital LLC ' WHEN 1 THEN 'Acme stock price, news ' WHEN 2 THEN 'Berkshire sells its stake ' ELSE '' END, title)"
@@ -437,8 +446,12 @@ def f6_normal_title(t: Panels) -> DataFrame:
     return t.news.select("id", sc.normal_title(c("title")).alias("key"))
 
 
+# Legal suffixes.
+_LEGAL = r",?\s+(inc\.?|incorporated|corporation|corp\.?|co\.?|ltd\.?|plc|holdings?|group|company|n\.v\.|s\.a\.|ag|se)$"
+
+
 def _suffix(x: str) -> str:
-    return f"regexp_replace(trim({x}), '{sc.LEGAL_SUFFIX.replace('(?i)', '')}', '', 'i')"
+    return f"regexp_replace(trim({x}), '{_LEGAL}', '', 'i')"
 
 
 NAMED = "concat(c_name, CASE c_custkey % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Holdings Ltd.' WHEN 2 THEN ' Group Company plc' ELSE '' END)"

@@ -17,7 +17,7 @@ from ..operators.smooth import with_smoothed
 from ..session import written
 from . import oracle as o
 from .q_market import KEYS, METRICS, PERIOD, SHARPE, all_returns, all_trades
-from .registry import Panels, query
+from .registry import SQL, Panels, query
 
 c = F.col
 FR = dict(o.FRAGMENTS)
@@ -422,3 +422,7 @@ def r4_first_touch(t: Panels) -> DataFrame:
 @query()
 def r4_first_touch_full(t: Panels) -> DataFrame:
     return rs.first_touch(_paths(t, ALL_PATHS), _plan(t), HORIZON_BARS["mid"])
+
+
+# The older names have the same rows.
+SQL.update({f"{n}_full": SQL[n] for n in ("v5_permutation_p", "v6_random_day_p", "v7_trade_bootstrap", "r1_block_bootstrap", "r2_forward_paths", "a16_path_summary", "a17_path_fan", "r4_first_touch")})
