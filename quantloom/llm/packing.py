@@ -8,7 +8,8 @@ the undominated fillings of any number of pieces, lazily and depth first (one wh
 a single piece left out could replace some of its pieces is left out), and gives a
 branch up once its waste allows no solution with fewer sequences than the incumbent.
 Best-fit decreasing supplies the first incumbent; the search ends at the lower bound
-or after NODES_PER_PIECE steps for each piece of the block, keeping the incumbent.
+or after `nodes_per_piece` steps for each piece of the block, keeping the incumbent
+(None: no such end, so that a block takes as few sequences as can be).
 
 Defined results: null or empty text is the end id alone; rows that repeat a doc_id
 are packed as documents of their own; an empty table gives an empty result;
@@ -127,14 +128,14 @@ def _fillings(counts: list[int], avail: int, room: int, spare: int, share: int,
         yield heappop(held)[1]
 
 
-def complete_bins(lengths: np.ndarray, room: int, nodes_per_piece: int = NODES_PER_PIECE) -> list[list[int]]:
-    """Bins (lists of lengths) for pieces of at most `room`, by bin completion."""
+def complete_bins(lengths: np.ndarray, room: int, nodes_per_piece: int | None = NODES_PER_PIECE) -> list[list[int]]:
+    """Bins (lists of lengths) for pieces of at most `room`, by bin completion; without a budget (None) as few as can be."""
     best = best_fit(lengths, room)
     total = int(lengths.sum())
     bound = max(-(-total // room), int((2 * lengths > room).sum()))
     counts = np.bincount(lengths, minlength=room + 1).tolist()
     avail = sum(1 << n for n, c in enumerate(counts) if c)  # bit n: pieces of length n are left
-    left, wasted, clock, limit = len(lengths), 0, [0], nodes_per_piece * len(lengths)
+    left, wasted, clock, limit = len(lengths), 0, [0], 1 << 62 if nodes_per_piece is None else nodes_per_piece * len(lengths)
     path: list[tuple[int, Iterator[list[int]], list[int] | None]] = []  # (largest piece, its fillings, the one in use)
 
     def take(n: int) -> None:
@@ -202,13 +203,13 @@ def _cutter(vocabulary: str, end_id: int, room: int):
     return run
 
 
-def _packer(room: int):
+def _packer(room: int, nodes_per_piece: int | None):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
         lengths = rows["length"].to_numpy(np.int64)
         starts = np.searchsorted(lengths, np.arange(room + 2))
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for b, content in enumerate(complete_bins(lengths, room)):
+        for b, content in enumerate(complete_bins(lengths, room, nodes_per_piece)):
             at = 0
             for n in content:
                 i = starts[n]
@@ -220,8 +221,11 @@ def _packer(room: int):
     return run
 
 
-def pack(docs: DataFrame, room: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row for each piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, room: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY, nodes_per_piece: int | None = NODES_PER_PIECE) -> DataFrame:
+    """One row for each piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    nodes_per_piece is the budget of the search of a block; None searches until no block can take fewer sequences.
+    """
     scratch = Scratch(docs.sparkSession, "pack")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -231,5 +235,5 @@ def pack(docs: DataFrame, room: int = 1024, end_id: int = 2, vocabulary: str = V
     alone = numbered.where(F.col("length") == room).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("row") + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     blocks = max(1, -(-pieces.where(F.col("length") < room).count() // BLOCK))
     dealt = numbered.where(F.col("length") < room).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).drop("row")
-    packed = dealt.groupBy("block").applyInPandas(_packer(room), schema + ", sequence_id long, offset long")
+    packed = dealt.groupBy("block").applyInPandas(_packer(room, nodes_per_piece), schema + ", sequence_id long, offset long")
     return packed.unionByName(alone)

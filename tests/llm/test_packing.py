@@ -46,3 +46,39 @@ def test_default_budget_beats_best_fit():
         bins = packing.complete_bins(x, 1024)
         assert sorted(n for b in bins for n in b) == sorted(x.tolist()) and max(map(sum, bins)) <= 1024
         assert len(bins) < len(packing.best_fit(x, 1024))
+
+
+def _fewest(pieces, room):
+    """Brute force: fewest sequences by trying every place of every piece."""
+    best = len(pieces)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(pieces):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + pieces[i] <= room:
+                put(i + 1, [*bins[:b], bins[b] + pieces[i], *bins[b + 1 :]])
+        put(i + 1, [*bins, pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def test_search_without_budget_is_exact():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        x = np.sort(rng.integers(15, 60, 11))[::-1]
+        bins = packing.complete_bins(x, 100, None)
+        assert sorted(n for b in bins for n in b) == sorted(x.tolist()) and max(map(sum, bins)) <= 100
+        assert len(bins) == _fewest(x.tolist(), 100)
+
+
+def test_pack_hands_the_budget_on(spark):
+    words = [60, 50, 30, 20, 20, 20] * 3  # best-fit takes 7 sequences of 100
+    docs = spark.createDataFrame([(i, " the" * (n - 1)) for i, n in enumerate(words)], "doc_id long, text string")
+    used = lambda k: packing.pack(docs, room=100, nodes_per_piece=k).select("sequence_id").distinct().count()
+    assert (used(0), used(None)) == (7, 6)
