@@ -6,7 +6,8 @@ layer turns these into language probabilities.  A text gets the language with th
 largest mean probability over all its windows, weighted by their bytes, so whole
 texts are read.  Training takes a bounded sample of labelled texts: up to
 `max_windows` windows, shared evenly by the languages (at most `max_languages`, the
-most frequent), drawn by hash over the whole table and from whole texts.
+most frequent), drawn by hash over the whole table and from whole texts; the same
+rows give the same sample, whatever their order and partitions.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is
 every text if nothing can be learnt; null labels are not learnt from; ids may
@@ -132,13 +133,14 @@ def sample_windows(labelled: DataFrame, max_windows: int, max_languages: int, pe
     share = max_windows / per_text / len(languages)
     chances = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in common], "lang string, chance double")
     usable = usable.join(F.broadcast(chances), "lang")  # at most max_languages rows
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < F.col("chance") * (1 << 30))
+    # Draws by id and text: rows that share an id are drawn apart, and equal windows count once, however often they occur.
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) < F.col("chance") * (1 << 30))
     data = F.encode("text", "UTF-8")
     windows = F.ceil(F.length(data) / WINDOW)
-    starts = F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), windows) * WINDOW + 1 for k in range(per_text)])
-    rows = drawn.select("doc_id", "lang", data.alias("data"), F.explode(F.array_distinct(starts)).alias("at"))
-    got = rows.select("doc_id", "lang", "at", F.expr(f"substring(data, cast(at as int), {WINDOW})").alias("w")).limit(2 * max_windows).collect()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["at"], bytes(r["w"])))
+    starts = F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id", "text"), windows) * WINDOW + 1 for k in range(per_text)])
+    rows = drawn.select("lang", data.alias("data"), F.explode(F.array_distinct(starts)).alias("at"))
+    cut = rows.select("lang", F.expr(f"substring(data, cast(at as int), {WINDOW})").alias("w")).distinct()
+    got = cut.orderBy(F.xxhash64(F.lit(12), "lang", "w"), "lang", "w").limit(2 * max_windows).collect()
     out = np.zeros((len(got), WINDOW), np.uint8)
     for i, r in enumerate(got):
         out[i, : len(r["w"])] = np.frombuffer(r["w"], np.uint8)
