@@ -21,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .text_arrays import buffers, hash_spans, releasing, slices, window_hashes, word_spans
@@ -61,6 +62,7 @@ BANDS = {
     "other": Band((0.2, 7.0), 1.0, (0.35, 1.0)),
 }
 MIN_TOKENS = 50
+OPEN = Band((0.0, float("inf")), 1.0, (0.0, 1.0))
 _SCRIPTS = ["latin", "cyrillic", "greek", "han", "other"]
 # Script of a UTF-8 lead byte, good enough to choose a band: 1 + index into _SCRIPTS, 0 for no letter.
 _LEAD = np.zeros(256, np.uint8)
@@ -111,7 +113,34 @@ def _partial_characters(name: str) -> np.ndarray:
     return t.partial
 
 
-def measure(texts: pa.Array, langs: list[str | None], bands: dict[str, Band], vocabulary: str) -> dict[str, np.ndarray]:
+def _fertility(strings: list[str | None], chars: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, [n, 3] characters a token, byte share and entropy) of whole texts under a vocabulary."""
+    n_tokens, measures = np.zeros(len(strings), np.int64), np.full((len(strings), 3), np.nan)
+    partial, kind = _partial_characters(vocabulary), tokenizer(vocabulary)
+    for i, j in text_groups(strings):
+        for d, ids in enumerate(kind.encode(strings[i:j]), i):
+            ids = np.frombuffer(ids, kind.dtype)
+            if len(ids):
+                n_tokens[d] = len(ids)
+                counts = np.bincount(ids) if len(ids) > 20_000 else np.unique(ids, return_counts=True)[1]
+                p = counts[counts > 0] / len(ids)
+                entropy = float(-(p * np.log2(p)).sum()) / max(1.0, float(np.log2(len(ids))))
+                measures[d] = chars[d] / len(ids), partial[ids].mean(), entropy
+    return n_tokens, measures
+
+
+def _inside(chosen: list[Band], n_tokens: np.ndarray, measures: np.ndarray) -> np.ndarray:
+    """Which texts lie in their bands; those of few tokens do."""
+    inside = np.ones(len(chosen), bool)
+    for d in np.flatnonzero(n_tokens >= MIN_TOKENS):
+        b, (fertility, share, entropy) = chosen[d], measures[d]
+        length = bisect_right(LENGTHS, n_tokens[d])
+        least = b.floors[length - 1] if length and b.floors else b.entropy[0]
+        inside[d] = b.chars_per_token[0] <= fertility <= b.chars_per_token[1] and share <= b.byte_share and least <= entropy <= b.entropy[1]
+    return inside
+
+
+def measure(texts: pa.Array, langs: list[str | None], bands: dict[str, Band], vocabulary: str, also: dict[str, dict[str, Band]] | None = None) -> dict[str, np.ndarray | list]:
     """All counts, measures and verdicts of a batch of whole texts."""
     n = len(texts)
     values, offsets = buffers(texts)
@@ -142,26 +171,13 @@ def measure(texts: pa.Array, langs: list[str | None], bands: dict[str, Band], vo
     strings = texts.to_pylist()
     out["n_dup_lines"][:] = [_repeated_lines(t) for t in strings]
 
-    partial, kind = _partial_characters(vocabulary), tokenizer(vocabulary)
-    measures = np.full((n, 3), np.nan)
-    for i, j in text_groups(strings):
-        for d, ids in enumerate(kind.encode(strings[i:j]), i):
-            ids = np.frombuffer(ids, kind.dtype)
-            if len(ids):
-                out["n_tokens"][d] = len(ids)
-                counts = np.bincount(ids) if len(ids) > 20_000 else np.unique(ids, return_counts=True)[1]
-                p = counts[counts > 0] / len(ids)
-                entropy = float(-(p * np.log2(p)).sum()) / max(1.0, float(np.log2(len(ids))))
-                measures[d] = chars[d] / len(ids), partial[ids].mean(), entropy
+    out["n_tokens"], measures = _fertility(strings, chars, vocabulary)
     names = [_SCRIPTS[k] for k in np.maximum(scripts.argmax(axis=1) - 1, 0)]
     named = [("none" if script == "latin" else script) if lang is None else lang for lang, script in zip(langs, names, strict=True)]
-    chosen = [bands.get(lang) or bands.get(script) or bands["other"] for lang, script in zip(named, names, strict=True)]
-    inside = np.ones(n, bool)
-    for d in np.flatnonzero(out["n_tokens"] >= MIN_TOKENS):
-        b, (fertility, share, entropy) = chosen[d], measures[d]
-        length = bisect_right(LENGTHS, out["n_tokens"][d])
-        least = b.floors[length - 1] if length and b.floors else b.entropy[0]
-        inside[d] = b.chars_per_token[0] <= fertility <= b.chars_per_token[1] and share <= b.byte_share and least <= entropy <= b.entropy[1]
+    chosen = lambda b: [b.get(lang) or b.get(script) or b["other"] for lang, script in zip(named, names, strict=True)]
+    out["language"], inside = named, _inside(chosen(bands), out["n_tokens"], measures)
+    for other, own in (also or {}).items():
+        inside &= _inside(chosen(own), *_fertility(strings, chars, other))
     out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
     out["chars_per_token"], out["byte_share"], out["entropy"] = measures.T
     out["kept"] = ~out["base_failed"] & inside
@@ -180,15 +196,64 @@ def _texts_and_langs(batch: pa.RecordBatch) -> tuple[pa.Array, list[str | None]]
     return batch.column(batch.schema.get_field_index("text")), langs
 
 
-def score_documents(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id with all counts, measures, base_failed and kept, a row for each row of docs(doc_id, text[, lang])."""
+def fit_bands(labelled: DataFrame, vocabulary: str = VOCABULARY, margin: float = 0.05, min_rows: int = 30, max_languages: int = 1000) -> dict[str, Band]:
+    """Bands for a vocabulary from the good texts of labelled(text, good[, lang]): `margin` of the range outside it,
+    and 5 / n of it more, as five bounds that n texts set leave out about that share of new ones.
+
+    Only texts that pass the base rules count; a language has a least entropy for each of LENGTHS, of all languages
+    where it has fewer than min_rows texts of a length, and the most frequent max_languages get a band.  Other
+    languages have one that takes everything, as no label says what is good in them.
+    """
+    ship_package(labelled.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = measure(*_texts_and_langs(batch), {"other": OPEN}, vocabulary)
+            able = ~m["base_failed"] & (m["n_tokens"] >= MIN_TOKENS)
+            arrays = [m["language"], np.searchsorted(LENGTHS, m["n_tokens"], side="right"), m["chars_per_token"], m["byte_share"], m["entropy"]]
+            yield pa.record_batch([pa.array(x) for x in arrays], names=["language", "length", "chars", "share", "entropy"]).filter(pa.array(able))
+
+    good = labelled.where("good").select("text", *(["lang"] if "lang" in labelled.columns else []))
+    rows = good.mapInArrow(releasing(run), "language string, length long, chars double, share double, entropy double")
+    ends = [f(k).alias(f"{f.__name__}_{k}") for k in ("chars", "share", "entropy") for f in (F.min, F.max)]
+    by_length = rows.groupBy("language", "length").agg(F.count(F.lit(1)).alias("n"), *ends)
+    of_all = by_length.groupBy(F.lit(None).cast("string").alias("language"), "length")
+    fold = [F.sum("n").alias("n"), *(f(f"{f.__name__}_{k}").alias(f"{f.__name__}_{k}") for k in ("chars", "share", "entropy") for f in (F.min, F.max))]
+    total = F.sum("n").over(Window.partitionBy("language"))  # a row for each length, seven at most
+    ranked = by_length.withColumn("total", total).orderBy(F.desc("total"), "language", "length").limit(max_languages * (len(LENGTHS) + 1))
+    found = ranked.drop("total").unionByName(of_all.agg(*fold)).toPandas()
+    everyone = found[found["language"].isna()].set_index("length")
+
+    def low(r, k: str) -> float:
+        return r[f"min_{k}"] - (margin + 5 / r["n"]) * (r[f"max_{k}"] - r[f"min_{k}"])
+
+    def high(r, k: str) -> float:
+        return r[f"max_{k}"] + (margin + 5 / r["n"]) * (r[f"max_{k}"] - r[f"min_{k}"])
+
+    out = {"other": OPEN}
+    for language in sorted(found["language"].dropna().unique())[:max_languages]:
+        own = found[found["language"] == language].set_index("length")
+        whole = {f"{f}_{k}": getattr(own[f"{f}_{k}"], f)() for k in ("chars", "share", "entropy") for f in ("min", "max")} | {"n": own["n"].sum()}
+        floors = []
+        for n in range(1, len(LENGTHS) + 1):
+            r = own.loc[n] if n in own.index and own.loc[n, "n"] >= min_rows else everyone.loc[n] if n in everyone.index else whole
+            floors.append(low(r, "entropy"))
+        out[language] = Band((low(whole, "chars"), high(whole, "chars")), high(whole, "share"), (low(whole, "entropy"), min(1.0, high(whole, "entropy"))), tuple(floors))
+    return out
+
+
+def score_documents(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str = VOCABULARY, also: dict[str, dict[str, Band]] | None = None) -> DataFrame:
+    """doc_id with all counts, measures, base_failed and kept, a row for each row of docs(doc_id, text[, lang]).
+
+    `also` holds bands by further vocabularies; a text is kept if it lies in its bands under all of them.
+    """
     ship_package(docs.sparkSession)
     chosen = bands or BANDS
     columns = ["doc_id", "text", *(["lang"] if "lang" in docs.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = measure(*_texts_and_langs(batch), chosen, vocabulary)
+            m = measure(*_texts_and_langs(batch), chosen, vocabulary, also)
             arrays = [pa.array(m[k], from_pandas=True) for k, _ in _FIELDS]
             yield pa.record_batch([batch.column(0), *arrays], names=["doc_id", *(k for k, _ in _FIELDS)])
 
@@ -196,13 +261,13 @@ def score_documents(docs: DataFrame, bands: dict[str, Band] | None = None, vocab
     return docs.select(*columns).mapInArrow(releasing(run), schema)
 
 
-def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: str = VOCABULARY, also: dict[str, dict[str, Band]] | None = None) -> DataFrame:
     """The rows of docs whose verdict is kept, all columns as they were."""
     ship_package(docs.sparkSession)
     chosen = bands or BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(measure(*_texts_and_langs(batch), chosen, vocabulary)["kept"]))
+            yield batch.filter(pa.array(measure(*_texts_and_langs(batch), chosen, vocabulary, also)["kept"]))
 
     return docs.mapInArrow(releasing(run), docs.schema)
