@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, is_small
+from .scratch import Scratch, fits
 from .sketching import bands_for, set_fingerprint, sketch
 from .text_arrays import LOWER, buffers, hash_spans, releasing, shingle_set, slices, word_spans
 
 SKETCH = 128
 SCREEN_LOSS = 1e-6
 BLOCK = 512
-SMALL_NODES = 400_000
+BROADCAST_BYTES = 48 << 20
 BLOCK_COLUMNS = ["block", "band", "home", "loose", "node", "comp", "n", "sketch"]
 BLOCK_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # The texts of all sets that share a bucket with another set.
     needed = scratch.save(reps.select("node", "doc_id", "text_hash").join(members.select("node").distinct(), "node", "left_semi"), "needed")
-    side = F.broadcast(needed) if is_small(needed, SMALL_NODES) else needed
+    side = F.broadcast(needed) if fits(needed, BROADCAST_BYTES) else needed
     texts = scratch.save(hashed.join(side, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text"), "texts")
 
     # Links to leaders, taken from the pairs whose sketches already say so; blocks see to all others.
@@ -307,6 +307,6 @@ def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """The rows of docs that stay, all columns kept: one doc_id of each group, and what is linked with nothing."""
     marks = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
     marks = Scratch(docs.sparkSession, "near").save(marks, "removed")
-    side = F.broadcast(marks) if is_small(marks, SMALL_NODES) else marks
+    side = F.broadcast(marks) if fits(marks, BROADCAST_BYTES) else marks
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so no name can clash
     return rows.join(side, (F.col("row.doc_id") == F.col("id")) & (F.xxhash64("row.text") == F.col("text_hash")), "left_anti").select("row.*")

@@ -7,7 +7,8 @@ edits the map under a new version and moves as few slots as it needs; records
 never change their slot.
 
 Defined results: null text has size 1 and the crc32 of the empty text; rows that
-repeat a doc_id and text share a slot; null doc_ids are hashed by their text; an
+repeat a doc_id and text share a slot; equal texts under different ids may lie in
+different shards, as a group of copies can outgrow any one of them; null doc_ids are hashed by their text; an
 empty table gives an empty result; further columns are ignored by name.
 """
 
