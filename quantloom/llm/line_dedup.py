@@ -99,7 +99,7 @@ def repeated_units(docs: DataFrame, unit: str, scratch: Scratch) -> DataFrame:
     its first one, the occurrence that stays, and whether that is in another document.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.mapInArrow(_digests(unit), f"doc_id {kind}, text_hash long, unit int, level int, a long, b long")
+    made = scratch.save(docs.mapInArrow(_digests(unit), f"doc_id {kind}, text_hash long, unit int, level int, a long, b long"), "made")  # read twice
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "unit")
     first = made.groupBy("a", "b").agg(F.min(rank).alias("first"), F.min(F.when(F.col("level") > 0, rank)).alias("block"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # Written, so that both sides of the join are plain shuffles and a frequent unit can be split.
@@ -164,6 +164,7 @@ def dedup_substrings(docs: DataFrame, unit: str = "line", min_chars: int = MIN_C
     kind = docs.schema["doc_id"].dataType
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     listed = scratch.save(repeated_units(keyed, unit, scratch), "listed").toDF("_id", "_hash", "units")
+    scratch.drop("made", "first")
     rows = keyed.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text_hash", "text", "units")
     name = kind.simpleString()
     schema = f"doc_id {name}, text_hash long, kept boolean, text string, removed_spans array<struct<start:long,length:long,keep_doc_id:{name},keep_unit:int>>"
