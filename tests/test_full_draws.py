@@ -54,3 +54,13 @@ def test_two_thousand_paths(spark, sf):
     ends = queries["r2_forward_paths_full"](spark, sf).where(f"symbol = '{symbol}' and step = 251").toPandas()["growth"].to_numpy() - 1
     got = queries["a16_path_summary_full"](spark, sf).where(f"symbol = '{symbol}' and horizon = 'long'").first()
     assert len(ends) == 2000 and np.isclose(got["cvar95"], -np.sort(ends)[:100].mean()) and np.isclose(got["p5"], np.quantile(ends, 0.05))
+
+
+def test_shifts_send_each_array_once(spark):
+    """Arrays are dealt out once a key, not once for every block of shifts; short and constant keys have no p."""
+    rng = np.random.default_rng(5)
+    rows = [("A", s, i, float(h), float(x)) for s, n in (("long", 200), ("short", 119)) for i, (h, x) in enumerate(zip(rng.random(n) < 0.5, 100 + rng.random(n), strict=True))]
+    rows += [("A", "still", i, 1.0, 100.0 + i) for i in range(150)]
+    found = va.permutation_p(spark.createDataFrame(rows, "symbol string, strategy string, i int, held double, close double"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and {r["strategy"] for r in found.collect() if r["p"] is None} == {"short", "still"}
