@@ -29,3 +29,9 @@ def test_signals_take_no_frame_of_many_bars(spark, sf):
     frames = re.findall(r"RowFrame, -(\d+), (-?\d+|currentrow)", plan)
     assert all(f"-{a}" == b for a, b in frames)  # lags only
     assert plan.count(" Sort [symbol") <= 3 and "_chunk" not in plan
+
+
+def test_bars_keep_two_rows_a_group(spark, sf):
+    """The least and the greatest row of a symbol and day give all four columns: no aggregate for each of them."""
+    plan = Panels(spark, sf).bars._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "max_by" not in plan and max(line.count("partial_max(") for line in plan.split("\n")) == 1
