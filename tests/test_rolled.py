@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from quantloom.operators import indicators as ind
 from quantloom.operators import smooth
 from quantloom.operators import strategies as st
+from quantloom.plans import backtest as bt
 from quantloom.plans.registry import Panels
+from quantloom.sources import fixtures as fx
+from quantloom.sources.fixtures import render
 
 
 def test_rolled_columns_are_those_of_windows(spark):
@@ -35,3 +38,41 @@ def test_bars_keep_two_rows_a_group(spark, sf):
     """The least and the greatest row of a symbol and day give all four columns: no aggregate for each of them."""
     plan = Panels(spark, sf).bars._jdf.queryExecution().executedPlan().toString()
     assert "min_by" not in plan and "max_by" not in plan and max(line.count("partial_max(") for line in plan.split("\n")) == 1
+
+
+def test_volatility_is_that_of_a_window_over_known_returns(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(days=k), None if k % hole == hole - 1 else float(rng.uniform(90, 110))) for s, n, hole in (("A", 700, 89), ("B", 300, 2), ("C", 40, 9)) for k in range(n)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    r = bars.select("*", ind.change("close").alias("r"))
+    want = r.select("symbol", "date", F.when(ind.bar_index() >= 251, F.stddev_samp("r").over(ind.last(252))).alias("vol252"))
+    a, b = (x.orderBy("symbol", "date").select("vol252").toPandas().to_numpy(float) for x in (smooth.with_smoothed(bars, ["vol252"]), want))
+    assert len(a) == 1040 and np.isfinite(a).sum() == 449 and np.allclose(a, b, rtol=1e-12, equal_nan=True)
+
+
+def test_module_rows_take_no_frame_of_many_bars(spark, sf):
+    """A window takes a step for each bar of its frame: what is read of a symbol's bars comes from the smoothing pass, and sample dates are written before they are joined."""
+    t = Panels(spark, sf)
+    plan = bt.module_rows(t.smoothed, t.stored_series, t.sectors)._jdf.queryExecution().executedPlan().toString()
+    assert "stddev_samp" not in plan.replace("stddev_samp(fwd_", "") and re.search(r"FileScan parquet \[symbol[^\]]*beta", plan)
+    assert not re.search(r"\[symbol#\d+\], \[date#\d+ ASC NULLS FIRST\], RowFrame, -\d{2,}, currentrow", plan)
+
+
+def test_series_and_sectors_sort_no_rows_of_lines(spark, sf):
+    t = Panels(spark, sf)
+    for panel in (t.series, t.sectors):
+        plan = panel._jdf.queryExecution().executedPlan().toString().split("\n")
+        read = [k for k, line in enumerate(plan) if "FileScan" in line]
+        above = [next(line for line in reversed(plan[:k]) if "Project" not in line and "ColumnarToRow" not in line and "Filter" not in line) for k in read]
+        assert above and all("HashAggregate" in line or "BroadcastHashJoin" in line for line in above)
+
+
+def test_days_of_lines_without_an_order(spark, tmp_path):
+    """Missing orders stand before all others and alone on a day; equal orders are told apart by the rest of the key."""
+    day = lambda d: dt.date(2000, 1, d)
+    rows = [(None, 1, 1, 1, 1.0, 1.0, 0.01, 0.0, day(1)), (5, 2, 1, 1, 1.0, 1.0, 0.02, 0.0, day(1)), (5, 1, 1, 1, 1.0, 1.0, 0.03, 0.0, day(1)), (None, 2, 1, 1, 1.0, 1.0, 0.04, 0.0, day(2)),
+            (None, 1, 1, 1, 1.0, 1.0, 0.05, 0.0, day(2)), (7, 1, 1, 1, 1.0, 1.0, 0.06, 0.0, day(3)), (7, 1, 1, 1, 1.0, 2.0, 0.07, 0.0, day(3)), (8, 1, 1, 1, 1.0, 2.0, 0.08, 0.0, None)]
+    names = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date"
+    lines = spark.createDataFrame(rows, names)
+    got = spark.sql(render(fx._days(True), True).replace("FROM lineitem", "FROM {lines}"), lines=lines).select("date", "d0", "d1").collect()
+    assert {tuple(r) for r in got} == {(day(1), 0.01, 0.02), (day(2), 0.05, 0.04), (day(3), 0.06, 0.07), (None, 0.08, 0.08)}
