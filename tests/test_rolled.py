@@ -76,3 +76,48 @@ def test_days_of_lines_without_an_order(spark, tmp_path):
     lines = spark.createDataFrame(rows, names)
     got = spark.sql(render(fx._days(True), True).replace("FROM lineitem", "FROM {lines}"), lines=lines).select("date", "d0", "d1").collect()
     assert {tuple(r) for r in got} == {(day(1), 0.01, 0.02), (day(2), 0.05, 0.04), (day(3), 0.06, 0.07), (None, 0.08, 0.08)}
+
+
+def test_rows_are_dealt_out_before_days_are_made_of_them(spark, sf):
+    """Few rows share a symbol and day: a grouping before the exchange sorts all rows and leaves nearly as many, and so does a sort by texts."""
+    plan = Panels(spark, sf).bars._jdf.queryExecution().executedPlan().toString().split("\n")
+    grouped = max(k for k, line in enumerate(plan) if "SortAggregate" in line)
+    below = "\n".join(plan[grouped:])
+    assert below.index("Sort [place") < below.index("Exchange hashpartitioning(symbol") and "\n".join(plan).count("hashpartitioning(symbol") == 2
+
+
+def test_days_of_symbols_with_equal_orders_and_holes(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    pick = lambda *x: x[rng.integers(len(x))]
+    day = lambda: pick(None, *[dt.date(2000, 1, d) for d in range(1, 6)])
+    rows = [(int(rng.integers(4)), int(rng.integers(2)), k, pick(None, 1, 99, 100, 250), float(rng.integers(9)), 1.0, float(rng.integers(11)) / 100, float(rng.integers(9)) / 100, pick("A", "R"), pick("F", "O"), day()) for k in range(600)]
+    names = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    lines = spark.createDataFrame(rows, names)
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("<BARS>", "<BANDS>"):
+        got = spark.sql(render(name, True).replace("FROM lineitem", "FROM {lines}"), lines=lines).collect()
+        assert {tuple(r) for r in got} == set(con.execute(render(name, False)).fetchall()) and len(got) > 5
+
+
+def test_numbers_to_four_places_are_those_of_decimals(spark):
+    rng = np.random.default_rng(6)
+    xs = [*(float(x) for x in rng.normal(0, 10.0 ** rng.integers(-5, 12, 3000))), *(k / 20000 for k in range(-999, 999, 2)), 1.00005, 0.00015, 123456.78905, -2.00005, 0.0, -0.0, 1e13, None]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").selectExpr("CAST(x AS DECIMAL(18,4)) AS a", f"CAST({fx._SCALED.format(x='x')} * 0.0001 AS DECIMAL(18,4)) AS b")
+    assert rows.where("NOT a <=> b").count() == 0 and "AS BIGINT) ELSE" in fx._days(True)
+
+
+def test_smoothed_rows_stay_in_their_buckets(spark, sf, tmp_path, monkeypatch):
+    t = Panels(spark, sf)
+    bars, dealt = t.stored_bars, []
+    frame = type(bars)
+    one = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(a) or one(self, *a))
+    monkeypatch.setattr("quantloom.sources.store._code", lambda: str(tmp_path))  # another version, so it is built here
+    t.stored_bars = bars
+    rows = t.smoothed
+    assert not dealt and "open" not in rows.columns and len(rows.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.count() == bars.count() and "Exchange" not in rows.groupBy("symbol").count()._jdf.queryExecution().executedPlan().toString()
