@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HORIZON_BARS, clip
-from .draws import block_picks, gathered, in_blocks
+from .draws import BLOCK, block_picks, gathered, in_blocks, whole
 from .indicators import log_return
 from .risk import tail
 from .validation import draw
@@ -23,6 +23,7 @@ PREMIUM = 0.045
 # Stop and target of each horizon in true ranges, risk and weight limits.
 RANGES = {"short": (2.0, 4.0), "mid": (3.0, 6.0), "long": (5.0, 10.0)}
 RISK, MOST = 0.01, 0.25
+FAN = (5, 25, 50, 75, 95)
 
 
 def drift(profile: DataFrame) -> DataFrame:
@@ -43,18 +44,26 @@ def block_bootstrap(sizes: DataFrame, n_paths: int, horizon: int, block: int = 1
     return rows.select("symbol", "path", "step", ((c("_last.p") + c("step") - c("_last.s")) % c("n")).alias("pick"))
 
 
-def path_arrays(bars: DataFrame, drifts: DataFrame, n_paths: int = 2000, horizon: int = 252, block: int = 10, seed: int = 11) -> DataFrame:
-    """(symbol, path, growth): growth of the price from its last close at each step, from three years of centred log returns."""
+def _salt() -> Column:
+    return F.crc32(F.encode("symbol", "UTF-8"))
+
+
+def _pool(bars: DataFrame, drifts: DataFrame, horizon: int) -> DataFrame:
+    """(symbol, values, _shift): three years of log returns of each symbol, and what centres them on its drift (null for a single return)."""
     c = F.col
     r = tail(bars.select("symbol", "date", log_return().alias("r")).where("r is not null"), 3 * horizon)
-    stats = r.groupBy("symbol").agg(F.avg("r").alias("mean"), F.var_samp("r").alias("var"))
-    shift = F.log(1 + c("drift")) / horizon - c("var") / 2 - c("mean")
-    pool = gathered(r, ["symbol"], ["date"], "r").join(stats, "symbol").join(drifts.select("symbol", "drift"), "symbol").withColumn("_shift", shift)
+    rows = gathered(r, ["symbol"], ["date"], "r", F.avg("r").alias("mean"), F.var_samp("r").alias("var")).join(drifts.select("symbol", "drift"), "symbol")
+    return rows.select("symbol", "values", (F.log(1 + c("drift")) / horizon - c("var") / 2 - c("mean")).alias("_shift"))
+
+
+def path_arrays(bars: DataFrame, drifts: DataFrame, n_paths: int = 2000, horizon: int = 252, block: int = 10, seed: int = 11) -> DataFrame:
+    """(symbol, path, growth): growth of the price from its last close at each step, from three years of centred log returns."""
+    pool = _pool(bars, drifts, horizon)
 
     def grown(values, draws, salt, numbers):
         return [np.exp(np.cumsum((values + numbers[0])[block_picks(len(values), draws, horizon, block, seed, salt)], axis=1))]
 
-    paths = in_blocks(pool, ["symbol"], n_paths, 0, F.crc32(F.encode("symbol", "UTF-8")), [c("_shift")], grown, "growth array<double>")
+    paths = in_blocks(pool, ["symbol"], n_paths, 0, _salt(), [F.col("_shift")], grown, "growth array<double>")
     return paths.withColumnRenamed("draw", "path")
 
 
@@ -85,7 +94,23 @@ def path_fan(paths: DataFrame, every: int = 4) -> DataFrame:
     """(symbol, day, p5 … p95) at every fourth day."""
     some = F.filter(F.transform("growth", lambda g, i: F.struct((i + 1).alias("day"), g.alias("g"))), lambda x: x["day"] % every == 0)
     rows = _as_arrays(paths).select("symbol", F.explode(some).alias("x")).select("symbol", "x.day", "x.g")
-    return rows.groupBy("symbol", "day").agg(*[F.percentile("g", F.lit(p / 100)).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
+    return rows.groupBy("symbol", "day").agg(*[F.percentile("g", F.lit(p / 100)).alias(f"p{p}") for p in FAN])
+
+
+def forward_fan(bars: DataFrame, drifts: DataFrame, n_paths: int = 2000, horizon: int = 252, block: int = 10, seed: int = 11, every: int = 4) -> DataFrame:
+    """path_fan of the paths of path_arrays. One task makes all paths of a symbol, a block at a time, and keeps n_paths * horizon / every doubles (1 MB): no path is sent or grouped."""
+    days = np.arange(every, horizon + 1, every)
+
+    def fan(values, salt, numbers):
+        values = values + (np.nan if numbers[0] is None else numbers[0])
+        growth = np.empty((len(days), n_paths))
+        for first in range(0, n_paths, BLOCK):
+            draws = np.arange(first, min(first + BLOCK, n_paths))
+            sums = np.cumsum(values[block_picks(len(values), draws, horizon, block, seed, salt)], axis=1)
+            growth[:, draws] = np.exp(sums[:, days - 1]).T
+        return [days.astype(np.int32), *np.quantile(growth, [p / 100 for p in FAN], axis=1)]
+
+    return whole(_pool(bars, drifts, horizon), ["symbol"], _salt(), [F.col("_shift")], fan, ", ".join(["day int", *[f"p{p} double" for p in FAN]]))
 
 
 def trade_plan(prices: DataFrame, horizon: str) -> DataFrame:
