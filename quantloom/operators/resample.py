@@ -17,7 +17,6 @@ from ..functions.scalars import HORIZON_BARS, clip
 from .draws import BLOCK, block_picks, gathered, in_blocks, whole
 from .indicators import log_return
 from .risk import tail
-from .validation import draw
 
 PREMIUM = 0.045
 # Stop and target of each horizon in true ranges, risk and weight limits.
@@ -31,21 +30,25 @@ def drift(profile: DataFrame) -> DataFrame:
     return profile.withColumn("drift", F.col("rf") + F.coalesce(clip(F.col("beta"), 0, 2.5), F.lit(1.0)) * PREMIUM)
 
 
+def _salt() -> Column:
+    return F.crc32(F.encode("symbol", "UTF-8"))
+
+
 def block_bootstrap(sizes: DataFrame, n_paths: int, horizon: int, block: int = 10, seed: int = 11) -> DataFrame:
-    """(symbol, path, step, pick) for sizes(symbol, n): each step goes on to the next row, or with chance 1/block anew."""
+    """(symbol, path, step, pick) for sizes(symbol, n): each step goes on to the next row, or with chance 1/block anew; null without a symbol or rows.
+
+    A path comes from its task as an array and becomes rows there, so none is sorted, sent or spilled.
+    """
     c = F.col
-    rows = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
-    salt = F.crc32(F.encode("symbol", "UTF-8"))
-    anew = (c("step") == 0) | (draw(seed, salt, c("path"), c("step"), F.lit(1), below=F.lit(block)) == 0)
-    start = draw(seed, salt, c("path"), c("step"), F.lit(2), below=c("n"))
-    rows = rows.withColumn("_at", F.when(anew, F.struct(c("step").alias("s"), start.alias("p"))))
-    w = Window.partitionBy("symbol", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_last", F.last("_at", ignorenulls=True).over(w))
-    return rows.select("symbol", "path", "step", ((c("_last.p") + c("step") - c("_last.s")) % c("n")).alias("pick"))
+    known = c("symbol").isNotNull() & (c("n") > 0)
 
+    def picks(values, draws, salt, numbers):
+        return [block_picks(int(numbers[0]), draws, horizon, block, seed, salt)]
 
-def _salt() -> Column:
-    return F.crc32(F.encode("symbol", "UTF-8"))
+    rows = sizes.select("symbol", "n", F.array().cast("array<double>").alias("values"))
+    paths = in_blocks(rows, ["symbol", "n"], n_paths, 0, F.coalesce(_salt(), F.lit(0)), [F.greatest("n", F.lit(1))], picks, "picks array<bigint>")
+    steps = paths.select("symbol", "n", c("draw").alias("path"), F.posexplode("picks").alias("step", "pick"))
+    return steps.select("symbol", "path", "step", F.when(known, c("pick")).alias("pick"))
 
 
 def _pool(bars: DataFrame, drifts: DataFrame, horizon: int) -> DataFrame:
