@@ -52,7 +52,7 @@ def test_fan_of_a_single_return_is_null(spark):
     assert counts == {"A": (5, 5), "B": (5, 0)}  # its variance is null, so is all that follows, as in the SQL
 
 
-@pytest.mark.parametrize("name", ["a17_path_fan"])
+@pytest.mark.parametrize("name", ["a17_path_fan", "a17_path_fan_full"])
 def test_fan_query_sends_no_path(spark, sf, name):
     queries, sql = all_queries()
     fan = queries[name](spark, sf)
