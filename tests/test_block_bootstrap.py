@@ -38,7 +38,7 @@ def test_no_symbol_and_no_rows_have_null_picks(spark):
     assert {r["symbol"]: (r["rows"], r["found"]) for r in counts.collect()} == {None: (21, 0), "none": (21, 0), "A": (21, 21)}
 
 
-@pytest.mark.parametrize("name", ["r1_block_bootstrap"])
+@pytest.mark.parametrize("name", ["r1_block_bootstrap", "r1_block_bootstrap_full"])
 def test_steps_are_not_sorted_and_spread_over_tasks(spark, sf, name):
     picks = all_queries()[0][name](spark, sf)
     plan = picks._jdf.queryExecution().optimizedPlan().toString()
